@@ -11,6 +11,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # All characters a Unicode-aware "whitespace" class covers; Java's own \s is ASCII only.
 SPACE = r"[\s\p{Z}\x{0B}\x{1C}-\x{1F}\x{85}]+"
@@ -21,7 +22,7 @@ SCRIPT_ELEMENT = r"(?is)<(?:script|style)\b[^>]*>.*?</(?:script|style)\s*>"
 TAG = r"""<[A-Za-z/!?][^"'<>]*(?:(?:"[^"]*"|'[^']*')[^"'<>]*)*>"""
 LOOSE_TAG = r"<[A-Za-z/!?][^>]*>"
 # Pieces of a page: comment | script or style element | tag | text run | stray "<".
-PIECE = r"""(?is)<!--.*?-->|<(?:script|style)\b[^>]*>.*?</(?:script|style)\s*>|<[a-z/!?][^>]*>|[^<]+|<"""
+PIECE = rf"(?is)<!--.*?-->|<(?:script|style)\b[^>]*>.*?</(?:script|style)\s*>|{TAG}|{LOOSE_TAG}|[^<]+|<"
 SCRIPT_OPEN = r"(?is)^<(?:script|style)\b[^>]*>"
 SCRIPT_CLOSE = r"(?is)</(?:script|style)\s*>$"
 
@@ -31,12 +32,12 @@ COMMON_ENTITIES = {
 }
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape_twice(values: pd.Series) -> pd.Series:
     return values.map(lambda v: html.unescape(html.unescape(v)), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape_once(values: pd.Series) -> pd.Series:
     return values.map(html.unescape, na_action="ignore")
 

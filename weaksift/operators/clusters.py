@@ -120,7 +120,7 @@ def cluster_rollup(members: DataFrame, items: DataFrame) -> DataFrame:
         in_order("excerpt").alias("evidence_excerpts"),
     )
     # Half-up average to two places in whole numbers, so that no binary fraction decides a tie.
-    cents = F.floor((F.col("_total") * 200 + F.col("item_count")) / (F.col("item_count") * 2))
+    cents = F.call_function("div", F.col("_total") * 200 + F.col("item_count"), F.col("item_count") * 2)
     return (
         counts.join(mix, key)
         .join(representatives, key)

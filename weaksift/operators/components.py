@@ -51,7 +51,7 @@ def connected_items(
     block: int = BLOCK,
 ) -> DataFrame:
     """``vectors`` has ``node`` (unique long), ``bucket`` and ``vector`` (unit length or zero).
-    Returns ``t`` (position in ``thresholds``), ``node`` and ``component`` (its least node)."""
+    Returns ``t`` (position in ``thresholds``), ``node`` and ``component`` (one node of it)."""
     if any(threshold <= 0 for threshold in thresholds):
         raise ValueError("thresholds must be positive")
     vectors = stage(vectors.select("node", "bucket", "vector"), "vectors")

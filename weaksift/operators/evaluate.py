@@ -45,8 +45,8 @@ def pair_counts(labelled: DataFrame, keys: list[str]) -> DataFrame:
 def _ratio(numerator: Column, denominator: Column) -> Column:
     """Half-up to four places in whole numbers; 0 when the denominator is 0."""
     top, bottom = numerator.cast("decimal(30,0)"), denominator.cast("decimal(30,0)")
-    ten_thousandths = F.floor((top * 20000 + bottom) / (bottom * 2))
-    return F.when(denominator == 0, F.lit(0.0)).otherwise(ten_thousandths.cast("double") / 10000.0)
+    ten_thousandths = F.call_function("div", top * 20000 + bottom, F.nullif(bottom, F.lit(0)) * 2)
+    return F.coalesce(ten_thousandths.cast("double") / 10000.0, F.lit(0.0))
 
 
 def pair_metrics(counts: DataFrame) -> DataFrame:

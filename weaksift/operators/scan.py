@@ -18,6 +18,11 @@ from weaksift.functions import matching as M
 from weaksift.functions import text as T
 from weaksift.lexicons import DOMAIN, all_terms
 
+try:
+    import ahocorasick
+except ImportError:
+    ahocorasick = None
+
 LINK = "https?://|www\\."
 
 SCAN_COLUMNS = [
@@ -36,49 +41,73 @@ def clean_items(raw: DataFrame) -> DataFrame:
     )
 
 
-def scan_items(items: DataFrame, lexicon: dict[str, list[str]] = DOMAIN) -> DataFrame:
+def scan_items(items: DataFrame, lexicon: dict[str, list[str]] = DOMAIN, builtin: bool = False) -> DataFrame:
     """``items`` has ``title`` and ``clean_text``. The long text is searched once: a term of
     title + text that is not in the text alone must touch the title, so it lies within the
-    title and as many characters of text as the longest term has."""
+    title and as many characters of text as the longest term has.
+
+    The search for all terms at once is an automaton run in Arrow batches: one step per
+    character, where built-in functions need one pass per term. ``builtin`` picks those
+    instead (same result; also used where the automaton library is missing).
+    """
     terms = all_terms(lexicon)
-    words = M.words_of(terms)
     reach = max((len(term) for term in terms), default=1)
-
     texts = (
         items.withColumn("_text", F.concat(F.lit(" "), F.lower("clean_text"), F.lit(" ")))
-        .withColumn("_head", F.concat(F.lit(" "), F.lower("title"), F.substring("_text", 1, reach)))
-        .withColumn(
-            "_short",
-            F.lower(F.concat(F.lit(" "), "title", F.lit(" "), T.excerpt(F.col("clean_text")), F.lit(" "))),
+        .withColumns(
+            {
+                "_head": F.concat(F.lit(" "), F.lower("title"), F.substring("_text", 1, reach)),
+                "_title": F.concat(F.lit(" "), F.lower("title"), F.lit(" ")),
+                "_short": F.lower(
+                    F.concat(F.lit(" "), "title", F.lit(" "), T.excerpt(F.col("clean_text")), F.lit(" "))
+                ),
+            }
         )
     )
-    found = texts.withColumns(
+    find = _find_builtin if builtin or ahocorasick is None else _find_by_automaton
+    found = find(texts, terms).withColumns(
         {
-            "found_text": M.substring_hits(F.col("_text"), terms),
-            "_found_head": M.substring_hits(F.col("_head"), terms),
-            "found_excerpt_plain": M.substring_hits(F.col("_short"), terms),
             "link_count": F.size(F.regexp_extract_all(F.col("_text"), F.lit(LINK), F.lit(0))),
             "word_count": T.word_count(F.col("clean_text")),
             "has_sentence_mark": F.col("clean_text").rlike("[.?!]"),
             "opening": F.substring("_text", 2, reach),
         }
+    )
+    return found.select(*items.columns, *SCAN_COLUMNS)
+
+
+def _find_by_automaton(texts: DataFrame, terms: list[str]) -> DataFrame:
+    scan = M.term_finder(terms)
+    return texts.withColumn("_found", scan("_text", "_title", "_head", "_short")).select(
+        "*", *[F.col(f"_found.{name}").alias(name) for name in M.FOUND_FIELDS]
+    )
+
+
+def _find_builtin(texts: DataFrame, terms: list[str]) -> DataFrame:
+    words = M.words_of(terms)
+    found = texts.withColumns(
+        {
+            "found_text": M.substring_hits(F.col("_text"), terms),
+            "_found_head": M.substring_hits(F.col("_head"), terms),
+            "found_excerpt_plain": M.substring_hits(F.col("_short"), terms),
+        }
     ).withColumn("found_all", F.array_union("found_text", "_found_head"))
     return found.withColumns(
         {
             "found_words": M.found_by_word_rule(
-                _words_in(("_text", "title"), "found_all", words), F.col("found_all")
+                _words_in(("_text", "_title"), "found_all", words), F.col("found_all")
             ),
             "found_excerpt": M.found_by_word_rule(
                 _words_in(("_short",), "found_excerpt_plain", words), F.col("found_excerpt_plain")
             ),
         }
-    ).select(*items.columns, *SCAN_COLUMNS)
+    )
 
 
 def _words_in(columns: tuple[str, ...], found: str, words: list[str]) -> Column:
     """Whole words of the columns. Tokenising is skipped where no word occurs even as a
     substring."""
-    tokens = F.concat(*[F.split(F.lower(name), M.NON_WORD) for name in columns])
+    tokens = F.concat(*[F.split(name, M.NON_WORD) for name in columns])
     return F.when(
         M.any_found(F.col(found), words), F.array_intersect(tokens, M.literal_array(words))
     ).otherwise(F.array().cast("array<string>"))

@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from weaksift.functions import text as T
 from weaksift.lexicons import STOP_WORDS
@@ -42,7 +43,7 @@ def token_slots(tokens: Column, dimensions: int = DIMENSIONS) -> Column:
     )
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def _unit_counts(slots: pd.Series, dimensions: pd.Series) -> pd.Series:
     width = int(dimensions.iloc[0]) if len(dimensions) else DIMENSIONS
     lengths = slots.map(len).to_numpy(dtype=np.int64)
@@ -53,7 +54,7 @@ def _unit_counts(slots: pd.Series, dimensions: pd.Series) -> pd.Series:
     return pd.Series(list(np.divide(counts, norm, out=counts, where=norm > 0)), index=slots.index)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _most_frequent(tokens: pd.Series) -> pd.Series:
     def best(values):
         return [term for term, _ in nsmallest(TOP_TERMS, Counter(values).items(), key=lambda kv: (-kv[1], kv[0]))]
@@ -130,7 +131,7 @@ def table_vectors(vector_table: DataFrame, id_column: str, vector_column: str) -
 def user_vectors(encode: Callable[[list[str]], np.ndarray]) -> Callable[[DataFrame], DataFrame]:
     """A backend from a user's batch encoder (texts -> matrix), run in Arrow batches."""
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(ArrayType(DoubleType()))
     def encoded(texts: pd.Series) -> pd.Series:
         matrix = np.asarray(encode(texts.to_list()), dtype=float)
         norm = np.linalg.norm(matrix, axis=1, keepdims=True)

@@ -16,7 +16,7 @@ from weaksift.operators import summaries as U
 from weaksift.operators import vectors as V
 from weaksift.operators.numbering import batch_of, dense_positions
 from weaksift.operators.scan import clean_items, scan_items
-from weaksift.plans.stages import stage
+from weaksift.plans.stages import spread, stage
 
 BATCH_SIZE = 500
 
@@ -33,7 +33,7 @@ ARTIFACT_COLUMNS = [
 def assess_items(raw: DataFrame, batch_size: int = BATCH_SIZE, lexicon=DOMAIN) -> DataFrame:
     """Raw items (with a 1-based ``source_index``) cleaned, scanned and judged for quality. The raw
     text is not carried on."""
-    scanned = scan_items(clean_items(raw).drop("text"), lexicon)
+    scanned = scan_items(clean_items(spread(raw)).drop("text"), lexicon)
     return Q.assess_quality(scanned, lexicon).withColumn("batch_index", batch_of(F.col("source_index"), batch_size))
 
 
