@@ -4,11 +4,14 @@ listing its pairs.
 1. A bounded set of anchor items per bucket goes to every task. Each item is compared with the
    anchors of its bucket (one matrix product per batch) and hangs on the first anchor it
    reaches; anchors reached by one item are linked. No shuffle; copies of a text hang together.
-2. Items that reach no anchor are the residue. They are compared with every item of the bucket:
-   as further anchors while they are few (their number is checked), else block by block.
-3. What remains is a small graph of anchors and residue items; its components follow from
-   alternating star contraction (Kiveris et al., "Connected components in MapReduce and
-   beyond", 2014), a handful of joins and aggregates.
+   The anchors' own graph is bounded, so one small task per bucket finds its components.
+2. Two items of the largest component of a bucket need no more comparison. All others (the
+   residue) are compared with every item of the bucket: sent to every task while they are few
+   (their number is checked), else block by block. Buckets whose items all were anchors are
+   complete after step 1.
+3. The links of step 2 form a graph of component labels; its components follow from alternating
+   star contraction (Kiveris et al., "Connected components in MapReduce and beyond", 2014), a
+   handful of joins and aggregates.
 
 All thresholds of a sweep share one pass: a graph node is (item, threshold number).
 """
@@ -30,16 +33,13 @@ MAX_ANCHORS = 16_384  # in all; 64 doubles each are 8 MB
 BLOCK = 4_096  # vectors per side of a block comparison
 ROWS_AT_ONCE = 1_024  # rows of one matrix product, to bound its memory
 
-LINK_SCHEMA = "t int, node long, anchor long, is_link boolean"
+LINK_SCHEMA = "t int, bucket string, node long, anchor long, is_link boolean"
+LABEL_SCHEMA = "t int, node long, component long"
 EDGE_SCHEMA = "t int, src long, dst long"
 
 
-def similar(left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
-    """Boolean matrix of pairs whose cosine, rounded to 9 places, reaches the threshold."""
-    return _rounded(left, right) >= threshold
-
-
 def _rounded(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Cosines rounded to 9 places, so that the order of a sum decides no threshold."""
     return np.floor(left @ right.T * 1e9 + 0.5) / 1e9
 
 
@@ -57,21 +57,49 @@ def connected_items(
     vectors = stage(vectors.select("node", "bucket", "vector"), "vectors")
     anchors = _sample_anchors(vectors, anchors_per_bucket, max_anchors)
     hung = stage(_hang_on_anchors(vectors, anchors, thresholds), "hung")
-    items = hung.where(~F.col("is_link")).select("t", "node", "anchor")
-    edges = hung.where("is_link").select("t", F.col("node").alias("src"), F.col("anchor").alias("dst")).distinct()
-
-    residue = items.where("anchor IS NULL").select("t", "node")
-    if not residue.isEmpty():
-        edges = edges.unionByName(
-            _link_residue(vectors, items, residue, thresholds, max_anchors, block).distinct()
-        )
-    roots = components(edges)
-    own = items.withColumn("hook", F.coalesce("anchor", "node"))
-    # Few distinct hooks, many items: the small side is the table of roots.
-    return (
-        own.join(roots.select("t", F.col("node").alias("hook"), "component"), ["t", "hook"], "left")
-        .select("t", "node", F.coalesce("component", "hook").alias("component"))
+    links = hung.where("is_link").select("t", "bucket", "node", "anchor").distinct()
+    merged = links.groupBy("t", "bucket").applyInPandas(_merge, LABEL_SCHEMA)  # bounded: anchors only
+    items = stage(
+        hung.where(~F.col("is_link"))
+        .withColumn("hook", F.coalesce("anchor", "node"))
+        .join(F.broadcast(merged.withColumnRenamed("node", "hook")), ["t", "hook"], "left")  # <= anchors x thresholds
+        .select("t", "bucket", "node", F.coalesce("component", "hook").alias("label")),
+        "labels",
     )
+    sampled = sum(len(ids) for ids, _ in anchors.values())
+    complete = [
+        bucket for bucket, (ids, _) in anchors.items() if len(ids) < anchors_per_bucket and sampled < max_anchors
+    ]
+    residue = _residue(items, vectors, complete)
+    if residue.isEmpty():
+        return items.select("t", "node", F.col("label").alias("component"))
+    edges = _link_residue(vectors, items, residue, thresholds, max_anchors, block).distinct()
+    roots = components(edges).withColumnRenamed("node", "label")
+    return items.join(roots, ["t", "label"], "left").select("t", "node", F.coalesce("component", "label").alias("component"))
+
+
+def _residue(items: DataFrame, vectors: DataFrame, complete: list[str]) -> DataFrame:
+    """Items outside the largest component of their bucket that some pair could still link. A
+    zero vector reaches nothing."""
+    sizes = items.groupBy("t", "bucket", "label").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("t", "bucket").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
+    outside = items if not complete else items.where(~F.col("bucket").isin(complete))
+    outside = outside.join(largest, ["t", "bucket"]).where("label <> largest").select("t", "node", "label")
+    return stage(vectors.where(F.exists("vector", lambda v: v != 0)).join(outside, "node"), "residue")
+
+
+def _merge(links: pd.DataFrame) -> pd.DataFrame:
+    """Components of one bucket's anchors: least labels spread along the links until stable."""
+    ids, ends = np.unique(links[["node", "anchor"]].to_numpy(np.int64), return_inverse=True)
+    left, right = ends.reshape(-1, 2).T
+    label = np.arange(len(ids))
+    while True:
+        before = label.copy()
+        np.minimum.at(label, left, label[right])
+        np.minimum.at(label, right, label[left])
+        label = label[label]
+        if (label == before).all():
+            return pd.DataFrame({"t": links["t"].iloc[0], "node": ids, "component": ids[label]})
 
 
 def _sample_anchors(vectors: DataFrame, per_bucket: int, limit: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
@@ -105,53 +133,51 @@ def _hang_on_anchors(vectors: DataFrame, anchors, thresholds: list[float]) -> Da
                     first = near.argmax(axis=1) if len(ids) else np.zeros(len(nodes), int)
                     anchor = pd.array(np.where(reached, ids[first] if len(ids) else 0, 0), dtype="Int64")
                     anchor[~reached] = pd.NA
-                    yield pd.DataFrame({"t": t, "node": nodes, "anchor": anchor, "is_link": False})
+                    yield pd.DataFrame({"t": t, "bucket": bucket, "node": nodes, "anchor": anchor, "is_link": False})
                     for head in np.unique(first[reached]):
                         linked = ids[near[reached & (first == head)].any(axis=0)]
-                        yield pd.DataFrame({"t": t, "node": ids[head], "anchor": linked, "is_link": True})
+                        yield pd.DataFrame(
+                            {"t": t, "bucket": bucket, "node": ids[head], "anchor": linked, "is_link": True}
+                        )
 
     return vectors.mapInPandas(hang, LINK_SCHEMA)
 
 
 def _link_residue(vectors, items, residue, thresholds, max_anchors, block) -> DataFrame:
-    """Edges from residue items to what they reach: another item's anchor, or a residue item."""
-    lonely = stage(
-        vectors.where(F.exists("vector", lambda v: v != 0)).join(residue, "node"), "residue"
+    """Edges between the labels of items that reach each other, one of them in the residue."""
+    labels = items.groupBy("node").agg(  # one entry per threshold
+        F.map_from_entries(F.collect_list(F.struct("t", "label"))).alias("labels")
     )
-    hooks = items.groupBy("node").agg(  # one entry per threshold
-        F.map_from_entries(F.collect_list(F.struct("t", F.coalesce("anchor", "node")))).alias("hooks")
-    )
-    hooked = vectors.join(hooks, "node")
-    few = lonely.limit(max_anchors + 1).count() <= max_anchors
+    labelled = vectors.join(labels, "node")
+    few = residue.limit(max_anchors + 1).count() <= max_anchors
     if few:
-        return _link_to_few(hooked, lonely.toPandas(), thresholds)
-    return _link_in_blocks(hooked, lonely, thresholds, block)
+        return _link_to_few(labelled, residue.toPandas(), thresholds)
+    return _link_in_blocks(labelled, residue, thresholds, block)
 
 
-def _reach(t, threshold, left_nodes, left, hooks, right_vectors) -> pd.DataFrame:
-    """Distinct (residue node, hook) pairs of one comparison; never one row per pair."""
-    src, dst = [], []
-    for start in range(0, len(left), ROWS_AT_ONCE):
-        near = similar(left[start : start + ROWS_AT_ONCE], right_vectors, threshold)
+def _reach(t: int, threshold: float, left: pd.DataFrame, right_labels: np.ndarray, right: np.ndarray) -> pd.DataFrame:
+    """Distinct pairs of labels of one comparison; never one row per pair of items."""
+    labels, vectors = left["label"].to_numpy(np.int64), np.stack(left["vector"].to_list())
+    pairs = [np.zeros((0, 2), np.int64)]
+    for start in range(0, len(vectors), ROWS_AT_ONCE):
+        near = _rounded(vectors[start : start + ROWS_AT_ONCE], right) >= threshold
         for i in np.flatnonzero(near.any(axis=1)):
-            reached = np.unique(hooks[near[i]])
-            src.append(np.full(len(reached), left_nodes[start + i]))
-            dst.append(reached)
-    if not src:
-        return pd.DataFrame({"t": [], "src": [], "dst": []}, dtype="int64")
-    return pd.DataFrame({"t": t, "src": np.concatenate(src), "dst": np.concatenate(dst)})
+            reached = np.unique(right_labels[near[i]])
+            own = labels[start + i]
+            reached = reached[reached != own]
+            pairs.append(np.column_stack([np.full(len(reached), own), reached]))
+    src, dst = np.unique(np.concatenate(pairs), axis=0).T
+    return pd.DataFrame({"t": t, "src": src, "dst": dst})
 
 
-def _hooks(column: pd.Series, t: int) -> np.ndarray:
-    return np.array([dict(h)[t] for h in column], dtype=np.int64)
+def _labels(column: pd.Series, t: int) -> np.ndarray:
+    return np.array([dict(labels)[t] for labels in column], dtype=np.int64)
 
 
-def _link_to_few(hooked: DataFrame, lonely: pd.DataFrame, thresholds) -> DataFrame:
-    per_key = {
-        key: (group["node"].to_numpy(np.int64), np.stack(group["vector"].to_list()))
-        for key, group in lonely.groupby(["bucket", "t"])
-    }
-    shared = hooked.sparkSession.sparkContext.broadcast(per_key)
+def _link_to_few(labelled: DataFrame, residue: pd.DataFrame, thresholds) -> DataFrame:
+    shared = labelled.sparkSession.sparkContext.broadcast(
+        {key: group[["label", "vector"]] for key, group in residue.groupby(["bucket", "t"])}
+    )
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -159,24 +185,23 @@ def _link_to_few(hooked: DataFrame, lonely: pd.DataFrame, thresholds) -> DataFra
                 matrix = np.stack(rows["vector"].to_list())
                 for t, threshold in enumerate(thresholds):
                     if (bucket, t) in shared.value:
-                        nodes, left = shared.value[(bucket, t)]
-                        yield _reach(t, threshold, nodes, left, _hooks(rows["hooks"], t), matrix)
+                        yield _reach(t, threshold, shared.value[(bucket, t)], _labels(rows["labels"], t), matrix)
 
-    return hooked.mapInPandas(link, EDGE_SCHEMA)
+    return labelled.mapInPandas(link, EDGE_SCHEMA)
 
 
-def _link_in_blocks(hooked: DataFrame, lonely: DataFrame, thresholds, block: int) -> DataFrame:
+def _link_in_blocks(labelled: DataFrame, residue: DataFrame, thresholds, block: int) -> DataFrame:
     """Both sides cut into blocks of about ``block`` rows; each pair of blocks is one small task.
-    A side is repeated once per block of the other, so the cost grows with the residue only."""
+    A side is repeated once per block of the other, so the cost grows with the residue."""
     blocks = lambda rows, name: rows.groupBy("bucket").agg(F.ceil(F.count("*") / block).alias(name))
-    grid = blocks(hooked, "n_right").join(blocks(lonely, "n_left"), "bucket")  # one row per bucket
+    grid = blocks(labelled, "n_right").join(blocks(residue, "n_left"), "bucket")  # one row per bucket
     cell = lambda count: F.pmod(F.xxhash64("node"), F.col(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count).cast("int") - 1))
-    left = lonely.join(grid, "bucket").select(
-        "bucket", cell("n_left").alias("i"), every("n_right").alias("j"), "t", "node", "vector"
+    left = residue.join(grid, "bucket").select(
+        "bucket", cell("n_left").alias("i"), every("n_right").alias("j"), "t", "label", "vector"
     )
-    right = hooked.join(grid, "bucket").select(
-        "bucket", every("n_left").alias("i"), cell("n_right").alias("j"), "node", "vector", "hooks"
+    right = labelled.join(grid, "bucket").select(
+        "bucket", every("n_left").alias("i"), cell("n_right").alias("j"), "vector", "labels"
     )
 
     def compare(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -184,12 +209,7 @@ def _link_in_blocks(hooked: DataFrame, lonely: DataFrame, thresholds, block: int
         if len(a) and len(b):
             matrix = np.stack(b["vector"].to_list())
             for t, rows in a.groupby("t"):
-                parts.append(
-                    _reach(
-                        t, thresholds[t], rows["node"].to_numpy(np.int64), np.stack(rows["vector"].to_list()),
-                        _hooks(b["hooks"], t), matrix,
-                    )
-                )
+                parts.append(_reach(t, thresholds[t], rows, _labels(b["labels"], t), matrix))
         return pd.concat(parts)
 
     keys = ["bucket", "i", "j"]
