@@ -22,9 +22,10 @@ from weaksift.operators import summaries as U
 from weaksift.operators import vectors as V
 from weaksift.plans import evidence as E
 from weaksift.plans import oracle as O
-from weaksift.plans.stages import spread
+from weaksift.plans.stages import new_path, spread
 from weaksift.plans.tables import Tables, tables
 from weaksift.sources import raw_items as I
+from weaksift.streaming import jobs as J
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -1142,3 +1143,54 @@ def run_summary(t: Tables) -> DataFrame:
 )
 def chain_themes(t: Tables) -> DataFrame:
     return t.raw.select("product_theme").distinct().orderBy("product_theme")
+
+
+# -- streams ------------------------------------------------------------------------------------------------
+
+_CONVERSATION_ITEMS = r"""
+seeded AS (SELECT conv_id * 1000 + turn AS source_index, 'stream' AS run_id, 'discussion' AS source_type, 'x' AS source_name,
+    conv_id || '-' || turn AS source_id, '' AS source_url, """ + O.lit(I.DISCUSSION_TITLE) + r""" AS title, role AS author,
+    '' AS product_theme, '' AS query_theme, '' AS rating, text, false AS is_demo_fallback, conv_id AS doc_id FROM conversations)"""
+
+
+@query(
+    "stream_scored_items",
+    O.with_(_CONVERSATION_ITEMS, O.ASSESSED)
+    + """SELECT source_id, quality_score::BIGINT AS quality_score, array_to_string(quality_reasons, '; ') AS quality_reasons,
+    array_to_string(exclude_reasons, '; ') AS exclude_reasons, kept FROM assessed""",
+)
+def stream_scored_items(t: Tables) -> DataFrame:
+    t.discussion_pages  # writes the page files
+    target, checkpoint = new_path(t.spark, "stream-scored"), new_path(t.spark, "stream-checkpoint")
+    scored = J.score_stream(J.discussion_stream(t.spark, t.discussion_folder))
+    J.run_append(scored, target, checkpoint).awaitTermination()
+    return t.spark.read.parquet(target).select(
+        "source_id", whole("quality_score"), text_of("quality_reasons"), text_of("exclude_reasons"), "kept"
+    )
+
+
+@query(
+    "stream_first_seen",
+    "SELECT md5(text) AS source_id, count(DISTINCT 1) AS times FROM documents GROUP BY 1",
+)
+def stream_first_seen(t: Tables) -> DataFrame:
+    documents = t.read("documents").select(
+        F.lit("documents").alias("source_type"),
+        F.lit("documents").alias("source_name"),
+        F.md5("text").alias("source_id"),
+        F.col("doc_id").alias("arrival"),
+    )
+    source, target = new_path(t.spark, "arrivals"), new_path(t.spark, "first-seen")
+    documents.repartition(4).write.parquet(source)
+    stream = J.table_stream(documents, source, files_per_batch=1)
+    J.run_first_seen(stream, target, new_path(t.spark, "stream-checkpoint"), "arrival").awaitTermination()
+    return t.spark.read.parquet(target).groupBy("source_id").agg(F.count("*").alias("times"))
+
+
+@query("stream_collection_state", STATES + "SELECT * FROM states")
+def stream_collection_state(t: Tables) -> DataFrame:
+    source, target = new_path(t.spark, "page-log"), new_path(t.spark, "states")
+    t.page_log.repartition(3).write.parquet(source)
+    stream = J.table_stream(t.page_log, source, files_per_batch=1)
+    J.run_collection_state(stream, target, new_path(t.spark, "stream-checkpoint")).awaitTermination()
+    return J.latest_state(t.spark, target)

@@ -140,9 +140,12 @@ class Tables:
                 "nbPages",
             )
         )
-        path = new_path(self.spark, "discussion-pages")
-        pages.write.json(path)
-        return R.read_discussion_pages(self.spark, path)
+        pages.write.json(self.discussion_folder)
+        return R.read_discussion_pages(self.spark, self.discussion_folder)
+
+    @cached_property
+    def discussion_folder(self) -> str:
+        return new_path(self.spark, "discussion-pages")
 
     @cached_property
     def question_pages(self) -> DataFrame:
