@@ -64,12 +64,13 @@ def test_threshold_only_splits_clusters(spark):
     assert (low.groupby(high).nunique() == 1).all()
 
 
-def test_components_of_chain_star_and_pair(spark):
+@pytest.mark.parametrize("few_edges", [0, 1000])
+def test_components_of_chain_star_and_pair(spark, few_edges):
     chain = [(0, i, i + 1) for i in range(40)]
     star = [(0, 100, 100 + i) for i in range(1, 30)]
     other_graph = [(1, 5, 6), (1, 6, 7), (1, 9, 9)]
     edges = spark.createDataFrame(chain + star + other_graph, "t int, src long, dst long")
-    found = {(r.t, r.node): r.component for r in components(edges).collect()}
+    found = {(r.t, r.node): r.component for r in components(edges, few_edges).collect()}
     assert all(found[(0, i)] == 0 for i in range(41))
     assert all(found[(0, 100 + i)] == 100 for i in range(30))
     assert found[(1, 7)] == 5 and found[(1, 9)] == 9
@@ -79,6 +80,7 @@ def test_components_of_chain_star_and_pair(spark):
 def test_components_without_edges(spark):
     edges = spark.createDataFrame([], "t int, src long, dst long")
     assert components(edges).count() == 0
+    assert components(edges, few_edges=-1).count() == 0
 
 
 def test_threshold_must_be_positive(spark):

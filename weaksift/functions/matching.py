@@ -20,7 +20,8 @@ NON_WORD = r"[^\p{L}\p{N}_]+"
 
 
 def literal_array(values: list[str]) -> Column:
-    return F.lit(list(values)) if values else F.array().cast("array<string>")
+    quoted = ["'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'" for value in values]
+    return F.expr(f"array({', '.join(quoted)})") if quoted else F.array().cast("array<string>")
 
 
 def substring_hits(text: Column, terms: list[str]) -> Column:
@@ -68,35 +69,20 @@ FOUND_FIELDS = ["found_text", "found_all", "found_words", "found_excerpt", "foun
 def term_finder(terms: list[str]):
     """Arrow function over (text, title, head, short) that returns every term found in each, for
     all terms in one pass. Found terms come in list order."""
-    words = [is_plain_word(term) for term in terms]
+    matcher = _matcher(terms)
+    phrase = [not is_plain_word(term) for term in terms]
 
     @F.pandas_udf(", ".join(f"{name} array<string>" for name in FOUND_FIELDS))
     def find(
         batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]],
     ) -> Iterator[pd.DataFrame]:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for number, term in enumerate(terms):
-            automaton.add_word(term, (number, len(term), words[number]))
-        automaton.make_automaton()
-
-        def matches(text: str) -> tuple[set[int], set[int]]:
-            """Terms in a text that starts with a space: as substrings, and as whole words."""
-            anywhere, whole = set(), set()
-            for end, (number, length, is_word) in automaton.iter(text):
-                anywhere.add(number)
-                if is_word and number not in whole:
-                    before, after = text[end - length], text[end + 1 : end + 2]
-                    if not (before.isalnum() or before == "_" or after.isalnum() or after == "_"):
-                        whole.add(number)
-            return anywhere, whole
+        matches = matcher()
 
         def named(numbers: set[int]) -> list[str]:
             return [terms[number] for number in sorted(numbers)]
 
         def phrases(numbers: set[int]) -> set[int]:
-            return {number for number in numbers if not words[number]}
+            return {number for number in numbers if phrase[number]}
 
         for text, title, head, short in batches:
             rows = []
@@ -116,3 +102,50 @@ def term_finder(terms: list[str]):
             yield pd.DataFrame(rows, columns=FOUND_FIELDS)
 
     return find
+
+
+def text_finder(terms: list[str]):
+    """Arrow function over one lower-cased text: its terms as substrings and by the word rule."""
+    matcher = _matcher(terms)
+    phrase = [not is_plain_word(term) for term in terms]
+
+    @F.pandas_udf("substrings array<string>, words array<string>")
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        matches = matcher()
+        for texts in batches:
+            rows = []
+            for text in texts:
+                anywhere, whole = matches(text or "")
+                by_rule = whole | {number for number in anywhere if phrase[number]}
+                rows.append(([terms[n] for n in sorted(anywhere)], [terms[n] for n in sorted(by_rule)]))
+            yield pd.DataFrame(rows, columns=["substrings", "words"])
+
+    return find
+
+
+def _matcher(terms: list[str]):
+    """A factory, called once per task, of ``text -> (terms anywhere, terms as whole words)``."""
+    words = [is_plain_word(term) for term in terms]
+
+    def build():
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for number, term in enumerate(terms):
+            automaton.add_word(term, (number, len(term), words[number]))
+        automaton.make_automaton()
+
+        def matches(text: str) -> tuple[set[int], set[int]]:
+            anywhere, whole = set(), set()
+            for end, (number, length, is_word) in automaton.iter(text):
+                anywhere.add(number)
+                if is_word and number not in whole:
+                    start = end - length + 1
+                    before, after = text[max(start - 1, 0) : start], text[end + 1 : end + 2]
+                    if not (before.isalnum() or before == "_" or after.isalnum() or after == "_"):
+                        whole.add(number)
+            return anywhere, whole
+
+        return matches
+
+    return build

@@ -16,8 +16,8 @@ from weaksift.lexicons import BUCKET_LABELS, BUCKET_OPPORTUNITIES
 from weaksift.operators.components import connected_items
 from weaksift.operators.labels import member_fingerprint
 from weaksift.operators.numbering import global_rank
-from weaksift.operators.vectors import cosine, round_half_up, top_terms
-from weaksift.plans.stages import stage
+from weaksift.operators.vectors import cosine, round_half_up, tokens, top_terms
+from weaksift.plans.stages import spread, stage
 
 DEFAULT_THRESHOLD = 0.12
 REPRESENTATIVES = 5
@@ -88,13 +88,24 @@ def member_similarity(members: DataFrame, items: DataFrame) -> DataFrame:
 
 def cluster_rollup(members: DataFrame, items: DataFrame) -> DataFrame:
     """One row per cluster. ``items`` are the tagged items with ``vector`` and ``batch_index``."""
-    details = members.join(items.drop("bucket", "relevance_score", "item_no"), "item_id")
+    members = spread(members)
+    # What a branch needs of the text is derived before the join, so the text itself never moves.
+    facts = items.select(
+        "item_id",
+        "source_id",
+        "source_type",
+        "batch_index",
+        tokens().alias("tokens"),
+        T.compact(F.col("clean_text")).alias("excerpt"),
+        F.conv(F.substring(member_fingerprint(), 1, 15), 16, 10).cast("decimal(38,0)").alias("_number"),
+    )
+    details = members.join(facts, "item_id")
     counts = details.groupBy(*CLUSTER).agg(
         F.count("*").alias("item_count"),
         F.sum("relevance_score").alias("_total"),
         F.max("relevance_score").alias("max_relevance_score"),
         F.min("batch_index").alias("batch_index"),
-        *_fingerprint_parts(),
+        F.sum("_number").alias("_hash_sum"),
     )
     key = ["threshold", "cluster_id"]
     mix = (
@@ -108,9 +119,7 @@ def cluster_rollup(members: DataFrame, items: DataFrame) -> DataFrame:
             ).alias("source_mix")
         )
     )
-    leading = leading_members(members, REPRESENTATIVES).join(
-        items.select("item_id", "source_id", T.compact(F.col("clean_text")).alias("excerpt")), "item_id"
-    )
+    leading = leading_members(members, REPRESENTATIVES).join(facts, "item_id")
     in_order = lambda name: F.transform(
         F.array_sort(F.collect_list(F.struct("place", name))), lambda e: e[name]
     )
@@ -143,14 +152,9 @@ def cluster_rollup(members: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-def _fingerprint_parts() -> list[Column]:
-    """A cluster's fingerprint must not need its members in one place, so it combines their
-    own fingerprints by a sum, which has no order."""
-    number = F.conv(F.substring(member_fingerprint(), 1, 15), 16, 10).cast("decimal(38,0)")
-    return [F.sum(number).alias("_hash_sum")]
-
-
 def _fingerprint() -> Column:
+    """A cluster's fingerprint must not need its members in one place, so it combines their own
+    fingerprints by a sum, which has no order."""
     return F.sha2(
         F.concat_ws("\n", "cluster_id", F.col("item_count").cast("string"), F.col("_hash_sum").cast("string")), 256
     )

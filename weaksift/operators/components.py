@@ -31,6 +31,7 @@ from weaksift.plans.stages import stage
 ANCHORS_PER_BUCKET = 256
 MAX_ANCHORS = 16_384  # in all; 64 doubles each are 8 MB
 BLOCK = 4_096  # vectors per side of a block comparison
+FEW_EDGES = 200_000  # a graph this small fits one task with ease
 ROWS_AT_ONCE = 1_024  # rows of one matrix product, to bound its memory
 
 LINK_SCHEMA = "t int, bucket string, node long, anchor long, is_link boolean"
@@ -50,11 +51,12 @@ def connected_items(
     max_anchors: int = MAX_ANCHORS,
     block: int = BLOCK,
 ) -> DataFrame:
-    """``vectors`` has ``node`` (unique long), ``bucket`` and ``vector`` (unit length or zero).
+    """``vectors`` has ``node`` (unique long), ``bucket`` and ``vector`` (unit length or zero); it is
+    read a few times, so it should be a stage table.
     Returns ``t`` (position in ``thresholds``), ``node`` and ``component`` (one node of it)."""
     if any(threshold <= 0 for threshold in thresholds):
         raise ValueError("thresholds must be positive")
-    vectors = stage(vectors.select("node", "bucket", "vector"), "vectors")
+    vectors = vectors.select("node", "bucket", "vector")
     anchors = _sample_anchors(vectors, anchors_per_bucket, max_anchors)
     hung = stage(_hang_on_anchors(vectors, anchors, thresholds), "hung")
     links = hung.where("is_link").select("t", "bucket", "node", "anchor").distinct()
@@ -73,11 +75,19 @@ def connected_items(
     residue = _residue(items, vectors, complete)
     if residue.isEmpty():
         return items.select("t", "node", F.col("label").alias("component"))
-    edges = _link_residue(vectors, items, residue, thresholds, max_anchors, block).distinct()
+    edges = _link_residue(vectors, items, residue, thresholds, max_anchors, block)
     roots = components(edges).withColumnRenamed("node", "label")
     return items.join(roots, ["t", "label"], "left").select("t", "node", F.coalesce("component", "label").alias("component"))
 
 
+def _part(t: int, bucket: str, nodes: np.ndarray, anchors: np.ndarray | None, is_link: bool) -> pd.DataFrame:
+    if anchors is None:
+        anchors = pd.array([pd.NA] * len(nodes), dtype="Int64")
+    return pd.DataFrame(
+        {"t": t, "bucket": bucket, "node": nodes, "anchor": pd.array(anchors, dtype="Int64"), "is_link": is_link}
+    )
+
+
 def _residue(items: DataFrame, vectors: DataFrame, complete: list[str]) -> DataFrame:
     """Items outside the largest component of their bucket that some pair could still link. A
     zero vector reaches nothing."""
@@ -123,22 +133,30 @@ def _hang_on_anchors(vectors: DataFrame, anchors, thresholds: list[float]) -> Da
 
     def hang(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            parts = []
             for bucket, rows in batch.groupby("bucket"):
                 nodes = rows["node"].to_numpy(np.int64)
-                ids, matrix = shared.value.get(bucket, (np.zeros(0, np.int64), None))
-                cosines = _rounded(np.stack(rows["vector"].to_list()), matrix) if len(ids) else None
+                if bucket not in shared.value:  # a bucket of zero vectors
+                    parts += [_part(t, bucket, nodes, None, False) for t in range(len(thresholds))]
+                    continue
+                ids, matrix = shared.value[bucket]
+                cosines = _rounded(np.stack(rows["vector"].to_list()), matrix)
                 for t, threshold in enumerate(thresholds):
-                    near = cosines >= threshold if len(ids) else np.zeros((len(nodes), 0), bool)
+                    near = cosines >= threshold
                     reached = near.any(axis=1)
-                    first = near.argmax(axis=1) if len(ids) else np.zeros(len(nodes), int)
-                    anchor = pd.array(np.where(reached, ids[first] if len(ids) else 0, 0), dtype="Int64")
-                    anchor[~reached] = pd.NA
-                    yield pd.DataFrame({"t": t, "bucket": bucket, "node": nodes, "anchor": anchor, "is_link": False})
-                    for head in np.unique(first[reached]):
-                        linked = ids[near[reached & (first == head)].any(axis=0)]
-                        yield pd.DataFrame(
-                            {"t": t, "bucket": bucket, "node": ids[head], "anchor": linked, "is_link": True}
-                        )
+                    parts.append(_part(t, bucket, nodes[~reached], None, False))
+                    near, nodes_t = near[reached], nodes[reached]
+                    if not len(nodes_t):
+                        continue
+                    first = near.argmax(axis=1)
+                    parts.append(_part(t, bucket, nodes_t, ids[first], False))
+                    # Per first anchor, every anchor some item of the batch reached with it.
+                    order = np.argsort(first, kind="stable")
+                    heads, starts = np.unique(first[order], return_index=True)
+                    together = np.logical_or.reduceat(near[order], starts, axis=0)
+                    head, other = np.nonzero(together)
+                    parts.append(_part(t, bucket, ids[heads[head]], ids[other], True))
+            yield pd.concat(parts)
 
     return vectors.mapInPandas(hang, LINK_SCHEMA)
 
@@ -216,10 +234,15 @@ def _link_in_blocks(labelled: DataFrame, residue: DataFrame, thresholds, block:
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, EDGE_SCHEMA)
 
 
-def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame, few_edges: int = FEW_EDGES, max_rounds: int = 100) -> DataFrame:
     """Components of an undirected graph ``t, src, dst`` (one graph per ``t``): every node that
-    has an edge, with the least node of its component. Rounds of large-star and small-star
-    contraction until the edges no longer change; each round is staged."""
+    has an edge, with the least node of its component. A graph of at most ``few_edges`` edges is
+    one small task per ``t``; else rounds of large-star and small-star contraction run until the
+    edges no longer change, each round staged."""
+    edges = stage(edges.distinct(), "edges")
+    if edges.count() <= few_edges:
+        pairs = edges.select("t", F.col("src").alias("node"), F.col("dst").alias("anchor"))
+        return pairs.groupBy("t").applyInPandas(_merge, LABEL_SCHEMA)
     nodes = edges.select("t", F.explode(F.array("src", "dst")).alias("node")).distinct()
     stars = stage(
         edges.where("src <> dst")

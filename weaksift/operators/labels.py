@@ -53,20 +53,18 @@ def tag_items(prepared: DataFrame, lexicon: dict[str, list[str]] = DOMAIN) -> Da
             F.when(F.col("source_type") == "review", F.lit("implementation_feedback")),
         )
     )
-    return found.withColumns({"labels": labels, "bucket": _bucket(lexicon, bucket_groups)}).select(
+    return found.withColumns({"labels": labels, "_best": _best_bucket(lexicon, bucket_groups)}).select(
         *prepared.columns,
         "labels",
         F.when(F.size("labels") > 0, F.element_at("labels", 1))
         .otherwise(F.lit("general_signal"))
         .alias("primary_label"),
-        "bucket",
+        F.when(F.col("_best.n") > 0, F.col("_best.bucket")).otherwise(F.lit(GENERAL_BUCKET)).alias("bucket"),
     )
 
 
-def _bucket(lexicon, groups: list[str]) -> Column:
+def _best_bucket(lexicon, groups: list[str]) -> Column:
     """The group with most terms found; the earlier group wins a tie; none found is general."""
-    if not groups:
-        return F.lit(GENERAL_BUCKET)
     counts = [
         F.struct(
             F.size(M.pick(F.col("_bucket_found"), lexicon[f"bucket.{g}"])).alias("n"),
@@ -75,8 +73,8 @@ def _bucket(lexicon, groups: list[str]) -> Column:
         )
         for i, g in enumerate(groups)
     ]
-    best = F.array_max(F.array(*counts))
-    return F.when(best["n"] > 0, best["bucket"]).otherwise(F.lit(GENERAL_BUCKET))
+    none = F.struct(F.lit(0).alias("n"), F.lit(1).alias("priority"), F.lit(GENERAL_BUCKET).alias("bucket"))
+    return F.array_max(F.array(none, *counts))
 
 
 def item_fingerprint() -> Column:

@@ -8,17 +8,33 @@ from pyspark.sql.window import Window as W
 
 from weaksift.plans.stages import stage
 
-CHUNK = 1 << 20  # keys per numbering chunk; the table of chunks is 2^20 times smaller
+MAX_CHUNK = 1 << 16  # keys per numbering chunk; the table of chunks is that much smaller
+MIN_CHUNK = 1 << 8
+CHUNKS_PER_CORE = 4
 
 
-def dense_positions(rows: DataFrame, key: str, name: str, chunk: int = CHUNK) -> DataFrame:
+def chunk_size(rows: DataFrame, key: str) -> int:
+    """Chunks small enough to use every core on a small table, and of bounded size on a large
+    one. Reads only the key's maximum, which Parquet keeps in its footers."""
+    top = rows.agg(F.max(key)).first()[0] or 0
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return max(MIN_CHUNK, min(MAX_CHUNK, int(top) // (cores * CHUNKS_PER_CORE)))
+
+
+def dense_positions(
+    rows: DataFrame, key: str, name: str, chunk: int | None = None, counted: DataFrame | None = None
+) -> DataFrame:
     """1-based rank by a unique, fairly dense integer ``key``.
 
     Rows are numbered inside chunks of the key range; a running total over the small table of
-    chunk sizes gives each chunk its start. Join and window share one shuffle on the chunk.
+    chunk sizes gives each chunk its start. Join and window share one shuffle on the chunk. ``counted`` is
+    a cheaper frame with the same keys to count (the input of costly columns, say).
     """
-    chunked = rows.withColumn("_chunk", F.floor(F.col(key) / chunk))
-    starts = chunked.groupBy("_chunk").agg(F.count("*").alias("_size"))
+    counted = rows if counted is None else counted
+    chunk = chunk or chunk_size(counted, key)
+    place = whole_part(F.col(key), chunk).alias("_chunk")
+    chunked = rows.select("*", place)
+    starts = counted.select(place).groupBy("_chunk").agg(F.count("*").alias("_size"))
     before = W.orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     starts = starts.select("_chunk", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
     inside = W.partitionBy("_chunk").orderBy(key)
@@ -52,9 +68,9 @@ def global_rank(rows: DataFrame, groups: list[str], order: list[Column], name: s
     )
 
 
-def running_total(rows: DataFrame, key: str, value: str, name: str, chunk: int = CHUNK) -> DataFrame:
+def running_total(rows: DataFrame, key: str, value: str, name: str, chunk: int = MAX_CHUNK) -> DataFrame:
     """Running total of ``value`` by an integer ``key``, in two levels as above."""
-    chunked = rows.withColumn("_chunk", F.floor(F.col(key) / chunk))
+    chunked = rows.withColumn("_chunk", whole_part(F.col(key), chunk))
     sums = chunked.groupBy("_chunk").agg(F.sum(value).alias("_sum"))
     before = W.orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     starts = sums.select("_chunk", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
@@ -66,6 +82,11 @@ def running_total(rows: DataFrame, key: str, value: str, name: str, chunk: int =
     )
 
 
+def whole_part(value: Column, by: int) -> Column:
+    """Integer quotient of a non-negative whole number, exact at any size."""
+    return F.call_function("div", value, F.lit(by))
+
+
 def batch_of(key: Column, batch_size: int) -> Column:
     """1-based batch of a 1-based position."""
-    return F.floor((key - 1) / batch_size) + 1
+    return whole_part(key - 1, batch_size) + 1

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType
 
+from pyspark.sql.window import Window as W
+
 from weaksift.functions import text as T
 from weaksift.lexicons import STOP_WORDS
 
@@ -102,14 +104,10 @@ def embedding_payload(items: DataFrame, dimensions: int = DIMENSIONS) -> DataFra
     )
 
 
-def top_terms(items: DataFrame, keys: list[str], how_many: int = TOP_TERMS) -> DataFrame:
-    """``top_terms`` per group by (-count, term). Counts are pre-aggregated before the shuffle
-    and only the leading terms of each task reach the final rank."""
-    from pyspark.sql.window import Window as W
-
-    counts = (
-        items.select(*keys, F.explode(tokens()).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("n"))
-    )
+def top_terms(rows: DataFrame, keys: list[str], how_many: int = TOP_TERMS) -> DataFrame:
+    """``top_terms`` per group of rows with ``tokens``, by (-count, term). Counts are
+    pre-aggregated before the shuffle and only the leading terms of each task reach the rank."""
+    counts = rows.select(*keys, F.explode("tokens").alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("n"))
     w = W.partitionBy(*keys).orderBy(F.desc("n"), "term")
     ranked = counts.withColumn("place", F.row_number().over(w)).where(F.col("place") <= how_many)
     return ranked.groupBy(*keys).agg(

@@ -269,12 +269,8 @@ def substring_hits(t: Tables) -> DataFrame:
 )
 def word_hits(t: Tables) -> DataFrame:
     lowered = spread(t.read("documents")).select("doc_id", F.lower("text").alias("low"))
-    found = lowered.withColumns(
-        {
-            "words": M.word_hits(F.col("low"), M.words_of(CORPUS_WORDS)),
-            "parts": M.substring_hits(F.col("low"), [w for w in CORPUS_WORDS if not X.is_plain_word(w)]),
-        }
-    ).withColumn("found", M.found_by_word_rule(F.col("words"), F.col("parts")))
+    terms = list(dict.fromkeys(CORPUS_WORDS))
+    found = lowered.withColumn("found", M.text_finder(terms)("low")["words"])
     return found.select("doc_id", F.array_join(M.pick(F.col("found"), CORPUS_WORDS), ",").alias("hits"))
 
 
@@ -650,7 +646,7 @@ def hashed_vectors(t: Tables) -> DataFrame:
     VECTORS + "SELECT v.item_id, array_to_string(top_terms, ',') AS top_terms FROM vectors v JOIN item_terms USING (item_no)",
 )
 def item_top_terms(t: Tables) -> DataFrame:
-    return V.top_terms(t.items, ["item_id"]).select("item_id", text_of("top_terms", ","))
+    return V.top_terms(t.items.select("item_id", V.tokens().alias("tokens")), ["item_id"]).select("item_id", text_of("top_terms", ","))
 
 
 # -- clusters ---------------------------------------------------------------------------------------
@@ -1003,7 +999,7 @@ def lineage(t: Tables) -> DataFrame:
     sum(demo_fallback_items)::BIGINT AS demo_fallback_items FROM runs""",
 )
 def chain_overview(t: Tables) -> DataFrame:
-    chain = H.lineage(t.runs, _NEWEST)
+    chain = t.chain
     return H.chain_overview(t.runs, chain).select(
         "latest_run_id", "root_run_id", text_of("run_ids", ","), "run_count", "generated_at_utc_start",
         "generated_at_utc_end", text_of("venture_categories", ","), text_of("resume_links", ","),
@@ -1048,7 +1044,7 @@ def upsert_artifacts(t: Tables) -> DataFrame:
     ARTIFACTS + f"SELECT {_ARTIFACT_ROW} FROM artifacts WHERE artifact_type = 'embedding' ORDER BY {_ARTIFACT_ORDER} LIMIT 50",
 )
 def chain_artifact_page(t: Tables) -> DataFrame:
-    chain = H.lineage(t.runs, _NEWEST)
+    chain = t.chain
     return _artifact_rows(H.artifact_page(H.in_chain(t.artifacts, chain), artifact_type="embedding"))
 
 
@@ -1068,7 +1064,7 @@ def run_artifact_page(t: Tables) -> DataFrame:
     + f"SELECT {_EVIDENCE_ROW} FROM evidence ORDER BY signal_relevance_score DESC, run_id, item_no, category_ord LIMIT 50",
 )
 def chain_evidence_page(t: Tables) -> DataFrame:
-    return _evidence(H.evidence_page(H.in_chain(t.evidence, H.lineage(t.runs, _NEWEST))))
+    return _evidence(H.evidence_page(H.in_chain(t.evidence, t.chain)))
 
 
 @query(
@@ -1083,7 +1079,7 @@ def chain_evidence_page(t: Tables) -> DataFrame:
     UNION ALL SELECT 'unique_raw_items', count(*) FROM (SELECT DISTINCT source_name, source_id FROM assessed)""",
 )
 def chain_table_counts(t: Tables) -> DataFrame:
-    return H.table_counts(t.run_tables, H.lineage(t.runs, _NEWEST))
+    return H.table_counts(t.run_tables, t.chain)
 
 
 @query(
@@ -1093,7 +1089,7 @@ def chain_table_counts(t: Tables) -> DataFrame:
     UNION ALL SELECT 'completed', count(*) FROM (SELECT DISTINCT run_id, batch_index FROM assessed)""",
 )
 def chain_group_counts(t: Tables) -> DataFrame:
-    chain = H.lineage(t.runs, _NEWEST)
+    chain = t.chain
     return H.group_counts(t.artifacts, "artifact_type", chain).unionByName(
         H.group_counts(t.run_tables["processing_batches"], "status", chain)
     )
@@ -1110,7 +1106,7 @@ _RUN_STATES = """run_log AS (SELECT *, 'run-' || lpad((user_id % 20)::VARCHAR, 2
 )
 def chain_state_counts(t: Tables) -> DataFrame:
     states = H.collection_state(t.run_tables["collection_pages"], ["run_id", "source", "query"])
-    return H.state_counts(states, H.lineage(t.runs, _NEWEST))
+    return H.state_counts(states, t.chain)
 
 
 @query(

@@ -38,13 +38,16 @@ def assess_items(raw: DataFrame, batch_size: int = BATCH_SIZE, lexicon=DOMAIN) -
 
 
 def prepare_items(assessed: DataFrame, lexicon=DOMAIN) -> DataFrame:
-    """Kept items numbered in source order (also those that relevance later sets aside, so the
-    batch size never changes an id), scored for relevance and tagged."""
-    kept = assessed.where("kept").drop("kept", "exclude_reasons", "opening", "has_sentence_mark")
-    numbered = dense_positions(kept, "source_index", "item_no").withColumn(
+    """Kept items scored for relevance and tagged, then numbered in source order (also those that
+    relevance sets aside, so the batch size never changes an id). ``assessed`` is a stage table;
+    scoring needs no shuffle, and the numbers are counted on the key alone."""
+    kept = assessed.where("kept")
+    scored = L.tag_items(
+        R.score_relevance(kept.drop("kept", "exclude_reasons", "opening", "has_sentence_mark"), lexicon), lexicon
+    )
+    return dense_positions(scored, "source_index", "item_no", counted=kept).withColumn(
         "item_id", F.concat(F.coalesce("source_type", F.lit("source")), F.lit("-"), F.col("item_no").cast("string"))
     )
-    return L.tag_items(R.score_relevance(numbered, lexicon), lexicon)
 
 
 def relevant(prepared: DataFrame) -> DataFrame:

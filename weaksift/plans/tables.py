@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from weaksift.operators import clusters as C
 from weaksift.operators import components as K
+from weaksift.operators import history as H
 from weaksift.operators import signals as S
 from weaksift.operators import summaries as U
 from weaksift.operators import vectors as V
@@ -108,7 +109,7 @@ class Tables:
             F.lit("all").alias("bucket"),
             F.transform("embedding", lambda v: v.cast("double")).alias("vector"),
         )
-        found = K.connected_items(nodes, DENSE_THRESHOLDS)
+        found = K.connected_items(stage(nodes, "nodes"), DENSE_THRESHOLDS)
         threshold = F.element_at(F.lit(DENSE_THRESHOLDS), F.col("t") + 1)
         return stage(found.select(threshold.alias("threshold"), "node", "component"), "dense")
 
@@ -217,6 +218,11 @@ class Tables:
             "runs",
         )
 
+    @cached_property
+    def chain(self) -> DataFrame:
+        """Lineage of the newest run: all runs."""
+        return stage(H.lineage(self.runs, "run-19"), "chain")
+
     @cached_property
     def run_tables(self) -> dict[str, DataFrame]:
         judged = self.assessed.select("run_id", "source_index", "batch_index", "kept").join(
