@@ -39,7 +39,7 @@ PHRASES = [
     ("discussion", "", "According to the paper", "I have a problem with this claim, according to the paper it rains more because of trees."),
     ("review", "4", "Sales notes", "I use this for marketing notes and it is a pain sometimes."),
     ("review", "3", "Team chat next to the tracker", "We tried Jira and Asana with Slack, but our follow-up tasks are scattered and I need a better export."),
-    ("review", "2", "Posting rows", "Zapier posts json to a python endpoint on a server, wrong order every time."),
+    ("review", "2", "Posting rows", "Zapier workflow posts json to a python endpoint on a server, wrong order every time."),
     ("review", "2", "Package tool", "I tried the package and the library of this tool, it is hard to configure."),
     ("forum", "", "Solo owner question", "I am a solo owner and the switching cost of a complicated tool is too much for my company."),
 ]
