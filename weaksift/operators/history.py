@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from weaksift.operators.numbering import running_total, whole_part
+from weaksift.plans.stages import stage
+
 # The stored tables and their keys (run_id comes first in each).
 TABLE_KEYS = {
     "runs": ["run_id"],
@@ -63,8 +66,6 @@ def save_run(tables: dict[str, DataFrame], root: str, arrival: str | None = None
 def append_artifacts(rows: DataFrame, root: str, arrival: str = "created_at") -> None:
     """Artifacts added to those of the same runs, last wins per key. The merge is written over
     the run partitions it read, so it is staged first."""
-    from weaksift.plans.stages import stage
-
     spark = rows.sparkSession
     try:
         stored = spark.read.parquet(f"{root}/model_artifacts")
@@ -303,18 +304,16 @@ def batch_of_items(items: DataFrame, batches: DataFrame) -> DataFrame:
     A range join on the number would pair every item with every batch; both sides are cut into
     cells of the number line instead, and a batch is repeated in each cell it touches.
     """
-    from weaksift.operators.numbering import running_total
-
     cell = 1 << 16
     ends = running_total(batches, "batch_index", "quality_candidates", "_end").select(
         "batch_index", (F.col("_end") - F.col("quality_candidates")).alias("_after"), "_end"
     )
-    last = ends.agg(F.max("batch_index").alias("_last"))  # one row
+    last = batches.agg(F.max("batch_index").alias("_last"))  # one row
     spread = ends.where("_end > _after").withColumn(
-        "_cell", F.explode(F.sequence(F.floor((F.col("_after") + 1) / cell), F.floor(F.col("_end") / cell)))
+        "_cell", F.explode(F.sequence(whole_part(F.col("_after") + 1, cell), whole_part(F.col("_end"), cell)))
     )
     numbered = items.withColumn("_no", F.regexp_extract("item_id", r"-(\d+)$", 1).cast("long")).withColumn(
-        "_cell", F.floor(F.col("_no") / cell)
+        "_cell", whole_part(F.col("_no"), cell)
     )
     inside = (F.col("_no") > F.col("_after")) & (F.col("_no") <= F.col("_end"))
     return (

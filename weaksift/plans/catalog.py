@@ -23,7 +23,7 @@ from weaksift.operators import vectors as V
 from weaksift.plans import evidence as E
 from weaksift.plans import oracle as O
 from weaksift.plans.stages import new_path, spread
-from weaksift.plans.tables import Tables, tables
+from weaksift.plans.tables import CORPUS, Tables, tables
 from weaksift.sources import raw_items as I
 from weaksift.streaming import jobs as J
 
@@ -168,19 +168,13 @@ def page_plan(t: Tables) -> DataFrame:
 _KEYED = O.with_(O.SEEDED, "keyed AS (SELECT *, md5(text) AS key FROM (SELECT s.* REPLACE (d.text AS text) FROM seeded s JOIN documents d USING (doc_id)))")
 
 
-def _keyed(t: Tables) -> DataFrame:
-    """Raw items whose source id is their document's content, so that copies share one."""
-    texts = t.read("documents").select((F.col("doc_id") + 1).alias("source_index"), F.md5("text").alias("key"))
-    return t.raw.drop("text").join(texts, "source_index").withColumn("source_id", F.col("key"))
-
-
 @query(
     "source_dedupe",
     _KEYED
     + """SELECT source_type, key AS source_id, min(source_index) AS source_index FROM keyed GROUP BY ALL""",
 )
 def source_dedupe(t: Tables) -> DataFrame:
-    return I.first_per_source_id(_keyed(t), ["source_index"]).select("source_type", "source_id", "source_index")
+    return I.first_per_source_id(t.keyed, ["source_index"]).select("source_type", "source_id", "source_index")
 
 
 @query(
@@ -448,6 +442,46 @@ def batch_of_items(t: Tables) -> DataFrame:
     return H.batch_of_items(t.prepared.select("item_id"), _batches(t)).select("item_id", whole("batch_index"))
 
 
+_NATIVE = """
+native AS (SELECT doc_id + 1 AS source_index, 'native' AS run_id, CASE WHEN lang = 'en' THEN 'review' ELSE 'discussion' END AS source_type,
+    source AS source_name, doc_id::VARCHAR AS source_id, '' AS source_url, '' AS title, lang AS author, '' AS product_theme,
+    lang AS query_theme, '' AS rating, text, false AS is_demo_fallback, doc_id FROM documents)"""
+NATIVE_ASSESSED = O.with_(_NATIVE, O.assessed(CORPUS, "native"))
+NATIVE_PREPARED = O.with_(_NATIVE, O.assessed(CORPUS, "native"), O.prepared(CORPUS))
+
+
+@query("native_quality_decisions", NATIVE_ASSESSED + f"SELECT {_DECISION} FROM assessed")
+def native_quality_decisions(t: Tables) -> DataFrame:
+    return t.native_assessed.select(
+        "source_index", "source_type", "source_id", whole("quality_score"), text_of("quality_reasons"),
+        text_of("exclude_reasons"), "kept",
+    )
+
+
+@query(
+    "native_quality_against_labels",
+    NATIVE_ASSESSED
+    + """SELECT kept, l.quality AS reviewed, l.toxic AS toxic, count(*) AS items FROM assessed a JOIN labels l ON l.doc_id = a.doc_id GROUP BY ALL""",
+)
+def native_quality_against_labels(t: Tables) -> DataFrame:
+    labels = t.read("labels").select(
+        (F.col("doc_id") + 1).alias("source_index"), F.col("quality").alias("reviewed"), "toxic"
+    )
+    return t.native_assessed.select("source_index", "kept").join(labels, "source_index").groupBy(
+        "kept", "reviewed", "toxic"
+    ).agg(F.count("*").alias("items"))
+
+
+@query(
+    "native_relevance",
+    NATIVE_PREPARED
+    + f"SELECT {_SCORES}, array_to_string(labels, ', ') AS labels, primary_label, bucket FROM prepared",
+)
+def native_relevance(t: Tables) -> DataFrame:
+    more = t.native_prepared.select("item_id", text_of("labels", ", "), "primary_label", "bucket")
+    return _scores(t.native_prepared).join(more, "item_id")
+
+
 # -- evidence -------------------------------------------------------------------------------------
 
 _EVIDENCE_ROW = """run_id, item_id, category, category_title, array_to_string(matched_terms, ', ') AS matched_terms, evidence_excerpt,
@@ -916,7 +950,7 @@ _NEWEST = "run-19"
     LEFT JOIN (SELECT DISTINCT key FROM keyed WHERE run_id <> {O.lit(_NEWEST)}) o USING (key)""",
 )
 def resume_dedupe(t: Tables) -> DataFrame:
-    keyed = _keyed(t).withColumns({"origin": F.col("source_name"), "source_name": F.lit("documents")})
+    keyed = t.keyed.withColumns({"origin": F.col("source_name"), "source_name": F.lit("documents")})
     newest = keyed.where(F.col("run_id") == _NEWEST)
     earlier = keyed.where(F.col("run_id") != _NEWEST)
     marked = H.mark_seen(newest, earlier, "run-18")
@@ -927,7 +961,7 @@ def resume_dedupe(t: Tables) -> DataFrame:
 
 @query("source_keys", _KEYED + "SELECT DISTINCT source_name, key AS source_id FROM keyed")
 def source_keys(t: Tables) -> DataFrame:
-    return H.source_keys(_keyed(t))
+    return H.source_keys(t.keyed)
 
 
 @query(
@@ -937,7 +971,7 @@ def source_keys(t: Tables) -> DataFrame:
     FROM keyed GROUP BY ALL""",
 )
 def upsert_raw_items(t: Tables) -> DataFrame:
-    rows = H.last_wins(_keyed(t), H.TABLE_KEYS["raw_items"], [F.desc("source_index")])
+    rows = H.last_wins(t.keyed, H.TABLE_KEYS["raw_items"], [F.desc("source_index")])
     return rows.select("run_id", "source_name", "source_id", "source_index", "title")
 
 

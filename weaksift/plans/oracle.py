@@ -80,8 +80,9 @@ seeded AS (
   FROM documents d JOIN bank b ON b.k = d.doc_id % {len(PHRASES)}
 )"""
 
-ASSESSED = rf"""
-cleaned AS (SELECT *, {clean('text')} AS clean_text FROM seeded),
+def assessed(d: dict, source: str = "seeded") -> str:
+    return rf"""
+cleaned AS (SELECT *, {clean('text')} AS clean_text FROM {source}),
 texts AS (
   SELECT *, lower(clean_text) AS low, ' ' || lower(clean_text) || ' ' AS padded_low,
     lower(title || ' ' || clean_text) AS combined, ' ' || lower(title || ' ' || clean_text) || ' ' AS padded,
@@ -89,16 +90,16 @@ texts AS (
   FROM cleaned
 ),
 matched AS (
-  SELECT *, {sub('combined', X.JOB)} AS job, {sub('combined', X.PROMOTIONAL)} AS promo,
-    {sub('combined', X.DIRECTORY)} AS listing, {sub('padded', X.CONVERSATIONAL)} AS talk,
-    {sub('combined', X.QUALITY)} AS qual,
-    contains(combined, 'remote') AND {some(sub('combined', X.REMOTE_JOB_CONTEXT))} AS remote_job,
-    {some(f"list_filter({arr(X.COMPANY_OPENINGS)}, lambda t: starts_with(low, t))")}
-      AND {some(sub('low', X.PROMOTIONAL))} AND NOT {some(sub('padded_low', X.CUSTOMER_VOICE))} AS self_description,
+  SELECT *, {sub('combined', d['job'])} AS job, {sub('combined', d['promotional'])} AS promo,
+    {sub('combined', d['directory'])} AS listing, {sub('padded', d['conversational'])} AS talk,
+    {sub('combined', d['quality'])} AS qual,
+    contains(combined, 'remote') AND {some(sub('combined', d['remote_job_context']))} AS remote_job,
+    {some(f"list_filter({arr(d['company_openings'])}, lambda t: starts_with(low, t))")}
+      AND {some(sub('low', d['promotional']))} AND NOT {some(sub('padded_low', d['customer_voice']))} AS self_description,
     n_words BETWEEN 8 AND 220 AND regexp_matches(clean_text, '[.?!]')
-      AND {some(sub('low', X.OPINION_MARKERS))} AS comment_like,
-    n_words BETWEEN 6 AND 260 AND ({some(sub('padded_low', X.EXPERIENCE_MARKERS))}
-      OR {some(sub('low', X.QUALITY))}) AS review_like
+      AND {some(sub('low', d['opinion_markers']))} AS comment_like,
+    n_words BETWEEN 6 AND 260 AND ({some(sub('padded_low', d['experience_markers']))}
+      OR {some(sub('low', d['quality']))}) AS review_like
   FROM texts
 ),
 rated AS (
@@ -129,24 +130,41 @@ assessed AS MATERIALIZED (
   FROM rated
 )"""
 
-SCOPE = X.BUSINESS_SCOPE + X.WORKFLOW_FRICTION + X.PRACTICAL_TOOL
-PROCESS = X.WORKFLOW_FRICTION + X.PRACTICAL_TOOL
-PAIN = X.ADOPTION + X.DISSATISFACTION
+
+ASSESSED = assessed(D)
+
+def scope(d: dict) -> list[str]:
+    return d["business_scope"] + d["workflow_friction"] + d["practical_tool"]
+
+
+def process(d: dict) -> list[str]:
+    return d["workflow_friction"] + d["practical_tool"]
+
+
+def pain(d: dict) -> list[str]:
+    return d["adoption"] + d["dissatisfaction"]
+
+
 NON_WORD = r"[^\p{L}\p{N}_]+"
 
 
-def flags(text: str, tokens: str) -> str:
+def flags(text: str, tokens: str, d: dict) -> str:
     """anchored, concrete, unmet, process_hit, pain_hit for a lower-cased text."""
     pad = f"(' ' || {text} || ' ')"
     w = lambda terms: some(word(text, tokens, terms))
     return f"""
-    {w(D['context_anchor'])} AS anchored,
-    {w(SCOPE)} AND {w(PAIN)} AND {some(sub(pad, X.PAIN_ACTORS))} AS concrete,
-    {w(X.UNMET_NEED)} AND {w(D['context_anchor'])} AND {w(PROCESS + X.UNMET_NEED_SETTING)} AS unmet,
-    {w(D['context_anchor'])} AND {w(PAIN)} AND {w(PROCESS)} AS anchored_pain"""
+    {w(d['context_anchor'])} AS anchored,
+    {w(scope(d))} AND {w(pain(d))} AND {some(sub(pad, d['pain_actors']))} AS concrete,
+    {w(d['unmet_need'])} AND {w(d['context_anchor'])} AND {w(process(d) + d['unmet_need_setting'])} AS unmet,
+    {w(d['context_anchor'])} AND {w(pain(d))} AND {w(process(d))} AS anchored_pain"""
+
+
+def groups(d: dict, prefix: str) -> list[tuple[str, list[str]]]:
+    return [(name.removeprefix(prefix), terms) for name, terms in d.items() if name.startswith(prefix)]
 
 
-PREPARED = rf"""
+def prepared(d: dict) -> str:
+    return rf"""
 numbered AS (
   SELECT *, row_number() OVER (ORDER BY source_index) AS item_no,
     source_type || '-' || row_number() OVER (ORDER BY source_index) AS item_id,
@@ -154,12 +172,12 @@ numbered AS (
   FROM assessed WHERE kept
 ),
 hits AS (
-  SELECT *, {', '.join(f"{word('combined', 'toks', D[n])} AS h_{n}" for n in (
+  SELECT *, {', '.join(f"{word('combined', 'toks', d[n])} AS h_{n}" for n in (
       'business_scope', 'workflow_friction', 'practical_tool', 'ai_operational', 'adoption', 'dissatisfaction',
       'promotion', 'cultural_quote', 'technical_detail', 'generic_enterprise', 'quote'))},
-    {flags('combined', 'toks')},
-    {some(sub('padded', X.FIRST_PERSON_ACTORS))} AND {some(sub('combined', PAIN))} AS first_person,
-    {some(sub('combined', X.GENERIC_SCOPE_ESCAPE))} AS scope_escape,
+    {flags('combined', 'toks', d)},
+    {some(sub('padded', d['first_person_actors']))} AND {some(sub('combined', pain(d)))} AS first_person,
+    {some(sub('combined', d['generic_scope_escape']))} AS scope_escape,
     len(regexp_extract_all(low, 'https?://|www\.')) AS links
   FROM numbered
 ),
@@ -231,16 +249,19 @@ reasoned AS (
 ),
 prepared AS MATERIALIZED (
   SELECT *,
-    {reasons([(some(sub('label_text', terms)), lit(name)) for name, terms in X.LABEL_GROUPS.items()]
+    {reasons([(some(sub('label_text', terms)), lit(name)) for name, terms in groups(d, 'label.')]
              + [("source_type = 'review'", "'implementation_feedback'")])} AS labels,
     coalesce(labels[1], 'general_signal') AS primary_label,
-    [{', '.join(f"len({sub('item_text', terms)})" for terms in X.BUCKETS.values())}] AS bucket_counts,
+    [{', '.join(f"len({sub('item_text', terms)})" for _, terms in groups(d, 'bucket.'))}] AS bucket_counts,
     CASE WHEN list_max(bucket_counts) = 0 THEN {lit(X.GENERAL_BUCKET)}
-      ELSE {arr(list(X.BUCKETS))}[list_position(bucket_counts, list_max(bucket_counts))] END AS bucket
+      ELSE {arr([name for name, _ in groups(d, 'bucket.')])}[list_position(bucket_counts, list_max(bucket_counts))] END AS bucket
   FROM reasoned
 ),
 items AS (SELECT * FROM prepared WHERE NOT exclude_for_relevance)"""
 
+
+PREPARED = prepared(D)
+
 TITLE_CASE = " ".join(f"WHEN {lit(c)} THEN {lit(t)}" for c, t in X.CATEGORY_TITLES.items())
 _excerpt_hits = lambda name: f"len({word('x', 'xt', D[name])})"
 
@@ -252,14 +273,14 @@ excerpts AS (
   FROM (SELECT * EXCLUDE (anchored, concrete, unmet, anchored_pain) FROM items)
 ),
 flagged AS (
-  SELECT *, {flags('x', 'xt')},
+  SELECT *, {flags('x', 'xt', D)},
     {_excerpt_hits('promotion')} > 0 AS x_promo, {_excerpt_hits('cultural_quote')} > 0 AS x_cult,
     {_excerpt_hits('technical_detail')} AS x_tech, {_excerpt_hits('technical_allowance')} > 0 AS x_allowed,
     {_excerpt_hits('adoption')} * 2 + {_excerpt_hits('strong_adoption')} * 3 AS x_adopt,
     {_excerpt_hits('dissatisfaction')} * 2 + {_excerpt_hits('strong_dissatisfaction')} * 3 AS x_diss,
     {_excerpt_hits('business_scope')} + {_excerpt_hits('workflow_friction')} AS x_scope,
     {_excerpt_hits('technical_direct_context')} > 0 OR ({_excerpt_hits('technical_setup_context')} > 0
-      AND len({word('x', 'xt', SCOPE)}) > 0) AS x_grade
+      AND len({word('x', 'xt', scope(D))}) > 0) AS x_grade
   FROM excerpts
 ),
 signals AS (

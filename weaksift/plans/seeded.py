@@ -46,7 +46,8 @@ PHRASES = [
 
 
 def seeded_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw items with ``source_index``, ``run_id`` and ``batch``-free provenance."""
+    """Raw items with ``source_index`` and ``run_id``; ``content_key`` is equal for exact copies of a
+    document."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     fields = ("source_type", "rating", "title", "phrase")
     bank = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(fields, row)]) for row in PHRASES])
@@ -65,5 +66,23 @@ def seeded_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("lead.rating").alias("rating"),
         F.concat("lead.phrase", F.lit(" "), "text").alias("text"),
         (F.col("doc_id") % 50 == 0).alias("is_demo_fallback"),
+        F.md5("text").alias("content_key"),
     )
     return with_defaults(items)
+
+
+def native_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as they are, for a lexicon made for them."""
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return with_defaults(
+        documents.select(
+            (F.col("doc_id") + 1).alias("source_index"),
+            F.lit("native").alias("run_id"),
+            F.when(F.col("lang") == "en", "review").otherwise("discussion").alias("source_type"),
+            F.col("source").alias("source_name"),
+            F.col("doc_id").cast("string").alias("source_id"),
+            F.col("lang").alias("author"),
+            F.col("lang").alias("query_theme"),
+            "text",
+        )
+    )

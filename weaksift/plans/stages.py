@@ -39,6 +39,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 def spread(df: DataFrame) -> DataFrame:
     """A table that comes in fewer splits than there are cores is small; spread it so that the
-    per-row work uses them all. Larger tables are left as they are read."""
+    per-row work uses them all. Larger tables are left as they are read. For plain scans: asking
+    a frame with a shuffle for its partitions would run the shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weaksift.lexicons import DOMAIN
 from weaksift.operators import clusters as C
 from weaksift.operators import components as K
 from weaksift.operators import history as H
@@ -15,8 +16,8 @@ from weaksift.operators import signals as S
 from weaksift.operators import summaries as U
 from weaksift.operators import vectors as V
 from weaksift.plans import evidence as E
-from weaksift.plans.seeded import seeded_items
-from weaksift.plans.stages import new_path, stage
+from weaksift.plans.seeded import native_items, seeded_items
+from weaksift.plans.stages import new_path, spread, stage
 from weaksift.sources import raw_items as R
 
 BATCH = 100
@@ -25,6 +26,31 @@ DENSE_THRESHOLDS = [0.3, 0.35, 0.4]
 TURNS_PER_PAGE = 4
 QUESTIONS_PER_PAGE = 10
 
+# A user's own lexicon: the default lists, with those below replaced by terms of the given texts.
+CORPUS = DOMAIN | {
+    "job": ["license", "copyright"],
+    "promotional": ["###", "$$$", "%%%", "&&&"],
+    "directory": ["@", "token ="],
+    "conversational": ["the ", "und ", "que ", "les "],
+    "quality": ["tion", "heit", "ment", "stupid", "clown", "trash"],
+    "opinion_markers": ["the ", "de ", "der "],
+    "experience_markers": [" the ", " of ", "and"],
+    "business_scope": ["the", "der", "que", "les"],
+    "workflow_friction": ["heit", "ción", "tionre", "andthe"],
+    "practical_tool": ["ing", "ung", "ment"],
+    "context_anchor": ["the", "der", "que", "les", "trash", "idiot"],
+    "adoption": ["and", "und", "la", "et"],
+    "dissatisfaction": ["stupid", "idiot", "trash", "clown", "dumb"],
+    "pain_actors": [" the ", " de ", " der "],
+    "first_person_actors": [" in ", " en "],
+    "technical_detail": ["token", "sk", "key", "api", "http", "license"],
+    "promotion": ["permission is hereby", "###"],
+    "quote": ["!!"],
+    "label.noise": ["###", "$$$", "***"],
+    "bucket.germanic": ["und ", "der ", "the "],
+    "bucket.romance": ["que ", "les ", "la "],
+}
+
 
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -35,11 +61,25 @@ class Tables:
 
     @cached_property
     def raw(self) -> DataFrame:
-        return seeded_items(self.spark, self.sf_dir)
+        return seeded_items(self.spark, self.sf_dir).drop("content_key")
+
+    @property
+    def keyed(self) -> DataFrame:
+        """Raw items whose source id is their document's content, so that copies share one."""
+        return seeded_items(self.spark, self.sf_dir).withColumn("source_id", F.col("content_key"))
 
     @cached_property
     def assessed(self) -> DataFrame:
-        return stage(E.assess_items(self.raw, BATCH), "assessed")
+        return stage(E.assess_items(spread(self.raw), BATCH), "assessed")
+
+    @cached_property
+    def native_assessed(self) -> DataFrame:
+        """The documents as they are, judged with a lexicon of terms they hold."""
+        return stage(E.assess_items(spread(native_items(self.spark, self.sf_dir)), BATCH, CORPUS), "native")
+
+    @cached_property
+    def native_prepared(self) -> DataFrame:
+        return stage(E.prepare_items(self.native_assessed, CORPUS), "native-prepared")
 
     @cached_property
     def prepared(self) -> DataFrame:
