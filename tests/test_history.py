@@ -28,7 +28,9 @@ def test_lineage(runs, run_id, expected):
 
 
 def test_lineage_of_all_runs(runs):
-    assert H.lineage(runs).count() == 1 + 2 + 3 + 1 + 2 + 2 + 1
+    rows = H.all_lineages(runs)
+    assert rows.count() == 1 + 2 + 3 + 1 + 2 + 2 + 1
+    assert [r.ancestor for r in rows.where("run_id = 'grandchild'").orderBy("depth").collect()] == ["grandchild", "child", "root"]
 
 
 PAGES = [

@@ -118,7 +118,7 @@ def _sample_anchors(vectors: DataFrame, per_bucket: int, limit: int) -> dict[str
     nonzero = vectors.where(F.exists("vector", lambda v: v != 0))
     chosen = nonzero.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= per_bucket).drop("_place")
     # With very many buckets the sample is cut; fewer anchors cost time, never a result.
-    return _by_bucket(chosen.limit(limit).toPandas())
+    return _by_bucket(chosen.limit(limit).toArrow().to_pandas())
 
 
 def _by_bucket(rows: pd.DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
@@ -169,7 +169,7 @@ def _link_residue(vectors, items, residue, thresholds, max_anchors, block) -> Da
     labelled = vectors.join(labels, "node")
     few = residue.limit(max_anchors + 1).count() <= max_anchors
     if few:
-        return _link_to_few(labelled, residue.toPandas(), thresholds)
+        return _link_to_few(labelled, residue.toArrow().to_pandas(), thresholds)
     return _link_in_blocks(labelled, residue, thresholds, block)
 
 

@@ -86,17 +86,19 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
 # -- lineage -----------------------------------------------------------------------------------
 
 
-def lineage(runs: DataFrame, run_id: str | None = None, max_depth: int = 1000) -> DataFrame:
-    """``run_id, ancestor, depth``: the walk from a run to its root, the run itself at depth 0.
-    It stops at a parent that is not stored and at a cycle. All runs when none is named."""
-    spark = runs.sparkSession
+def _parents(runs: DataFrame) -> DataFrame:
+    return runs.select("run_id", F.coalesce("resume_from_run_id", F.lit("")).alias("parent"))
+
+
+def lineage(runs: DataFrame, run_id: str, max_depth: int = 1000) -> DataFrame:
+    """``run_id, ancestor, depth``: the walk from one run to its root, the run itself at depth 0.
+    It stops at a parent that is not stored and at a cycle."""
     view = "weaksift_runs"
-    runs.select("run_id", F.coalesce("resume_from_run_id", F.lit("")).alias("parent")).createOrReplaceTempView(view)
-    start = "" if run_id is None else "WHERE run_id = :run_id"
-    return spark.sql(
+    _parents(runs).createOrReplaceTempView(view)
+    return runs.sparkSession.sql(
         f"""
         WITH RECURSIVE walk(run_id, ancestor, parent, depth, path) MAX RECURSION LEVEL {int(max_depth)} AS (
-            SELECT run_id, run_id, parent, 0, array(run_id) FROM {view} {start}
+            SELECT run_id, run_id, parent, 0, array(run_id) FROM {view} WHERE run_id = :run_id
             UNION ALL
             SELECT w.run_id, r.run_id, r.parent, w.depth + 1, array_append(w.path, r.run_id)
             FROM walk w JOIN {view} r ON r.run_id = w.parent
@@ -104,8 +106,32 @@ def lineage(runs: DataFrame, run_id: str | None = None, max_depth: int = 1000) -
         )
         SELECT run_id, ancestor, depth FROM walk
         """,
-        args={} if run_id is None else {"run_id": run_id},
+        args={"run_id": run_id},
+    )
+
+
+def all_lineages(runs: DataFrame) -> DataFrame:
+    """The lineage of every run. A recursive query holds a limited number of rows, so here each
+    level is a join with the parents, staged before the next."""
+    parents = stage(_parents(runs), "parents")
+    level = parents.select(
+        "run_id", F.col("run_id").alias("ancestor"), "parent", F.lit(0).alias("depth"), F.array("run_id").alias("path")
     )
+    found = level
+    above = parents.select(F.col("run_id").alias("next"), F.col("parent").alias("next_parent"))
+    while True:
+        level = stage(
+            level.join(above, F.col("parent") == F.col("next"))
+            .where(~F.array_contains("path", F.col("next")))
+            .select(
+                "run_id", F.col("next").alias("ancestor"), F.col("next_parent").alias("parent"),
+                (F.col("depth") + 1).alias("depth"), F.array_append("path", F.col("next")).alias("path"),
+            ),
+            "lineage",
+        )
+        if level.isEmpty():
+            return found.select("run_id", "ancestor", "depth")
+        found = found.unionByName(level)
 
 
 def in_chain(rows: DataFrame, chain: DataFrame) -> DataFrame:

@@ -1019,7 +1019,7 @@ def lineage(t: Tables) -> DataFrame:
             F.when(user > 1, F.concat(F.lit("u"), F.floor(user / 2))).otherwise("").alias("resume_from_run_id"),
         )
     )
-    return H.lineage(runs).select("run_id", "ancestor", whole("depth"))
+    return H.all_lineages(runs).select("run_id", "ancestor", whole("depth"))
 
 
 @query(
