@@ -7,8 +7,9 @@ listing its pairs.
    The anchors' own graph is bounded, so one small task per bucket finds its components.
 2. Two items of the largest component of a bucket need no more comparison. All others (the
    residue) are compared with every item of the bucket: sent to every task while they are few
-   (their number is checked), else block by block. Buckets whose items all were anchors are
-   complete after step 1.
+   (their number is checked). A larger residue is first tried against a wider sample of the
+   largest component, which takes in most of it; what is left is compared block by block.
+   Buckets whose items all were anchors are complete after step 1.
 3. The links of step 2 form a graph of component labels; its components follow from alternating
    star contraction (Kiveris et al., "Connected components in MapReduce and beyond", 2014), a
    handful of joins and aggregates.
@@ -30,6 +31,7 @@ from weaksift.plans.stages import stage
 
 ANCHORS_PER_BUCKET = 256
 MAX_ANCHORS = 16_384  # in all; 64 doubles each are 8 MB
+WIDER_SAMPLE = 1_000  # items of the largest component a large residue is tried against first
 BLOCK = 4_096  # vectors per side of a block comparison
 FEW_EDGES = 200_000  # a graph this small fits one task with ease
 ROWS_AT_ONCE = 1_024  # rows of one matrix product, to bound its memory
@@ -72,10 +74,17 @@ def connected_items(
     complete = [
         bucket for bucket, (ids, _) in anchors.items() if len(ids) < anchors_per_bucket and sampled < max_anchors
     ]
-    residue = _residue(items, vectors, complete)
+    largest = _largest(items)
+    residue = _residue(items, largest, vectors, complete)
     if residue.isEmpty():
         return items.select("t", "node", F.col("label").alias("component"))
-    edges = _link_residue(vectors, items, residue, thresholds, max_anchors, block)
+    edges = None
+    if not _few(residue, max_anchors):
+        edges = _absorb(items, largest, vectors, residue, thresholds, max_anchors)
+        residue = stage(residue.join(edges.select("t", F.col("src").alias("label")), ["t", "label"], "left_anti"), "residue")
+    if edges is None or not residue.isEmpty():
+        links = _link_residue(vectors, items, residue, thresholds, max_anchors, block)
+        edges = links if edges is None else edges.unionByName(links)
     roots = components(edges).withColumnRenamed("node", "label")
     return items.join(roots, ["t", "label"], "left").select("t", "node", F.coalesce("component", "label").alias("component"))
 
@@ -88,16 +97,51 @@ def _part(t: int, bucket: str, nodes: np.ndarray, anchors: np.ndarray | None, is
     )
 
 
-def _residue(items: DataFrame, vectors: DataFrame, complete: list[str]) -> DataFrame:
+def _largest(items: DataFrame) -> DataFrame:
+    """The label of the largest component per threshold and bucket."""
+    sizes = items.groupBy("t", "bucket", "label").agg(F.count("*").alias("n"))
+    return sizes.groupBy("t", "bucket").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
+
+
+def _residue(items: DataFrame, largest: DataFrame, vectors: DataFrame, complete: list[str]) -> DataFrame:
     """Items outside the largest component of their bucket that some pair could still link. A
     zero vector reaches nothing."""
-    sizes = items.groupBy("t", "bucket", "label").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("t", "bucket").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
     outside = items if not complete else items.where(~F.col("bucket").isin(complete))
     outside = outside.join(largest, ["t", "bucket"]).where("label <> largest").select("t", "node", "label")
     return stage(vectors.where(F.exists("vector", lambda v: v != 0)).join(outside, "node"), "residue")
 
 
+def _few(residue: DataFrame, limit: int) -> bool:
+    return residue.limit(limit + 1).count() <= limit
+
+
+def _absorb(items, largest, vectors, residue, thresholds, limit) -> DataFrame:
+    """A large residue is first compared with a wider sample of the largest component. A label with
+    one item that reaches it belongs to it, and none of its items needs another comparison. Reads
+    only the residue."""
+    w = W.partitionBy("t", "bucket").orderBy(F.xxhash64("node", F.lit(1)), "node")
+    inside = items.join(largest, ["t", "bucket"]).where("label = largest")
+    sample = inside.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= WIDER_SAMPLE)
+    rows = sample.select("t", "node", "label").limit(limit).join(vectors, "node").toArrow().to_pandas()
+    shared = residue.sparkSession.sparkContext.broadcast(
+        {
+            key: (int(group["label"].iloc[0]), np.stack(group["vector"].to_list()))
+            for key, group in rows.groupby(["bucket", "t"])
+        }
+    )
+
+    def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key, group in batch.groupby(["bucket", "t"]):
+                if key in shared.value:
+                    label, matrix = shared.value[key]
+                    near = _rounded(np.stack(group["vector"].to_list()), matrix) >= thresholds[key[1]]
+                    reached = group["label"].to_numpy(np.int64)[near.any(axis=1)]
+                    yield pd.DataFrame({"t": key[1], "src": np.unique(reached), "dst": label})
+
+    return stage(residue.mapInPandas(reach, EDGE_SCHEMA).distinct(), "absorbed")
+
+
 def _merge(links: pd.DataFrame) -> pd.DataFrame:
     """Components of one bucket's anchors: least labels spread along the links until stable."""
     ids, ends = np.unique(links[["node", "anchor"]].to_numpy(np.int64), return_inverse=True)
@@ -167,8 +211,7 @@ def _link_residue(vectors, items, residue, thresholds, max_anchors, block) -> Da
         F.map_from_entries(F.collect_list(F.struct("t", "label"))).alias("labels")
     )
     labelled = vectors.join(labels, "node")
-    few = residue.limit(max_anchors + 1).count() <= max_anchors
-    if few:
+    if _few(residue, max_anchors):
         return _link_to_few(labelled, residue.toArrow().to_pandas(), thresholds)
     return _link_in_blocks(labelled, residue, thresholds, block)
 
