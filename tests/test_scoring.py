@@ -131,3 +131,20 @@ def test_empty_input(spark):
     notes = [r.ord for r in run["uncertainty_notes"].orderBy("ord").collect()]
     assert notes == [1, 2, 4, 5]
     assert [r.ord for r in run["implication_notes"].collect()] == [1]
+
+
+def test_run_evidence_adds_up(spark):
+    run = E.run_evidence(items(spark, PHRASES), "run-1", batch_size=5)
+    total = run["filtering_summary"].where("source_type IS NULL").first()
+    assert total.raw_items == len(PHRASES) == total.kept_items + total.excluded_items
+    batches = run["processing_batches"].collect()
+    assert len(batches) == -(-len(PHRASES) // 5) and sum(b.raw_items for b in batches) == len(PHRASES)
+    n = run["prepared_items"].count()
+    assert sum(b.relevance_prepared for b in batches) == n == run["members"].count()
+    assert run["relevance_excluded_items"].count() == total.kept_items - n
+    assert run["model_artifacts"].count() == 2 * n + run["clusters"].count()
+    assert {len(r.input_hash) for r in run["model_artifacts"].collect()} == {64}
+    volume = run["volume"].first()
+    assert volume.evidence_rows == run["evidence_rows"].count() > 0
+    assert sum(r.evidence_count for r in run["category_summaries"].collect()) == volume.evidence_rows
+    assert run["memo"].where("ord = 0").count() == 7

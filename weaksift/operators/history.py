@@ -338,7 +338,7 @@ def batch_of_items(items: DataFrame, batches: DataFrame) -> DataFrame:
     spread = ends.where("_end > _after").withColumn(
         "_cell", F.explode(F.sequence(whole_part(F.col("_after") + 1, cell), whole_part(F.col("_end"), cell)))
     )
-    numbered = items.withColumn("_no", F.regexp_extract("item_id", r"-(\d+)$", 1).cast("long")).withColumn(
+    numbered = items.withColumn("_no", F.regexp_extract("item_id", r"-(\d+)$", 1).try_cast("long")).withColumn(
         "_cell", whole_part(F.col("_no"), cell)
     )
     inside = (F.col("_no") > F.col("_after")) & (F.col("_no") <= F.col("_end"))

@@ -154,6 +154,26 @@ def question_page_log(t: Tables) -> DataFrame:
     return I.question_page_log(t.question_pages).withColumn("page_number", whole("page_number"))
 
 
+@query(
+    "collected_items",
+    f"""SELECT 'discussion' AS source_type, {O.lit(I.DISCUSSION_SOURCE)} AS source_name, conv_id || '-' || turn AS source_id
+    FROM conversations WHERE trim(text) <> '' UNION ALL SELECT 'review', {O.lit(I.QUESTION_SOURCE)}, page_id::VARCHAR FROM pages""",
+)
+def collected_items(t: Tables) -> DataFrame:
+    both = I.collected(I.discussion_items(t.discussion_pages), I.question_items(t.question_pages))
+    return I.enabled_sources(both).select("source_type", "source_name", "source_id")
+
+
+@query(
+    "source_index",
+    """SELECT conv_id || '-' || turn AS source_id, row_number() OVER (ORDER BY conv_id, turn) AS source_index
+    FROM conversations""",
+)
+def source_index(t: Tables) -> DataFrame:
+    turns = t.read("conversations").select("conv_id", "turn", F.concat_ws("-", "conv_id", "turn").alias("source_id"))
+    return I.with_source_index(turns, ["conv_id", "turn"]).select("source_id", "source_index")
+
+
 @query(
     "page_plan",
     """WITH q AS (SELECT DISTINCT 'user-' || user_id AS query FROM events), n AS (SELECT count(*) AS n FROM q),

@@ -219,6 +219,19 @@ def cap_per_source(items: DataFrame, order: list[str], max_items: int) -> DataFr
     return items.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= max_items).drop("_rank")
 
 
+def with_source_index(items: DataFrame, order: list[str]) -> DataFrame:
+    """1-based ``source_index`` over all raw rows in intake order (a total order of columns)."""
+    return global_rank(items, [], [F.asc(name) for name in order], "source_index")
+
+
+def collected(*sources: DataFrame) -> DataFrame:
+    """Raw items of several sources in one frame, the raw-item columns only."""
+    union = sources[0].select(RAW_COLUMNS)
+    for items in sources[1:]:
+        union = union.unionByName(items.select(RAW_COLUMNS))
+    return union
+
+
 def source_counts(items: DataFrame) -> DataFrame:
     """Counts by source type for a local intake, with the items marked as fallback."""
     return items.groupBy(F.coalesce("source_type", F.lit("unknown")).alias("source_type")).agg(
