@@ -164,6 +164,12 @@ def test_question_pages(spark, tmp_path):
     rows = {r.source_id: r for r in I.question_items(I.read_question_pages(spark, str(path))).collect()}
     assert rows["5"].text == "A & B. x y" and rows["5"].rating == "0" and rows["5"].reviewed_product == "a, b"
     assert rows["5"].created_at == "1970-01-02T00:00:00+00:00"
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        again = I.question_items(I.read_question_pages(spark, str(path))).where("source_id = '5'").first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert again.created_at == "1970-01-02T00:00:00+00:00"
     assert rows["unknown-question"].created_at == "" and rows["unknown-question"].author == "unknown"
 
 

@@ -124,8 +124,10 @@ def question_items(pages: DataFrame, product_theme: str = "", collected_at: str
     """One raw item per question: title and cleaned body as text, tags, score as the rating."""
     question = F.col("question")
     title = X.decode_entities(F.coalesce(question["title"], F.lit(QUESTION_TITLE)), passes=1)
+    # Without a time zone, so that the session's own does not matter.
+    utc = F.timestamp_add("SECOND", question["creation_date"], F.lit("1970-01-01").cast("timestamp_ntz"))
     created = F.when(F.coalesce(question["creation_date"], F.lit(0)) == 0, F.lit("")).otherwise(
-        F.date_format(F.timestamp_seconds(question["creation_date"]), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+        F.concat(F.replace(utc.cast("string"), F.lit(" "), F.lit("T")), F.lit("+00:00"))
     )
     rows = (
         pages.select("query", "page_number", F.posexplode("items").alias("position", "question"))
