@@ -103,6 +103,8 @@ def test_numbers_equal_one_global_window(spark):
     rows = spark.createDataFrame([(k, k % 3) for k in keys], "k long, g int").repartition(7)
     dense = {r.k: r.n for r in N.dense_positions(rows, "k", "n", chunk=50).collect()}
     assert dense == {k: i for i, k in enumerate(sorted(keys), start=1)}
+    sparse = rows.select((F.col("k") * 10**12).alias("k"))
+    assert {r.k // 10**12: r.n for r in N.dense_positions(sparse, "k", "n").collect()} == dense
     total = {r.k: r.total for r in N.running_total(rows, "k", "g", "total", chunk=50).collect()}
     running, expected = 0, {}
     for k in sorted(keys):

@@ -11,27 +11,30 @@ from weaksift.plans.stages import stage
 MAX_CHUNK = 1 << 16  # keys per numbering chunk; the table of chunks is that much smaller
 MIN_CHUNK = 1 << 8
 CHUNKS_PER_CORE = 4
+SPARSE = 1_000  # largest key per row up to which the key counts as dense
 
 
-def chunk_size(rows: DataFrame, key: str) -> int:
-    """Chunks small enough to use every core on a small table, and of bounded size on a large
-    one. Reads only the key's maximum, which Parquet keeps in its footers."""
-    top = rows.agg(F.max(key)).first()[0] or 0
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return max(MIN_CHUNK, min(MAX_CHUNK, int(top) // (cores * CHUNKS_PER_CORE)))
+def chunk_size(top: int, cores: int) -> int:
+    """Chunks small enough to use every core on a small table, and of bounded size on a large one."""
+    return max(MIN_CHUNK, min(MAX_CHUNK, top // (cores * CHUNKS_PER_CORE)))
 
 
 def dense_positions(
     rows: DataFrame, key: str, name: str, chunk: int | None = None, counted: DataFrame | None = None
 ) -> DataFrame:
-    """1-based rank by a unique, fairly dense integer ``key``.
+    """1-based rank by a unique integer ``key``, made for dense keys; a sparse key (see
+    ``SPARSE``) would give as many chunks as rows and is ranked by ``global_rank``.
 
     Rows are numbered inside chunks of the key range; a running total over the small table of
     chunk sizes gives each chunk its start. Join and window share one shuffle on the chunk. ``counted`` is
     a cheaper frame with the same keys to count (the input of costly columns, say).
     """
     counted = rows if counted is None else counted
-    chunk = chunk or chunk_size(counted, key)
+    if chunk is None:
+        top, count = counted.agg(F.coalesce(F.max(key), F.lit(0)), F.count("*")).first()
+        if top > SPARSE * max(count, MIN_CHUNK):
+            return global_rank(rows, [], [F.asc(key)], name)
+        chunk = chunk_size(top, rows.sparkSession.sparkContext.defaultParallelism)
     place = whole_part(F.col(key), chunk).alias("_chunk")
     chunked = rows.select("*", place)
     starts = counted.select(place).groupBy("_chunk").agg(F.count("*").alias("_size"))
