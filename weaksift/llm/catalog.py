@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weaksift.llm import secrets
 from weaksift.llm.common import read_table
 from weaksift.llm.exact import exact_dedup
+from weaksift.llm.language import language_query
+from weaksift.llm.mixing import mixing_query
+from weaksift.llm.packing import packing_query
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,3 +26,8 @@ select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size,
        doc_id = max(doc_id) over g as kept, sha256(norm) as text_sha256
 from t window g as (partition by norm)
 """
+QUERIES["op8_language_id"] = lambda spark, sf_dir: language_query(read_table(spark, sf_dir, "documents"))
+QUERIES["op10_mixing"] = lambda spark, sf_dir: mixing_query(read_table(spark, sf_dir, "documents"))
+QUERIES["op2_best_fit_packing"] = lambda spark, sf_dir: packing_query(read_table(spark, sf_dir, "documents"))
+QUERIES["op1_secret_scans"] = lambda spark, sf_dir: secrets.scan_secrets(read_table(spark, sf_dir, "documents"))
+ORACLES["op1_secret_scans"] = secrets.ORACLE

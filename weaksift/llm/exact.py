@@ -118,7 +118,7 @@ def _named(blocks: DataFrame, id_type: str) -> DataFrame:
 
 
 def exact_names(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """One row per text key (doc_id and digest) with its number of rows ``copies`` and its identity (level, name).
+    """Text keys (doc_id and digest) with their numbers of rows ``copies`` and identity (level, name).
 
     Blocks get names by sorting; then the names of neighbours, in pairs, get names the same way, and so on until one
     name is left. A document of b blocks ends at level ceil(log2 b). Two documents have the same level and name only
@@ -153,7 +153,8 @@ def exact_names(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 def exact_keys(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """``exact_names`` with the group each text key belongs to: keep_id (largest doc_id), group_size, and whether the
     key is the one that stays (one of its rows does)."""
-    names = stage(exact_names(docs, block), "identities")
+    rows = exact_names(docs, block).groupBy("doc_id", "sha", "level", "name")
+    names = stage(rows.agg(F.sum("copies").alias("copies")), "identities")
     groups = names.groupBy("level", "name").agg(F.max("doc_id").alias("_keep"), F.sum("copies").alias("_size"))
     groups = stage(groups.where("_size > 1"), "groups")  # most texts stand alone
     keep = F.when(F.col("_size").isNull(), F.col("doc_id")).otherwise(F.col("_keep"))
