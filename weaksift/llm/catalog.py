@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weaksift.llm import secrets
+from weaksift.llm import lines, secrets, topk
 from weaksift.llm.common import read_table
 from weaksift.llm.exact import exact_dedup
 from weaksift.llm.language import language_query
 from weaksift.llm.mixing import mixing_query
+from weaksift.llm.near import near_duplicates
 from weaksift.llm.packing import packing_query
+from weaksift.llm.pages import extract_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,3 +33,9 @@ QUERIES["op10_mixing"] = lambda spark, sf_dir: mixing_query(read_table(spark, sf
 QUERIES["op2_best_fit_packing"] = lambda spark, sf_dir: packing_query(read_table(spark, sf_dir, "documents"))
 QUERIES["op1_secret_scans"] = lambda spark, sf_dir: secrets.scan_secrets(read_table(spark, sf_dir, "documents"))
 ORACLES["op1_secret_scans"] = secrets.ORACLE
+QUERIES["op5_html_extraction"] = lambda spark, sf_dir: extract_text(read_table(spark, sf_dir, "pages"))
+QUERIES["op7_exact_top_k"] = lambda spark, sf_dir: topk.top_k(read_table(spark, sf_dir, "embeddings"))
+ORACLES["op7_exact_top_k"] = topk.ORACLE
+QUERIES["op9_line_dedup"] = lambda spark, sf_dir: lines.lines_query(read_table(spark, sf_dir, "documents"))
+ORACLES["op9_line_dedup"] = lines.ORACLE
+QUERIES["op3_minhash_near_dedup"] = lambda spark, sf_dir: near_duplicates(read_table(spark, sf_dir, "documents"))
