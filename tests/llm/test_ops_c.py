@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
-from weaksift.llm import graph, near
+from weaksift.llm import graph, near, suffix
 
 DOCS = "doc_id long, text string, lang string, id long, key string, component long"
 
@@ -98,3 +100,52 @@ def test_near_on_the_tables(spark):
     left = near.near_stage(table)
     assert left.columns == table.columns
     assert sorted(r["doc_id"] for r in left.collect()) == sorted(d for d, _, _, kept in plain_near(rows) if kept)
+
+
+def plain_repeats(rows, length):
+    seen = Counter()
+    data = [(t or "").encode() for _, t in rows]
+    for d in data:
+        seen.update(d[i : i + length] for i in range(len(d) - length + 1))
+    out = []
+    for (i, _), d in zip(rows, data):
+        gone = bytearray(len(d))
+        for a in range(len(d) - length + 1):
+            if seen[d[a : a + length]] > 1:
+                gone[a : a + length] = b"\1" * length
+        kept = bytes(b for b, g in zip(d, gone) if not g)
+        out.append((i, len(d), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def test_suffix_array():
+    rnd = random.Random(8)
+    for _ in range(300):
+        k = rnd.choice([1, 2, 3, 20])
+        s = [rnd.randint(0, k) for _ in range(rnd.randint(1, 60))]
+        expected = sorted(range(len(s)), key=lambda i: s[i:])
+        assert suffix.suffix_array(np.array(s, np.int16), k + 1).tolist() == expected
+        assert suffix.suffix_array(np.array(s, np.int64), suffix.BUCKETS + 1).tolist() == expected
+    for text in (b"a" * 500, b"ab" * 300, b"ba" * 300 + b"b"):
+        s = np.frombuffer(text, np.uint8).astype(np.int16)
+        assert suffix.suffix_array(s, 256).tolist() == sorted(range(len(s)), key=lambda i: text[i:])
+
+
+@pytest.mark.parametrize("shard,hot", [(1 << 21, 12_000), (40, 12_000), (60, 2)])
+def test_repeats_brute_force(spark, shard, hot):
+    rnd = random.Random(9)
+    passages = ["".join(rnd.choice("abé ") for _ in range(rnd.choice([10, 14, 30, 60]))) for _ in range(6)]
+    rows = []
+    for i in range(150):
+        parts = [rnd.choice(passages) if rnd.random() < 0.4 else "".join(rnd.choice("cdefgh") for _ in range(rnd.randint(0, 40))) for _ in range(rnd.randint(0, 5))]
+        rows.append((i, "".join(parts)))
+    rows += [(200, None), (201, ""), (202, "z" * 300), (203, "z" * 13), (None, "short"), (None, rows[5][1]), (204, rows[5][1]), (204, rows[5][1]), (205, "xy" * 4000), (206, "q" * 15)]
+    got = suffix.remove_repeats(frame_of(spark, rows), length=16, anchor=8, shard=shard, hot=hot).drop("kept")
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted(plain_repeats(rows, 16), key=repr)
+
+
+def test_repeats_on_the_tables(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in table.select("doc_id", "text").collect()]
+    assert sorted(tuple(r) for r in suffix.suffix_query(table).collect()) == sorted(plain_repeats(rows, 200))
+    assert suffix.suffix_query(table.limit(0)).count() == 0

@@ -14,6 +14,7 @@ from weaksift.llm.mixing import mixing_query
 from weaksift.llm.near import near_duplicates
 from weaksift.llm.packing import packing_query
 from weaksift.llm.pages import extract_text
+from weaksift.llm.suffix import suffix_query
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,3 +40,4 @@ ORACLES["op7_exact_top_k"] = topk.ORACLE
 QUERIES["op9_line_dedup"] = lambda spark, sf_dir: lines.lines_query(read_table(spark, sf_dir, "documents"))
 ORACLES["op9_line_dedup"] = lines.ORACLE
 QUERIES["op3_minhash_near_dedup"] = lambda spark, sf_dir: near_duplicates(read_table(spark, sf_dir, "documents"))
+QUERIES["op4_suffix_array_dedup"] = lambda spark, sf_dir: suffix_query(read_table(spark, sf_dir, "documents"))
