@@ -97,7 +97,7 @@ def test_near_on_the_tables(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in table.select("doc_id", "text").collect()]
     assert near_result(spark, table) == sorted(plain_near(rows), key=repr)
-    left = near.near_stage(table)
+    left = near.near_stage(table, 2)
     assert left.columns == table.columns
     assert sorted(r["doc_id"] for r in left.collect()) == sorted(d for d, _, _, kept in plain_near(rows) if kept)
 

@@ -14,6 +14,7 @@ from weaksift.llm.common import numbered, stage
 from weaksift.llm.graph import components
 
 SHINGLE = 2  # words, by the query's contract
+STAGE_SHINGLE = 5  # words, in a pipeline
 PERCENT = 80  # least similarity, by the contract
 BANDS, ROWS = 32, 4  # two sets of similarity 0.8 share no band with a chance of 5e-8
 BASE = 1.001  # of the registers' scale
@@ -81,18 +82,21 @@ def likely(equal: np.ndarray, more: np.ndarray, n: np.ndarray, m: np.ndarray) ->
     return high >= score.max(axis=1) - EVIDENCE
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n, key, sketch = [], [], []
-        for text in batch.column(1).to_pylist():
-            own = shingle_set(text)
-            n.append(len(own))
-            key.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
-            sketch.append(registers(own).tobytes() if len(own) else None)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sketch, pa.binary())],
-            names=["_row", "n_shingles", "key", "sketch"],
-        )
+def _sketch(width: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, key, sketch = [], [], []
+            for text in batch.column(1):
+                own = shingle_set(text.as_py(), width)
+                n.append(len(own))
+                key.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
+                sketch.append(registers(own).tobytes() if len(own) else None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sketch, pa.binary())],
+                names=["_row", "n_shingles", "key", "sketch"],
+            )
+
+    return work
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,17 +173,20 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [shingle_set(t).tobytes() for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
+def _sets(width: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), width).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
+
+    return work
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """The pairs of classes whose full sets are similar enough. Only the texts of classes in a pair are read again."""
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     rows = classes.join(wanted, "id").select("id", "_row")
-    sets = stage(texts.join(rows, "_row").select("id", "text").mapInArrow(_sets, "id long, shingles binary"), "sets")
+    sets = stage(texts.join(rows, "_row").select("id", "text").mapInArrow(_sets(width), "id long, shingles binary"), "sets")
     left, right = sets.toDF("a", "x"), sets.toDF("b", "y")
     full = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
     return stage(full.mapInArrow(_verify, "a long, b long"), "links")
@@ -189,7 +196,7 @@ def _side(classes: DataFrame, id_name: str, suffix: str) -> DataFrame:
     return classes.select(F.col("id").alias(id_name), F.col("n_shingles").alias("n" + suffix), F.col("sketch").alias("s" + suffix))
 
 
-def near_rows(texts: DataFrame) -> DataFrame:
+def near_rows(texts: DataFrame, width: int = SHINGLE) -> DataFrame:
     """_row, doc_id, n_shingles, component_id for ``texts`` (_row, doc_id, text; a stage).
 
     Rows with equal shingle sets are one class. Classes that agree in a band of registers are a bucket; each member is
@@ -198,7 +205,7 @@ def near_rows(texts: DataFrame) -> DataFrame:
     outside the bucket's largest component are then compared with all its members, block by block, and what the
     registers allow is verified too. So no pair that shares a band is left out, and no bucket is listed pair by pair.
     """
-    rows = stage(texts.select("_row", "text").mapInArrow(_sketch, "_row long, n_shingles long, key binary, sketch binary"), "sketches")
+    rows = stage(texts.select("_row", "text").mapInArrow(_sketch(width), "_row long, n_shingles long, key binary, sketch binary"), "sketches")
     one = F.min(F.col("_row")).alias("_row")
     first = rows.where("n_shingles > 0").groupBy("key").agg(one)
     classes = rows.join(first, ["_row", "key"]).select(F.monotonically_increasing_id().alias("id"), "_row", "key", "n_shingles", "sketch")
@@ -212,7 +219,7 @@ def near_rows(texts: DataFrame) -> DataFrame:
     close = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT
     sides = pairs.join(_side(classes, "a", "a"), "a").join(_side(classes, "b", "b"), "b").where(close)
     pairs = sides.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_may_link, "a long, b long")
-    links = _confirmed(stage(pairs, "pairs"), classes, texts)
+    links = _confirmed(stage(pairs, "pairs"), classes, texts, width)
     found = stage(components(links), "components")
 
     member = shared.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -233,7 +240,7 @@ def near_rows(texts: DataFrame) -> DataFrame:
     keys = ["band", "h", "chunk", "block"]
     met = all_.select(*columns).unionByName(few.select(*columns)).repartition(*keys).sortWithinPartitions(*keys)
     more = met.mapInArrow(_meet, "a long, b long").distinct()
-    links = links.unionByName(_confirmed(stage(more, "more-pairs"), classes, texts))
+    links = links.unionByName(_confirmed(stage(more, "more-pairs"), classes, texts, width))
     found = stage(components(links), "components")
 
     ids = texts.select("_row", "doc_id")
@@ -261,9 +268,9 @@ def _kept() -> Column:
     return F.col("component_id").eqNullSafe(F.col("doc_id"))
 
 
-def near_stage(docs: DataFrame) -> DataFrame:
+def near_stage(docs: DataFrame, width: int = STAGE_SHINGLE) -> DataFrame:
     """One document of each group, with all its columns: the one with the smallest id, of repeated ids the first row."""
     rows = stage(docs.select(F.monotonically_increasing_id().alias("_row"), "*"), "near-input")
-    found = near_rows(rows.select("_row", "doc_id", "text"))
+    found = near_rows(rows.select("_row", "doc_id", "text"), width)
     gone = found.where(~_kept()).select("_row")
     return rows.join(gone, "_row", "left_anti").drop("_row")
