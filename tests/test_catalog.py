@@ -6,13 +6,12 @@ import pytest
 from check_oracles import connect, difference
 
 import __spark_entry__ as entry
+from weaksift.plans.catalog import ORACLES, QUERIES
 from weaksift.operators import clusters as C
 from weaksift.operators import summaries as U
 from weaksift.plans.tables import tables
 from weaksift.sources import sinks as K
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
-
 
 @pytest.fixture(scope="module")
 def connection(sf_dir):
@@ -25,6 +24,11 @@ def test_query_equals_its_sql(spark, sf_dir, connection, name):
     assert difference(rows, connection.execute(ORACLES[name]).df()) is None
 
 
+def test_entry_holds_all_queries():
+    assert QUERIES.items() <= entry.queries().items() and ORACLES.items() <= entry.oracle_sql().items()
+    assert entry.oracle_sql().keys() <= entry.queries().keys()
+
+
 def test_entry_has_all_categories(spark):
     assert entry.entry(spark).count() == 7
 
