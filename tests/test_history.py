@@ -131,11 +131,57 @@ def test_cap_and_first_per_source(spark):
     assert sorted(r.place for r in I.cap_per_source(rows, ["place"], 5).collect()) == list(range(5))
 
 
-def test_large_cap_equals_small_cap_path(spark, monkeypatch):
-    monkeypatch.setattr(I, "FEW", 1)
-    rows = spark.createDataFrame([("review", i) for i in range(50)] + [("discussion", i) for i in range(3)], "source_type string, place long")
-    found = I.cap_per_source(rows, ["place"], 5).collect()
-    assert sorted((r.source_type, r.place) for r in found) == [("discussion", i) for i in range(3)] + [("review", i) for i in range(5)]
+@pytest.mark.parametrize("cap", [5, 5000])
+def test_cap_keeps_rows_without_a_type(spark, cap):
+    rows = [("review", i) for i in range(50)] + [("discussion", i) for i in range(3)] + [(None, i) for i in range(20)]
+    found = I.cap_per_source(spark.createDataFrame(rows, "source_type string, place long"), ["place"], cap).collect()
+    assert sorted(((r.source_type, r.place) for r in found), key=repr) == sorted((r for r in rows if r[1] < cap), key=repr)
+
+
+def test_saving_a_run_again_leaves_no_stale_rows(spark, tmp_path):
+    root = str(tmp_path / "store")
+    evidence = spark.createDataFrame([("r/1", f"i{i}", "pain") for i in range(10)] + [("r2", "i", "pain")], "run_id string, item_id string, category string")
+    H.save_run({"evidence_rows": evidence}, root)
+    H.save_run({"evidence_rows": evidence.limit(0)}, root, run_ids=["r/1"])
+    assert [r.run_id for r in H.read_table(spark, root, "evidence_rows").collect()] == ["r2"]
+    schema = "run_id string, source_type string, source_name string, source_id string"
+    H.save_run({"raw_items": spark.createDataFrame([("r2", t, "n", t) for t in ("review", "discussion")], schema)}, root)
+    H.save_run({"raw_items": spark.createDataFrame([("r2", "review", "n", "review")], schema)}, root)
+    assert [r.source_type for r in H.read_table(spark, root, "raw_items").collect()] == ["review"]
+
+
+def test_rows_with_one_key_need_an_arrival_column(spark, tmp_path):
+    rows = spark.createDataFrame([("r1", "i", "pain"), ("r1", "i", "pain")], "run_id string, item_id string, category string")
+    with pytest.raises(ValueError, match="arrival"):
+        H.save_run({"evidence_rows": rows}, str(tmp_path / "store"))
+
+
+def test_seen_keys_without_an_id(spark):
+    schema = "source_name string, source_id string, text string"
+    new = spark.createDataFrame([(None, "1", "a"), ("n", None, "b"), ("n", "2", "c")], schema)
+    seen = spark.createDataFrame([("", "1", "x"), ("n", "", "y")], schema)
+    assert [r.text for r in H.drop_seen(new, seen).collect()] == ["c"]
+    assert sorted(r.text for r in H.mark_seen(new, seen, "p").where("duplicate_reason is null").collect()) == ["c"]
+
+
+def test_lineage_of_a_long_chain(spark):
+    runs = spark.range(5000).selectExpr("concat('r', id) as run_id", "if(id = 0, '', concat('r', id - 1)) as resume_from_run_id")
+    walk = H.lineage(runs, "r4999").collect()
+    assert len(walk) == 5000 and {r.ancestor: r.depth for r in walk}["r0"] == 4999
+
+
+def test_lineages_with_branches_and_long_cycles(spark):
+    parents = {"c0": "c2", "c1": "c0", "c2": "c1", "t": "c1", "u": "t", "x": "gone", "y": "x", "s": "s", "z": "s"}
+    runs = spark.createDataFrame(list(parents.items()), "run_id string, resume_from_run_id string")
+    expected = set()
+    for start in parents:
+        walk, at = [], start
+        while at in parents and at not in walk:
+            walk.append(at)
+            at = parents[at]
+        expected |= {(start, a, d) for d, a in enumerate(walk)}
+        assert {(r.run_id, r.ancestor, r.depth) for r in H.lineage(runs, start).collect()} == {e for e in expected if e[0] == start}
+    assert {tuple(r) for r in H.all_lineages(runs).collect()} == expected
 
 
 def test_discussion_pages(spark, tmp_path):

@@ -135,8 +135,8 @@ def cluster_rollup(members: DataFrame, items: DataFrame) -> DataFrame:
         .join(top_terms(details, key), key, "left")
         .select(
             *CLUSTER,
-            _lookup(BUCKET_LABELS, "bucket").alias("label"),
-            _lookup(BUCKET_OPPORTUNITIES, "bucket").alias("product_opportunity"),
+            F.coalesce(_lookup(BUCKET_LABELS, "bucket"), "bucket").alias("label"),
+            F.coalesce(_lookup(BUCKET_OPPORTUNITIES, "bucket"), F.lit("")).alias("product_opportunity"),
             "item_count",
             "representative_item_ids",
             "representative_source_ids",

@@ -43,39 +43,55 @@ def last_wins(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFram
     return rows.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
 
 
-def save_table(rows: DataFrame, root: str, name: str) -> None:
-    """Rows of one or more runs written over the same runs' partitions only, so saving a run
-    again replaces it and no other run is touched."""
+def _clear_runs(spark: SparkSession, folder: str, run_ids: list[str]) -> None:
+    """Removes the partitions of runs from a stored table."""
+    jvm = spark._jvm
+    paths = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    files = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for run_id in run_ids:
+        files.delete(jvm.org.apache.hadoop.fs.Path(f"{folder}/{paths.getPartitionPathString('run_id', run_id)}"), True)
+
+
+def save_table(rows: DataFrame, root: str, name: str, run_ids: list[str] | None = None) -> None:
+    """Replaces what the table holds of some runs by ``rows``; other runs are not touched. ``run_ids``
+    are the runs being saved, by default those of the rows (few); a run without rows ends up empty.
+    The rows are written to a stage first, so they may come from the stored table itself."""
+    rows = stage(rows, f"save-{name}")
+    if run_ids is None:
+        run_ids = [r["run_id"] for r in rows.select("run_id").distinct().collect()]
+    _clear_runs(rows.sparkSession, f"{root}/{name}", run_ids)
     partitions = RAW_PARTITIONS if name == "raw_items" else ["run_id"]
-    (
-        rows.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*partitions)
-        .parquet(f"{root}/{name}")
-    )
+    rows.write.mode("append").partitionBy(*partitions).parquet(f"{root}/{name}")
 
 
-def save_run(tables: dict[str, DataFrame], root: str, arrival: str | None = None) -> None:
-    """Every table of a run, one row per key (the last by the ``arrival`` column)."""
+def save_run(
+    tables: dict[str, DataFrame], root: str, arrival: str | None = None, run_ids: list[str] | None = None
+) -> None:
+    """Every stored table of a run, which replaces the run's earlier rows in all of them. One row per
+    key: the last by the ``arrival`` column; a table without it must have unique keys."""
     for name, rows in tables.items():
-        keys = TABLE_KEYS[name]
-        order = [F.desc(arrival)] if arrival in rows.columns else [F.desc(keys[-1])]
-        save_table(last_wins(rows, keys, order), root, name)
+        keys = TABLE_KEYS.get(name)
+        if keys is None:
+            continue  # a view of the run, made again from the stored tables
+        if arrival in rows.columns:
+            rows = last_wins(rows, keys, [F.desc(arrival)])
+        elif rows.groupBy(*keys).count().where("count > 1").limit(1).count():
+            raise ValueError(f"{name} has rows with the same key and no arrival column to tell the last")
+        save_table(rows, root, name, run_ids)
 
 
 def append_artifacts(rows: DataFrame, root: str, arrival: str = "created_at") -> None:
-    """Artifacts added to those of the same runs, last wins per key. The merge is written over
-    the run partitions it read, so it is staged first."""
+    """Artifacts added to those of the same runs, last wins per key."""
     spark = rows.sparkSession
+    merged = rows
     try:
         stored = spark.read.parquet(f"{root}/model_artifacts")
     except Exception as error:  # no such table yet
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        merged = rows
     else:
         same_runs = stored.join(rows.select("run_id").distinct(), "run_id", "left_semi")
-        merged = stage(same_runs.unionByName(rows), "artifacts")
+        merged = same_runs.unionByName(rows)
     save_table(last_wins(merged, TABLE_KEYS["model_artifacts"], [F.desc(arrival)]), root, "model_artifacts")
 
 
@@ -90,48 +106,51 @@ def _parents(runs: DataFrame) -> DataFrame:
     return runs.select("run_id", F.coalesce("resume_from_run_id", F.lit("")).alias("parent"))
 
 
-def lineage(runs: DataFrame, run_id: str, max_depth: int = 1000) -> DataFrame:
-    """``run_id, ancestor, depth``: the walk from one run to its root, the run itself at depth 0.
-    It stops at a parent that is not stored and at a cycle."""
-    view = "weaksift_runs"
-    _parents(runs).createOrReplaceTempView(view)
-    return runs.sparkSession.sql(
-        f"""
-        WITH RECURSIVE walk(run_id, ancestor, parent, depth, path) MAX RECURSION LEVEL {int(max_depth)} AS (
-            SELECT run_id, run_id, parent, 0, array(run_id) FROM {view} WHERE run_id = :run_id
-            UNION ALL
-            SELECT w.run_id, r.run_id, r.parent, w.depth + 1, array_append(w.path, r.run_id)
-            FROM walk w JOIN {view} r ON r.run_id = w.parent
-            WHERE NOT array_contains(w.path, r.run_id)
-        )
-        SELECT run_id, ancestor, depth FROM walk
-        """,
-        args={"run_id": run_id},
-    )
-
+def all_lineages(runs: DataFrame, start: list[str] | None = None) -> DataFrame:
+    """``run_id, ancestor, depth`` of every run (or of those in ``start``): the walk from a run to its
+    root, the run itself at depth 0. It stops at a parent that is not stored and at a cycle.
 
-def all_lineages(runs: DataFrame) -> DataFrame:
-    """The lineage of every run. A recursive query holds a limited number of rows, so here each
-    level is a join with the parents, staged before the next."""
-    parents = stage(_parents(runs), "parents")
-    level = parents.select(
-        "run_id", F.col("run_id").alias("ancestor"), "parent", F.lit(0).alias("depth"), F.array("run_id").alias("path")
+    Each round knows the ancestors up to twice the distance of the round before: every run's farthest
+    known ancestor brings the ancestors it knows itself. A chain of n runs takes log2 n rounds. A run
+    comes back to itself or to a run of its walk only in a cycle; the nearest place of each stays.
+    """
+    parents = _parents(runs)
+    stored = parents.select(F.col("run_id").alias("parent"))
+    up = stage(parents.join(stored, "parent", "left_semi").where("parent <> run_id").select("run_id", "parent"), "parents")
+    known = runs.select("run_id", F.col("run_id").alias("ancestor"), F.lit(0).cast("long").alias("depth"))
+    known = stage(known.unionByName(up.select("run_id", F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("depth"))), "lineage")
+    reach = 1
+    while True:
+        edge = known.where(F.col("depth") == reach).select("run_id", F.col("ancestor").alias("via"))
+        beyond = known.where("depth > 0").select(F.col("run_id").alias("via"), "ancestor", F.col("depth").alias("more"))
+        further = edge.join(beyond, "via").groupBy("run_id", "ancestor").agg((F.min("more") + reach).alias("depth"))
+        further = stage(further.join(known.select("run_id", "ancestor"), ["run_id", "ancestor"], "left_anti"), "lineage")
+        if further.isEmpty():
+            break
+        known, reach = stage(known.unionByName(further), "lineage"), reach * 2
+    found = known.select("run_id", "ancestor", F.col("depth").cast("int").alias("depth"))
+    return found if start is None else found.where(F.col("run_id").isin(start))
+
+
+def lineage(runs: DataFrame, run_id: str) -> DataFrame:
+    """``run_id, ancestor, depth`` of one run, of any depth: pointers to the parent are doubled until none
+    goes on, and the ancestors so far are those that the pointers of each round reach."""
+    pointers = _parents(runs).join(runs.select(F.col("run_id").alias("parent")), "parent", "left_semi")
+    pointers = stage(pointers.where("parent <> run_id").select("run_id", F.col("parent").alias("to")), "pointers")
+    found = stage(
+        runs.where(F.col("run_id") == run_id).select("run_id", F.col("run_id").alias("ancestor"), F.lit(0).alias("depth")).limit(1), "walk"
     )
-    found = level
-    above = parents.select(F.col("run_id").alias("next"), F.col("parent").alias("next_parent"))
+    step = 1
     while True:
-        level = stage(
-            level.join(above, F.col("parent") == F.col("next"))
-            .where(~F.array_contains("path", F.col("next")))
-            .select(
-                "run_id", F.col("next").alias("ancestor"), F.col("next_parent").alias("parent"),
-                (F.col("depth") + 1).alias("depth"), F.array_append("path", F.col("next")).alias("path"),
-            ),
-            "lineage",
-        )
-        if level.isEmpty():
-            return found.select("run_id", "ancestor", "depth")
-        found = found.unionByName(level)
+        hops = found.join(pointers.withColumnRenamed("run_id", "ancestor"), "ancestor")
+        hops = hops.groupBy("run_id", F.col("to").alias("ancestor")).agg((F.min("depth") + step).alias("depth"))
+        new = stage(hops.join(found.select("ancestor"), "ancestor", "left_anti").select(*found.columns), "walk")
+        if new.isEmpty():
+            return found
+        found = stage(found.unionByName(new), "walk")
+        ahead = pointers.select(F.col("run_id").alias("to"), F.col("to").alias("next"))
+        pointers = stage(pointers.join(ahead, "to").select("run_id", F.col("next").alias("to")), "pointers")
+        step *= 2
 
 
 def in_chain(rows: DataFrame, chain: DataFrame) -> DataFrame:
@@ -205,8 +224,11 @@ def mark_seen(new_items: DataFrame, seen: DataFrame, resume_from: str) -> DataFr
 
 
 def drop_seen(new_items: DataFrame, seen: DataFrame) -> DataFrame:
-    """The new rows whose (source_name, source_id) no earlier run holds."""
-    return new_items.join(source_keys(seen), ["source_name", "source_id"], "left_anti")
+    """The new rows whose (source_name, source_id) no earlier run holds; null counts as the empty text,
+    as in ``mark_seen``."""
+    known = source_keys(seen).toDF("_name", "_id")
+    same = (F.coalesce("source_name", F.lit("")) == F.col("_name")) & (F.coalesce("source_id", F.lit("")) == F.col("_id"))
+    return new_items.join(known, same, "left_anti")
 
 
 # -- reads ---------------------------------------------------------------------------------------

@@ -2,89 +2,86 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from weaksift.plans.stages import stage
 
-MAX_CHUNK = 1 << 16  # keys per numbering chunk; the table of chunks is that much smaller
-MIN_CHUNK = 1 << 8
-CHUNKS_PER_CORE = 4
-SPARSE = 1_000  # largest key per row up to which the key counts as dense
-
 
-def chunk_size(top: int, cores: int) -> int:
-    """Chunks small enough to use every core on a small table, and of bounded size on a large one."""
-    return max(MIN_CHUNK, min(MAX_CHUNK, top // (cores * CHUNKS_PER_CORE)))
+def _in_ranges(rows: DataFrame, keys: list[Column], per_range: int | None) -> DataFrame:
+    """Rows sorted into ranges, with ``_row`` in the order of the sort and the range it lies in. The
+    ranges are sampled, hence written once before they are read again. ``per_range``: rows of a
+    range, about; by default as many ranges as the session's shuffles have."""
+    ranges = [] if per_range is None else [max(1, -(-rows.count() // per_range))]
+    sorted_rows = rows.repartitionByRange(*ranges, *keys).sortWithinPartitions(*keys)
+    numbered = sorted_rows.withColumn("_row", F.monotonically_increasing_id())
+    return stage(numbered, "ranges").withColumn("_range", F.shiftright("_row", 33))
 
 
-def dense_positions(
-    rows: DataFrame, key: str, name: str, chunk: int | None = None, counted: DataFrame | None = None
-) -> DataFrame:
-    """1-based rank by a unique integer ``key``, made for dense keys; a sparse key (see
-    ``SPARSE``) would give as many chunks as rows and is ranked by ``global_rank``.
-
-    Rows are numbered inside chunks of the key range; a running total over the small table of
-    chunk sizes gives each chunk its start. Join and window share one shuffle on the chunk. ``counted`` is
-    a cheaper frame with the same keys to count (the input of costly columns, say).
-    """
-    counted = rows if counted is None else counted
-    if chunk is None:
-        top, count = counted.agg(F.coalesce(F.max(key), F.lit(0)), F.count("*")).first()
-        if top > SPARSE * max(count, MIN_CHUNK):
-            return global_rank(rows, [], [F.asc(key)], name)
-        chunk = chunk_size(top, rows.sparkSession.sparkContext.defaultParallelism)
-    place = whole_part(F.col(key), chunk).alias("_chunk")
-    chunked = rows.select("*", place)
-    starts = counted.select(place).groupBy("_chunk").agg(F.count("*").alias("_size"))
-    before = W.orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    starts = starts.select("_chunk", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    inside = W.partitionBy("_chunk").orderBy(key)
-    return (
-        chunked.join(starts, "_chunk")
-        .withColumn(name, F.col("_start") + F.row_number().over(inside))
-        .drop("_chunk", "_start")
-    )
+def _same(left: list[Column], right: list[Column]) -> Column:
+    return reduce(lambda a, b: a & b, [x.eqNullSafe(y) for x, y in zip(left, right)])
 
 
-def global_rank(rows: DataFrame, groups: list[str], order: list[Column], name: str) -> DataFrame:
-    """1-based rank inside ``groups`` by any total ``order``, for groups of any size.
+def global_rank(
+    rows: DataFrame, groups: list[str], order: list[Column], name: str, per_range: int | None = None
+) -> DataFrame:
+    """1-based rank inside ``groups`` (null is a group) by any total ``order``, for groups of any size.
 
     The rows are range-partitioned on the whole sort key, so a huge group spreads over many
     tasks; the row id inside the sorted range and the number of rows of the group in earlier
-    ranges give the rank. The ranges are sampled, hence written once before they are read twice.
+    ranges give the rank. The table of ranges holds a row per task and group.
     """
-    sorted_rows = (
-        rows.repartitionByRange(*[F.col(g) for g in groups], *order)
-        .sortWithinPartitions(*[F.col(g) for g in groups], *order)
-        .withColumn("_row", F.monotonically_increasing_id())
-    )
-    placed = stage(sorted_rows, "ranges").withColumn("_range", F.shiftright("_row", 33))
-    spans = placed.groupBy(*groups, "_range").agg(F.min("_row").alias("_first"), F.count("*").alias("_size"))
-    before = W.partitionBy(*groups).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    placed = _in_ranges(rows, [*[F.asc(g) for g in groups], *order], per_range)
+    keys = [f"_g{i}" for i in range(len(groups))]
+    named = [F.col(g).alias(k) for g, k in zip(groups, keys)]
+    spans = placed.groupBy(*named, F.col("_range").alias("_r")).agg(F.min("_row").alias("_first"), F.count("*").alias("_size"))
+    before = W.partitionBy(*keys).orderBy("_r").rowsBetween(W.unboundedPreceding, -1)
     spans = spans.withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+    own = (F.col("_range") == F.col("_r")) & _same([F.lit(0), *map(F.col, groups)], [F.lit(0), *map(F.col, keys)])
     return (
-        placed.join(spans.drop("_size"), [*groups, "_range"])
+        placed.join(spans.drop("_size"), own)
         .withColumn(name, F.col("_start") + F.col("_row") - F.col("_first") + 1)
-        .drop("_row", "_range", "_first", "_start")
+        .drop("_row", "_range", "_r", "_first", "_start", *keys)
     )
 
 
-def running_total(rows: DataFrame, key: str, value: str, name: str, chunk: int = MAX_CHUNK) -> DataFrame:
-    """Running total of ``value`` by an integer ``key``, in two levels as above."""
-    chunked = rows.withColumn("_chunk", whole_part(F.col(key), chunk))
-    sums = chunked.groupBy("_chunk").agg(F.sum(value).alias("_sum"))
-    before = W.orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    starts = sums.select("_chunk", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
-    inside = W.partitionBy("_chunk").orderBy(key).rowsBetween(W.unboundedPreceding, 0)
+def dense_positions(
+    rows: DataFrame, key: str, name: str, chunk: int | None = None, counted: DataFrame | None = None
+) -> DataFrame:
+    """1-based rank by a unique integer ``key``, dense or sparse. Only the keys are sorted; the rest
+    of the row is joined to them. ``counted`` is a cheaper frame with the same keys (the input of
+    costly columns, say); ``chunk`` sets the rows of a range."""
+    keys = (rows if counted is None else counted).select(key)
+    places = global_rank(keys, [], [F.asc(key)], name, chunk)
+    return rows.join(places.withColumnRenamed(key, "_key"), F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+
+
+def running_total(rows: DataFrame, key: str, value: str, name: str, chunk: int | None = None) -> DataFrame:
+    """Running total of ``value`` by a unique ``key``: the sums of the ranges, then the rows inside."""
+    placed = _in_ranges(rows, [F.asc(key)], chunk)
+    sums = placed.groupBy(F.col("_range").alias("_r")).agg(F.sum(value).alias("_sum"))
+    before = W.orderBy("_r").rowsBetween(W.unboundedPreceding, -1)  # one row per range
+    starts = sums.select("_r", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    inside = W.partitionBy("_range").orderBy("_row").rowsBetween(W.unboundedPreceding, 0)
     return (
-        chunked.join(starts, "_chunk")
+        placed.join(starts, F.col("_range") == F.col("_r"))
         .withColumn(name, F.col("_start") + F.sum(value).over(inside))
-        .drop("_chunk", "_start")
+        .drop("_row", "_range", "_r", "_start")
     )
 
 
+def first_by_rank(rows: DataFrame, groups: list[str], order: list[str], how_many: int) -> DataFrame:
+    """The first ``how_many`` rows of each group (null is one) by a total order of columns. Group and
+    order are ranked alone; the rows are joined to those that stay."""
+    keys = list(dict.fromkeys([*groups, *order]))
+    places = global_rank(rows.select(*keys), groups, [F.asc(name) for name in order], "_rank")
+    kept = places.where(F.col("_rank") <= how_many).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+    return rows.join(kept, _same(list(map(F.col, keys)), [F.col(f"_k{i}") for i in range(len(keys))]), "left_semi")
+
+
 def whole_part(value: Column, by: int) -> Column:
     """Integer quotient of a non-negative whole number, exact at any size."""
     return F.call_function("div", value, F.lit(by))

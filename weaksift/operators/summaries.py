@@ -92,8 +92,9 @@ def category_examples(evidence: DataFrame, how_many: int = EXAMPLES) -> DataFram
     return evidence.withColumn("place", F.row_number().over(w)).where(F.col("place") <= how_many)
 
 
-def category_summary(evidence: DataFrame) -> DataFrame:
-    """One row per category, also for those without evidence."""
+def category_summary(evidence: DataFrame, titles: dict[str, str] = CATEGORY_TITLES) -> DataFrame:
+    """One row per category: those with a title, also without evidence, then any other that the evidence
+    has (a user's lexicon may name its own), by name and with the name as title."""
     counts = evidence.groupBy("category").agg(
         F.count("*").alias("evidence_count"),
         F.count_if(F.col("source_type") == "discussion").alias("discussion_count"),
@@ -111,9 +112,12 @@ def category_summary(evidence: DataFrame) -> DataFrame:
         F.lit("Found "), F.col("evidence_count").cast("string"), F.lit(" evidence item(s). Common indicators: "),
         F.array_join("top_terms", ", "), F.lit("."),
     )
+    later = F.row_number().over(W.partitionBy(F.col("summary_ord").isNull()).orderBy("category")) + len(titles)  # a row per category
     return (
-        categories(evidence.sparkSession)
-        .join(counts, "category", "left")
+        categories(evidence.sparkSession, titles)
+        .join(counts, "category", "full_outer")
+        .withColumn("summary_ord", F.coalesce("summary_ord", later))
+        .withColumn("title", F.coalesce("title", "category"))
         .join(terms, "category", "left")
         .join(examples, "category", "left")
         .select(
@@ -175,8 +179,9 @@ def implication_notes(summary: DataFrame) -> DataFrame:
 
 def memo_sections(summary: DataFrame) -> DataFrame:
     """The memo's evidence sections as rows: the sentence (ord 0), then the scored examples."""
-    number = F.element_at(
-        F.create_map(*[F.lit(x) for pair in SECTION_NUMBERS.items() for x in pair]), F.col("category")
+    number = F.coalesce(
+        F.element_at(F.create_map(*[F.lit(x) for pair in SECTION_NUMBERS.items() for x in pair]), F.col("category")),
+        F.col("summary_ord") + (min(SECTION_NUMBERS.values()) - 1),
     )
     examples = F.transform(
         F.arrays_zip("example_scores", "example_evidence"),

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from weaksift.functions import text as X
-from weaksift.operators.numbering import global_rank
+from weaksift.operators.numbering import first_by_rank, global_rank
 
 _STRINGS = [
     "source_type", "source_name", "source_id", "source_url", "title", "author", "created_at",
@@ -37,7 +37,6 @@ QUESTION_PAGE = (
     f"query string, page_number int, request_params map<string,string>, items array<{QUESTION}>, has_more boolean"
 )
 
-FEW = 1_000  # a rank limit that Spark also applies before the shuffle
 
 # Source names, page-source keys, default titles and link patterns.
 DISCUSSION_SOURCE = "Hacker News Algolia comments"
@@ -212,13 +211,9 @@ def first_per_source_id(items: DataFrame, order: list[str]) -> DataFrame:
 
 
 def cap_per_source(items: DataFrame, order: list[str], max_items: int) -> DataFrame:
-    """The first ``max_items`` rows of each source type in page order (the run's item cap). Few
-    rows are found task by task; for a large cap the rank is spread over ranges."""
-    if max_items > FEW:
-        ranked = global_rank(items, ["source_type"], [F.asc(name) for name in order], "_rank")
-        return ranked.where(F.col("_rank") <= max_items).drop("_rank")
-    w = W.partitionBy("source_type").orderBy(*order)
-    return items.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= max_items).drop("_rank")
+    """The first ``max_items`` rows of each source type (null is one) by a total order of columns, the
+    run's item cap. Any cap and any number of rows of a type take the same path."""
+    return first_by_rank(items, ["source_type"], order, max_items)
 
 
 def with_source_index(items: DataFrame, order: list[str]) -> DataFrame:
