@@ -107,9 +107,9 @@ def run_evidence(
     assessed = stage(assess_items(raw.withColumn("run_id", F.lit(run_id)), batch_size, lexicon), "assessed")
     prepared = stage(prepare_items(assessed, lexicon), "prepared")
     items = relevant(prepared)
-    with_vectors = stage((vectors or V.backend("hashing"))(items), "vectors")
-    members = stage(C.assign_clusters(with_vectors, [threshold]), "clusters")
-    rollup = stage(C.cluster_rollup(members, with_vectors), "rollup")
+    with_vectors = (vectors or V.backend("hashing"))(items)
+    members = stage(C.assign_clusters(with_vectors, [threshold]), "clusters")  # stages the vectors without the text
+    rollup = stage(C.cluster_rollup(members, items), "rollup")
     evidence = stage(S.evidence_rows(items, lexicon), "evidence")
     summary = U.category_summary(evidence)
     volume = U.volume_summary(items, evidence)

@@ -8,23 +8,35 @@ a fresh local folder is used.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+ONE_MACHINE = re.compile(r"local(\[[^\]]*\])?$")
 
 
 def shared_folder(spark: SparkSession) -> str:
+    """The folder of this application's stages. On a cluster it must be named: a folder made here would
+    exist on the driver only."""
     folder = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not ONE_MACHINE.match(spark.sparkContext.master):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="weaksift-")
         spark.sparkContext.setCheckpointDir(folder)
         folder = spark.sparkContext.getCheckpointDir()
     return f"{folder.rstrip('/')}/weaksift/{spark.sparkContext.applicationId}"
 
 
+def clear_stages(spark: SparkSession) -> None:
+    """Deletes all stages of this application; for when the results that read them are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -107,7 +107,7 @@ class Tables:
 
     @cached_property
     def rollup(self) -> DataFrame:
-        return stage(C.cluster_rollup(self.members, self.vectors), "rollup")
+        return stage(C.cluster_rollup(self.members, self.items), "rollup")
 
     @cached_property
     def artifacts(self) -> DataFrame:
