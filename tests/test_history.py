@@ -232,3 +232,17 @@ def test_raw_items_reader_takes_defaults(spark, tmp_path):
     rows = I.with_timestamps(I.with_defaults(I.read_raw_items(spark, str(tmp_path / "items.json"), json_lines=False)))
     row = rows.first()
     assert row.rating == "" and row.is_demo_fallback is False and row.created_ts is not None and row.collected_ts is None
+
+
+def test_chain_reads_prune_partitions(spark, tmp_path):
+    root = str(tmp_path / "store")
+    rows = spark.createDataFrame([(f"r{i}", f"i{k}", "pain") for i in range(6) for k in range(3)], "run_id string, item_id string, category string")
+    H.save_run({"evidence_rows": rows}, root)
+    runs = spark.createDataFrame([(f"r{i}", f"r{i - 1}" if i else "") for i in range(6)], "run_id string, resume_from_run_id string")
+    chain = H.chain_runs(H.lineage(runs, "r3"))
+    read = H.in_chain(H.read_table(spark, root, "evidence_rows"), chain)
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert chain == ["r0", "r1", "r2", "r3"] and "PartitionFilters: [run_id" in plan.replace("isnotnull(run_id", "")
+    assert read.count() == 12 and len(read.inputFiles()) >= 1
+    with pytest.raises(ValueError, match="more than 2 runs"):
+        H.chain_runs(H.lineage(runs, "r3"), most=2)

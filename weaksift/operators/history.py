@@ -27,6 +27,7 @@ TABLE_KEYS = {
     "category_summaries": ["run_id", "category"],
 }
 RAW_PARTITIONS = ["run_id", "source_type"]
+MOST_RUNS = 10_000  # of a chain whose ids go into a filter
 COUNTED_TABLES = [
     "raw_items", "prepared_items", "excluded_items", "relevance_excluded_items", "evidence_rows",
     "collection_pages", "processing_batches", "model_artifacts",
@@ -153,9 +154,19 @@ def lineage(runs: DataFrame, run_id: str) -> DataFrame:
         step *= 2
 
 
-def in_chain(rows: DataFrame, chain: DataFrame) -> DataFrame:
-    """Rows of the runs of a lineage. The chain is a list of run ids, so the semi join turns
-    into partition pruning on stored tables."""
+def chain_runs(chain: DataFrame, most: int = MOST_RUNS) -> list[str]:
+    """The run ids of a lineage, as one run's chain of resumes (checked to be few)."""
+    ids = [r["ancestor"] for r in chain.select("ancestor").distinct().limit(most + 1).collect()]
+    if len(ids) > most:
+        raise ValueError(f"more than {most} runs; join on the chain instead")
+    return sorted(ids)
+
+
+def in_chain(rows: DataFrame, chain: DataFrame | list[str]) -> DataFrame:
+    """Rows of the runs of a lineage. A list of run ids (``chain_runs``) is a plain filter, which prunes the
+    partitions of a stored table before anything is read; a lineage of any length is joined."""
+    if isinstance(chain, list):
+        return rows.where(F.col("run_id").isin(chain))
     return rows.join(chain.select(F.col("ancestor").alias("run_id")), "run_id", "left_semi")
 
 
@@ -293,26 +304,27 @@ def run_summary(runs: DataFrame, diagnostics: DataFrame, summaries: DataFrame, r
     )
 
 
-def table_counts(tables: dict[str, DataFrame], chain: DataFrame) -> DataFrame:
-    """Rows per table over a chain, with the distinct raw items."""
+def table_counts(tables: dict[str, DataFrame], chain: DataFrame | list[str]) -> DataFrame:
+    """Rows per table over a chain, with the distinct raw items; each table is read once. Of the raw items
+    only the keys are, counted first per key and then over the keys."""
     parts = [
         in_chain(tables[name], chain).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
         for name in COUNTED_TABLES
-        if name in tables
+        if name in tables and name != "raw_items"
     ]
-    unique = in_chain(tables["raw_items"], chain).select("source_name", "source_id").distinct()
-    parts.append(unique.agg(F.count("*").alias("n")).select(F.lit("unique_raw_items").alias("name"), "n"))
-    counted = parts[0]
-    for part in parts[1:]:
+    by_key = in_chain(tables["raw_items"], chain).groupBy("source_name", "source_id").agg(F.count("*").alias("rows"))
+    raw = by_key.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("raw_items"), F.count("*").alias("unique_raw_items"))
+    counted = raw.unpivot([], ["raw_items", "unique_raw_items"], "name", "n")
+    for part in parts:
         counted = counted.unionByName(part)
     return counted
 
 
-def group_counts(rows: DataFrame, column: str, chain: DataFrame) -> DataFrame:
+def group_counts(rows: DataFrame, column: str, chain: DataFrame | list[str]) -> DataFrame:
     return in_chain(rows, chain).groupBy(F.col(column).alias("name")).agg(F.count("*").alias("n"))
 
 
-def state_counts(states: DataFrame, chain: DataFrame) -> DataFrame:
+def state_counts(states: DataFrame, chain: DataFrame | list[str]) -> DataFrame:
     return in_chain(states, chain).agg(
         F.count_if("completed").alias("completed"), F.count_if(~F.col("completed")).alias("open")
     )

@@ -38,10 +38,10 @@ IMPLICATIONS = {
 NO_IMPLICATION = "This run did not surface enough evidence to support strong venture-evaluation implications."
 
 
-def batch_summary(items: DataFrame) -> DataFrame:
+def batch_summary(items: DataFrame, keys: list[str] = ["batch_index"]) -> DataFrame:
     """``items``: every raw item with ``batch_index``, ``source_index``, ``kept`` and, for kept
-    ones, ``exclude_for_relevance``. One row per batch."""
-    return items.groupBy("batch_index").agg(
+    ones, ``exclude_for_relevance``. One row per batch (of a run, with ``run_id`` among the keys)."""
+    return items.groupBy(*keys).agg(
         F.lit("completed").alias("status"),
         F.min("source_index").alias("raw_item_start_index"),
         F.max("source_index").alias("raw_item_end_index"),

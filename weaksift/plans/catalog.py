@@ -1050,11 +1050,10 @@ def lineage(t: Tables) -> DataFrame:
     array_to_string(list_sort(list(DISTINCT venture_category)), ',') AS venture_categories,
     string_agg(run_id || '=' || resume_from_run_id, ',' ORDER BY run_id) FILTER (resume_from_run_id <> '') AS resume_links,
     sum(total_items_analyzed)::BIGINT AS total_items_analyzed, sum(evidence_rows)::BIGINT AS evidence_rows,
-    sum(demo_fallback_items)::BIGINT AS demo_fallback_items FROM runs""",
+    sum(demo_fallback_items)::BIGINT AS demo_fallback_items FROM runs WHERE run_id <= 'run-09'""",
 )
 def chain_overview(t: Tables) -> DataFrame:
-    chain = t.chain
-    return H.chain_overview(t.runs, chain).select(
+    return H.chain_overview(t.stored("runs"), t.lineage).select(
         "latest_run_id", "root_run_id", text_of("run_ids", ","), "run_count", "generated_at_utc_start",
         "generated_at_utc_end", text_of("venture_categories", ","), text_of("resume_links", ","),
         "total_items_analyzed", "evidence_rows", "demo_fallback_items",
@@ -1083,23 +1082,24 @@ def model_artifacts(t: Tables) -> DataFrame:
 
 @query(
     "upsert_artifacts",
-    ARTIFACTS + f"SELECT {_ARTIFACT_ROW} FROM artifacts",
+    ARTIFACTS
+    + f"""SELECT {_ARTIFACT_ROW}, CASE WHEN artifact_type = 'embedding' THEN '2' ELSE '1' END AS created_at,
+    artifact_type = 'embedding' AS renewed FROM artifacts""",
 )
 def upsert_artifacts(t: Tables) -> DataFrame:
-    """The artifacts saved twice: the second save replaces the first, row by row."""
+    """The artifacts saved, then the embeddings saved again with another payload: the later row of a key stays."""
     first = t.artifacts.withColumn("created_at", F.lit("1"))
-    second = t.artifacts.withColumn("created_at", F.lit("2"))
-    rows = H.last_wins(first.unionByName(second), H.TABLE_KEYS["model_artifacts"], [F.desc("created_at")])
-    return _artifact_rows(rows.where("created_at = '2'"))
+    second = t.artifacts.where("artifact_type = 'embedding'").withColumns({"created_at": F.lit("2"), "artifact": F.lit("new")})
+    rows = H.last_wins(second.unionByName(first), H.TABLE_KEYS["model_artifacts"], [F.desc("created_at")])
+    return rows.withColumn("renewed", F.col("artifact") == "new").drop("artifact").withColumn("batch_index", whole("batch_index"))
 
 
 @query(
     "chain_artifact_page",
-    ARTIFACTS + f"SELECT {_ARTIFACT_ROW} FROM artifacts WHERE artifact_type = 'embedding' ORDER BY {_ARTIFACT_ORDER} LIMIT 50",
+    ARTIFACTS + f"SELECT {_ARTIFACT_ROW} FROM artifacts WHERE artifact_type = 'embedding' AND run_id <= 'run-09' ORDER BY {_ARTIFACT_ORDER} LIMIT 50",
 )
 def chain_artifact_page(t: Tables) -> DataFrame:
-    chain = t.chain
-    return _artifact_rows(H.artifact_page(H.in_chain(t.artifacts, chain), artifact_type="embedding"))
+    return _artifact_rows(H.artifact_page(H.in_chain(t.stored("model_artifacts"), t.chain), artifact_type="embedding"))
 
 
 @query(
@@ -1115,37 +1115,69 @@ def run_artifact_page(t: Tables) -> DataFrame:
 @query(
     "chain_evidence_page",
     EVIDENCE
-    + f"SELECT {_EVIDENCE_ROW} FROM evidence ORDER BY signal_relevance_score DESC, run_id, item_no, category_ord LIMIT 50",
+    + f"""SELECT {_EVIDENCE_ROW} FROM evidence WHERE run_id <= 'run-09'
+    ORDER BY signal_relevance_score DESC, run_id, item_no, category_ord LIMIT 50""",
 )
 def chain_evidence_page(t: Tables) -> DataFrame:
-    return _evidence(H.evidence_page(H.in_chain(t.evidence, t.chain)))
+    return _evidence(H.evidence_page(H.in_chain(t.stored("evidence_rows"), t.chain)))
 
 
 @query(
     "chain_table_counts",
     O.with_(*_MEMBERS, O.ROLLUP, _ARTIFACTS, O.EVIDENCE, _LOG)
-    + """SELECT 'raw_items' AS name, count(*) AS n FROM assessed UNION ALL SELECT 'prepared_items', count(*) FROM items
-    UNION ALL SELECT 'excluded_items', count(*) FROM assessed WHERE NOT kept
-    UNION ALL SELECT 'relevance_excluded_items', count(*) FROM prepared WHERE exclude_for_relevance
-    UNION ALL SELECT 'evidence_rows', count(*) FROM evidence UNION ALL SELECT 'collection_pages', count(*) FROM log
-    UNION ALL SELECT 'processing_batches', count(*) FROM (SELECT DISTINCT run_id, batch_index FROM assessed)
-    UNION ALL SELECT 'model_artifacts', count(*) FROM artifacts
-    UNION ALL SELECT 'unique_raw_items', count(*) FROM (SELECT DISTINCT source_name, source_id FROM assessed)""",
+    + """SELECT 'raw_items' AS name, count(*) AS n FROM assessed WHERE run_id <= 'run-09'
+    UNION ALL SELECT 'prepared_items', count(*) FROM items WHERE run_id <= 'run-09'
+    UNION ALL SELECT 'excluded_items', count(*) FROM assessed WHERE NOT kept AND run_id <= 'run-09'
+    UNION ALL SELECT 'relevance_excluded_items', count(*) FROM prepared WHERE exclude_for_relevance AND run_id <= 'run-09'
+    UNION ALL SELECT 'evidence_rows', count(*) FROM evidence WHERE run_id <= 'run-09'
+    UNION ALL SELECT 'collection_pages', count(*) FROM log WHERE user_id % 20 <= 9
+    UNION ALL SELECT 'processing_batches', count(*) FROM (SELECT DISTINCT run_id, batch_index FROM assessed WHERE run_id <= 'run-09')
+    UNION ALL SELECT 'model_artifacts', count(*) FROM artifacts WHERE run_id <= 'run-09'
+    UNION ALL SELECT 'unique_raw_items', count(*) FROM (SELECT DISTINCT source_name, source_id FROM assessed WHERE run_id <= 'run-09')""",
 )
 def chain_table_counts(t: Tables) -> DataFrame:
-    return H.table_counts(t.run_tables, t.chain)
+    return H.table_counts({name: t.stored(name) for name in H.COUNTED_TABLES}, t.chain)
+
+
+@query("saved_runs", RUNS + " SELECT * FROM runs")
+def saved_runs(t: Tables) -> DataFrame:
+    return t.stored("runs").select(t.runs.columns)
+
+
+@query(
+    "saved_raw_items",
+    ASSESSED + "SELECT run_id, source_type, count(*) AS n, count(DISTINCT source_id) AS ids FROM assessed GROUP BY ALL",
+)
+def saved_raw_items(t: Tables) -> DataFrame:
+    """What the store holds of each run; two of them were saved before with other rows."""
+    return t.stored("raw_items").groupBy("run_id", "source_type").agg(
+        F.count("*").alias("n"), F.count_distinct("source_id").alias("ids")
+    )
+
+
+@query(
+    "saved_run_batches",
+    PREPARED
+    + """SELECT a.run_id, a.batch_index, 'completed' AS status, min(a.source_index) AS raw_item_start_index,
+    max(a.source_index) AS raw_item_end_index, count(*) AS raw_items, count(*) FILTER (a.kept) AS quality_candidates,
+    count(*) FILTER (NOT a.kept) AS quality_excluded, count(*) FILTER (a.kept AND NOT p.exclude_for_relevance) AS relevance_prepared,
+    count(*) FILTER (a.kept AND p.exclude_for_relevance) AS relevance_excluded
+    FROM assessed a LEFT JOIN prepared p USING (source_index) WHERE a.run_id = 'run-03' GROUP BY 1, 2""",
+)
+def saved_run_batches(t: Tables) -> DataFrame:
+    whole_counts = ["batch_index", "raw_item_start_index", "raw_item_end_index"]
+    return t.stored("processing_batches").where("run_id = 'run-03'").withColumns({c: whole(c) for c in whole_counts})
 
 
 @query(
     "chain_group_counts",
     ARTIFACTS
-    + """SELECT artifact_type AS name, count(*) AS n FROM artifacts GROUP BY ALL
-    UNION ALL SELECT 'completed', count(*) FROM (SELECT DISTINCT run_id, batch_index FROM assessed)""",
+    + """SELECT artifact_type AS name, count(*) AS n FROM artifacts WHERE run_id <= 'run-09' GROUP BY ALL
+    UNION ALL SELECT 'completed', count(*) FROM (SELECT DISTINCT run_id, batch_index FROM assessed WHERE run_id <= 'run-09')""",
 )
 def chain_group_counts(t: Tables) -> DataFrame:
-    chain = t.chain
-    return H.group_counts(t.artifacts, "artifact_type", chain).unionByName(
-        H.group_counts(t.run_tables["processing_batches"], "status", chain)
+    return H.group_counts(t.stored("model_artifacts"), "artifact_type", t.chain).unionByName(
+        H.group_counts(t.stored("processing_batches"), "status", t.chain)
     )
 
 
@@ -1156,11 +1188,10 @@ _RUN_STATES = """run_log AS (SELECT *, 'run-' || lpad((user_id % 20)::VARCHAR, 2
 @query(
     "chain_state_counts",
     O.with_(_LOG, _RUN_STATES)
-    + "SELECT count(*) FILTER (completed) AS completed, count(*) FILTER (NOT completed) AS open FROM run_states",
+    + "SELECT count(*) FILTER (completed) AS completed, count(*) FILTER (NOT completed) AS open FROM run_states WHERE run_id <= 'run-09'",
 )
 def chain_state_counts(t: Tables) -> DataFrame:
-    states = H.collection_state(t.run_tables["collection_pages"], ["run_id", "source", "query"])
-    return H.state_counts(states, t.chain)
+    return H.state_counts(t.stored("collection_states"), t.chain)
 
 
 @query(

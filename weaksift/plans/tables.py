@@ -21,6 +21,7 @@ from weaksift.plans.stages import new_path, spread, stage
 from weaksift.sources import raw_items as R
 
 BATCH = 100
+RAW_ITEM_FACTS = ["source_type", "source_name", "source_id", "source_url", "title", "source_index", "is_demo_fallback"]
 THRESHOLDS = [0.12, 0.5, 0.8, 0.9]
 DENSE_THRESHOLDS = [0.3, 0.35, 0.4]
 TURNS_PER_PAGE = 4
@@ -259,29 +260,46 @@ class Tables:
         )
 
     @cached_property
-    def chain(self) -> DataFrame:
-        """Lineage of the newest run: all runs."""
-        return stage(H.lineage(self.runs, "run-19"), "chain")
+    def lineage(self) -> DataFrame:
+        """The lineage of run-09: half of all runs."""
+        return H.lineage(self.stored("runs"), "run-09")
+
+    @cached_property
+    def chain(self) -> list[str]:
+        return H.chain_runs(self.lineage)
+
+    @cached_property
+    def store(self) -> str:
+        """All runs saved, after an earlier save of some of them that left too much behind."""
+        root = new_path(self.spark, "store")
+        early = ["run-03", "run-12"]
+        first = {name: rows.where(F.col("run_id").isin(early)) for name, rows in self.run_tables.items() if name in ("raw_items", "evidence_rows")}
+        doubled = first["raw_items"].unionByName(first["raw_items"].withColumn("source_id", F.concat(F.lit("old-"), "source_id")))
+        H.save_run(first | {"raw_items": doubled}, root)
+        H.save_run(self.run_tables | {"runs": self.runs}, root)
+        return root
+
+    def stored(self, name: str) -> DataFrame:
+        return H.read_table(self.spark, self.store, name)
 
     @cached_property
     def run_tables(self) -> dict[str, DataFrame]:
         judged = self.assessed.select("run_id", "source_index", "batch_index", "kept").join(
             self.prepared.select("source_index", "exclude_for_relevance"), "source_index", "left"
         )
-        batches = judged.groupBy("run_id", "batch_index").agg(
-            F.lit("completed").alias("status"), F.count("*").alias("raw_items")
-        )
+        batches = U.batch_summary(judged, ["run_id", "batch_index"])
         user = F.regexp_extract("source", r"(\d+)", 1).cast("int")
         pages = self.page_log.withColumn("run_id", F.concat(F.lit("run-"), F.lpad((user % 20).cast("string"), 2, "0")))
         return {
-            "raw_items": self.assessed,
+            "raw_items": self.assessed.select("run_id", *RAW_ITEM_FACTS),
             "prepared_items": self.items,
-            "excluded_items": self.assessed.where(~F.col("kept")),
+            "excluded_items": self.assessed.where(~F.col("kept")).select("run_id", "source_index", "source_id", "exclude_reasons"),
             "relevance_excluded_items": self.prepared.where("exclude_for_relevance"),
             "evidence_rows": self.evidence,
             "processing_batches": batches,
             "model_artifacts": self.artifacts,
             "collection_pages": pages,
+            "collection_states": H.collection_state(pages, ["run_id", "source", "query"]),
         }
 
 
