@@ -76,7 +76,7 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize("chunk,minor", [(4096, 1024), (16, 5)])
+@pytest.mark.parametrize("chunk,minor", [(1 << 21, 1 << 19), (600, 200)])
 def test_near_brute_force(spark, monkeypatch, chunk, minor):
     monkeypatch.setattr(near, "CHUNK", chunk)
     monkeypatch.setattr(near, "MINOR", minor)

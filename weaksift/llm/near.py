@@ -20,7 +20,7 @@ BANDS, ROWS = 32, 4  # two sets of similarity 0.8 share no band with a chance of
 BASE = 1.001  # of the registers' scale
 LIMIT = (1 << 16) - 1  # of a register
 EVIDENCE = 8.0  # how much less likely (in log units) the threshold may be than the best estimate (four deviations)
-CHUNK, MINOR = 4096, 1024  # members of a bucket that meet in one go: all, and those outside its largest component
+CHUNK, MINOR = 1 << 21, 1 << 19  # shingles of a bucket that meet in one go: of all, and outside the largest component
 WORDS = 1 << 20  # word hashes a worker remembers at most
 
 _random = np.random.default_rng(20)
@@ -109,7 +109,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(band), pa.array(packed)], names=["id", "band", "h"])
 
 
-def _compare(left, right, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+def _compare(left: np.ndarray, right: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Pairs of sketches (rows of both) that may be similar enough."""
     return likely((left == right).sum(axis=1), (left > right).sum(axis=1), n, m)
 
@@ -122,30 +122,52 @@ def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in batch.columns[:2]], names=["a", "b"])
 
 
+def _overlaps(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many shingles a set shares with each of some others."""
+    every = np.concatenate(others)
+    at = np.minimum(np.searchsorted(own, every), len(own) - 1)
+    return np.add.reduceat(own[at] == every, np.concatenate(([0], np.cumsum([len(o) for o in others])[:-1])))
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Members outside the largest component of a bucket against a chunk of all its members (rows come sorted by bucket
-    and chunk). Pairs of one component are settled."""
-    held: list[list[np.ndarray]] = []
+    and chunk). Pairs of one component are settled, a pair is looked at in the first band it shares only, and one link
+    to a component is enough; what the registers allow is verified on the full sets, the likeliest first."""
+    held: list[tuple] = []
     key = None
 
     def compare() -> Iterator[pa.RecordBatch]:
-        minor, ids, comp, n, sketch = (np.concatenate([h[i] for h in held]) for i in range(5))
+        minor, ids, comp, n = (np.concatenate([h[i] for h in held]) for i in range(4))
+        sketch = np.concatenate([h[4] for h in held])
+        sets = [v for h in held for v in h[5]]
         held.clear()
         a, b = np.flatnonzero(minor), np.flatnonzero(~minor)
-        step = max(1, (1 << 18) // max(1, len(b)))
-        for lo in range(0, len(a), step):
-            x, y = (v.ravel() for v in np.meshgrid(a[lo : lo + step], b, indexing="ij"))
-            near = (comp[x] != comp[y]) & (100 * np.minimum(n[x], n[y]) >= PERCENT * np.maximum(n[x], n[y]))
-            x, y = x[near], y[near]
-            for at in range(0, len(x), 1 << 14):
-                i, j = x[at : at + (1 << 14)], y[at : at + (1 << 14)]
-                equal = (sketch[i] == sketch[j]).sum(axis=1)
-                maybe = equal >= 0.55 * len(FACTOR)  # beyond six deviations
-                i, j = i[maybe], j[maybe]
-                if len(i):
-                    good = _compare(sketch[i], sketch[j], n[i], n[j])
-                    i, j = ids[i[good]], ids[j[good]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(i, j)), pa.array(np.minimum(i, j))], names=["a", "b"])
+        found: list[tuple[int, int]] = []
+        for i in a.tolist():
+            j = b[(comp[b] != comp[i]) & (100 * np.minimum(n[i], n[b]) >= PERCENT * np.maximum(n[i], n[b]))]
+            equal = (sketch[j] == sketch[i]).sum(axis=1)
+            maybe = equal >= 0.55 * len(FACTOR)  # beyond six deviations
+            j, equal = j[maybe], equal[maybe]
+            if not len(j):
+                continue
+            bands = (sketch[j].reshape(-1, BANDS, ROWS) == sketch[i].reshape(BANDS, ROWS)).all(axis=2)
+            own = bands.argmax(axis=1) == key[0]
+            j, equal = j[own], equal[own]
+            good = likely(equal, (sketch[i] > sketch[j]).sum(axis=1), np.full(len(j), n[i]), n[j]) if len(j) else own[:0]
+            j = j[good][np.argsort(-equal[good], kind="stable")]
+            mine = np.frombuffer(sets[i], np.uint64)
+            linked: set[int] = set()
+            for lo in range(0, len(j), 128):
+                some = [k for k in j[lo : lo + 128].tolist() if comp[k] not in linked]
+                if some:
+                    both = _overlaps(mine, [np.frombuffer(sets[k], np.uint64) for k in some])
+                    for k in np.array(some)[100 * both >= PERCENT * (n[i] + n[some] - both)].tolist():
+                        if comp[k] not in linked:
+                            linked.add(int(comp[k]))
+                            found.append((int(ids[i]), int(ids[k])))
+        if found:
+            x, y = np.array(found).T
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["a", "b"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -153,12 +175,13 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = np.stack([batch.column(i).to_numpy() for i in range(4)], axis=1)
         cut = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1))))
         sketch = np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint16).reshape(-1, len(FACTOR))
-        cols = [batch.column(4).to_numpy(zero_copy_only=False), *[batch.column(i).to_numpy() for i in (5, 6, 7)], sketch]
+        sets = batch.column(9).to_pylist()
+        cols = [batch.column(4).to_numpy(zero_copy_only=False), *[batch.column(i).to_numpy() for i in (5, 6, 7)], sketch, sets]
         for lo, hi in zip(cut, [*cut[1:], batch.num_rows]):
             if held and tuple(keys[lo]) != key:
                 yield from compare()
             key = tuple(keys[lo])
-            held.append([c[lo:hi] for c in cols])
+            held.append(tuple(c[lo:hi] for c in cols))
     if held:
         yield from compare()
 
@@ -182,11 +205,15 @@ def _sets(width: int):
     return work
 
 
+def _full_sets(wanted: DataFrame, classes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """id, shingles of the ``wanted`` classes. Only their texts are read again."""
+    rows = classes.join(wanted.distinct(), "id").select("id", "_row")
+    return stage(texts.join(rows, "_row").select("id", "text").mapInArrow(_sets(width), "id long, shingles binary"), "sets")
+
+
 def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """The pairs of classes whose full sets are similar enough. Only the texts of classes in a pair are read again."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    rows = classes.join(wanted, "id").select("id", "_row")
-    sets = stage(texts.join(rows, "_row").select("id", "text").mapInArrow(_sets(width), "id long, shingles binary"), "sets")
+    """The pairs of classes whose full sets are similar enough."""
+    sets = _full_sets(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), classes, texts, width)
     left, right = sets.toDF("a", "x"), sets.toDF("b", "y")
     full = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
     return stage(full.mapInArrow(_verify, "a long, b long"), "links")
@@ -224,23 +251,27 @@ def near_rows(texts: DataFrame, width: int = SHINGLE) -> DataFrame:
 
     member = shared.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     member = stage(member.where("size > 2"), "members")  # two have met already
-    counts = member.groupBy("band", "h", "component").agg(F.count("*").alias("n"))
-    top = F.max(F.struct("n", "component")).alias("t")
-    major = counts.groupBy("band", "h").agg(F.count("*").alias("parts"), top).where("parts > 1")
-    major = stage(major.select("band", "h", F.col("t.component").alias("major"), F.col("t.n").alias("in_major")), "open-buckets")
-    open_ = member.join(major, ["band", "h"]).join(classes.select("id", "n_shingles", "sketch"), "id")
-    chunks = F.floor((F.col("size") - 1) / CHUNK).cast("int")
-    minors = F.floor((F.col("size") - F.col("in_major") - 1) / MINOR).cast("int")
+    member = stage(member.join(classes.select("id", "n_shingles"), "id"), "sized-members")
+    counts = member.groupBy("band", "h", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("all"))
+    top = F.max(F.struct("n", "component", "all")).alias("t")
+    major = counts.groupBy("band", "h").agg(F.count("*").alias("parts"), F.sum("all").alias("all"), top).where("parts > 1")
+    chunks = F.floor(F.col("all") / CHUNK).cast("int").alias("chunks")
+    minors = F.floor((F.col("all") - F.col("t.all")) / MINOR).cast("int").alias("minors")
+    major = stage(major.select("band", "h", F.col("t.component").alias("major"), chunks, minors), "open-buckets")
+    open_ = stage(member.join(major, ["band", "h"]), "open-members")
+    facts = classes.select("id", "sketch").join(_full_sets(open_.select("id"), classes, texts, width), "id")
+    open_ = open_.join(facts, "id")
     own = F.xxhash64("id", F.lit(1))
-    columns = ["band", "h", "chunk", "block", "minor", "id", "component", "n_shingles", "sketch"]
-    all_ = open_.select("*", F.pmod(own, chunks + 1).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), minors)).alias("block"), F.lit(False).alias("minor"))
+    columns = ["band", "h", "chunk", "block", "minor", "id", "component", "n_shingles", "sketch", "shingles"]
+    all_ = open_.select(
+        "*", F.pmod(own, F.col("chunks") + 1).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), "minors")).alias("block"), F.lit(False).alias("minor")
+    )
     few = open_.where("component <> major").select(
-        "*", F.explode(F.sequence(F.lit(0), chunks)).alias("chunk"), F.pmod(own, minors + 1).cast("int").alias("block"), F.lit(True).alias("minor")
+        "*", F.explode(F.sequence(F.lit(0), "chunks")).alias("chunk"), F.pmod(own, F.col("minors") + 1).cast("int").alias("block"), F.lit(True).alias("minor")
     )
     keys = ["band", "h", "chunk", "block"]
     met = all_.select(*columns).unionByName(few.select(*columns)).repartition(*keys).sortWithinPartitions(*keys)
-    more = met.mapInArrow(_meet, "a long, b long").distinct()
-    links = links.unionByName(_confirmed(stage(more, "more-pairs"), classes, texts, width))
+    links = links.unionByName(stage(met.mapInArrow(_meet, "a long, b long").distinct(), "more-links"))
     found = stage(components(links), "components")
 
     ids = texts.select("_row", "doc_id")
