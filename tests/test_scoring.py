@@ -5,6 +5,8 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from weaksift.lexicons import DOMAIN
+from weaksift.operators import history as H
 from weaksift.operators import quality as Q
 from weaksift.operators import signals as S
 from weaksift.plans import evidence as E
@@ -148,3 +150,32 @@ def test_run_evidence_adds_up(spark):
     assert volume.evidence_rows == run["evidence_rows"].count() > 0
     assert sum(r.evidence_count for r in run["category_summaries"].collect()) == volume.evidence_rows
     assert run["memo"].where("ord = 0").count() == 7
+
+
+def test_a_run_is_saved_and_read_back_as_it_is(spark, tmp_path):
+    root = str(tmp_path / "store")
+    log = spark.createDataFrame([("s", "q", 1, 5, 4, True), ("s", "q", 2, 5, 4, False)], E.PAGE_LOG)
+    first = E.run_evidence(items(spark, PHRASES), "run-1", batch_size=5, created_at="2026-01-01", pages=log)
+    H.save_run(first, root)
+    H.save_run(E.run_evidence(items(spark, PHRASES[:4]), "run-2", resume_from="run-1", created_at="2026-01-02"), root)
+    H.save_run(E.run_evidence(items(spark, PHRASES[:3]), "run-2", resume_from="run-1", created_at="2026-01-03"), root)
+    stored = {name: H.read_table(spark, root, name) for name in H.TABLE_KEYS}
+    assert [(r.run_id, r.generated_at_utc) for r in H.list_runs(stored["runs"]).collect()] == [("run-2", "2026-01-03"), ("run-1", "2026-01-01")]
+    assert stored["raw_items"].where("run_id = 'run-2'").count() == 3
+    assert stored["evidence_rows"].where("run_id = 'run-1'").count() == first["evidence_rows"].count() > 0
+    chain = H.chain_runs(H.lineage(stored["runs"], "run-2"))
+    counts = {r["name"]: r["n"] for r in H.table_counts(stored, chain).collect()}
+    assert counts["raw_items"] == len(PHRASES) + 3 and counts["collection_pages"] == 2 and counts["processing_batches"] >= 2
+    assert stored["collection_states"].first().completed
+
+
+def test_a_users_own_category_and_bucket_are_kept(spark):
+    lexicon = DOMAIN | {"signal.my_cat": ["invoice", "manual", "spreadsheet"], "bucket.my_bucket": ["manual", "spreadsheet", "invoice"]}
+    run = E.run_evidence(items(spark, PHRASES), "run-1", lexicon=lexicon)
+    found = run["evidence_rows"].where("category = 'my_cat'")
+    assert found.count() > 0 and found.first().category_title == "my_cat"
+    summary = {r.category: r for r in run["category_summaries"].collect()}
+    assert summary["my_cat"].evidence_count == found.count() and summary["my_cat"].title == "my_cat" and len(summary) == 8
+    assert {r.section for r in run["memo"].where("title = 'my_cat'").collect()} == {13}
+    labels = {r.bucket: r.label for r in run["clusters"].collect()}
+    assert labels.get("my_bucket", "my_bucket") == "my_bucket" and None not in labels.values()

@@ -63,6 +63,7 @@ def save_table(rows: DataFrame, root: str, name: str, run_ids: list[str] | None
     _clear_runs(rows.sparkSession, f"{root}/{name}", run_ids)
     partitions = RAW_PARTITIONS if name == "raw_items" else ["run_id"]
     rows.write.mode("append").partitionBy(*partitions).parquet(f"{root}/{name}")
+    rows.limit(0).coalesce(1).write.mode("overwrite").parquet(f"{root}/_schemas/{name}")  # a table without rows has none
 
 
 def save_run(
@@ -86,7 +87,7 @@ def append_artifacts(rows: DataFrame, root: str, arrival: str = "created_at") ->
     spark = rows.sparkSession
     merged = rows
     try:
-        stored = spark.read.parquet(f"{root}/model_artifacts")
+        stored = read_table(spark, root, "model_artifacts")
     except Exception as error:  # no such table yet
         if "PATH_NOT_FOUND" not in str(error):
             raise
@@ -97,7 +98,9 @@ def append_artifacts(rows: DataFrame, root: str, arrival: str = "created_at") ->
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{name}")
+    """A stored table; one that no run has rows for is empty."""
+    schema = spark.read.parquet(f"{root}/_schemas/{name}").schema
+    return spark.read.schema(schema).parquet(f"{root}/{name}")
 
 
 # -- lineage -----------------------------------------------------------------------------------

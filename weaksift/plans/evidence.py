@@ -14,11 +14,14 @@ from weaksift.operators import relevance as R
 from weaksift.operators import signals as S
 from weaksift.operators import summaries as U
 from weaksift.operators import vectors as V
+from weaksift.operators.history import collection_state
 from weaksift.operators.numbering import batch_of, dense_positions
 from weaksift.operators.scan import clean_items, scan_items
 from weaksift.plans.stages import stage
+from weaksift.sources.raw_items import source_counts
 
 BATCH_SIZE = 500
+PAGE_LOG = "source string, query string, page_number long, raw_count long, item_count long, has_more boolean"
 
 # Model names of the artifact records.
 CLASSIFIER = ("heuristic-signal-classifier", "v1")
@@ -38,14 +41,12 @@ def assess_items(raw: DataFrame, batch_size: int = BATCH_SIZE, lexicon=DOMAIN) -
 
 
 def prepare_items(assessed: DataFrame, lexicon=DOMAIN) -> DataFrame:
-    """Kept items scored for relevance and tagged, then numbered in source order (also those that
-    relevance sets aside, so the batch size never changes an id). ``assessed`` is a stage table;
-    scoring needs no shuffle, and the numbers are counted on the key alone."""
-    kept = assessed.where("kept")
-    scored = L.tag_items(
-        R.score_relevance(kept.drop("kept", "exclude_reasons", "opening", "has_sentence_mark"), lexicon), lexicon
-    )
-    return dense_positions(scored, "source_index", "item_no", counted=kept).withColumn(
+    """Kept items numbered in source order (also those that relevance sets aside, so the batch size never
+    changes an id), then scored for relevance and tagged. ``assessed`` is a stage table; scoring needs no
+    shuffle. The numbers come first: a join above the scores would have Spark reason about all of them."""
+    kept = dense_positions(assessed.where("kept"), "source_index", "item_no")
+    scored = R.score_relevance(kept.drop("kept", "exclude_reasons", "opening", "has_sentence_mark"), lexicon)
+    return L.tag_items(scored, lexicon).withColumn(
         "item_id", F.concat(F.coalesce("source_type", F.lit("source")), F.lit("-"), F.col("item_no").cast("string"))
     )
 
@@ -101,9 +102,17 @@ def run_evidence(
     lexicon=DOMAIN,
     vectors=None,
     created_at: str = "",
+    resume_from: str = "",
+    theme: str = "",
+    pages: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """One run over raw items with ``source_index``. The text is read twice in all: once by the
-    scan, once by the vectors; every other step reads the staged tables."""
+    scan, once by the vectors; every other step reads the staged tables.
+
+    Every table of ``history.TABLE_KEYS`` is in the result, with ``run_id``, so ``history.save_run``
+    takes it as it is; what else is there is a view of them. ``created_at`` is the time of the run,
+    ``resume_from`` the run it goes on from, ``pages`` the page log of its collectors, if any.
+    """
     assessed = stage(assess_items(raw.withColumn("run_id", F.lit(run_id)), batch_size, lexicon), "assessed")
     prepared = stage(prepare_items(assessed, lexicon), "prepared")
     items = relevant(prepared)
@@ -119,19 +128,38 @@ def run_evidence(
     artifacts = classification_artifacts(items, created_at).unionByName(
         embedding_artifacts(items, created_at)
     ).unionByName(cluster_artifacts(rollup, run_id, created_at))
+    own = lambda rows: rows.withColumn("run_id", F.lit(run_id))
+    pages = raw.sparkSession.createDataFrame([], PAGE_LOG) if pages is None else pages
+    diagnostics = source_counts(raw).select(
+        F.col("source_type").alias("source_key"), F.to_json(F.struct("items", "fallback_items")).alias("diagnostics_json")
+    )
+    run_row = volume.select(
+        F.lit(run_id).alias("run_id"),
+        F.lit(created_at).alias("generated_at_utc"),
+        F.lit(theme).alias("venture_category"),
+        F.lit(resume_from).alias("resume_from_run_id"),
+        "total_items_analyzed",
+        "evidence_rows",
+        "demo_fallback_items",
+    )
     return {
+        "runs": run_row,
+        "collector_diagnostics": own(diagnostics),
+        "raw_items": own(raw),
+        "collection_pages": own(pages),
+        "collection_states": own(collection_state(pages)),
         "assessed": assessed,
         "prepared_items": items,
         "relevance_excluded_items": prepared.where("exclude_for_relevance"),
-        "excluded_items": Q.excluded_log(assessed),
+        "excluded_items": own(Q.excluded_log(assessed)),
         "filtering_summary": Q.filtering_summary(assessed),
         "exclusion_reasons": Q.reason_histogram(assessed.where(~F.col("kept")), "exclude_reasons"),
         "relevance_summary": R.relevance_summary(prepared),
-        "processing_batches": U.batch_summary(judged),
+        "processing_batches": own(U.batch_summary(judged)),
         "members": members,
         "clusters": rollup,
         "evidence_rows": evidence,
-        "category_summaries": summary,
+        "category_summaries": own(summary),
         "volume": volume,
         "uncertainty_notes": U.uncertainty_notes(volume),
         "implication_notes": U.implication_notes(summary),
