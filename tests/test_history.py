@@ -199,16 +199,18 @@ def test_discussion_pages(spark, tmp_path):
     assert items["1"].author == "unknown" and items["3"].author == "me"
     log = {r.page_number: r for r in I.discussion_page_log(pages).collect()}
     assert (log[0].raw_count, log[0].item_count, log[0].has_more) == (3, 2, True)
-    assert (log[1].raw_count, log[1].has_more) == (0, False)
+    assert (log[1].raw_count, log[1].has_more, log[1].request_params) == (0, False, {})
 
 
 def test_question_pages(spark, tmp_path):
     path = tmp_path / "pages"
     path.mkdir()
     (path / "p.json").write_text(
-        '{"query": "q", "page_number": 1, "items": [{"question_id": 5, "title": "A &amp; B", "body": "<p>x</p>\\ny", "tags": ["a", "b"], '
+        '{"query": "q", "page_number": 1, "request_params": {"tagged": "x", "page": "1"}, "items": [{"question_id": 5, "title": "A &amp; B", "body": "<p>x</p>\\ny", "tags": ["a", "b"], '
         '"score": 0, "creation_date": 86400}, {"title": "no id"}], "has_more": true}\n'
     )
+    log = I.question_page_log(I.read_question_pages(spark, str(path))).first()
+    assert log.request_params == {"tagged": "x", "page": "1"} and log.has_more
     rows = {r.source_id: r for r in I.question_items(I.read_question_pages(spark, str(path))).collect()}
     assert rows["5"].text == "A & B. x y" and rows["5"].rating == "0" and rows["5"].reviewed_product == "a, b"
     assert rows["5"].created_at == "1970-01-02T00:00:00+00:00"

@@ -18,11 +18,6 @@ from weaksift.functions import matching as M
 from weaksift.functions import text as T
 from weaksift.lexicons import DOMAIN, all_terms
 
-try:
-    import ahocorasick
-except ImportError:
-    ahocorasick = None
-
 LINK = "https?://|www\\."
 
 SCAN_COLUMNS = [
@@ -48,7 +43,7 @@ def scan_items(items: DataFrame, lexicon: dict[str, list[str]] = DOMAIN, builtin
 
     The search for all terms at once is an automaton run in Arrow batches: one step per
     character, where built-in functions need one pass per term. ``builtin`` picks those
-    instead (same result; also used where the automaton library is missing).
+    instead (same result, without the automaton library).
     """
     terms = all_terms(lexicon)
     reach = max((len(term) for term in terms), default=1)
@@ -64,7 +59,7 @@ def scan_items(items: DataFrame, lexicon: dict[str, list[str]] = DOMAIN, builtin
             }
         )
     )
-    find = _find_builtin if builtin or ahocorasick is None else _find_by_automaton
+    find = _find_builtin if builtin else _find_by_automaton
     found = find(texts, terms).withColumns(
         {
             "link_count": F.size(F.regexp_extract_all(F.col("_text"), F.lit(LINK), F.lit(0))),

@@ -111,11 +111,15 @@ def discussion_page_items(t: Tables) -> DataFrame:
     O.with_(_TURN_PAGES)
     + f"""SELECT {O.lit(I.DISCUSSION_PAGE_SOURCE)} AS source, 'conv-' || conv_id AS query, page AS page_number,
       'https://pages.example/' || conv_id || '?page=' || page AS request_url, count(*) AS raw_count,
-      count(*) FILTER (trim(text) <> '') AS item_count, page + 1 < max(nb) AS has_more
+      count(*) FILTER (trim(text) <> '') AS item_count, page + 1 < max(nb) AS has_more, page::VARCHAR AS asked_page
     FROM turns GROUP BY conv_id, page""",
 )
 def discussion_page_log(t: Tables) -> DataFrame:
-    return I.discussion_page_log(t.discussion_pages).withColumn("page_number", whole("page_number"))
+    return _asked(I.discussion_page_log(t.discussion_pages)).withColumn("page_number", whole("page_number"))
+
+
+def _asked(log: DataFrame) -> DataFrame:
+    return log.withColumn("asked_page", F.col("request_params")["page"]).drop("request_params")
 
 
 def _entities(column: str) -> str:
@@ -148,10 +152,11 @@ def question_page_items(t: Tables) -> DataFrame:
 @query(
     "question_page_log",
     f"""SELECT {O.lit(I.QUESTION_PAGE_SOURCE)} AS source, 'html pages' AS query, page_id // 10 AS page_number,
-    '' AS request_url, count(*) AS raw_count, count(*) AS item_count, true AS has_more FROM pages GROUP BY page_id // 10""",
+    '' AS request_url, count(*) AS raw_count, count(*) AS item_count, page_id // 10 % 3 < 2 AS has_more,
+    (page_id // 10)::VARCHAR AS asked_page FROM pages GROUP BY page_id // 10""",
 )
 def question_page_log(t: Tables) -> DataFrame:
-    return I.question_page_log(t.question_pages).withColumn("page_number", whole("page_number"))
+    return _asked(I.question_page_log(t.question_pages)).withColumn("page_number", whole("page_number"))
 
 
 @query(
@@ -284,7 +289,7 @@ def substring_hits(t: Tables) -> DataFrame:
 def word_hits(t: Tables) -> DataFrame:
     lowered = spread(t.read("documents")).select("doc_id", F.lower("text").alias("low"))
     terms = list(dict.fromkeys(CORPUS_WORDS))
-    found = lowered.withColumn("found", M.text_finder(terms)("low")["words"])
+    found = lowered.withColumn("found", M.hits_by_word_rule(F.col("low"), terms))
     return found.select("doc_id", F.array_join(M.pick(F.col("found"), CORPUS_WORDS), ",").alias("hits"))
 
 

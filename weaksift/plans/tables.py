@@ -178,6 +178,7 @@ class Tables:
                 F.concat(F.lit("conv-"), "conv_id").alias("query"),
                 F.col("page").alias("page_number"),
                 F.concat(F.lit("https://pages.example/"), "conv_id", F.lit("?page="), "page").alias("request_url"),
+                F.create_map(F.lit("page"), F.col("page").cast("string")).alias("request_params"),
                 "hits",
                 "nbPages",
             )
@@ -206,7 +207,13 @@ class Tables:
             self.read("pages")
             .groupBy(page.alias("page_number"))  # at most QUESTIONS_PER_PAGE questions
             .agg(F.array_sort(F.collect_list(question)).alias("items"))
-            .select(F.lit("html pages").alias("query"), "page_number", "items", F.lit(True).alias("has_more"))
+            .select(
+                F.lit("html pages").alias("query"),
+                "page_number",
+                F.create_map(F.lit("page"), F.col("page_number").cast("string")).alias("request_params"),
+                "items",
+                (F.col("page_number") % 3 < 2).alias("has_more"),
+            )
         )
         path = new_path(self.spark, "question-pages")
         pages.write.json(path)

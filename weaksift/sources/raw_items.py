@@ -27,7 +27,7 @@ DISCUSSION_HIT = (
     "struct<objectID:string,story_id:string,parent_id:string,story_title:string,author:string,"
     "created_at:string,comment_text:string>"
 )
-DISCUSSION_PAGE = f"query string, page_number int, request_url string, hits array<{DISCUSSION_HIT}>, nbPages int"
+DISCUSSION_PAGE = f"query string, page_number int, request_url string, request_params map<string,string>, hits array<{DISCUSSION_HIT}>, nbPages int"
 
 QUESTION = (
     "struct<question_id:bigint,title:string,body:string,link:string,"
@@ -152,6 +152,11 @@ def question_items(pages: DataFrame, product_theme: str = "", collected_at: str
     return with_defaults(rows.where(F.regexp_replace("text", X.SPACE, "") != ""))
 
 
+def _request_params() -> Column:
+    """What a page was asked for with, as stored with it."""
+    return F.coalesce("request_params", F.create_map().cast("map<string,string>")).alias("request_params")
+
+
 def discussion_page_log(pages: DataFrame) -> DataFrame:
     """Counts of each page without its items. More pages follow while the page has hits and is
     not the last of ``nbPages`` (unknown: this page is the last)."""
@@ -162,6 +167,7 @@ def discussion_page_log(pages: DataFrame) -> DataFrame:
         "query",
         "page_number",
         F.coalesce("request_url", F.lit("")).alias("request_url"),
+        _request_params(),
         raw_count.cast("long").alias("raw_count"),
         F.size(usable).cast("long").alias("item_count"),
         (
@@ -178,6 +184,7 @@ def question_page_log(pages: DataFrame) -> DataFrame:
         "query",
         "page_number",
         F.lit("").alias("request_url"),
+        _request_params(),
         raw_count.cast("long").alias("raw_count"),
         raw_count.cast("long").alias("item_count"),
         (F.coalesce("has_more", F.lit(False)) & (raw_count > 0)).alias("has_more"),
