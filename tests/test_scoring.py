@@ -9,6 +9,7 @@ from weaksift.lexicons import DOMAIN
 from weaksift.operators import history as H
 from weaksift.operators import quality as Q
 from weaksift.operators import signals as S
+from weaksift.operators import vectors as V
 from weaksift.plans import evidence as E
 from weaksift.plans.seeded import PHRASES
 from weaksift.plans.stages import stage
@@ -179,3 +180,26 @@ def test_a_users_own_category_and_bucket_are_kept(spark):
     assert {r.section for r in run["memo"].where("title = 'my_cat'").collect()} == {13}
     labels = {r.bucket: r.label for r in run["clusters"].collect()}
     assert labels.get("my_bucket", "my_bucket") == "my_bucket" and None not in labels.values()
+
+
+def test_artifacts_tell_the_backend_and_the_grouping(spark):
+    import json
+
+    import numpy as np
+
+    function = V.backend("function", identifier="lengths", encode=lambda texts: np.array([[len(t), 1.0] for t in texts]))
+    for backend, dimensions in ((V.backend("hashing"), 64), (function, 2)):
+        run = E.run_evidence(items(spark, PHRASES), "run-1", vectors=backend)
+        found = run["model_artifacts"].collect()
+        embedding = [r for r in found if r.artifact_type == "embedding"]
+        assert len(embedding) == run["prepared_items"].count() > 0
+        assert {(r.model_name, r.model_version) for r in embedding} == {(backend.model, "v1")}
+        payload = json.loads(embedding[0].artifact)
+        assert payload["dimensions"] == dimensions and payload["source_text_fields"] == V.SOURCE_TEXT_FIELDS
+        assert payload["embedding_type"] == ("sparse_hashing" if dimensions == 64 else "dense_transformer")
+        for r in (r for r in found if r.artifact_type == "evidence_cluster"):
+            cluster = json.loads(r.artifact)
+            assert cluster["embedding_model"] == backend.label and cluster["grouping_basis"] == backend.basis
+            assert cluster["embedding_dimensions"] == dimensions and cluster["similarity_threshold"] == 0.12
+            first = cluster["member_similarity_to_representative"][0]
+            assert first["item_id"] == cluster["representative_item_ids"][0] and len(cluster["member_similarity_to_representative"]) <= 10

@@ -16,7 +16,7 @@ from weaksift.lexicons import BUCKET_LABELS, BUCKET_OPPORTUNITIES
 from weaksift.operators.components import connected_items
 from weaksift.operators.labels import member_fingerprint
 from weaksift.operators.numbering import global_rank
-from weaksift.operators.vectors import cosine, round_half_up, tokens, top_terms
+from weaksift.operators.vectors import HASHED, cosine, round_half_up, tokens, top_terms
 from weaksift.plans.stages import stage
 
 DEFAULT_THRESHOLD = 0.12
@@ -25,8 +25,8 @@ SIMILARITIES = 10
 
 # Model names and grouping notes of the artifact records.
 CLUSTERER = ("heuristic-evidence-clusterer", "v2")
-HASHED_MODEL = "hashed-text-embedding@v1"
-HASHED_BASIS = "pain mechanism candidate buckets plus hashed embedding cosine connected components"
+HASHED_MODEL = f"{HASHED[0]}@{HASHED[1]}"
+HASHED_BASIS = HASHED[2]
 
 CLUSTER = ["threshold", "bucket", "cluster_index", "cluster_id"]
 
@@ -86,6 +86,23 @@ def member_similarity(members: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
+def with_grouping(rollup: DataFrame, similarity: DataFrame, model: str, basis: str, dimensions: int) -> DataFrame:
+    """The roll-up with what its clusters were made by, for their artifacts. ``similarity``: the rows of
+    ``member_similarity``, ten a cluster at most."""
+    entry = F.struct("item_id", "similarity").alias("entry")
+    listed = similarity.groupBy("threshold", "cluster_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("place", entry))), lambda e: e["entry"]).alias("member_similarity_to_representative")
+    )
+    return rollup.join(listed, ["threshold", "cluster_id"], "left").select(
+        *rollup.columns,
+        "member_similarity_to_representative",
+        F.col("threshold").alias("similarity_threshold"),
+        F.lit(model).alias("embedding_model"),
+        F.lit(dimensions).alias("embedding_dimensions"),
+        F.lit(basis).alias("grouping_basis"),
+    )
+
+
 def cluster_rollup(members: DataFrame, items: DataFrame) -> DataFrame:
     """One row per cluster. ``items`` are the tagged items with ``vector`` and ``batch_index``."""
     # What a branch needs of the text is derived before the join, so the text itself never moves.

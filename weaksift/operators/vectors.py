@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable
+from dataclasses import dataclass
 from heapq import nsmallest
 
 import numpy as np
@@ -17,6 +18,16 @@ from pyspark.sql.window import Window as W
 from weaksift.functions import text as T
 from weaksift.lexicons import STOP_WORDS
 
+# Model name, version and grouping note of the artifact records, and the fields of an item's text.
+HASHED = (
+    "hashed-text-embedding", "v1", "pain mechanism candidate buckets plus hashed embedding cosine connected components",
+)
+DENSE = (
+    "sentence-transformer-embedding", "v1",
+    "pain mechanism candidate buckets plus transformer embedding cosine connected components",
+)
+SOURCE_TEXT_FIELDS = ["title", "clean_text", "relevance_reasons", "quality_reasons"]
+
 DIMENSIONS = 64
 TOKEN = "[a-z][a-z0-9-]{2,}"
 TOP_TERMS = 8
@@ -101,9 +112,29 @@ def embedding_payload(items: DataFrame, dimensions: int = DIMENSIONS) -> DataFra
         F.col("_entries.value").alias("values"),
         "top_terms",
         "token_count",
+        _text_fields(),
     )
 
 
+def dense_payload(items: DataFrame, identifier: str) -> DataFrame:
+    """The whole vector of items that have one, with their top terms and token count."""
+    counted = items.withColumn("_tokens", tokens())
+    return counted.select(
+        *items.columns,
+        F.lit("dense_transformer").alias("embedding_type"),
+        F.size("vector").alias("dimensions"),
+        F.transform("vector", lambda v: round_half_up(v, 6)).alias("values"),
+        _most_frequent("_tokens").alias("top_terms"),
+        F.size("_tokens").cast("long").alias("token_count"),
+        F.lit(identifier).alias("model_identifier"),
+        _text_fields(),
+    )
+
+
+def _text_fields() -> Column:
+    return F.array(*[F.lit(f) for f in SOURCE_TEXT_FIELDS]).alias("source_text_fields")
+
+
 def top_terms(rows: DataFrame, keys: list[str], how_many: int = TOP_TERMS) -> DataFrame:
     """``top_terms`` per group of rows with ``tokens``, by (-count, term). Counts are
     pre-aggregated before the shuffle and only the leading terms of each task reach the rank."""
@@ -138,15 +169,42 @@ def user_vectors(encode: Callable[[list[str]], np.ndarray]) -> Callable[[DataFra
     return lambda items: items.withColumn("vector", encoded(item_text()))
 
 
-def backend(name: str, **options) -> Callable[[DataFrame], DataFrame]:
-    """Backend by name: ``hashing``, ``table`` or ``function``."""
+@dataclass(frozen=True)
+class Backend:
+    """What makes vectors of items, and what is told of it in artifacts. ``payload`` adds the columns of an
+    embedding record to items that have their ``vector``."""
+
+    encode: Callable[[DataFrame], DataFrame]
+    model: str
+    version: str
+    basis: str
+    payload: Callable[[DataFrame], DataFrame]
+    payload_fields: tuple[str, ...]
+    identifier: str = ""
+
+    def __call__(self, items: DataFrame) -> DataFrame:
+        return self.encode(items)
+
+    @property
+    def label(self) -> str:
+        return f"{self.model}@{self.version}" + (f":{self.identifier}" if self.identifier else "")
+
+
+def backend(name: str, identifier: str = "", **options) -> Backend:
+    """Backend by name: ``hashing``, ``table`` or ``function``; ``identifier`` names the model behind a
+    table or function."""
     if name == "hashing":
-        return lambda items: hashed_vectors(items, **options)
-    if name == "table":
-        return table_vectors(**options)
-    if name == "function":
-        return user_vectors(**options)
-    raise ValueError(f"unsupported vector backend: {name}")
+        dimensions = options.get("dimensions", DIMENSIONS)
+        fields = ("embedding_type", "dimensions", "nonzero_indices", "values", "top_terms", "token_count", "source_text_fields")
+        return Backend(
+            lambda items: hashed_vectors(items, **options), *HASHED, lambda items: embedding_payload(items, dimensions), fields
+        )
+    encoders = {"table": table_vectors, "function": user_vectors}
+    if name not in encoders:
+        raise ValueError(f"unsupported vector backend: {name}")
+    fields = ("embedding_type", "dimensions", "values", "top_terms", "token_count", "model_identifier", "source_text_fields")
+    shown = identifier or name
+    return Backend(encoders[name](**options), *DENSE, lambda items: dense_payload(items, shown), fields, shown)
 
 
 def cosine(left: Column, right: Column) -> Column:

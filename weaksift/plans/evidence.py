@@ -25,7 +25,7 @@ PAGE_LOG = "source string, query string, page_number long, raw_count long, item_
 
 # Model names of the artifact records.
 CLASSIFIER = ("heuristic-signal-classifier", "v1")
-EMBEDDER = ("hashed-text-embedding", "v1")
+EMBEDDER = V.HASHED[:2]
 
 ARTIFACT_COLUMNS = [
     "run_id", "batch_index", "item_id", "source_id", "artifact_type", "model_name", "model_version",
@@ -66,11 +66,13 @@ def classification_artifacts(items: DataFrame, created_at: str = "") -> DataFram
     return _artifacts(items, "classification", CLASSIFIER, L.item_fingerprint(), payload, created_at)
 
 
-def embedding_artifacts(items: DataFrame, created_at: str = "") -> DataFrame:
-    payload = F.to_json(
-        F.struct("embedding_type", "dimensions", "nonzero_indices", "values", "top_terms", "token_count")
+def embedding_artifacts(items: DataFrame, created_at: str = "", backend: V.Backend | None = None) -> DataFrame:
+    """``items`` need their ``vector`` for a backend other than hashing."""
+    backend = backend or V.backend("hashing")
+    payload = F.to_json(F.struct(*backend.payload_fields))
+    return _artifacts(
+        backend.payload(items), "embedding", (backend.model, backend.version), L.item_fingerprint(), payload, created_at
     )
-    return _artifacts(V.embedding_payload(items), "embedding", EMBEDDER, L.item_fingerprint(), payload, created_at)
 
 
 def cluster_artifacts(rollup: DataFrame, run_id: str, created_at: str = "") -> DataFrame:
@@ -116,9 +118,14 @@ def run_evidence(
     assessed = stage(assess_items(raw.withColumn("run_id", F.lit(run_id)), batch_size, lexicon), "assessed")
     prepared = stage(prepare_items(assessed, lexicon), "prepared")
     items = relevant(prepared)
-    with_vectors = (vectors or V.backend("hashing"))(items)
-    members = stage(C.assign_clusters(with_vectors, [threshold]), "clusters")  # stages the vectors without the text
+    backend = vectors or V.backend("hashing")
+    columns = ["item_no", "item_id", "bucket", "relevance_score", "vector"]
+    narrow = stage(backend(items).select(*columns), "vectors")  # the text stays where it is
+    members = stage(C.assign_clusters(narrow, [threshold]), "clusters")
     rollup = stage(C.cluster_rollup(members, items), "rollup")
+    dimensions = narrow.agg(F.max(F.size("vector"))).first()[0] or 0
+    grouped = C.with_grouping(rollup, C.member_similarity(members, narrow), backend.label, backend.basis, dimensions)
+    embedded = items if backend.model == V.HASHED[0] else items.join(narrow.select("item_id", "vector"), "item_id")
     evidence = stage(S.evidence_rows(items, lexicon), "evidence")
     summary = U.category_summary(evidence)
     volume = U.volume_summary(items, evidence)
@@ -126,8 +133,8 @@ def run_evidence(
         prepared.select("source_index", "exclude_for_relevance"), "source_index", "left"
     )
     artifacts = classification_artifacts(items, created_at).unionByName(
-        embedding_artifacts(items, created_at)
-    ).unionByName(cluster_artifacts(rollup, run_id, created_at))
+        embedding_artifacts(embedded, created_at, backend)
+    ).unionByName(cluster_artifacts(grouped, run_id, created_at))
     own = lambda rows: rows.withColumn("run_id", F.lit(run_id))
     pages = raw.sparkSession.createDataFrame([], PAGE_LOG) if pages is None else pages
     diagnostics = source_counts(raw).select(
