@@ -12,7 +12,7 @@ from weaksift.streaming import jobs as J
 
 def pages(spark):
     hits = [(f"{i}", None, None, title, "me", "", text) for i, (_, _, title, text) in enumerate(PHRASES)]
-    rows = [("q", n, "", hits[n * 4 : n * 4 + 4], 7) for n in range(7)]
+    rows = [("q", n, "", hits[n * 4 : n * 4 + 4], 7, {}) for n in range(7)]
     return spark.createDataFrame(rows, I.DISCUSSION_PAGE)
 
 

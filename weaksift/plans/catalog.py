@@ -1257,7 +1257,8 @@ def stream_scored_items(t: Tables) -> DataFrame:
 
 @query(
     "stream_first_seen",
-    "SELECT md5(text) AS source_id, count(DISTINCT 1) AS times FROM documents GROUP BY 1",
+    """SELECT md5(text) AS source_id, count(DISTINCT 1) AS times FROM documents
+    WHERE text NOT IN (SELECT text FROM documents WHERE doc_id % 9 = 0) GROUP BY 1""",
 )
 def stream_first_seen(t: Tables) -> DataFrame:
     documents = t.read("documents").select(
@@ -1269,7 +1270,8 @@ def stream_first_seen(t: Tables) -> DataFrame:
     source, target = new_path(t.spark, "arrivals"), new_path(t.spark, "first-seen")
     documents.repartition(4).write.parquet(source)
     stream = J.table_stream(documents, source, files_per_batch=1)
-    J.run_first_seen(stream, target, new_path(t.spark, "stream-checkpoint"), "arrival").awaitTermination()
+    earlier = documents.where("arrival % 9 = 0")  # what runs before this one hold
+    J.run_first_seen(stream, target, new_path(t.spark, "stream-checkpoint"), "arrival", earlier).awaitTermination()
     return t.spark.read.parquet(target).groupBy("source_id").agg(F.count("*").alias("times"))
 
 

@@ -27,7 +27,7 @@ DISCUSSION_HIT = (
     "struct<objectID:string,story_id:string,parent_id:string,story_title:string,author:string,"
     "created_at:string,comment_text:string>"
 )
-DISCUSSION_PAGE = f"query string, page_number int, request_url string, request_params map<string,string>, hits array<{DISCUSSION_HIT}>, nbPages int"
+DISCUSSION_PAGE = f"query string, page_number int, request_url string, hits array<{DISCUSSION_HIT}>, nbPages int, request_params map<string,string>"
 
 QUESTION = (
     "struct<question_id:bigint,title:string,body:string,link:string,"

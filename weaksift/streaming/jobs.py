@@ -12,8 +12,12 @@ from weaksift.operators import history as H
 from weaksift.operators import quality as Q
 from weaksift.operators import relevance as R
 from weaksift.operators.scan import clean_items, scan_items
+from weaksift.plans.stages import stage
 from weaksift.sources import raw_items as I
 
+KEY_FOLDERS = 64  # of a batch's stored keys
+STORED_KEYS = "source_name string, source_id string, batch_id long, key_prefix int"
+
 
 def discussion_stream(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
     """Raw items of discussion page files as they land."""
@@ -63,17 +67,20 @@ def run_first_seen(items: DataFrame, target: str, checkpoint: str, order: str, e
     """Items whose (source_name, source_id) neither this stream nor the stored lineage (``earlier``)
     has seen. Exact and without unbounded state: each batch is checked against the stored keys. A
     batch owns the partition of its id and looks only at smaller ids, so a replay after a failure
-    writes the same rows again."""
+    writes the same rows again. Stored keys lie in folders by a prefix of their hash, and a batch
+    reads only the folders of its own keys."""
 
     def take(batch: DataFrame, batch_id: int) -> None:
         fresh = H.last_wins(batch, ["source_name", "source_id"], [F.asc(order)])  # the first by order
         if earlier is not None:
             fresh = H.drop_seen(fresh, earlier)
+        key = [F.coalesce(c, F.lit("")) for c in ("source_name", "source_id")]
+        fresh = stage(fresh.withColumn("key_prefix", F.pmod(F.xxhash64(*key), F.lit(KEY_FOLDERS)).cast("int")), "first-seen")
         if batch_id > 0:
-            spark = batch.sparkSession
-            stored = spark.read.schema("source_name string, source_id string, batch_id long").parquet(target)
-            fresh = H.drop_seen(fresh, stored.where(F.col("batch_id") < batch_id))
-        fresh.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+            prefixes = [r["key_prefix"] for r in fresh.select("key_prefix").distinct().collect()]  # KEY_FOLDERS at most
+            stored = fresh.sparkSession.read.schema(STORED_KEYS).parquet(target)
+            fresh = H.drop_seen(fresh, stored.where((F.col("batch_id") < batch_id) & F.col("key_prefix").isin(prefixes)))
+        fresh.write.mode("overwrite").partitionBy("key_prefix").parquet(f"{target}/batch_id={batch_id}")
 
     return (
         items.writeStream.foreachBatch(take)
