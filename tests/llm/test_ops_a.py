@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 
 from weaksift.llm import exact, language, mixing, packing, secrets
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, name string, h long, level int"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, name string, h long, level int, size string, _row string, _sha int, taken int"
 
 
 def docs(spark, rows):
     """(doc_id, text[, lang, source]) with extra columns whose names the operators use inside."""
-    full = [(r[0], r[1], r[2] if len(r) > 2 else "en", r[3] if len(r) > 3 else "a", len(r[1] or ""), "x", 7, 1) for r in rows]
+    full = [(r[0], r[1], r[2] if len(r) > 2 else "en", r[3] if len(r) > 3 else "a", len(r[1] or ""), "x", 7, 1, "s", "r", 2, 3) for r in rows]
     return spark.createDataFrame(full, DOCS)
 
 
@@ -107,7 +107,7 @@ def tokenizer():
 
 def test_packing_brute_force(spark):
     rnd = random.Random(3)
-    words = ["The", "the.", "naïve", "été,", "don't", "x1y2", "İstanbul.", "ΣΑΣ", "<|endoftext|>", "é", "中文", "😀", " ", "\x1c", "A.B.", "..", "'S", "\r\n", "\x0b"]
+    words = ["½a²b", "WOW!!", "x\xa0y", "a\x85.", "_don't_", "ªº", "a1b22c", "e\u0301t", "ﬁn", "The", "the.", "naïve", "été,", "don't", "x1y2", "İstanbul.", "ΣΑΣ", "<|endoftext|>", "é", "中文", "😀", " ", "\x1c", "A.B.", "..", "'S", "\r\n", "\x0b"]
     rows = [(i, " ".join(rnd.choice(words) for _ in range(rnd.choice([0, 1, 2, 5, 9, 30])))) for i in range(200)] + ODD
     capacity, t = 16, tokenizer()
     got = packing.packing_query(docs(spark, rows), capacity=capacity).toPandas()

@@ -10,13 +10,15 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from weaksift.llm import graph, near, suffix
 
-DOCS = "doc_id long, text string, lang string, id long, key string, component long"
+DOCS = "doc_id long, text string, lang string, id long, key string, component long, _row long"
 
 
 def frame_of(spark, rows):
-    return spark.createDataFrame([(*r, "en", 1, "k", 2) for r in rows], DOCS)
+    return spark.createDataFrame([(*r, "en", 1, "k", 2, 3) for r in rows], DOCS)
 
 
 def shingles(text):
@@ -97,7 +99,7 @@ def test_near_on_the_tables(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in table.select("doc_id", "text").collect()]
     assert near_result(spark, table) == sorted(plain_near(rows), key=repr)
-    left = near.near_stage(table, 2)
+    left = near.near_stage(table.withColumn("_row", F.lit(1)), 2).drop("_row")
     assert left.columns == table.columns
     assert sorted(r["doc_id"] for r in left.collect()) == sorted(d for d, _, _, kept in plain_near(rows) if kept)
 

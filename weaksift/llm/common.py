@@ -27,6 +27,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def numbered(docs: DataFrame, columns: list[Column], name: str) -> DataFrame:
     """The chosen columns with a row number ``_row`` that later jobs can rely on, since it is written down.
     Rows stay apart even if their ids repeat or are null."""

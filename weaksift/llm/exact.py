@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weaksift.llm.common import stage
+from weaksift.llm.common import stage, unused
 
 BLOCK = 4096  # bytes of a block
 COPIES = 1 << 16  # rows that one element of a copy list stands for
@@ -191,10 +191,11 @@ def exact_stage(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns. Only rows of groups that lose some are looked at again."""
     keys = stage(exact_keys(docs), "keys")
     sha = F.sha2(F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER).cast("binary"), 256)
-    marked = docs.withColumn("_sha", F.unhex(sha))
-    gone = keys.where("not kept").select(F.col("doc_id").alias("_id"), F.col("sha").alias("_gone"))
-    same = (F.col("_sha") == F.col("_gone")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    own, gone_id, gone_sha = (unused(docs, name) for name in ("_sha", "_gone_id", "_gone_sha"))
+    marked = docs.withColumn(own, F.unhex(sha))
+    gone = keys.where("not kept").select(F.col("doc_id").alias(gone_id), F.col("sha").alias(gone_sha))
+    same = (F.col(own) == F.col(gone_sha)) & F.col("doc_id").eqNullSafe(F.col(gone_id))
     left = marked.join(gone, same, "left_anti")
     if keys.where("kept and copies > 1").limit(1).count():  # whole rows repeat
-        left = left.dropDuplicates(["doc_id", "_sha"])
-    return left.drop("_sha")
+        left = left.dropDuplicates(["doc_id", own])
+    return left.drop(own)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from weaksift.llm.common import ranked, stage
+from weaksift.llm.common import ranked, stage, unused
 
 WEIGHTS = (3, 1, 2)  # of the sources in order of their names, repeating
 SHARE = 1.5  # the mix's size against that of all documents
@@ -84,16 +84,19 @@ def mixing_query(docs: DataFrame) -> DataFrame:
 def mixing_stage(docs: DataFrame) -> DataFrame:
     """The mix as documents: whole copies as repeated rows, and the last document of a source cut after the words
     taken of it. n_chars follows the text."""
-    whole = stage(docs.select(F.monotonically_increasing_id().alias("_row"), "*"), "to-mix")
-    mixed = mix(stage(sized(whole, "_row"), "sizes")).where("taken > 0").select("_row", "size", "taken")
-    rows = whole.join(mixed, "_row")
-    copies = F.floor(F.col("taken") / F.col("size")).cast("int")
-    part = (F.col("taken") % F.col("size")).cast("int")
+    row, size, taken, words = (unused(docs, name) for name in ("_row", "_size", "_taken", "_words"))
+    whole = stage(docs.select(F.monotonically_increasing_id().alias(row), "*"), "to-mix")
+    sizes = sized(whole.select(F.col(row).alias("_row"), "doc_id", "source", "text"), "_row")
+    mixed = mix(stage(sizes, "sizes")).where("taken > 0")
+    rows = whole.join(mixed.select(F.col("_row").alias(row), F.col("size").alias(size), F.col("taken").alias(taken)), row)
+    copies = F.floor(F.col(taken) / F.col(size)).cast("int")
+    part = (F.col(taken) % F.col(size)).cast("int")
     lengths = F.concat(F.array_repeat(F.lit(0), copies), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
-    out = rows.withColumn("_words", F.explode(lengths))
+    out = rows.withColumn(words, F.explode(lengths))
     ends = F.regexp_extract_all(F.col("text"), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
-    text = F.when(F.col("_words") == 0, F.col("text")).otherwise(F.concat_ws("", F.slice(ends, 1, F.col("_words"))))
-    out = out.withColumn("text", text)
+    uncut = F.col(words) == 0
+    out = out.withColumn("text", F.when(uncut, F.col("text")).otherwise(F.concat_ws("", F.slice(ends, 1, F.col(words)))))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_words") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(uncut, F.col("n_chars")).otherwise(length))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

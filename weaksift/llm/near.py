@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weaksift.llm.common import numbered, stage
+from weaksift.llm.common import numbered, stage, unused
 from weaksift.llm.graph import components
 
 SHINGLE = 2  # words, by the query's contract
@@ -301,7 +301,8 @@ def _kept() -> Column:
 
 def near_stage(docs: DataFrame, width: int = STAGE_SHINGLE) -> DataFrame:
     """One document of each group, with all its columns: the one with the smallest id, of repeated ids the first row."""
-    rows = stage(docs.select(F.monotonically_increasing_id().alias("_row"), "*"), "near-input")
-    found = near_rows(rows.select("_row", "doc_id", "text"), width)
-    gone = found.where(~_kept()).select("_row")
-    return rows.join(gone, "_row", "left_anti").drop("_row")
+    row = unused(docs, "_row")
+    rows = stage(docs.select(F.monotonically_increasing_id().alias(row), "*"), "near-input")
+    found = near_rows(rows.select(F.col(row).alias("_row"), "doc_id", "text"), width)
+    gone = found.where(~_kept()).select(F.col("_row").alias(row))
+    return rows.join(gone, row, "left_anti").drop(row)
