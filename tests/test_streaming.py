@@ -3,8 +3,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weaksift.operators import history as H
-from weaksift.operators import quality as Q
-from weaksift.operators.scan import clean_items, scan_items
 from weaksift.plans.seeded import PHRASES
 from weaksift.sources import raw_items as I
 from weaksift.streaming import jobs as J
