@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +21,8 @@ from weaksift.llm.common import ranked, stage
 
 CAPACITY = 4096  # tokens of a sequence
 END = 1  # id after each document
-KNOWN = 400_000  # words whose ids a worker remembers at most
+KNOWN = 400_000  # words whose ids a worker remembers at most, and half as many parts of words
+TOGETHER = 1 << 22  # bytes of text whose words are made distinct together
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -30,46 +35,110 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        self.model = self.tokenizer.model
+        self.words: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(f.ids, dtype="<u4").tobytes() for f in found]
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     @staticmethod
-    def _parts(word: str) -> list[str]:
-        """A word as parts that are encoded alike: a final mark apart, plain letters in lower case."""
-        if word[-1] in ".," and len(word) > 1 and word[-2].isalpha() and word[-2] < "İ":
-            return [word[:-1].lower() if word.isascii() else word[:-1], word[-1]]
-        return [word.lower() if word.isascii() else word]
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for lo in range(0, len(texts), 64):
-            some = texts[lo : lo + 64]
-            if len(self.known) > KNOWN:
-                self.known = {"": b""}
-            words = [None if "<|" in t else t.translate(BLANK).split(" ") for t in some]
-            new = set().union(*[w for w in words if w is not None]).difference(self.known)
-            parts = {word: self._parts(word) for word in new}
-            lacking = list({p for own in parts.values() for p in own}.difference(self.known))
-            self.known.update(zip(lacking, self._ids(lacking)))
-            self.known.update((word, b"".join(map(self.known.__getitem__, own))) for word, own in parts.items())
-            for text, own in zip(some, words):  # the marks of special tokens: leave the text whole
-                yield self._ids([text])[0] if own is None else b"".join(map(self.known.__getitem__, own))
-
-
-BLANK = {c: " " for c in range(9, 14)}
+    def _split(word: str) -> list[str]:
+        """A word as parts that the tokenizer takes one by one: runs of letters, digits, runs of marks. Words with
+        letters it may change or with its contractions stay whole."""
+        if word.isascii():
+            word = word.lower()
+        elif max(word) >= PLAIN_END or "\u0130" in word:
+            return [word]
+        return [word] if word.isalpha() or "'" in word else PARTS.findall(word)
+
+    def _part(self, part: str) -> bytes:
+        """The ids of a part. Runs of plain letters go to the tokenizer's model at once, in lower case and as the
+        characters that stand for their bytes; normalising and splitting would leave them as they are."""
+        ids = self.parts.get(part)
+        if ids is None:
+            if part.isalpha() and max(part) < PLAIN_END and "\u0130" not in part:
+                text = part.lower()
+                text = text if text.isascii() else "".join(map(BYTE_CHARACTERS.__getitem__, text.encode()))
+                ids = array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+            else:
+                ids = self._ids(part).tobytes()
+            self.parts[part] = ids
+        return ids
+
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words, from memory where they are known."""
+        if len(self.words) > KNOWN:
+            self.words = {"": b""}
+        if len(self.parts) > KNOWN // 2:
+            self.parts = {}
+        known, part = self.words, self._part
+        found = list(map(known.get, words))
+        for i, ids in enumerate(found):
+            if ids is None:
+                word = words[i]
+                own = word.lower() if word.isascii() else word
+                if own.isalpha():
+                    ids = part(own)
+                elif own[-1] in ".," and own[:-1].isalpha() and own.isascii():
+                    ids = part(own[:-1]) + part(own[-1])
+                else:
+                    ids = b"".join(map(part, self._split(word)))
+                found[i] = known[word] = ids
+        return found
+
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text. Words are split and made distinct by Arrow and put together again by their places."""
+        whole = pc.match_substring(texts, "<|").to_pylist()  # marks of special tokens: not taken word by word
+        lists = pc.ascii_split_whitespace(pc.if_else(pa.array(whole), "", texts))
+        distinct = lists.flatten().dictionary_encode()
+        ids = self._word_ids(distinct.dictionary.to_pylist())
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        table = np.frombuffer(b"".join(ids), "<u4")
+        word = distinct.indices.to_numpy()
+        ends = np.concatenate(([0], np.cumsum(size[word])))
+        place = np.repeat((np.cumsum(size) - size)[word] - ends[:-1], size[word]) + np.arange(ends[-1])
+        flat = table[place]
+        stops = ends[np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy())))].tolist()
+        for i, (a, b) in enumerate(zip(stops, stops[1:])):
+            yield self._ids(texts[i].as_py()).tobytes() if whole[i] else flat[a:b].tobytes()
+
+
+LETTERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"  # those before PLAIN_END
+DIGITS = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+PARTS = re.compile(f"[{LETTERS}]+|[{DIGITS}]|[^{LETTERS}{DIGITS}]+")
+# The characters that byte-level tokenizers write bytes as: printable ones themselves, the others from 256 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_OTHERS = [b for b in range(256) if b not in _PRINTABLE]
+BYTE_CHARACTERS = [chr(b if b in _PRINTABLE else 256 + _OTHERS.index(b)) for b in range(256)]
+PLAIN_END = "\u0250"  # letters before it stay single letters in the tokenizer's normal form, but for one
 _encoders: dict[str, Encoder] = {}
 
 
+def _slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """Texts in runs of about ``TOGETHER`` bytes."""
+    run = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64)) // TOGETHER
+    cut = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(texts)]
+    return (texts.slice(a, b - a) for a, b in zip(cut, cut[1:]) if b > a)
+
+
+def encoder_of(path: str) -> Encoder:
+    """A worker's encoder, which keeps what it has learned from task to task. (A function of the module: what a
+    function made for a task refers to is sent along with it, so it would start anew each time.)"""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def _pieces(path: str, capacity: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
+        encoder = encoder_of(path)
         end = END.to_bytes(4, "little")
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            texts = pc.fill_null(batch.column(1), "")
             at, piece, start, length, crc = [], [], [], [], []
-            for i, ids in enumerate(encoder.encode(texts)):
+            slices = (encoder.encode(part) for part in _slices(texts))
+            for i, ids in enumerate(chain.from_iterable(slices)):
                 ids += end
                 for k, lo in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[lo : lo + 4 * capacity]
