@@ -65,6 +65,26 @@ def test_pages_template_without_marks(spark):
     assert all(got[100 + i].startswith("Daily News\nHome World\nStory") for i in range(3))
 
 
+def test_pages_of_copies(spark):
+    """Copies of a page are one page, and make no template of its text."""
+    def page(i, story="<h1>Head</h1><p>Same story"):
+        return f"<html><body><div>Daily News</div><article>{story}</article><div>{i} views</div></body></html>"
+
+    def plain(i):
+        return f"<html><body><div><p>A story told at length<p>that many a page<p>of this host copies</div><div>{i}</div></body></html>"
+
+    rows = [(i, "https://one.example.org/", page(0)) for i in range(10)]
+    rows += [(100 + i, "https://hot.example.org/", page(0)) for i in range(90)]
+    rows += [(200 + i, "https://hot.example.org/", page(i, f"<h1>Head {i}</h1><p>Story {i}")) for i in range(10)]
+    rows += [(300 + i, "https://near.example.org/", page(i)) for i in range(12)]
+    rows += [(400 + i, "https://plain.example.org/", plain(i)) for i in range(12)]
+    got = extracted(spark, rows)
+    for first, n in ((0, 10), (100, 90), (300, 12)):
+        assert {got[first + i] for i in range(n)} == {"Head\nSame story"}
+    assert all(got[200 + i] == f"Head {i}\nStory {i}" for i in range(10))
+    assert all(got[400 + i] == f"A story told at length\nthat many a page\nof this host copies\n{i}" for i in range(12))
+
+
 def doc_frame(spark, rows):
     return spark.createDataFrame([(*r, "en", 1, 2, 3) for r in rows], DOCS)
 

@@ -11,13 +11,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weaksift.llm.common import stage
 
-MIN_PAGES = 8  # of a host, to deduce a template from
+MIN_PAGES = 8  # of a host, all different, to deduce a template from
+TELLING = 30  # different pages that tell an article's own text from a template's
+OUTWEIGHS = 4  # times the text left, that a template deduced from fewer may hold
 MIN_SHARE = 0.9  # of a host's pages that a class of the template occurs on
 MIN_CLASS = 3  # tokens of a class
 
@@ -143,43 +144,64 @@ def _token(path: str, text: str | None) -> int:
     return xxhash.xxh3_64_intdigest(path if text is None else f"{path}\n{text}") - (1 << 63)
 
 
+def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """host, key, page: the tokens of a page in order as bytes, and a digest of them. With a token goes the length of
+    its text, doubled, plus 1 inside an article; elements and what is set aside have 0."""
+    for batch in batches:
+        keys, found = [], []
+        for page in batch.column(1).to_pylist():
+            seen = [(_token(path, text), 0 if text is None or aside else 2 * len(text) + article) for path, text, aside, article in read_page(page or "")]
+            found.append(np.array(seen, np.int64).reshape(-1, 2).tobytes())
+            keys.append(xxhash.xxh3_128_digest(found[-1]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(found, pa.binary())], names=["host", "key", "page"])
+
+
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, token, pages, vector, first, last: how often, where and on which pages of a batch a token occurs. A vector
-    of counts by page is told by the exclusive or of a hash for each page and count. Token 0 is the page."""
-    row = TaskContext.get().partitionId() << 36
+    """host, token, pages, vector, first, last, chars, marked: how often, where and on which pages of a batch a token
+    occurs, the length of its texts and whether it lies in an article. A vector of counts by page is told by the
+    exclusive or of a hash for each page and count. Token 0 is the page."""
     for batch in batches:
         sums: dict[tuple[str, int], list] = {}
-        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            row += 1
+        for host, key, page in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            seen = np.frombuffer(page, np.int64).reshape(-1, 2).tolist()
             count: Counter[int] = Counter()
             first: dict[int, int] = {}
             last: dict[int, int] = {}
-            for i, (path, text, _, _) in enumerate(read_page(page or "")):
-                token = _token(path, text)
+            size: Counter[int] = Counter()
+            marked = set()
+            for i, (token, told) in enumerate(seen):
                 count[token] += 1
                 first.setdefault(token, i)
                 last[token] = i
-            count[0], first[0], last[0] = 1, 0, len(count)
+                size[token] += told >> 1
+                if told & 1:
+                    marked.add(token)
+            count[0], first[0], last[0], size[0] = 1, 0, len(seen), sum(size.values())
             for token, n in count.items():
-                own = sums.setdefault((host, token), [0, 0, 0, 0])
+                own = sums.setdefault((host, token), [0, 0, 0, 0, 0, False])
                 own[0] += 1
-                own[1] ^= xxhash.xxh3_64_intdigest(b"%d %d" % (row, n))
+                own[1] ^= xxhash.xxh3_64_intdigest(b"%b %d" % (key, n))
                 own[2] += first[token]
                 own[3] += last[token]
+                own[4] += size[token]
+                own[5] |= token in marked
         keys = list(sums)
-        cols = list(zip(*sums.values())) or [(), (), (), ()]
+        cols = list(zip(*sums.values())) or [()] * 6
         yield pa.RecordBatch.from_arrays(
             [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array(cols[0], pa.int64()),
              pa.array(np.array(cols[1], dtype=np.uint64).view(np.int64)),
-             pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())],
-            names=["host", "token", "pages", "vector", "first", "last"],
+             pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.bool_())],
+            names=["host", "token", "pages", "vector", "first", "last", "chars", "marked"],
         )
 
 
 def _nest(tokens: pd.DataFrame) -> pd.DataFrame:
-    """The template of a host: its classes that nest. Wider classes come first; one that cuts across another goes."""
+    """The template of a host: its classes that nest. Wider classes come first; one that cuts across another goes.
+    On few pages what articles hold is no template, nor is anything if next to nothing would be left."""
     kept: list[tuple[float, float, np.ndarray]] = []
     template: list[int] = []
+    page = tokens[tokens["token"] == 0].iloc[0]
+    few = page["pages"] < TELLING
     classes = [g for _, g in tokens.groupby(["pages", "vector"])]
     classes.sort(key=lambda g: (g["first"].min() - g["last"].max(), -len(g), int(g["token"].min())))
     for own in classes:
@@ -187,7 +209,10 @@ def _nest(tokens: pd.DataFrame) -> pd.DataFrame:
         crosses = any(a < hi < b or a < lo < b for lo, hi, _ in kept if not (lo <= a and b <= hi) and not (b <= lo or hi <= a))
         if len(own) >= MIN_CLASS and not crosses:
             kept.append((a, b, own["first"].to_numpy()))
-            template += own["token"].tolist()
+            template += own[~own["marked"]]["token"].tolist() if few else own["token"].tolist()
+    gone = tokens[tokens["token"].isin(template) & (tokens["token"] != 0)]["chars"].sum()
+    if few and gone > OUTWEIGHS * (page["chars"] - gone):
+        template = []
     return pd.DataFrame({"host": [tokens["host"].iloc[0]], "template": [sorted(template)]})
 
 
@@ -199,18 +224,23 @@ def templates(pages: DataFrame) -> DataFrame:
     """host, template: the tokens of each host's template, one row per host that has enough pages.
 
     Tokens (elements by path, blocks of text by path) with the same occurrence vector over a host's pages form a class.
-    Large and frequent classes that nest in one another make up the template. A host's tokens are counted in parts and
-    merged, so a host may have any number of pages; what is gathered per host is no more than the tokens that nearly
-    all its pages have.
+    Large and frequent classes that nest in one another make up the template. Pages of a host with the same tokens in
+    the same order count once, so copies of a page make no template. A host's tokens are counted in parts and merged,
+    so a host may have any number of pages; what is gathered per host is no more than the tokens that nearly all its
+    pages have.
     """
-    found = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(
-        _occurrences, "host string, token long, pages long, vector long, first long, last long"
+    found = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_sequences, "host string, key binary, page binary")
+    found = found.groupBy("host", "key").agg(F.first("page").alias("page")).select("host", "key", "page")
+    found = found.mapInArrow(
+        _occurrences, "host string, token long, pages long, vector long, first long, last long, chars long, marked boolean"
     )
     tokens = found.groupBy("host", "token").agg(
         F.sum("pages").alias("pages"),
         F.bit_xor("vector").alias("vector"),
         (F.sum("first") / F.sum("pages")).alias("first"),
         (F.sum("last") / F.sum("pages")).alias("last"),
+        F.sum("chars").alias("chars"),
+        F.max("marked").alias("marked"),
     )
     tokens = stage(tokens.where(f"pages >= {MIN_PAGES}"), "tokens")
     hosts = tokens.where("token = 0").select("host", F.col("pages").alias("all"))
