@@ -65,6 +65,24 @@ def test_pages_template_without_marks(spark):
     assert all(got[100 + i].startswith("Daily News\nHome World\nStory") for i in range(3))
 
 
+def test_pages_names(spark):
+    """Names that only hold a word for menus and the like, or stand on headings or around an article, set nothing aside."""
+    story = "<h2 id=side-effects>A</h2><p>b<h2 id='how-to-share'>C</h2><h3 class=social-history>D</h3><section id=menu-planning>e</section>"
+    others = "<div class=sidebar-left>x</div><div class='cookie-notice'>x</div><div id=ad-slot-7>x</div><div class=post__share-buttons>x</div>"
+    bodies = [
+        f"<div class='content-sidebar-wrap'><main>{story}{others}</main></div>",
+        f"<div class='layout-with-sidebar'><article>{story}{others}</article></div>",
+        f"<div id=site-widget><div class=sidebar><article class='no-comments'>{story}</article></div></div>",
+        f"<main><div class=page-header><article>{story}</article></div></main>",
+        f"<main>{story}<div class=comments><article>nice</article></div><div class=menu>x</div></main>",
+        f"<div class='post-and-comments'><article>{story}</article></div>",
+        f"<div class='overflow-hidden'>{story}</div>",
+        f"<article>{story}</article><aside><div class=nav><article>x</article></div></aside>",
+    ]
+    got = extracted(spark, [(i, f"https://{i}.example.org/", f"<body>{b}</body>") for i, b in enumerate(bodies)])
+    assert set(got.values()) == {"A\nb\nC\nD\ne"}, got
+
+
 def test_pages_of_copies(spark):
     """Copies of a page are one page, and make no template of its text."""
     def page(i, story="<h1>Head</h1><p>Same story"):

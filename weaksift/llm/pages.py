@@ -38,7 +38,13 @@ NAMES = set(
     "pagination pager widget hidden".split()
 )
 REMARKS = set("comment comments commentlist disqus respond reply replies ad ads advert advertisement sponsored promo related".split())
-ABOUT = set("no has with without is not".split())  # such names tell of an element elsewhere
+ABOUT = set("no has with without is not overflow".split())  # such names tell of an element elsewhere, or of none
+PARTS = set(
+    "left right top bottom main primary secondary wrap wrapper container inner outer box block slot unit area section bar list item items link links "
+    "button buttons icon icons title text body content form panel".split()
+)
+ITEMS = set("bar list item items link links button buttons icon icons".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 PAGE_ONLY = set("header".split())  # inside an article it holds the article's own heading
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"})}
 CLOSES |= {"td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
@@ -48,31 +54,63 @@ NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"
 WORD = re.compile(r"[a-z0-9]+")
 
 
-def _set_aside(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element and all in it is no part of an article's text."""
+def _names(value: str, names: set[str]) -> bool:
+    """Whether a class or id has a name that is in ``names`` as a whole or by its last word. Numbers do not count, nor do
+    words for parts of a layout behind a first word (ad-slot, sidebar-left), nor what a list is made of at the end (post-share-buttons)."""
+    for one in value.split():
+        words = [w for w in WORD.findall(one) if not w.isdigit()]
+        while len(words) > 1 and words[-1] in ITEMS:
+            words.pop()
+        if words and not ABOUT.intersection(words) and (words[-1] in names or (words[0] in names and PARTS.issuperset(words[1:]))):
+            return True
+    return False
+
+
+def _set_aside(tag: str, attributes: str, in_article: bool) -> str:
+    """Why an element and all in it is no part of an article's text: by its names, as a remark, or in any case ("always")."""
     if tag in ASIDE or (tag in PAGE_ONLY and not in_article):
-        return True
+        return "always"
     if not attributes or tag in ("html", "body"):
-        return False
+        return ""
+    why = ""
     for name, value in NAMED.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
-            for one in value.split():
-                words = WORD.findall(one)
-                own = set(words if words and words[0] not in ABOUT else ())
-                if own & (REMARKS if tag in ("article", "main") else NAMES) or ("header" in own and tag not in ("article", "main") and not in_article):
-                    return True
+            if tag in HEADINGS:
+                continue
+            if _names(value, REMARKS):
+                why = "remark"
+            elif tag not in ("article", "main") and _names(value, NAMES if in_article else NAMES | PAGE_ONLY):
+                why = why or "names"
         elif name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return "always"
         elif name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-    return False
+            return "always"
+    return why
 
 
-def read_page(page: str) -> Iterator[tuple[str, str | None, bool, bool]]:
+def read_page(page: str) -> list[tuple[str, str | None, bool, bool]]:
     """The tokens of a page in order: (path, None, ..) where an element begins, (path, text, set aside, in article)
-    for each block of text. Unclosed and stray tags are mended as a browser would, roughly."""
+    for each block of text. Unclosed and stray tags are mended as a browser would, roughly.
+
+    An element that holds an article or main is not set aside for its names; one named as remarks, which may be articles
+    themselves, only if the page has no other.
+    """
+    holders: dict[int, str] = {}
+    found = list(_read_page(page, holders, frozenset()))
+    if holders:
+        open_ = frozenset(at for at, why in holders.items() if why == "names")
+        found = list(_read_page(page, {}, open_)) if open_ else found
+        if len(open_) < len(holders) and not any(article and not aside for _, text, aside, article in found if text is not None):
+            found = list(_read_page(page, {}, frozenset(holders)))
+    return found
+
+
+def _read_page(page: str, holders: dict[int, str], open_: frozenset[int]) -> Iterator[tuple[str, str | None, bool, bool]]:
+    """The tokens of a page, the elements that begin at ``open_`` not set aside for their names. Those that are, and hold
+    an article or main, are noted in ``holders``."""
     stack: list[tuple[str, bool, bool, str]] = [("", False, False, "")]  # tag, set aside, in article, path
+    whys: list[tuple[int, str]] = [(0, "")]  # why, and where it begins, for each of the stack
     text: list[str] = []
     at, end, lowered = 0, len(page), None
 
@@ -119,7 +157,13 @@ def read_page(page: str) -> Iterator[tuple[str, str | None, bool, bool]]:
                 yield path, None, aside, article
             if tag in VOID:
                 continue
-            aside = aside or _set_aside(tag, found[2], article)
+            del whys[len(stack) :]
+            why = _set_aside(tag, found[2], article)
+            why = "" if why != "always" and found.start() in open_ else why
+            whys.append((found.start(), why))
+            if aside and not why and tag in ("article", "main") and all(w != "always" for _, w in whys):
+                holders.update((start, w) for start, w in whys if w)
+            aside = aside or why != ""
             article = article or (not aside and (tag in ("article", "main") or "articlebody" in found[2].lower()))
             if aside and not stack[-1][1]:
                 yield from block()
