@@ -83,6 +83,19 @@ def test_pages_names(spark):
     assert set(got.values()) == {"A\nb\nC\nD\ne"}, got
 
 
+def test_pages_head_left_open(spark):
+    """A head ends where something begins that cannot stand in it."""
+    bodies = [
+        "<html><head><title>t</title><body><article><p>x",
+        "<html><head><meta charset=utf-8><link rel=x><style>p{}</style><p>x</html>",
+        "<head><script>var a = 1</script>\n x",
+        "<head><title>t</title><b>x</b>",
+        "<head><title>t</title></head><body><p>x</body>",
+    ]
+    got = extracted(spark, [(i, f"https://{i}.example.org/", b) for i, b in enumerate(bodies)])
+    assert set(got.values()) == {"x"}, got
+
+
 def test_pages_of_copies(spark):
     """Copies of a page are one page, and make no template of its text."""
     def page(i, story="<h1>Head</h1><p>Same story"):

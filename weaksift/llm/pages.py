@@ -45,6 +45,7 @@ PARTS = set(
 )
 ITEMS = set("bar list item items link links button buttons icon icons".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+IN_HEAD = set("base link meta title style script noscript template basefont bgsound noframes".split())
 PAGE_ONLY = set("header".split())  # inside an article it holds the article's own heading
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"})}
 CLOSES |= {"td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
@@ -124,6 +125,8 @@ def _read_page(page: str, holders: dict[int, str], open_: frozenset[int]) -> Ite
 
     while at < end:
         found = MARK.search(page, at)
+        if stack[-1][0] == "head" and page[at : found.start() if found else end].strip():
+            stack.pop()  # text cannot stand in it
         if not found:
             text.append(page[at:])
             break
@@ -132,6 +135,8 @@ def _read_page(page: str, holders: dict[int, str], open_: frozenset[int]) -> Ite
         at = found.end()
         if found[1]:
             tag = found[1].lower()
+            if stack[-1][0] == "head" and tag not in IN_HEAD:
+                stack.pop()
             if tag in ("br", "wbr"):
                 text.append(" " if tag == "br" else "")
                 continue
