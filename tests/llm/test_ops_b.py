@@ -96,6 +96,29 @@ def test_pages_head_left_open(spark):
     assert set(got.values()) == {"x"}, got
 
 
+def test_pages_kinds_and_small_hosts(spark):
+    """Layouts of part of a host's pages are templates of their own; five pages that differ are enough for one."""
+    def first(i):
+        return f"<html><body><div><div>Daily News</div><div>Home World</div></div><div><p>Story {i} begins<p>and ends {i * 7}</div><div>Follow us today</div></body></html>"
+
+    def second(i):
+        return f"<html><body><table><tr><td>The Archive</td><td>Old Things</td></tr></table><section><p>Piece {i} opens<p>and closes {i * 3}</section><div>Ask a clerk</div></body></html>"
+
+    def copied(i):
+        return f"<html><body><section><p>A story told at length<p>that many a page<p>of this host copies</section><p>{i}</body></html>"
+
+    rows = [(i, "https://two.example.org/", first(i) if i % 5 < 3 else second(i)) for i in range(50)]
+    rows += [(100 + i, None, first(i) if i % 5 < 3 else second(i)) for i in range(50)]
+    rows += [(200 + i, "https://small.example.org/", first(i)) for i in range(5)]
+    rows += [(300 + i, "https://copies.example.org/", first(i) if i % 5 < 3 else copied(i)) for i in range(50)]
+    got = extracted(spark, rows)
+    for at in (0, 100):
+        for i in range(50):
+            assert got[at + i] == (f"Story {i} begins\nand ends {i * 7}" if i % 5 < 3 else f"Piece {i} opens\nand closes {i * 3}")
+    assert all(got[200 + i] == f"Story {i} begins\nand ends {i * 7}" for i in range(5))
+    assert all(got[300 + i] == f"A story told at length\nthat many a page\nof this host copies\n{i}" for i in range(50) if i % 5 >= 3)
+
+
 def test_pages_of_copies(spark):
     """Copies of a page are one page, and make no template of its text."""
     def page(i, story="<h1>Head</h1><p>Same story"):

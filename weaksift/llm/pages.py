@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 
 from weaksift.llm.common import stage
 
-MIN_PAGES = 8  # of a host, all different, to deduce a template from
+MIN_PAGES = 4  # of a host, all different, to deduce a template from
 TELLING = 30  # different pages that tell an article's own text from a template's
 OUTWEIGHS = 4  # times the text left, that a template deduced from fewer may hold
 MIN_SHARE = 0.9  # of a host's pages that a class of the template occurs on
 MIN_CLASS = 3  # tokens of a class
+KIND_PAGES, KIND_SHARE = 8, 0.1  # of a host's pages that a class occurs on to make a page kind's template
 
 # What the elements of HTML are.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -244,25 +245,76 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _nesting(spans: list[tuple[float, float, int, int]]) -> set[int]:
+    """Of classes (first, last, size, name) the names of those that nest. Wider classes come first; one that cuts across
+    another goes."""
+    kept: list[tuple[float, float]] = []
+    names = set()
+    for a, b, size, name in sorted(spans, key=lambda s: (s[0] - s[1], -s[2], s[3])):
+        crosses = any(a < hi < b or a < lo < b for lo, hi in kept if not (lo <= a and b <= hi) and not (b <= lo or hi <= a))
+        if size >= MIN_CLASS and not crosses:
+            kept.append((a, b))
+            names.add(name)
+    return names
+
+
 def _nest(tokens: pd.DataFrame) -> pd.DataFrame:
-    """The template of a host: its classes that nest. Wider classes come first; one that cuts across another goes.
-    On few pages what articles hold is no template, nor is anything if next to nothing would be left."""
-    kept: list[tuple[float, float, np.ndarray]] = []
-    template: list[int] = []
+    """The texts of a host's template, in the classes that nest. On few pages what articles hold is no template, nor is
+    anything if next to nothing would be left."""
     page = tokens[tokens["token"] == 0].iloc[0]
     few = page["pages"] < TELLING
-    classes = [g for _, g in tokens.groupby(["pages", "vector"])]
-    classes.sort(key=lambda g: (g["first"].min() - g["last"].max(), -len(g), int(g["token"].min())))
-    for own in classes:
-        a, b = own["first"].min(), own["last"].max()
-        crosses = any(a < hi < b or a < lo < b for lo, hi, _ in kept if not (lo <= a and b <= hi) and not (b <= lo or hi <= a))
-        if len(own) >= MIN_CLASS and not crosses:
-            kept.append((a, b, own["first"].to_numpy()))
-            template += own[~own["marked"]]["token"].tolist() if few else own["token"].tolist()
-    gone = tokens[tokens["token"].isin(template) & (tokens["token"] != 0)]["chars"].sum()
+    classes = {int(g["token"].min()): g for _, g in tokens.groupby(["pages", "vector"])}
+    names = _nesting([(g["first"].min(), g["last"].max(), len(g), name) for name, g in classes.items()])
+    texts = tokens[(tokens["token"] != 0) & (tokens["chars"] > 0) & ~(tokens["marked"] & few)]
+    texts = texts[texts["token"].isin([t for name in names for t in classes[name]["token"]])]
+    gone = texts["chars"].sum()
     if few and gone > OUTWEIGHS * (page["chars"] - gone):
-        template = []
-    return pd.DataFrame({"host": [tokens["host"].iloc[0]], "template": [sorted(template)]})
+        texts = texts[:0]
+    return pd.DataFrame({"host": [tokens["host"].iloc[0]], "template": [sorted(texts["token"].tolist())]})
+
+
+def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """host, kind, other, pages, first, last, chars, all: where on the pages of a kind its class and others lie, the
+    length of their texts and of the pages'. The input is host, page, listed (token, kind, low)."""
+    known: dict[str, tuple[dict, set]] = {}
+    for batch in batches:
+        sums: dict[tuple[str, int, int], list] = {}
+        for i, (host, page) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            if host not in known:
+                known = {} if len(known) > 64 else known
+                listed = batch.column(2)[i].as_py()
+                known[host] = {t["token"]: t["kind"] for t in listed}, {t["kind"] for t in listed if t["low"]}
+            kinds, low = known[host]
+            seen = np.frombuffer(page, np.int64).reshape(-1, 2).tolist()
+            spans = {kinds[0]: [0, len(seen), 0]} if 0 in kinds else {}
+            for at, (token, told) in enumerate(seen):
+                if token in kinds:
+                    own = spans.setdefault(kinds[token], [at, at, 0])
+                    own[1] = max(own[1], at)
+                    own[2] += told >> 1
+            all_ = sum(told >> 1 for _, told in seen)
+            for kind in low.intersection(spans):
+                for other, (first, last, chars) in spans.items():
+                    own = sums.setdefault((host, kind, other), [0] * 5)
+                    for k, v in enumerate((1, first, last, chars, all_)):
+                        own[k] += v
+        cols = [*(list(zip(*sums)) or [()] * 3), *(list(zip(*sums.values())) or [()] * 5)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, pa.int64() if i else pa.string()) for i, c in enumerate(cols)],
+            names=["host", "kind", "other", "pages", "first", "last", "chars", "all"],
+        )
+
+
+def _valid(rows: pd.DataFrame) -> pd.DataFrame:
+    """host, kind, valid: whether a kind's class nests with the classes that nearly all its pages have. On few pages it
+    is not valid if it outweighs what they do not share."""
+    own = rows[rows["kind"] == rows["other"]].iloc[0]
+    rows = rows[rows["pages"] >= MIN_SHARE * own["pages"]]
+    spans = [(r.first / r.pages, r.last / r.pages, int(r.size_), int(r.other)) for r in rows.rename(columns={"size": "size_"}).itertuples()]
+    good = int(own["kind"]) in _nesting(spans)
+    if own["pages"] < TELLING and own["chars"] > OUTWEIGHS * (own["all"] - rows["chars"].sum()):
+        good = False
+    return pd.DataFrame({"host": [own["host"]], "kind": [own["kind"]], "valid": [good]})
 
 
 def host_of(url: Column) -> Column:
@@ -273,14 +325,15 @@ def templates(pages: DataFrame) -> DataFrame:
     """host, template: the tokens of each host's template, one row per host that has enough pages.
 
     Tokens (elements by path, blocks of text by path) with the same occurrence vector over a host's pages form a class.
-    Large and frequent classes that nest in one another make up the template. Pages of a host with the same tokens in
-    the same order count once, so copies of a page make no template. A host's tokens are counted in parts and merged,
-    so a host may have any number of pages; what is gathered per host is no more than the tokens that nearly all its
-    pages have.
+    Large and frequent classes that nest in one another make up the template; so do large classes of part of the pages,
+    a host's page kinds, that nest in those on their own pages. Pages of a host with the same tokens in the same order
+    count once, so copies of a page make no template. A host's tokens are counted in parts and merged, so a host may
+    have any number of pages; what is gathered per host is no more than the tokens that a tenth of its pages have.
     """
     found = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_sequences, "host string, key binary, page binary")
     found = found.groupBy("host", "key").agg(F.first("page").alias("page")).select("host", "key", "page")
-    found = found.mapInArrow(
+    distinct = stage(found, "distinct-pages")
+    found = distinct.mapInArrow(
         _occurrences, "host string, token long, pages long, vector long, first long, last long, chars long, marked boolean"
     )
     tokens = found.groupBy("host", "token").agg(
@@ -293,8 +346,28 @@ def templates(pages: DataFrame) -> DataFrame:
     )
     tokens = stage(tokens.where(f"pages >= {MIN_PAGES}"), "tokens")
     hosts = tokens.where("token = 0").select("host", F.col("pages").alias("all"))
-    often = tokens.join(hosts, "host").where(F.col("pages") >= MIN_SHARE * F.col("all")).drop("all")
-    return stage(often.groupBy("host").applyInPandas(_nest, "host string, template array<long>"), "templates")
+    frequent = F.col("pages") >= MIN_SHARE * F.col("all")
+    kind = (F.col("pages") >= KIND_PAGES) & (F.col("pages") >= KIND_SHARE * F.col("all"))
+    often = stage(tokens.join(hosts, "host").where(frequent | kind).withColumn("low", ~frequent).drop("all"), "often")
+    whole = stage(often.where("not low").groupBy("host").applyInPandas(_nest, "host string, template array<long>"), "templates")
+
+    same = ["host", "pages", "vector"]
+    classes = often.groupBy(*same, "low").agg(F.count("*").alias("size"), F.min("token").alias("kind")).where(f"size >= {MIN_CLASS}")
+    classes = stage(classes, "classes")
+    hosts = classes.where("low").select("host").distinct()
+    listed = often.drop("low").join(classes, same).join(hosts, "host", "left_semi")
+    listed = stage(listed.groupBy("host").agg(F.collect_list(F.struct("token", "kind", "low")).alias("listed")), "listed")
+    within = distinct.select("host", "page").join(listed, "host").mapInArrow(
+        _within, "host string, kind long, other long, pages long, first long, last long, chars long, all long"
+    )
+    within = within.groupBy("host", "kind", "other").agg(*(F.sum(c).alias(c) for c in ("pages", "first", "last", "chars", "all")))
+    within = within.join(classes.select("host", F.col("kind").alias("other"), "size"), ["host", "other"])
+    valid = stage(within.groupBy("host", "kind").applyInPandas(_valid, "host string, kind long, valid boolean"), "kinds").where("valid")
+    texts = often.drop("low").join(classes, same).join(valid, ["host", "kind"]).where(f"chars > 0 and not (marked and pages < {TELLING})")
+    kinds = texts.groupBy("host").agg(F.collect_list("token").alias("kinds"))
+    none = F.array().cast("array<long>")
+    both = F.concat("template", F.coalesce("kinds", none)).alias("template")
+    return stage(whole.join(kinds, "host", "left").select("host", both), "all-templates")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
