@@ -119,6 +119,15 @@ def test_pages_kinds_and_small_hosts(spark):
     assert all(got[300 + i] == f"A story told at length\nthat many a page\nof this host copies\n{i}" for i in range(50) if i % 5 >= 3)
 
 
+def test_pages_story_beside_cards(spark):
+    """Articles that hold the lesser part of a page's text do not displace the story."""
+    story = "<div><h1>Head of it</h1><p>The story stands in a plain element<p>and is long</div>"
+    cards = "<article>Card one</article><article>Card two</article>"
+    got = extracted(spark, [(1, "https://a.example.org/", f"<body>{story}{cards}"), (2, "https://b.example.org/", f"<body><div>Menu</div><article>{story}</article>")])
+    told = "Head of it\nThe story stands in a plain element\nand is long"
+    assert got == {1: f"{told}\nCard one\nCard two", 2: told}
+
+
 def test_pages_of_copies(spark):
     """Copies of a page are one page, and make no template of its text."""
     def page(i, story="<h1>Head</h1><p>Same story"):

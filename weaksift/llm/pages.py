@@ -370,6 +370,16 @@ def templates(pages: DataFrame) -> DataFrame:
     return stage(whole.join(kinds, "host", "left").select("host", both), "all-templates")
 
 
+def _story(seen: list[tuple], slots: list[tuple]) -> list[tuple]:
+    """The slots in articles, or all if these are only cards beside the story: most text lies outside, and there are
+    several articles or the longest block lies outside too."""
+    inside, outside = ([len(b[1]) for b in slots if b[3] == where] for where in (True, False))
+    several = sum(text is None and path.endswith("/article") and not aside and not article for path, text, aside, article in seen) > 1
+    if not inside or (sum(outside) > sum(inside) and (several or max(outside) > max(inside))):
+        return slots
+    return [b for b in slots if b[3]]
+
+
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sets: dict[str, frozenset] = {}
     for batch in batches:
@@ -380,9 +390,10 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sets = {} if len(sets) > 64 else sets
                 sets[hosts[i]] = frozenset(templates_[i].as_py() or ())
             template = sets[hosts[i]]
-            blocks = [b for b in read_page(page or "") if b[1] is not None and not b[2]]
-            inside = [b for b in blocks if b[3]] or blocks
-            texts.append("\n".join(t for path, t, _, _ in inside if not template or _token(path, t) not in template))
+            seen = read_page(page or "")
+            blocks = [b for b in seen if b[1] is not None and not b[2]]
+            slots = [b for b in blocks if not template or _token(b[0], b[1]) not in template]
+            texts.append("\n".join(b[1] for b in _story(seen, slots)))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
             names=["page_id", "url", "text", "n_chars"],
@@ -393,7 +404,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of ``pages`` (page_id, url, html).
 
     What a host's template does not hold is data in its slots. Kept are the slots of the article (or main) element if
-    the page has one, else of the whole page, without elements that hold menus, notices, adverts, forms, comments and
+    the page has one that is more than a card beside the story, else of the whole page, without elements that hold menus, notices, adverts, forms, comments and
     the like. Null html is empty, null urls are a host of their own, repeated rows stay, hosts with few pages have no
     template, an empty table gives an empty result, other columns are ignored.
     """
