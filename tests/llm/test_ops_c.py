@@ -95,6 +95,20 @@ def test_near_brute_force(spark, monkeypatch, chunk, minor):
     assert near.near_duplicates(frame_of(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("n,m", [(1000, 1000), (1000, 850), (50, 45)])
+def test_near_refuses_less_than_the_bands(n, m):
+    """By an exact sum over the registers that are equal, larger and smaller, at the threshold."""
+    k = len(near.FACTOR)
+    equal, more = np.array([(e, g) for e in range(k + 1) for g in range(k + 1 - e)]).T
+    counts = np.stack([equal, more, k - equal - more])
+    shared = 0.8 * (n + m) / 1.8
+    chance = np.array([0.8, (n - shared) / (n + m - shared), (m - shared) / (n + m - shared)])
+    factorials = np.concatenate(([0], np.cumsum(np.log(np.arange(1, k + 1)))))
+    log = factorials[k] - factorials[counts].sum(axis=0) + (counts * np.log(chance)[:, None]).sum(axis=0)
+    refused = ~near.likely(equal, more, np.full(len(equal), n), np.full(len(equal), m))
+    assert np.exp(log[refused]).sum() < (1 - 0.8**near.ROWS) ** near.BANDS
+
+
 def test_near_on_the_tables(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in table.select("doc_id", "text").collect()]

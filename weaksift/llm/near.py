@@ -19,7 +19,7 @@ PERCENT = 80  # least similarity, by the contract
 BANDS, ROWS = 32, 4  # two sets of similarity 0.8 share no band with a chance of 5e-8
 BASE = 1.001  # of the registers' scale
 LIMIT = (1 << 16) - 1  # of a register
-EVIDENCE = 8.0  # how much less likely (in log units) the threshold may be than the best estimate (four deviations)
+EVIDENCE = 16.0  # how much less likely (in log units) the threshold may be than the best estimate: refuses 1e-8 of pairs at it
 CHUNK, MINOR = 1 << 21, 1 << 19  # shingles of a bucket that meet in one go: of all, and outside the largest component
 WORDS = 1 << 20  # word hashes a worker remembers at most
 
