@@ -109,6 +109,17 @@ def test_near_refuses_less_than_the_bands(n, m):
     assert np.exp(log[refused]).sum() < (1 - 0.8**near.ROWS) ** near.BANDS
 
 
+def test_near_stage_repeated_and_null_ids(spark):
+    """Of a group's rows one stays: the first with the smallest id, a null id only if there is no other."""
+    texts = {x: " ".join(f"{x}{i}" for i in range(60)) for x in "abcd"}
+    near_ = {x: t + " end" for x, t in texts.items()}
+    rows = [(7, texts["a"]), (7, near_["a"]), (9, texts["a"]), (None, texts["b"]), (None, near_["b"]), (None, texts["c"]), (4, near_["c"]), (4, texts["c"])]
+    rows += [(5, texts["d"]), (None, None), (None, ""), (5, " ")]
+    left = near.near_stage(frame_of(spark, rows).coalesce(1))
+    got = sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=repr)
+    assert got == sorted([rows[0], rows[3], rows[6], *rows[8:]], key=repr)
+
+
 def test_near_on_the_tables(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in table.select("doc_id", "text").collect()]

@@ -224,13 +224,13 @@ def _side(classes: DataFrame, id_name: str, suffix: str) -> DataFrame:
 
 
 def near_rows(texts: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """_row, doc_id, n_shingles, component_id for ``texts`` (_row, doc_id, text; a stage).
+    """_row, doc_id, n_shingles, component_id, first_row for ``texts`` (_row, doc_id, text; a stage).
 
     Rows with equal shingle sets are one class. Classes that agree in a band of registers are a bucket; each member is
     paired with one center of its bucket (another one in each band), kept if the registers' joint likelihood allows the
     threshold, and verified on full sets. Components of the verified links settle most pairs of a bucket; members
     outside the bucket's largest component are then compared with all its members, block by block, and what the
-    registers allow is verified too. So no pair that shares a band is left out, and no bucket is listed pair by pair.
+    registers allow is verified too. first_row is the first of a component's rows with its smallest id. So no pair that shares a band is left out, and no bucket is listed pair by pair.
     """
     rows = stage(texts.select("_row", "text").mapInArrow(_sketch(width), "_row long, n_shingles long, key binary, sketch binary"), "sketches")
     one = F.min(F.col("_row")).alias("_row")
@@ -277,10 +277,13 @@ def near_rows(texts: DataFrame, width: int = SHINGLE) -> DataFrame:
     ids = texts.select("_row", "doc_id")
     by_class = classes.join(found, "id", "left").select("key", F.coalesce("component", "id").alias("component"))
     placed = stage(rows.select("_row", "n_shingles", "key").join(by_class, "key", "left").join(ids, "_row"), "placed")
-    group = placed.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows"))
-    group = stage(group.where("rows > 1").drop("rows"), "groups")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")
+    group = placed.where("component is not null").groupBy("component").agg(first, F.count("*").alias("rows")).where("rows > 1")
+    group = stage(group.select("component", F.col("first.doc_id").alias("component_id"), F.col("first._row").alias("first_row")), "groups")
     lone = F.when(F.col("component_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return placed.join(group, "component", "left").select("_row", "doc_id", "n_shingles", lone.alias("component_id"))
+    return placed.join(group, "component", "left").select(
+        "_row", "doc_id", "n_shingles", lone.alias("component_id"), F.coalesce("first_row", "_row").alias("first_row")
+    )
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -300,9 +303,10 @@ def _kept() -> Column:
 
 
 def near_stage(docs: DataFrame, width: int = STAGE_SHINGLE) -> DataFrame:
-    """One document of each group, with all its columns: the one with the smallest id, of repeated ids the first row."""
+    """One document of each group, with all its columns: the one with the smallest id, of repeated ids the first row;
+    null ids count only where a group has no other. Rows without shingles are no group and stay."""
     row = unused(docs, "_row")
     rows = stage(docs.select(F.monotonically_increasing_id().alias(row), "*"), "near-input")
     found = near_rows(rows.select(F.col(row).alias("_row"), "doc_id", "text"), width)
-    gone = found.where(~_kept()).select(F.col("_row").alias(row))
+    gone = found.where("_row <> first_row").select(F.col("_row").alias(row))
     return rows.join(gone, row, "left_anti").drop(row)
