@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weaksift.llm import fim, lines, secrets, topk
+from weaksift.llm import audit, fim, lines, secrets, topk
 from weaksift.llm.common import read_table
 from weaksift.llm.exact import exact_dedup
 from weaksift.llm.language import language_query
@@ -15,6 +15,7 @@ from weaksift.llm.near import near_duplicates
 from weaksift.llm.packing import packing_query
 from weaksift.llm.pages import extract_text
 from weaksift.llm.suffix import suffix_query
+from weaksift.llm.token_files import token_query
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,5 +42,8 @@ QUERIES["op9_line_dedup"] = lambda spark, sf_dir: lines.lines_query(read_table(s
 ORACLES["op9_line_dedup"] = lines.ORACLE
 QUERIES["op3_minhash_near_dedup"] = lambda spark, sf_dir: near_duplicates(read_table(spark, sf_dir, "documents"))
 QUERIES["op4_suffix_array_dedup"] = lambda spark, sf_dir: suffix_query(read_table(spark, sf_dir, "documents"))
+QUERIES["op11_token_files"] = lambda spark, sf_dir: token_query(read_table(spark, sf_dir, "documents"))
+QUERIES["op12_filter_audit"] = audit.audit_query
+ORACLES["op12_filter_audit"] = audit.ORACLE
 QUERIES["op13_fill_in_middle"] = lambda spark, sf_dir: fim.fim_query(read_table(spark, sf_dir, "documents"))
 ORACLES["op13_fill_in_middle"] = fim.ORACLE

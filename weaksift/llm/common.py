@@ -41,6 +41,13 @@ def numbered(docs: DataFrame, columns: list[Column], name: str) -> DataFrame:
     return stage(docs.select(F.monotonically_increasing_id().alias("_row"), *columns), name)
 
 
+def text_runs(texts: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+    """Where a batch of texts is to be cut into runs of about ``most`` bytes, which bounds what is held of it at once."""
+    run = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64)) // most
+    cut = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(texts)]
+    return ((a, b) for a, b in zip(cut, cut[1:]) if b > a)
+
+
 def _run_sums(group: str, value: str):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weaksift.llm.common import unused
+from weaksift.llm.common import text_runs, unused
 
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 RATE = 50  # of 100 texts are transformed
@@ -18,6 +18,7 @@ SPM = 80  # of 100 transformed texts start with the suffix
 SEED = 42
 CUT = b"\xff"  # no byte of UTF-8, so no text holds it
 EDGE = rb"([^\x20\x09-\x0D])([\x20\x09-\x0D])"  # a unit ends where white space follows something else
+TOGETHER = 1 << 24  # bytes of text whose pieces and output are held at once
 ADDED = ("n", "form", "prefix_chars", "middle_chars", "output")
 
 
@@ -76,18 +77,6 @@ def _transform(texts: pa.Array, chance: pa.ListArray, rate: int, spm: int) -> li
     return [n, form, size(prefix), size(middle), output]
 
 
-def _runs(texts: pa.Array, most: int = 1 << 24) -> Iterator[tuple[int, int]]:
-    """Slices of a batch of about ``most`` bytes, which bounds the pieces and the output held at once."""
-    begin, size = 0, 0
-    for i, length in enumerate(pc.binary_length(texts).to_pylist()):
-        if size and size + length > most:
-            yield begin, i
-            begin, size = i, 0
-        size += length
-    if begin < len(texts):
-        yield begin, len(texts)
-
-
 def fill_in_middle(docs: DataFrame, rate: int = RATE, spm: int = SPM, seed: int = SEED) -> DataFrame:
     """``docs`` with n (units), form (plain, psm or spm), prefix_chars, middle_chars (code points; null if plain)
     and output (the text in its new order).
@@ -107,7 +96,7 @@ def fill_in_middle(docs: DataFrame, rate: int = RATE, spm: int = SPM, seed: int
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in _runs(batch.column(len(kept))):
+            for a, b in text_runs(batch.column(len(kept)), TOGETHER):
                 part = batch.slice(a, b - a)
                 columns = _transform(part.column(len(kept)), part.column(len(kept) + 1), rate, spm)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *columns], names=schema.names)
