@@ -20,6 +20,7 @@ PIVOTS = 32
 SHARD = 4096  # vectors of a shard
 LEAF = 256  # vectors of a leaf of a shard's tree
 BLOCK = 4096  # queries that meet a shard at once
+ROUNDS = (1, 4)  # pivots that a query asks in the first rounds, best bounds first; the rest in the last
 SAFE = 1 << 20  # components up to which float64 products are exact
 
 INDEX = "pivot int, shard string, ids binary, null_ids binary, vectors binary, dim int, reach double"
@@ -27,12 +28,15 @@ HITS = "query_id long, query string, vec_id long, score long"
 
 
 def whole_vectors(table: DataFrame) -> DataFrame:
-    """vec_id, dim, v (whole numbers): vectors without null or non-finite components, scaled and rounded down."""
+    """vec_id (0 if null), no_id, dim, v (whole numbers): vectors without null or non-finite components, scaled and
+    rounded down. Null ids are told apart by a column of their own, since a column of numbers with nulls in it would
+    reach Python as floating-point numbers."""
     x = F.col("embedding")
     sound = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     v = F.transform(x, lambda c: F.floor(F.lit(float(SCALE)) * c.cast("double")).cast("double"))
     rows = table.where(x.isNotNull() & F.coalesce(sound, F.lit(False)) & (F.size(x) > 0))
-    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.size(x).alias("dim"), v.alias("v"))
+    vec_id = F.col("vec_id").cast("long")
+    return rows.select(F.coalesce(vec_id, F.lit(0).cast("long")).alias("vec_id"), vec_id.isNull().alias("no_id"), F.size(x).alias("dim"), v.alias("v"))
 
 
 def choose_pivots(vectors: DataFrame, sample: int = SAMPLE, pivots: int = PIVOTS) -> dict[int, np.ndarray]:
@@ -184,8 +188,7 @@ def _shards(pivots: dict[int, np.ndarray]):
             center = pivots[dim][pivot] if pivot >= 0 else np.zeros(dim)
             reach = float(np.sqrt(((m - center) ** 2).sum(1).max()))
             made += 1
-            nulls = own["vec_id"].isna().to_numpy()
-            ids = own["vec_id"].fillna(0).to_numpy(np.int64)
+            nulls, ids = own["no_id"].to_numpy(bool), own["vec_id"].to_numpy(np.int64)
             return pd.DataFrame([(pivot, f"{part}.{made}", ids.tobytes(), nulls.tobytes(), m.tobytes(), dim, reach)], columns=INDEX_COLUMNS)
 
         for frame in frames:
@@ -244,7 +247,7 @@ SEEDS = "query_id long, query string, dim int, home string, v array<double>, kth
 
 
 def _route(pivots: dict[int, np.ndarray], reach: dict[tuple[int, int], float]):
-    """The pivots whose ball may hold a hit at least as good as a query's k-th score, for each query."""
+    """The pivots whose ball may hold a hit at least as good as a query's k-th score, best bounds first."""
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -253,14 +256,12 @@ def _route(pivots: dict[int, np.ndarray], reach: dict[tuple[int, int], float]):
                 rows = np.flatnonzero(frame["dim"] == dim)
                 q = np.stack(frame["v"].iloc[rows].to_numpy())
                 norms = np.sqrt((q**2).sum(1))
-                kth = frame["kth"].iloc[rows].to_numpy()
-                for (d, pivot), radius in reach.items():
-                    if d != dim:
-                        continue
-                    center = pivots[dim][pivot] if pivot >= 0 else np.zeros(dim)
-                    ok = upper(q @ center, norms, radius, float(np.sqrt((center**2).sum()))) >= kth
-                    for r in rows[ok]:
-                        to[r].append(pivot)
+                own = [(p, r) for (d, p), r in reach.items() if d == dim]
+                centers = [pivots[dim][p] if p >= 0 else np.zeros(dim) for p, _ in own]
+                bounds = np.array([upper(q @ c, norms, r, float(np.sqrt((c**2).sum()))) for c, (_, r) in zip(centers, own)])
+                open_ = bounds >= frame["kth"].iloc[rows].to_numpy()
+                for i, order in enumerate(np.argsort(-bounds, axis=0, kind="stable").T):
+                    to[rows[i]] = [(own[j][0], float(bounds[j, i])) for j in order if open_[j, i]]
             frame["pivots"] = to
             yield frame[["query_id", "query", "dim", "home", "v", "kth", "pivots"]]
 
@@ -286,33 +287,48 @@ def _meet(k: int):
     return work
 
 
+def _kth(seeds: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """query, better: the k-th score of each query that has k hits, in its own shard and those met so far."""
+    hits = seeds.select("query", F.explode("scores").alias("score")).unionByName(found.select("query", "score"))
+    place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score")))
+    return hits.withColumn("_place", place).where(F.col("_place") == k).select("query", F.col("score").cast("double").alias("better"))
+
+
 def top_k(table: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     """query_id, rank, vec_id, score: the k best other rows for each row whose vec_id is divisible by ``every``.
 
     Vectors are sorted by the nearest of a few pivots into shards of bounded size, each with a ball tree. A query first
     searches the shard it lies in; its k-th score then decides which pivots' balls can hold better rows, and goes along
-    into the trees of their shards. Queries meet shards in blocks, a block and a shard in one task. Exact whatever the
-    pivots are. Vectors that are null, empty or hold null or non-finite components take no part; only vectors of equal
+    into the trees of their shards. The pivots with the best bounds come first, in rounds; after each, a query's k-th score
+    so far is shared with all shards to come. A block of queries and a shard that one of them asks meet in one task. Exact
+    whatever the pivots are. Vectors that are null, empty or hold null or non-finite components take no part; only vectors of equal
     dimension are compared; a row is its own and no hit for another row of the same id; a null vec_id is a candidate,
     after all others at ties; repeated rows count as rows; an empty table gives an empty result; other columns are
     ignored.
     """
     vectors = stage(whole_vectors(table), "vectors")
     pivots = choose_pivots(vectors)
-    near = vectors.mapInPandas(_assign(pivots), "vec_id long, dim int, v array<double>, pivot int")
-    keys = ["dim", "pivot", F.xxhash64("vec_id")]
+    near = vectors.mapInPandas(_assign(pivots), "vec_id long, no_id boolean, dim int, v array<double>, pivot int")
+    keys = ["dim", "pivot", F.xxhash64("vec_id", "v")]
     index = stage(near.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInPandas(_shards(pivots), INDEX), "index")
     seeds = stage(index.mapInPandas(_seed(every, k), SEEDS), "seeds")
     balls = index.groupBy("dim", "pivot").agg(F.max("reach").alias("reach")).collect()  # pivots and dimensions at most
     reach = {(b["dim"], b["pivot"]): b["reach"] for b in balls}
     blocks = max(1, -(-seeds.count() // BLOCK))
-    routed = seeds.mapInPandas(_route(pivots, reach), SEEDS.split(", ids")[0] + ", pivots array<int>")
+    routed = seeds.mapInPandas(_route(pivots, reach), SEEDS.split(", ids")[0] + ", pivots array<struct<pivot:int,bound:double>>")
     block = F.pmod(F.xxhash64("query"), F.lit(blocks))
-    by_pivot = routed.select("*", F.explode("pivots").alias("pivot"), block.alias("block")).drop("pivots")
-    shards = index.select("dim", "pivot", "shard").withColumnRenamed("shard", "to")
-    asked = by_pivot.join(shards, ["dim", "pivot"]).select("query_id", "query", "home", "v", "kth", "block", "to")
-    offered = index.select("*", F.col("shard").alias("to"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    found = asked.groupBy("to", "block").cogroup(offered.groupBy("to", "block")).applyInPandas(_meet(k), HITS)
+    by_pivot = stage(routed.select("*", F.posexplode("pivots").alias("turn", "to"), block.alias("block")).select("*", "to.*").drop("pivots", "to"), "routed")
+    shards = index.select("dim", "pivot", F.col("shard").alias("to"))
+    found = None
+    for first, last in zip((0, *np.cumsum(ROUNDS).tolist()), (*np.cumsum(ROUNDS).tolist(), None)):
+        turn = by_pivot.where((F.col("turn") >= first) & (F.lit(True) if last is None else F.col("turn") < last))
+        if found is not None:  # what earlier rounds found raises a query's k-th score for all shards to come
+            turn = turn.join(_kth(seeds, found, k), "query", "left").withColumn("kth", F.greatest("kth", F.coalesce("better", "kth"))).where("bound >= kth")
+        asked = stage(turn.join(shards, ["dim", "pivot"]).select("query_id", "query", "home", "v", "kth", "block", "to").where("home <> to"), "asked")
+        wanted = asked.select(F.col("to").alias("shard"), F.col("block").alias("part")).distinct()
+        offered = index.join(wanted, "shard")
+        hits = stage(asked.groupBy("to", "block").cogroup(offered.groupBy("shard", "part")).applyInPandas(_meet(k), HITS), "hits")
+        found = hits if found is None else found.unionByName(hits)
     own = seeds.select("query_id", "query", F.explode(F.arrays_zip("ids", "scores")).alias("h"))
     hits = found.unionByName(own.select("query_id", "query", F.col("h.ids").alias("vec_id"), F.col("h.scores").alias("score")))
     place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("vec_id")))
