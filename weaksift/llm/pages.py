@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from weaksift.llm.common import stage
 
 MIN_PAGES = 4  # of a host, all different, to deduce a template from
-TELLING = 30  # different pages that tell an article's own text from a template's
+TELLING = 30  # different pages that tell a template from the text that pages without marks share
 OUTWEIGHS = 4  # times the text left, that a template deduced from fewer may hold
 MIN_SHARE = 0.9  # of a host's pages that a class of the template occurs on
 MIN_CLASS = 3  # tokens of a class
@@ -51,11 +51,66 @@ PAGE_ONLY = set("header".split())  # inside an article it holds the article's ow
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"})}
 CLOSES |= {"td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 
-MARK = re.compile(r"<!--.*?(?:-->|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</([a-zA-Z][^\s>]*)[^>]*>|<[!?/][^>]*>", re.S)
+# An attribute as browsers take it: a name may hold quotes, a value is quoted only right after the sign.
+OPENS, ENDS = re.compile(r"[a-zA-Z][^\s/>]*"), re.compile(r"[a-zA-Z][^\s>]*")
+ATTRIBUTE, GIVEN, UNQUOTED = re.compile(r"[\s/]*[^\s/>][^\s/>=]*"), re.compile(r"\s*=\s*"), re.compile(r"[^\s>]*")
+DEEP = 512  # characters of a path that are kept as they are
 NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 WORD = re.compile(r"[a-z0-9]+")
 
 
+class Marks:
+    """The marks of a page, front to back: (begin, end, opening tag, its attributes, closing tag). Whatever is missing from
+    some place on (a tag's end, a quote, a comment's end) is looked for once, so a page is read in linear time."""
+
+    def __init__(self, page: str):
+        self.page, self.end, self.missing = page, len(page), {}
+
+    def _find(self, what: str, at: int) -> int:
+        """Where ``what`` is next, or -1."""
+        if at >= self.missing.get(what, self.end + 1):
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.missing[what] = at
+        return found
+
+    def _tag_end(self, at: int) -> int:
+        """The place behind the tag whose name ends at ``at``, or -1. A quote that no other one closes is no quote."""
+        page = self.page
+        while True:
+            name = ATTRIBUTE.match(page, at)
+            if not name:
+                return self._find(">", at) + 1 or -1
+            given = GIVEN.match(page, name.end())
+            at = given.end() if given else name.end()
+            if given:
+                quote = page[at : at + 1]
+                stop = self._find(quote, at + 1) if quote in ("'", '"') else -1
+                at = stop + 1 if stop >= 0 else UNQUOTED.match(page, at).end()
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        page = self.page
+        while (at := self._find("<", at)) >= 0:
+            after = page[at + 1 : at + 2]
+            if page.startswith("<!--", at):
+                stop = self._find("-->", at + 4)
+                return at, self.end if stop < 0 else stop + 3, "", "", ""
+            if name := OPENS.match(page, at + 1):
+                stop = self._tag_end(name.end()) if self._find(">", at) >= 0 else -1
+                if stop >= 0:
+                    return at, stop, name[0], page[name.end() : stop - 1], ""
+                self.missing["<"] = at  # no tag ends from here on: the rest is text
+                return None
+            if after in ("!", "?", "/") and after:
+                stop = self._find(">", at)
+                if stop >= 0:
+                    name = ENDS.match(page, at + 2) if after == "/" else None
+                    return at, stop + 1, "", "", name[0] if name else ""
+            at += 1
+        return None
+
+
 def _names(value: str, names: set[str]) -> bool:
     """Whether a class or id has a name that is in ``names`` as a whole or by its last word. Numbers do not count, nor do
     words for parts of a layout behind a first word (ad-slot, sidebar-left), nor what a list is made of at the end (post-share-buttons)."""
@@ -114,7 +169,12 @@ def _read_page(page: str, holders: dict[int, str], open_: frozenset[int]) -> Ite
     stack: list[tuple[str, bool, bool, str]] = [("", False, False, "")]  # tag, set aside, in article, path
     whys: list[tuple[int, str]] = [(0, "")]  # why, and where it begins, for each of the stack
     text: list[str] = []
-    at, end, lowered = 0, len(page), None
+    at, end, lowered, marks = 0, len(page), None, Marks(page)
+    open_tags: Counter[str] = Counter()
+
+    def close(top: int) -> None:
+        open_tags.subtract(entry[0] for entry in stack[top:])
+        del stack[top:]
 
     def block() -> Iterator[tuple[str, str | None, bool, bool]]:
         if text:
@@ -125,19 +185,20 @@ def _read_page(page: str, holders: dict[int, str], open_: frozenset[int]) -> Ite
                 yield own[3], joined, stack[-1][1], stack[-1][2]
 
     while at < end:
-        found = MARK.search(page, at)
-        if stack[-1][0] == "head" and page[at : found.start() if found else end].strip():
-            stack.pop()  # text cannot stand in it
+        found = marks.next(at)
+        if stack[-1][0] == "head" and page[at : found[0] if found else end].strip():
+            close(len(stack) - 1)  # text cannot stand in it
         if not found:
             text.append(page[at:])
             break
-        if found.start() > at:
-            text.append(page[at : found.start()])
-        at = found.end()
-        if found[1]:
-            tag = found[1].lower()
+        begin, stop, opens, attributes, ends = found
+        if begin > at:
+            text.append(page[at:begin])
+        at = stop
+        if opens:
+            tag = opens.lower()
             if stack[-1][0] == "head" and tag not in IN_HEAD:
-                stack.pop()
+                close(len(stack) - 1)
             if tag in ("br", "wbr"):
                 text.append(" " if tag == "br" else "")
                 continue
@@ -153,34 +214,35 @@ def _read_page(page: str, holders: dict[int, str], open_: frozenset[int]) -> Ite
                 top = len(stack) - 1
                 while stack[top][0] in INLINE:
                     top -= 1
-                if stack[top][0] == "p":  # a block ends an open paragraph, and what formats text in it
-                    del stack[top:]
-                elif stack[top][0] in CLOSES.get(tag, ((), ()))[0]:
-                    del stack[top:]
+                # A block ends an open paragraph, and what formats text in it.
+                if stack[top][0] == "p" or stack[top][0] in CLOSES.get(tag, ((), ()))[0]:
+                    close(top)
             _, aside, article, path = stack[-1]
-            path = f"{path}/{tag}" if tag not in INLINE else path
+            if tag not in INLINE:
+                path = f"{path if len(path) <= DEEP else xxhash.xxh3_128_hexdigest(path)}/{tag}"
             if tag not in INLINE:
                 yield path, None, aside, article
             if tag in VOID:
                 continue
             del whys[len(stack) :]
-            why = _set_aside(tag, found[2], article)
-            why = "" if why != "always" and found.start() in open_ else why
-            whys.append((found.start(), why))
+            why = _set_aside(tag, attributes, article)
+            why = "" if why != "always" and begin in open_ else why
+            whys.append((begin, why))
             if aside and not why and tag in ("article", "main") and all(w != "always" for _, w in whys):
                 holders.update((start, w) for start, w in whys if w)
             aside = aside or why != ""
-            article = article or (not aside and (tag in ("article", "main") or "articlebody" in found[2].lower()))
+            article = article or (not aside and (tag in ("article", "main") or "articlebody" in attributes.lower()))
             if aside and not stack[-1][1]:
                 yield from block()
             stack.append((tag, aside, article, path))
-        elif found[3]:
-            tag = found[3].lower()
-            for top in range(len(stack) - 1, 0, -1):
+            open_tags[tag] += 1
+        elif ends:
+            tag = ends.lower()
+            for top in range(len(stack) - 1, 0, -1) if open_tags[tag] > 0 else ():
                 if stack[top][0] == tag:
                     if tag not in INLINE or stack[top][1] != stack[top - 1][1]:
                         yield from block()
-                    del stack[top:]
+                    close(top)
                     break
                 if tag in INLINE and stack[top][0] not in INLINE:
                     break
@@ -259,13 +321,13 @@ def _nesting(spans: list[tuple[float, float, int, int]]) -> set[int]:
 
 
 def _nest(tokens: pd.DataFrame) -> pd.DataFrame:
-    """The texts of a host's template, in the classes that nest. On few pages what articles hold is no template, nor is
+    """The texts of a host's template, in the classes that nest. What articles hold is no template, nor, on few pages, is
     anything if next to nothing would be left."""
     page = tokens[tokens["token"] == 0].iloc[0]
     few = page["pages"] < TELLING
     classes = {int(g["token"].min()): g for _, g in tokens.groupby(["pages", "vector"])}
     names = _nesting([(g["first"].min(), g["last"].max(), len(g), name) for name, g in classes.items()])
-    texts = tokens[(tokens["token"] != 0) & (tokens["chars"] > 0) & ~(tokens["marked"] & few)]
+    texts = tokens[(tokens["token"] != 0) & (tokens["chars"] > 0) & ~tokens["marked"]]
     texts = texts[texts["token"].isin([t for name in names for t in classes[name]["token"]])]
     gone = texts["chars"].sum()
     if few and gone > OUTWEIGHS * (page["chars"] - gone):
@@ -363,7 +425,7 @@ def templates(pages: DataFrame) -> DataFrame:
     within = within.groupBy("host", "kind", "other").agg(*(F.sum(c).alias(c) for c in ("pages", "first", "last", "chars", "all")))
     within = within.join(classes.select("host", F.col("kind").alias("other"), "size"), ["host", "other"])
     valid = stage(within.groupBy("host", "kind").applyInPandas(_valid, "host string, kind long, valid boolean"), "kinds").where("valid")
-    texts = often.drop("low").join(classes, same).join(valid, ["host", "kind"]).where(f"chars > 0 and not (marked and pages < {TELLING})")
+    texts = often.drop("low").join(classes, same).join(valid, ["host", "kind"]).where("chars > 0 and not marked")
     kinds = texts.groupBy("host").agg(F.collect_list("token").alias("kinds"))
     none = F.array().cast("array<long>")
     both = F.concat("template", F.coalesce("kinds", none)).alias("template")
@@ -392,7 +454,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             template = sets[hosts[i]]
             seen = read_page(page or "")
             blocks = [b for b in seen if b[1] is not None and not b[2]]
-            slots = [b for b in blocks if not template or _token(b[0], b[1]) not in template]
+            slots = [b for b in blocks if b[3] or not template or _token(b[0], b[1]) not in template]
             texts.append("\n".join(b[1] for b in _story(seen, slots)))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
