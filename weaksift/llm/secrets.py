@@ -28,7 +28,10 @@ KINDS = {
     "endpoint": (r"[a-z]+://[A-Za-z0-9._:@/-]+", "endpoint", False),
 }
 # Java's patterns that find a text worth splitting; they only save work.
-HINTS = {"hex": "[0-9a-f]{16}", "access": "AKIA[A-Z0-9]"}
+HINTS = {"hex": "[0-9a-f]{16}", "access": "AKIA[A-Z0-9]", "endpoint": "://"}
+# A match can begin at the first letter of a run only: the one before would have taken the run's start along. Told to
+# Java, the search is linear on long runs of letters.
+RUNS = {"endpoint": r"(?<![a-z])[a-z]++://[A-Za-z0-9._:@/-]+"}
 PLACE = {kind: i for i, kind in enumerate(KINDS)}
 
 
@@ -50,7 +53,7 @@ def _holds(kind: str, found: Column) -> Column:
 
 def _matches(kind: str) -> Column:
     """The gaps and matches of a text in turn, as lengths."""
-    pattern = KINDS[kind][0]
+    pattern = RUNS.get(kind, KINDS[kind][0])
     pair = F.zip_with(
         F.split("text", pattern, -1),
         F.regexp_extract_all("text", F.lit(pattern), F.lit(0)),
@@ -82,7 +85,8 @@ def link_parts(spans: DataFrame, reach: int = REACH) -> DataFrame:
     base = F.col("kind").isin([PLACE[k] for k, v in KINDS.items() if v[2]])
     by_start = W.partitionBy("_row").orderBy("start")
     reached = F.max(F.when(base, F.col("end"))).over(by_start.rangeBetween(W.unboundedPreceding, 0))
-    ahead = F.min(F.when(base, F.col("start"))).over(by_start.rangeBetween(0, W.unboundedFollowing))
+    from_end = W.partitionBy("_row").orderBy(F.desc("start"))  # a growing frame, which needs no recount per row
+    ahead = F.min(F.when(base, F.col("start"))).over(from_end.rangeBetween(W.unboundedPreceding, 0))
     clear = ~(F.coalesce(reached > F.col("start"), F.lit(False)) | F.coalesce(ahead < F.col("end"), F.lit(False)))
     parts = spans.withColumn("base", base).withColumn("clear", clear).where("base or clear")
     near = by_start.rangeBetween(-reach, reach)
