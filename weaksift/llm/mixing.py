@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from weaksift.llm.common import ranked, stage, unused
 
@@ -19,25 +18,28 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SH
     """source, source_size, weight, target: one row per source (null is one, and the last).
 
     The mix is shared out by weight. A target stops at ``most`` times its source's size and the rest is shared out
-    again among the others, which is a common level per unit of weight: in the order of cap by weight, the first k
-    sources are full, and the level is what is left over the weights that are left, for the first k at which no other
-    source is above its cap. Works on one row per source.
+    again among the others, which is a common level per unit of weight: the level rises while some sources not yet full
+    have caps below it, each time by what these leave over, and a round is one sum over the sources. Sources are
+    numbered by a range-partitioned sort, so there may be any number of them.
     """
-    order = W.orderBy(F.asc_nulls_last("source"))
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.row_number().over(order) - 1) % len(weights) + 1)
-    sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("weight", weight)
-    by_cap = W.orderBy(F.col("cap") / F.col("weight"), F.asc_nulls_last("source"))
-    full = sources.withColumn("cap", most * F.col("source_size")).select(
-        "*",
-        F.coalesce(F.sum("cap").over(by_cap.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("taken"),
-        F.sum("weight").over(by_cap.rowsBetween(0, W.unboundedFollowing)).alias("left"),
-        (F.sum("source_size").over(W.partitionBy()) * share).alias("whole"),
-        F.row_number().over(by_cap).alias("k"),
-    )
-    level = full.withColumn("level", (F.col("whole") - F.col("taken")) / F.col("left"))
-    first = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct("k", "level")))
-    target = F.least(F.col("cap").cast("double"), F.col("weight") * first.over(W.partitionBy())["level"])
-    return level.select("source", "source_size", "weight", F.coalesce(target, F.col("cap").cast("double")).alias("target"))
+    by_source = stage(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "by-source")
+    whole = by_source.select("source", "source_size", F.lit(0).alias("_all"))
+    ordered = ranked(whole, "_all", [F.asc_nulls_last("source")], "source_size", "sources")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("_rank") - 1) % len(weights) + 1).cast("int"))
+    cap = (most * F.col("source_size")).alias("cap")
+    sources = stage(ordered.select("source", "source_size", weight.alias("weight"), cap), "weighted")
+    total = share * (sources.agg(F.sum("source_size")).first()[0] or 0)
+    level, full = 0.0, -1
+    while True:
+        over = F.col("cap") <= level * F.col("weight")
+        row = sources.agg(F.count_if(over), F.sum(F.when(over, F.col("cap"))), F.sum(F.when(~over, F.col("weight")))).first()
+        if row[0] == full or not row[2]:
+            break
+        level, full = (total - (row[1] or 0)) / row[2], row[0]
+    if row[0] != full:  # every source is full
+        level = float("inf")
+    target = F.least(F.col("cap").cast("double"), F.col("weight") * F.lit(level))
+    return sources.select("source", "source_size", "weight", target.alias("target"))
 
 
 def sized(docs: DataFrame, *more: str) -> DataFrame:
