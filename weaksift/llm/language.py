@@ -11,9 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from weaksift.llm.common import unused
+
 TOP = 300  # n-grams of a profile
 PIECE = 1 << 20  # code points looked at together
 MERGE = 1 << 21  # n-grams gathered before equal ones are merged
+LANGUAGES = 1_000  # that can be learned
 UNKNOWN = "und"
 
 _letter: np.ndarray | None = None
@@ -78,30 +81,47 @@ def profiles(labelled: DataFrame, top: int = TOP) -> DataFrame:
 
 
 class Ranks:
-    """The profiles as a matrix of places, languages by n-grams."""
+    """The profiles by n-gram: for each, the languages that have it and its place in their profiles."""
 
     def __init__(self, rows: pd.DataFrame, top: int):
         self.top = top
         self.langs = sorted(rows["lang"].unique())
-        self.codes = np.unique(rows["gram"].to_numpy(np.int64)).astype(np.uint64)
-        self.places = np.full((len(self.langs), len(self.codes) + 1), -1, dtype=np.int32)
-        lang = np.searchsorted(np.array(self.langs, dtype=object), rows["lang"].to_numpy(object))
-        at = np.searchsorted(self.codes, rows["gram"].to_numpy(np.int64).astype(np.uint64))
-        self.places[lang.astype(int), at] = rows["place"].to_numpy() - 1
+        rows = rows.sort_values(["gram", "lang"])
+        grams_ = rows["gram"].to_numpy(np.int64).astype(np.uint64)
+        self.codes, self.first = np.unique(grams_, return_index=True)
+        self.first = np.append(self.first, len(rows))
+        self.lang = np.searchsorted(np.array(self.langs, dtype=object), rows["lang"].to_numpy(object)).astype(np.int64)
+        self.place = rows["place"].to_numpy(np.int64) - 1
+
+    def distances(self, own: np.ndarray) -> np.ndarray:
+        """Out-of-place distance of n-grams in rank order to each language: ``top`` for what a profile lacks."""
+        at = np.searchsorted(self.codes, own)
+        known = np.flatnonzero(at < len(self.codes))
+        known = known[self.codes[at[known]] == own[known]]
+        first, n = self.first[at[known]], self.first[at[known] + 1] - self.first[at[known]]
+        entry = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        saved = self.top - np.abs(self.place[entry] - np.repeat(known, n))
+        return self.top * len(own) - np.bincount(self.lang[entry], weights=saved, minlength=len(self.langs)).astype(np.int64)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         codes, counts = grams(text or "")
         if not len(self.langs) or not (codes != 32).any() or not ((codes < (1 << 21)).any()):
             return UNKNOWN, 0.0
         own = codes[np.lexsort((codes, -counts))[: self.top]]
-        at = np.searchsorted(self.codes, own)
-        known = (at < len(self.codes)) & (self.codes[np.minimum(at, len(self.codes) - 1)] == own)
-        places = self.places[:, np.where(known, at, len(self.codes))]
-        apart = np.where(places >= 0, np.abs(places - np.arange(len(own))), self.top).sum(axis=1)
+        apart = self.distances(own)
         best = int(apart.argmin())
         return self.langs[best], 1.0 - float(apart[best]) / (self.top * len(own))
 
 
+def learned(profile: DataFrame, top: int = TOP, most: int = LANGUAGES) -> Ranks:
+    """The profiles, gathered for every task: ``most`` languages of ``top`` n-grams at most. More are an error, as a column
+    of something else than languages would be."""
+    rows = profile.limit(most * top + 1).toPandas()
+    if len(rows) > most * top:
+        raise ValueError(f"more than {most} languages to learn")
+    return Ranks(rows, top)
+
+
 def identify(docs: DataFrame, ranks: DataFrame, top: int = TOP) -> DataFrame:
     """``docs`` with lang_pred and score, by the smallest out-of-place distance.
 
@@ -110,11 +130,11 @@ def identify(docs: DataFrame, ranks: DataFrame, top: int = TOP) -> DataFrame:
     one. Null texts and texts without a letter give ``und`` and 0, also when nothing was learned; ties go to the
     smaller language name. Only the text is looked at. The profiles (languages times ``top`` rows) go to every task.
     """
-    learned = Ranks(ranks.toPandas(), top)
+    known = learned(ranks, top)
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            said = [learned.predict(t) for t in frame["_text"]]
+            said = [known.predict(t) for t in frame["_text"]]
             frame = frame.drop(columns="_text")
             frame["lang_pred"] = [s[0] for s in said]
             frame["score"] = [s[1] for s in said]
@@ -143,12 +163,18 @@ def language_query(docs: DataFrame, top: int = TOP) -> DataFrame:
     return said.select(F.col("_id").cast(kind).alias("doc_id"), "held_out", "lang_pred", "score")
 
 
-def language_stage(docs: DataFrame, top: int = TOP) -> DataFrame:
-    """The documents with a known language; those without a letter go. Rows keep all their columns."""
-    ranks = Ranks(learn(docs, top).toPandas(), top)
+def language_stage(docs: DataFrame, top: int = TOP, languages: tuple[str, ...] | None = None) -> DataFrame:
+    """The documents in one of ``languages`` (None: all learned ones) by their text, with what was found as their lang;
+    the others go, as do those without a letter. Rows keep all their columns; without a learned language nothing stays."""
+    ranks = learned(learn(docs, top), top)
 
     @F.pandas_udf("string")
     def predict(texts: pd.Series) -> pd.Series:
         return pd.Series([ranks.predict(t)[0] for t in texts], dtype=object)
 
-    return docs.where(predict(F.col("text")) != UNKNOWN)
+    said = unused(docs, "_said")
+    predict = predict.asNondeterministic()  # so that the plan does not ask twice
+    known = docs.withColumn(said, predict(F.col("text"))).where(F.col(said) != UNKNOWN)
+    if languages is not None:
+        known = known.where(F.col(said).isin(list(languages)))
+    return known.select(*[F.col(said).alias(c) if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
