@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -98,6 +99,24 @@ def test_secrets_weak_parts_need_company(spark):
     assert [s.split(":")[0] for s in got[4].split(",")] == ["endpoint", "login", "opaque"]
 
 
+def test_secrets_grow_with_the_text(spark):
+    """Long runs of letters and very many endpoints in one text take time in proportion."""
+    def took(text):
+        frame = docs(spark, [(1, text)])
+        start = time.perf_counter()
+        row = secrets.scan_secrets(frame).first()
+        return time.perf_counter() - start, row
+
+    took("a")
+    for bit, small, large in (("abcdefghij", 50_000, 100_000), ("http://a.example.com ", 25_000, 100_000)):
+        a, b = took(bit * small), took(bit * large)
+        assert b[0] < 3 * (large / small) / 2 * a[0] + 1, (bit, a[0], b[0])
+    text = "ftp://a.b/c" + "http://d.e" + " xhttps://f.g" + " Zab://h" + "z" * 1000 + "://h ://i a:// b://c"
+    found = spark.createDataFrame([(1, text)], "_row long, text string").select("_row", *[secrets._matches(k).alias(k) for k in secrets.KINDS])
+    spans = secrets.candidate_spans(found).where(F.col("kind") == secrets.PLACE["endpoint"]).collect()
+    assert sorted((r["start"], r["end"]) for r in spans) == [m.span() for m in re.finditer(secrets.KINDS["endpoint"][0], text)]
+
+
 def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -178,6 +197,65 @@ def test_grams(monkeypatch):
         assert own == dict(brute_grams(text))
 
 
+def plain_language(rows, top):
+    """lang_pred and score by the letter: counts, ranks, ties and distances recomputed."""
+    def ranked(texts):
+        total = Counter()
+        for t in texts:
+            total += brute_grams(t)
+        code = lambda g: sum(ord(c) << 21 * k for k, c in enumerate(reversed(g)))
+        return sorted(total, key=lambda g: (-total[g], code(g)))[:top]
+
+    learned = defaultdict(list)
+    for i, t, lang, *_ in rows:
+        if lang is not None and t is not None and zlib.crc32(str("" if i is None else i).encode()) % 4 != 2:
+            learned[lang].append(t)
+    profiles = {lang: {g: k for k, g in enumerate(ranked(texts))} for lang, texts in learned.items()}
+    out = []
+    for i, t, *_ in rows:
+        own = ranked([t or ""])
+        if not any(c.isalpha() for c in t or "") or not any(profiles.values()):
+            out.append((i, "und", 0.0))
+            continue
+        apart = {lang: sum(abs(p[g] - k) if g in p else top for k, g in enumerate(own)) for lang, p in profiles.items() if p}
+        best = min(sorted(apart), key=apart.get)
+        out.append((i, best, 1 - apart[best] / (top * len(own))))
+    return out
+
+
+@pytest.mark.parametrize("top", [300, 12])
+def test_language_brute_force(spark, top):
+    rnd = random.Random(9)
+    letters = {"en": "theand os", "de": "ichundere", "fr": "leaquesit", "xx": "ab"}
+    rows = []
+    for i in range(160):
+        lang = rnd.choice(list(letters))
+        text = " ".join("".join(rnd.choice(letters[lang]) for _ in range(rnd.randint(1, 7))) for _ in range(rnd.randint(0, 12)))
+        rows.append((i, text, rnd.choice([lang, lang, lang, None])))
+    rows += [(500, "ab", "aa"), (501, "ab", "bb"), (502, "ab", None), (None, "the end", "en"), (None, None, None), (503, "a", "twin a"), (504, "a", "twin b"), (506, "a", None)]
+    got = [(r["doc_id"], r["lang_pred"], round(r["score"], 12)) for r in language.language_query(docs(spark, rows), top).collect()]
+    assert sorted(got, key=repr) == sorted(((i, lang, round(s, 12)) for i, lang, s in plain_language(rows, top)), key=repr)
+
+
+def test_language_stage_uses_its_prediction(spark):
+    """The text decides, whatever the column says; only the languages asked for stay."""
+    rows = [(i, "the cat and the dog went there", "en") for i in range(40)] + [(100 + i, "der hund und die katze gehen dort", "de") for i in range(40)]
+    rows += [(500, "die katze und der hund", "en"), (501, "the dog went there", "de"), (502, "the cat", None), (503, "12", "en")]
+    frame = docs(spark, rows)
+    every = {r["doc_id"]: r["lang"] for r in language.language_stage(frame).collect()}
+    assert every == {i: "en" if i < 100 or i in (501, 502) else "de" for i, *_ in rows if i != 503}
+    english = language.language_stage(frame, languages=("en",))
+    assert english.columns == frame.columns
+    assert {r["doc_id"] for r in english.collect()} == {i for i, lang in every.items() if lang == "en"}
+
+
+def test_language_column_of_something_else(spark, monkeypatch):
+    rows = [(i, f"text {i} of it", f"value {i}") for i in range(60)]
+    with pytest.raises(ValueError):
+        language.learned(language.learn(docs(spark, rows)), most=3)
+    assert len(language.learned(language.learn(docs(spark, rows))).langs) > 40
+
+
 def test_language(spark):
     rows = [(i, "the cat and the dog went there", "en") for i in range(40)] + [(100 + i, "der hund und die katze gehen dort", "de") for i in range(40)]
     rows += [(500, "the dog and the cat", None), (501, None, "en"), (502, "12 !!", "en"), (503, "", "de"), (None, "die katze", "de"), (504, "ß" * 30_000, "de")]
@@ -215,6 +293,54 @@ def plain_targets(sizes):
     return target
 
 
+def test_targets_of_many_sources(spark):
+    """Any number of sources, in any order of their caps, against a plain reading; twice as many take about as long."""
+    rnd = random.Random(6)
+    for n, top in ((1, 9), (7, 40), (300, 3000), (300, 2)):
+        sizes = {rnd.choice([f"s{i:05}", f"S{i}", None]): rnd.randint(0, top) ** rnd.choice([1, 2]) for i in range(n)}
+        frame = spark.createDataFrame([(s, z) for s, z in sizes.items() for z in (z // 3, z - z // 3)], "source string, size long")
+        got = {r["source"]: (r["source_size"], r["target"]) for r in mixing.source_targets(frame).collect()}
+        expected = plain_targets(sizes)
+        assert {s: z for s, (z, _) in got.items()} == sizes
+        for s, z in sizes.items():
+            assert got[s][1] == pytest.approx(expected[s], abs=1e-6)
+
+    def took(n):
+        frame = spark.range(n).selectExpr("cast(id as string) as source", "id % 1000 + 1 as size")
+        start = time.perf_counter()
+        assert mixing.source_targets(frame).count() == n
+        return time.perf_counter() - start
+
+    took(1000)
+    assert took(100_000) < 2.5 * took(50_000) + 2
+
+
+def test_mixing_order_of_keys(spark):
+    """Which documents the last pass takes: the order of exponential keys scaled by quality, recomputed from the hashes."""
+    rows = [(i, ("word " if i % 3 else "w0rd 1 ") * (i % 9), "en", "a" if i % 4 else "b") for i in range(200)]
+    frame = docs(spark, rows)
+    hashes = {r[0]: r[1] for r in frame.select("doc_id", F.xxhash64(F.col("doc_id").cast("string"), F.lit(mixing.SEED))).collect()}
+    size = {i: len(t.split()) for i, t, *_ in rows}
+    sources = {s: sum(size[i] for i, _, _, x in rows if x == s) for s in "ab"}
+    target = plain_targets(sources)
+    expected = {}
+    for s in "ab":
+        key = {}
+        for i, t, _, x in rows:
+            if x == s:
+                marks = re.sub(r"\s+", "", t)
+                quality = sum(c.isalpha() for c in marks) / len(marks) if marks else 0.0
+                even = ((hashes[i] % (1 << 64) >> 11) + 0.5) / (1 << 53)
+                key[i] = -math.log(even) / (0.05 + quality)
+        passes = int(target[s] // sources[s])
+        rest = int(target[s] - passes * sources[s])
+        for i in sorted(key, key=lambda i: (key[i], i)):
+            more = min(size[i], rest)
+            expected[i] = passes * size[i] + more
+            rest -= more
+    assert {r["doc_id"]: r["taken"] for r in mixing.mixing_query(frame).collect()} == expected
+
+
 def test_mixing(spark):
     rnd = random.Random(5)
     rows = [(i, " ".join(["w"] * rnd.randint(0, 30)), "en", rnd.choice(["hot"] * 6 + ["a", "b", "Z", "é", None, ""])) for i in range(800)]

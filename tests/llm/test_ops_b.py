@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -148,6 +149,64 @@ def test_pages_of_copies(spark):
     assert all(got[400 + i] == f"A story told at length\nthat many a page\nof this host copies\n{i}" for i in range(12))
 
 
+def test_pages_odd_quotes(spark):
+    """A quote opens a value only behind the sign; one that nothing closes is no quote; without a tag's end all is text."""
+    cases = {
+        "<p title='it's'>World</p><p>don't stop</p>": "World\ndon't stop",
+        "<p title='it's'>World": "World",
+        '<p><a href="x"">two</a>': "two",
+        "<p class=a'b data-x = 'y > z' checked>text</p>it's": "text\nit's",
+        '<p class="x>one</p><p>two</p>': "one\ntwo",
+        "<p/title='a'/>kept": "kept",
+        "a < b, b > c <d": "a < b, b > c <d",
+        "<p>1 <2> 3 <!-- x > y --> 4 </p junk> <?php 5 ?> 6": "1 <2> 3 4\n6",
+        "<p>a</ b>c<!DOCTYPE x>d": "acd",
+    }
+    got = extracted(spark, [(i, f"https://{i}.example.org/", page) for i, page in enumerate(cases)])
+    assert got == dict(enumerate(cases.values()))
+
+
+def test_pages_read_in_linear_time():
+    def took(page):
+        start = time.process_time()
+        list(pages.read_page(page))
+        return time.process_time() - start
+
+    for bit in ("a<b ", "<b x='", "</a ", "<!-- ", "<div>", "<p>", "<i>", "<script>", "<a href=\"'> ", "<div></i>"):
+        small, large = (min(took(bit * n) for _ in range(2)) for n in (20_000, 80_000))
+        assert large < 10 * small + 0.1, (bit, small, large)
+    deep = "<div>" * 50_000 + "</x>" * 50_000 + "text"
+    assert took(deep) < 10
+    assert [t for _, t, _, _ in pages.read_page("a<b " * 300_000) if t is not None] == [("a<b " * 300_000).strip()]
+
+
+@pytest.mark.parametrize("n", [20, 40])
+def test_pages_article_text_is_no_template(spark, n):
+    """Whatever the number of pages: what articles hold stays, what lies outside and repeats goes."""
+    end = "<p>The author lives by the sea</article><div>Seen on all pages</div><div>Also this</div>"
+    rows = [(i, "https://a.example.org/", f"<body><div>Daily</div><article><h1>Head {i}</h1><p>Story {i * 7}{end}") for i in range(n)]
+    got = extracted(spark, rows)
+    assert all(got[i] == f"Head {i}\nStory {i * 7}\nThe author lives by the sea" for i in range(n))
+
+
+def test_pages_classes_against_plain_deduction(spark):
+    """No marks and no telling names: only classes say what is template. Blocks of large classes that every page has go."""
+    rnd = np.random.default_rng(4)
+    shared = [f"Shared line {i}" for i in range(6)]
+    some = [f"Sometimes {i}" for i in range(5)]  # each on its own pages: classes of one
+    texts, rows = [], []
+    for i in range(60):
+        own = [x for x in some if rnd.random() < 0.5] + [f"Own {i} {j}" for j in range(rnd.integers(1, 4))]
+        texts.append(shared[:3] + own + shared[3:])
+        rows.append((i, "https://plain.example.org/", "<body>" + "".join(f"<div><p>{t}</p></div>" for t in texts[-1])))
+    count = Counter(t for page in texts for t in page)
+    vector = {t: tuple(page.count(t) for page in texts) for t in count}
+    size = Counter(vector.values())
+    template = {t for t in count if count[t] >= 0.9 * len(texts) and size[vector[t]] >= 3}
+    assert template == set(shared)
+    assert extracted(spark, rows) == {i: "\n".join(t for t in page if t not in template) for i, page in enumerate(texts)}
+
+
 def doc_frame(spark, rows):
     return spark.createDataFrame([(*r, "en", 1, 2, 3) for r in rows], DOCS)
 
@@ -209,3 +268,32 @@ def test_top_k_brute_force(spark, monkeypatch, shard, leaf, block):
 def test_exact_scores_of_large_components():
     a = np.array([[float(1 << 30), 3.0]])
     assert topk.exact_scores(a, a)[0, 0] == (1 << 60) + 9
+
+
+@pytest.mark.parametrize("shard", [4096, 16])
+def test_top_k_large_ids_beside_null(spark, monkeypatch, shard):
+    """Ids that floating-point numbers cannot hold, in one batch with null ids."""
+    monkeypatch.setattr(topk, "SHARD", shard)
+    rnd = np.random.default_rng(3)
+    near = 1 << 53
+    rows = [(near + 1 + 2 * i, rnd.normal(size=4).tolist()) for i in range(60)] + [(None, rnd.normal(size=4).tolist()) for _ in range(40)]
+    rows += [(50 * (near // 50 + i), rnd.normal(size=4).tolist()) for i in range(5)] + [(0, rnd.normal(size=4).tolist())]
+    frame = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], VECTORS).coalesce(1)
+    assert sorted((tuple(r) for r in topk.top_k(frame).collect()), key=repr) == sorted(plain_top(rows), key=repr)
+
+
+def test_top_k_rounds_share_scores(spark, monkeypatch):
+    """The k-th score of earlier rounds closes pivots, and no shard meets queries that do not ask it."""
+    for name, value in (("SHARD", 20), ("LEAF", 8), ("BLOCK", 3)):
+        monkeypatch.setattr(topk, name, value)
+    rnd = np.random.default_rng(6)
+    centers = rnd.normal(size=(24, 8)) * 4
+    rows = [(int(i), (centers[i % 24] + 0.3 * rnd.normal(size=8)).tolist()) for i in range(1200)]
+    frame = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], VECTORS)
+    met = []
+    monkeypatch.setattr(topk, "stage", lambda df, name, real=topk.stage: met.append((name, out := real(df, name))) or out)
+    got = sorted((tuple(r) for r in topk.top_k(frame).collect()), key=repr)
+    assert got == sorted(plain_top(rows), key=repr)
+    asked = [df.count() for name, df in met if name == "asked"]
+    shards = next(df for name, df in met if name == "index").count()
+    assert len(asked) == 3 and sum(asked) < 0.5 * 24 * shards
