@@ -11,9 +11,11 @@ its last bytes.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -27,12 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from weaksift.llm.common import stage, text_runs
-from weaksift.llm.packing import BYTE_CHARACTERS, PLAIN_END
+from weaksift.llm.packing import BYTE_CHARACTERS, DIGITS, LETTERS, PLAIN_END
 from weaksift.plans.stages import new_path
 
 VOCABULARY = "byte_bpe_50k.json"
 END = 0  # id after each document
-KNOWN = 400_000  # units whose ids a worker remembers at most, and half as many words
+KNOWN = 500_000  # units whose ids a worker remembers at most twice over, and half as many words
 FILE_TOKENS = 1 << 26  # a file is closed beyond so many ids
 FILE_DOCS = 1 << 18  # or so many documents
 READ_DOCS = 4_096  # documents whose boundaries are read together
@@ -48,6 +50,11 @@ WHITE[[0x20, *range(0x09, 0x0E)]] = True
 WHOLE = r"<\||[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
+# Tokens of the tokenizer's pattern in what has no white space but a space ahead, and letters before PLAIN_END only.
+PARTS = re.compile(f" ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^ {LETTERS}{DIGITS}]+")
+STANDS = {i: BYTE_CHARACTERS[i] for i in range(128)}
+
+
 class Encoder:
     """Token ids of texts. The tokenizer's own pattern ends a token wherever white space follows something else, and
     looks at no context across such a place; so a text's ids are those of its units (white space and what follows
@@ -60,50 +67,51 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.units: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
     def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=f"<u{self.width}").tobytes()
+        return array("H" if self.width == 2 else "I", ids).tobytes()  # workers are little-endian machines
 
     def whole(self, text: str) -> bytes:
         return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _word(self, word: str) -> bytes:
-        """A run of plain letters, with a space before it or not, goes to the tokenizer's model at once, as the
-        characters that stand for its bytes; splitting would leave it as it is."""
-        ids = self.words.get(word)
-        if ids is None:
-            own = "Ġ" + word[1:] if word[0] == " " else word
-            if not word.isascii():
-                own = "".join(map(BYTE_CHARACTERS.__getitem__, word.encode()))
-            ids = self.words[word] = self._pack([t.id for t in self.tokenizer.model.tokenize(own)])
+        """One token of the tokenizer's pattern goes to its model at once, as the characters that stand for its bytes."""
+        own = word.translate(STANDS) if word.isascii() else "".join(map(BYTE_CHARACTERS.__getitem__, word.encode()))
+        ids = self.words[word] = self._pack([t.id for t in self.tokenizer.model.tokenize(own)])
         return ids
 
     def _unit(self, unit: str) -> bytes:
-        body = unit[1:] if unit[0] == " " else unit
-        if body and max(body) < PLAIN_END:
-            if body.isalpha():
-                return self._word(unit)
-            if body[-1] in ".,;:!?" and body[:-1].isalpha():
-                return self._word(unit[:-1]) + self._mark(unit[-1])
-        return self.whole(unit)
-
-    def _mark(self, mark: str) -> bytes:
-        ids = self.words.get(mark)
-        if ids is None:
-            ids = self.words[mark] = self.whole(mark)
-        return ids
+        """A unit as tokens of the tokenizer's pattern: of white space the last character stands by itself, or, a space,
+        goes along with what follows; then runs of letters, of digits and of marks. Units with letters beyond the plain
+        ones or with an apostrophe, which may begin a contraction, are left to the tokenizer."""
+        body = unit.lstrip(" \t\n\r\x0b\x0c")
+        if not body or "'" in body or not body.isascii() and max(body) >= PLAIN_END:
+            return self.whole(unit)
+        lead = len(unit) - len(body)
+        last = lead - 1 if lead else 0
+        parts = [unit[:last], unit[last:lead]] if lead and unit[last] != " " else [unit[:last]]
+        if lead and unit[last] == " ":
+            body = " " + body
+        known, out = self.words, []
+        for part in (*(p for p in parts if p), *PARTS.findall(body)):
+            ids = known.get(part)
+            out.append(self._word(part) if ids is None else ids)
+        return out[0] if len(out) == 1 else b"".join(out)
 
     def _unit_ids(self, units: list[str]) -> list[bytes]:
+        """The ids of distinct units. What is remembered comes in two ages: when the younger is full it becomes the older,
+        and of that only what is met again stays."""
         if len(self.units) > KNOWN:
-            self.units = {}
+            self.older, self.units = self.units, {}
         if len(self.words) > KNOWN // 2:
             self.words = {}
-        known = self.units
+        known, older = self.units, self.older
         found = list(map(known.get, units))
-        for i, ids in enumerate(found):
-            if ids is None:
-                found[i] = known[units[i]] = self._unit(units[i])
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            unit = units[i]
+            found[i] = known[unit] = older.get(unit) or self._unit(unit)
         return found
 
     def encode(self, texts: pa.Array) -> Iterator[bytes]:
@@ -129,8 +137,10 @@ class Encoder:
             length = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
             table = np.frombuffer(b"".join(ids), f"<u{self.width}")
             unit = distinct.indices.to_numpy()
-            after = np.concatenate(([0], np.cumsum(length[unit])))
-            place = np.repeat((np.cumsum(length) - length)[unit] - after[:-1], length[unit]) + np.arange(after[-1])
+            each = length[unit]
+            after = np.concatenate(([0], np.cumsum(each)))
+            shift = ((np.cumsum(length) - length)[unit] - after[:-1]).astype(np.int32)
+            place = np.repeat(shift, each) + np.arange(after[-1], dtype=np.int32)
             flat = table[place]
             stops = after[np.searchsorted(starts, ends)]
         for i, (a, b) in enumerate(zip(stops, stops[1:])):
@@ -152,20 +162,6 @@ def _learn(path: str) -> Encoder:
     return tokenizers._encoders[path]
 
 
-def _encode(path: str, end: int):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(path)
-        last = end.to_bytes(encoder.width, "little")
-        for batch in batches:
-            texts = batch.column(2)
-            for a, b in text_runs(texts):
-                ids = pa.array([x + last for x in encoder.encode(texts.slice(a, b - a))], pa.binary())
-                part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], ids], names=["doc_id", "tie", "ids"])
-
-    return work
-
-
 class Sequence(NamedTuple):
     """Where a file keeps an ascending sequence, and in how many bits."""
 
@@ -305,9 +301,10 @@ class TokenReader:
         self.file.close()
 
 
-def _write(folder: str, width: int, most_tokens: int, most_docs: int):
+def _write(path: str, end: int, folder: str, most_tokens: int, most_docs: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, writer = TaskContext.get().partitionId(), 0, None
+        part, number, writer, encoder = TaskContext.get().partitionId(), 0, None, encoder_of(path)
+        last = end.to_bytes(encoder.width, "little")
 
         def closed() -> pa.RecordBatch:
             writer.close()
@@ -316,15 +313,15 @@ def _write(folder: str, width: int, most_tokens: int, most_docs: int):
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names=["part", "number", "file", "docs", "tokens"])
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            if writer is None:
-                # A name of its own for each try: a file counts only if the manifest of the finished job names it.
-                writer = TokenWriter(f"{folder}/{part:06d}-{number:04d}-{uuid.uuid4().hex}.tokens", width)
-            writer.add(batch.column(0), batch.column(1))
-            if writer.tokens >= most_tokens or writer.docs >= most_docs:
-                yield closed()
-                writer, number = None, number + 1
+            for a, b in text_runs(batch.column(1)):
+                if writer is None:
+                    # A name of its own for each try: a file counts only if the manifest of the finished job names it.
+                    writer = TokenWriter(f"{folder}/{part:06d}-{number:04d}-{uuid.uuid4().hex}.tokens", encoder.width)
+                texts = batch.column(1).slice(a, b - a)
+                writer.add(batch.column(0).slice(a, b - a), pa.array([x + last for x in encoder.encode(texts)], pa.binary()))
+                if writer.tokens >= most_tokens or writer.docs >= most_docs:
+                    yield closed()
+                    writer, number = None, number + 1
         if writer is not None:
             yield closed()
 
@@ -337,22 +334,20 @@ def write_token_files(
     """Encodes every text and writes the ids in ascending doc_id order, null last, to files in ``folder`` (shared by all
     machines). Returns the manifest: part, number (the files' order), file, docs, tokens, and tokens_before.
 
-    Texts are encoded once and staged; ids, not texts, are shuffled. The order is a range partitioning of id, hash of the
-    text and row, so rows of one id (or of none) spread over tasks however many they are, and only equal texts can change
-    places from run to run. A null text is empty and gives the end id alone; repeated rows are rows.
+    The order is a range partitioning of id, hash of the text and row, so rows of one id (or of none) spread over tasks
+    however many they are, and only equal texts can change places from run to run. Behind it a text is encoded and
+    written as it comes. A null text is empty and gives the end id alone; repeated rows are rows.
     """
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path(VOCABULARY)
-    width = Encoder(path).width
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
-    encoded = rows.mapInArrow(_encode(path, end), "doc_id long, tie long, ids binary")
-    encoded = stage(encoded.select(F.monotonically_increasing_id().alias("row"), "*"), "tokens")
+    row = F.monotonically_increasing_id().alias("row")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), row, text.alias("text"))
     keys = [F.asc_nulls_last("doc_id"), F.asc("tie"), F.asc("row")]
-    ordered = encoded.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "ids")
-    manifest = stage(ordered.mapInArrow(_write(folder, width, most_tokens, most_docs), MANIFEST), "manifest")
+    ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text")
+    manifest = stage(ordered.mapInArrow(_write(path, end, folder, most_tokens, most_docs), MANIFEST), "manifest")
     before = F.sum("tokens").over(W.orderBy("part", "number").rowsBetween(W.unboundedPreceding, -1))  # a row per file
     return manifest.withColumn("tokens_before", F.coalesce(before, F.lit(0)))
 
