@@ -13,7 +13,7 @@ from pyspark.sql.window import Window as W
 
 from weaksift.functions import text as T
 from weaksift.lexicons import BUCKET_LABELS, BUCKET_OPPORTUNITIES
-from weaksift.operators.components import connected_items
+from weaksift.operators.components import connected_items, items_of_forest, similarity_forest
 from weaksift.operators.labels import member_fingerprint
 from weaksift.operators.numbering import global_rank
 from weaksift.operators.vectors import HASHED, cosine, round_half_up, tokens, top_terms
@@ -31,13 +31,22 @@ HASHED_BASIS = HASHED[2]
 CLUSTER = ["threshold", "bucket", "cluster_index", "cluster_id"]
 
 
-def assign_clusters(items: DataFrame, thresholds: list[float] = [DEFAULT_THRESHOLD], **options) -> DataFrame:
+def item_forest(items: DataFrame, levels: list[float], **options) -> DataFrame:
+    """The similarity forest of ``items`` (``item_no``, ``bucket``, ``vector``; a stage), for any thresholds out of ``levels``."""
+    return similarity_forest(items.select(F.col("item_no").alias("node"), "bucket", "vector"), levels, **options)
+
+
+def assign_clusters(
+    items: DataFrame, thresholds: list[float] = [DEFAULT_THRESHOLD], forest: DataFrame | None = None, **options
+) -> DataFrame:
     """``items`` has ``item_no``, ``item_id``, ``bucket``, ``vector`` and ``relevance_score``.
-    Returns one row per threshold and item with its cluster."""
-    narrow = stage(
-        items.select(F.col("item_no").alias("node"), "item_id", "bucket", "relevance_score", "vector"), "nodes"
-    )
-    found = connected_items(narrow, thresholds, **options)
+    Returns one row per threshold and item with its cluster. With a ``forest`` (``item_forest``) no vector is compared."""
+    nodes = items.select(F.col("item_no").alias("node"), "item_id", "bucket", "relevance_score", "vector")
+    narrow = stage(nodes if forest is None else nodes.drop("vector"), "nodes")
+    if forest is None:
+        found = connected_items(narrow, thresholds, **options)
+    else:
+        found = items_of_forest(narrow, forest, thresholds)
     by_threshold = F.element_at(F.lit([float(t) for t in thresholds]), F.col("t") + 1).alias("threshold")
     members = stage(
         found.join(narrow.drop("vector"), "node").select(

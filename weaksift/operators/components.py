@@ -1,335 +1,28 @@
-"""Connected components of the "cosine >= threshold" graph inside each bucket, exact, without
-listing its pairs.
-
-1. A bounded set of anchor items per bucket goes to every task. Each item is compared with the
-   anchors of its bucket (one matrix product per batch) and hangs on the first anchor it
-   reaches; anchors reached by one item are linked. No shuffle; copies of a text hang together.
-   The anchors' own graph is bounded, so one small task per bucket finds its components.
-2. Two items of the largest component of a bucket need no more comparison. All others (the
-   residue) are compared with every item of the bucket: sent to every task while they are few
-   (their number is checked). A larger residue is first tried against a wider sample of the
-   largest component, which takes in most of it; what is left is compared block by block.
-   Buckets whose items all were anchors are complete after step 1.
-3. The links of step 2 form a graph of component labels; its components follow from alternating
-   star contraction (Kiveris et al., "Connected components in MapReduce and beyond", 2014), a
-   handful of joins and aggregates.
-
-All thresholds of a sweep share one pass: a graph node is (item, threshold number).
-"""
+"""Connected components of the "cosine >= threshold" graph inside each bucket, exact, without listing its pairs: a spanning
+forest of the similarity graph (``similarity``), cut at each threshold (``forest``)."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
-
-from weaksift.plans.stages import stage
-
-ANCHORS_PER_BUCKET = 256
-MAX_ANCHORS = 16_384  # in all; 64 doubles each are 8 MB
-WIDER_SAMPLE = 1_000  # items of the largest component a large residue is tried against first
-BLOCK = 4_096  # vectors per side of a block comparison
-FEW_EDGES = 200_000  # a graph this small fits one task with ease
-ROWS_AT_ONCE = 1_024  # rows of one matrix product, to bound its memory
-
-LINK_SCHEMA = "t int, bucket string, node long, anchor long, is_link boolean"
-LABEL_SCHEMA = "t int, node long, component long"
-EDGE_SCHEMA = "t int, src long, dst long"
 
+from weaksift.operators.forest import components, cut, spanning_forest
+from weaksift.operators.similarity import similarity_forest
 
-def _rounded(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Cosines rounded to 9 places, so that the order of a sum decides no threshold."""
-    return np.floor(left @ right.T * 1e9 + 0.5) / 1e9
+__all__ = ["components", "connected_items", "cut", "items_of_forest", "similarity_forest", "spanning_forest"]
 
 
-def connected_items(
-    vectors: DataFrame,
-    thresholds: list[float],
-    anchors_per_bucket: int = ANCHORS_PER_BUCKET,
-    max_anchors: int = MAX_ANCHORS,
-    block: int = BLOCK,
-) -> DataFrame:
+def connected_items(vectors: DataFrame, thresholds: list[float], **options) -> DataFrame:
     """``vectors`` has ``node`` (unique long), ``bucket`` and ``vector`` (unit length or zero); it is
     read a few times, so it should be a stage table.
     Returns ``t`` (position in ``thresholds``), ``node`` and ``component`` (one node of it)."""
     if any(threshold <= 0 for threshold in thresholds):
         raise ValueError("thresholds must be positive")
-    vectors = vectors.select("node", "bucket", "vector")
-    anchors = _sample_anchors(vectors, anchors_per_bucket, max_anchors)
-    hung = stage(_hang_on_anchors(vectors, anchors, thresholds), "hung")
-    links = hung.where("is_link").select("t", "bucket", "node", "anchor").distinct()
-    merged = links.groupBy("t", "bucket").applyInPandas(_merge, LABEL_SCHEMA)  # bounded: anchors only
-    items = stage(
-        hung.where(~F.col("is_link"))
-        .withColumn("hook", F.coalesce("anchor", "node"))
-        .join(F.broadcast(merged.withColumnRenamed("node", "hook")), ["t", "hook"], "left")  # <= anchors x thresholds
-        .select("t", "bucket", "node", F.coalesce("component", "hook").alias("label")),
-        "labels",
-    )
-    sampled = sum(len(ids) for ids, _ in anchors.values())
-    complete = [
-        bucket for bucket, (ids, _) in anchors.items() if len(ids) < anchors_per_bucket and sampled < max_anchors
-    ]
-    largest = _largest(items)
-    residue = _residue(items, largest, vectors, complete)
-    if residue.isEmpty():
-        return items.select("t", "node", F.col("label").alias("component"))
-    edges = None
-    if not _few(residue, max_anchors):
-        edges = _absorb(items, largest, vectors, residue, thresholds, max_anchors)
-        residue = stage(residue.join(edges.select("t", F.col("src").alias("label")), ["t", "label"], "left_anti"), "residue")
-    if edges is None or not residue.isEmpty():
-        links = _link_residue(vectors, items, residue, thresholds, max_anchors, block)
-        edges = links if edges is None else edges.unionByName(links)
-    roots = components(edges).withColumnRenamed("node", "label")
-    return items.join(roots, ["t", "label"], "left").select("t", "node", F.coalesce("component", "label").alias("component"))
-
-
-def _part(t: int, bucket: str, nodes: np.ndarray, anchors: np.ndarray | None, is_link: bool) -> pd.DataFrame:
-    if anchors is None:
-        anchors = pd.array([pd.NA] * len(nodes), dtype="Int64")
-    return pd.DataFrame(
-        {"t": t, "bucket": bucket, "node": nodes, "anchor": pd.array(anchors, dtype="Int64"), "is_link": is_link}
-    )
-
-
-def _largest(items: DataFrame) -> DataFrame:
-    """The label of the largest component per threshold and bucket."""
-    sizes = items.groupBy("t", "bucket", "label").agg(F.count("*").alias("n"))
-    return sizes.groupBy("t", "bucket").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
-
-
-def _residue(items: DataFrame, largest: DataFrame, vectors: DataFrame, complete: list[str]) -> DataFrame:
-    """Items outside the largest component of their bucket that some pair could still link. A
-    zero vector reaches nothing."""
-    outside = items if not complete else items.where(~F.col("bucket").isin(complete))
-    outside = outside.join(largest, ["t", "bucket"]).where("label <> largest").select("t", "node", "label")
-    return stage(vectors.where(F.exists("vector", lambda v: v != 0)).join(outside, "node"), "residue")
-
-
-def _few(residue: DataFrame, limit: int) -> bool:
-    return residue.limit(limit + 1).count() <= limit
-
-
-def _absorb(items, largest, vectors, residue, thresholds, limit) -> DataFrame:
-    """A large residue is first compared with a wider sample of the largest component. A label with
-    one item that reaches it belongs to it, and none of its items needs another comparison. Reads
-    only the residue."""
-    w = W.partitionBy("t", "bucket").orderBy(F.xxhash64("node", F.lit(1)), "node")
-    inside = items.join(largest, ["t", "bucket"]).where("label = largest")
-    sample = inside.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= WIDER_SAMPLE)
-    rows = sample.select("t", "node", "label").limit(limit).join(vectors, "node").toArrow().to_pandas()
-    shared = residue.sparkSession.sparkContext.broadcast(
-        {
-            key: (int(group["label"].iloc[0]), np.stack(group["vector"].to_list()))
-            for key, group in rows.groupby(["bucket", "t"])
-        }
-    )
-
-    def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for key, group in batch.groupby(["bucket", "t"]):
-                if key in shared.value:
-                    label, matrix = shared.value[key]
-                    near = _rounded(np.stack(group["vector"].to_list()), matrix) >= thresholds[key[1]]
-                    reached = group["label"].to_numpy(np.int64)[near.any(axis=1)]
-                    yield pd.DataFrame({"t": key[1], "src": np.unique(reached), "dst": label})
-
-    return stage(residue.mapInPandas(reach, EDGE_SCHEMA).distinct(), "absorbed")
-
-
-def _merge(links: pd.DataFrame) -> pd.DataFrame:
-    """Components of one bucket's anchors: least labels spread along the links until stable."""
-    ids, ends = np.unique(links[["node", "anchor"]].to_numpy(np.int64), return_inverse=True)
-    left, right = ends.reshape(-1, 2).T
-    label = np.arange(len(ids))
-    while True:
-        before = label.copy()
-        np.minimum.at(label, left, label[right])
-        np.minimum.at(label, right, label[left])
-        label = label[label]
-        if (label == before).all():
-            return pd.DataFrame({"t": links["t"].iloc[0], "node": ids, "component": ids[label]})
-
-
-def _sample_anchors(vectors: DataFrame, per_bucket: int, limit: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Anchors chosen by hash order, so a text with many copies is all but sure to be one."""
-    w = W.partitionBy("bucket").orderBy(F.xxhash64("node"), "node")
-    nonzero = vectors.where(F.exists("vector", lambda v: v != 0))
-    chosen = nonzero.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= per_bucket).drop("_place")
-    # With very many buckets the sample is cut; fewer anchors cost time, never a result.
-    return _by_bucket(chosen.limit(limit).toArrow().to_pandas())
-
-
-def _by_bucket(rows: pd.DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    return {
-        bucket: (group["node"].to_numpy(np.int64), np.stack(group["vector"].to_list()))
-        for bucket, group in rows.groupby("bucket")
-    }
-
-
-def _hang_on_anchors(vectors: DataFrame, anchors, thresholds: list[float]) -> DataFrame:
-    shared = vectors.sparkSession.sparkContext.broadcast(anchors)
-
-    def hang(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            parts = []
-            for bucket, rows in batch.groupby("bucket"):
-                nodes = rows["node"].to_numpy(np.int64)
-                if bucket not in shared.value:  # a bucket of zero vectors
-                    parts += [_part(t, bucket, nodes, None, False) for t in range(len(thresholds))]
-                    continue
-                ids, matrix = shared.value[bucket]
-                cosines = _rounded(np.stack(rows["vector"].to_list()), matrix)
-                for t, threshold in enumerate(thresholds):
-                    near = cosines >= threshold
-                    reached = near.any(axis=1)
-                    parts.append(_part(t, bucket, nodes[~reached], None, False))
-                    near, nodes_t = near[reached], nodes[reached]
-                    if not len(nodes_t):
-                        continue
-                    first = near.argmax(axis=1)
-                    parts.append(_part(t, bucket, nodes_t, ids[first], False))
-                    # Per first anchor, every anchor some item of the batch reached with it.
-                    order = np.argsort(first, kind="stable")
-                    heads, starts = np.unique(first[order], return_index=True)
-                    together = np.logical_or.reduceat(near[order], starts, axis=0)
-                    head, other = np.nonzero(together)
-                    parts.append(_part(t, bucket, ids[heads[head]], ids[other], True))
-            yield pd.concat(parts)
-
-    return vectors.mapInPandas(hang, LINK_SCHEMA)
-
-
-def _link_residue(vectors, items, residue, thresholds, max_anchors, block) -> DataFrame:
-    """Edges between the labels of items that reach each other, one of them in the residue."""
-    labels = items.groupBy("node").agg(  # one entry per threshold
-        F.map_from_entries(F.collect_list(F.struct("t", "label"))).alias("labels")
-    )
-    labelled = vectors.join(labels, "node")
-    if _few(residue, max_anchors):
-        return _link_to_few(labelled, residue.toArrow().to_pandas(), thresholds)
-    return _link_in_blocks(labelled, residue, thresholds, block)
-
-
-def _reach(t: int, threshold: float, left: pd.DataFrame, right_labels: np.ndarray, right: np.ndarray) -> pd.DataFrame:
-    """Distinct pairs of labels of one comparison; never one row per pair of items."""
-    labels, vectors = left["label"].to_numpy(np.int64), np.stack(left["vector"].to_list())
-    pairs = [np.zeros((0, 2), np.int64)]
-    for start in range(0, len(vectors), ROWS_AT_ONCE):
-        near = _rounded(vectors[start : start + ROWS_AT_ONCE], right) >= threshold
-        for i in np.flatnonzero(near.any(axis=1)):
-            reached = np.unique(right_labels[near[i]])
-            own = labels[start + i]
-            reached = reached[reached != own]
-            pairs.append(np.column_stack([np.full(len(reached), own), reached]))
-    src, dst = np.unique(np.concatenate(pairs), axis=0).T
-    return pd.DataFrame({"t": t, "src": src, "dst": dst})
-
-
-def _labels(column: pd.Series, t: int) -> np.ndarray:
-    return np.array([dict(labels)[t] for labels in column], dtype=np.int64)
-
-
-def _link_to_few(labelled: DataFrame, residue: pd.DataFrame, thresholds) -> DataFrame:
-    shared = labelled.sparkSession.sparkContext.broadcast(
-        {key: group[["label", "vector"]] for key, group in residue.groupby(["bucket", "t"])}
-    )
-
-    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for bucket, rows in batch.groupby("bucket"):
-                matrix = np.stack(rows["vector"].to_list())
-                for t, threshold in enumerate(thresholds):
-                    if (bucket, t) in shared.value:
-                        yield _reach(t, threshold, shared.value[(bucket, t)], _labels(rows["labels"], t), matrix)
-
-    return labelled.mapInPandas(link, EDGE_SCHEMA)
-
-
-def _link_in_blocks(labelled: DataFrame, residue: DataFrame, thresholds, block: int) -> DataFrame:
-    """Both sides cut into blocks of about ``block`` rows; each pair of blocks is one small task.
-    A side is repeated once per block of the other, so the cost grows with the residue."""
-    blocks = lambda rows, name: rows.groupBy("bucket").agg(F.ceil(F.count("*") / block).alias(name))
-    grid = blocks(labelled, "n_right").join(blocks(residue, "n_left"), "bucket")  # one row per bucket
-    cell = lambda count: F.pmod(F.xxhash64("node"), F.col(count)).cast("int")
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count).cast("int") - 1))
-    left = residue.join(grid, "bucket").select(
-        "bucket", cell("n_left").alias("i"), every("n_right").alias("j"), "t", "label", "vector"
-    )
-    right = labelled.join(grid, "bucket").select(
-        "bucket", every("n_left").alias("i"), cell("n_right").alias("j"), "vector", "labels"
-    )
-
-    def compare(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        parts = [pd.DataFrame({"t": [], "src": [], "dst": []}, dtype="int64")]
-        if len(a) and len(b):
-            matrix = np.stack(b["vector"].to_list())
-            for t, rows in a.groupby("t"):
-                parts.append(_reach(t, thresholds[t], rows, _labels(b["labels"], t), matrix))
-        return pd.concat(parts)
-
-    keys = ["bucket", "i", "j"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, EDGE_SCHEMA)
-
-
-def components(edges: DataFrame, few_edges: int = FEW_EDGES, max_rounds: int = 100) -> DataFrame:
-    """Components of an undirected graph ``t, src, dst`` (one graph per ``t``): every node that
-    has an edge, with the least node of its component. A graph of at most ``few_edges`` edges is
-    one small task per ``t``; else rounds of large-star and small-star contraction run until the
-    edges no longer change, each round staged."""
-    edges = stage(edges.distinct(), "edges")
-    if edges.count() <= few_edges:
-        pairs = edges.select("t", F.col("src").alias("node"), F.col("dst").alias("anchor"))
-        return pairs.groupBy("t").applyInPandas(_merge, LABEL_SCHEMA)
-    nodes = edges.select("t", F.explode(F.array("src", "dst")).alias("node")).distinct()
-    stars = stage(
-        edges.where("src <> dst")
-        .select("t", F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-        .distinct(),
-        "stars",
-    )
-    state = _fingerprint(stars)
-    for _ in range(max_rounds):
-        if state[0] == 0:
-            break
-        stars = stage(_small_star(_large_star(stars)), "stars")
-        previous, state = state, _fingerprint(stars)
-        if state == previous:
-            break
-    else:
-        raise RuntimeError("components did not converge")
-    return (
-        nodes.join(stars.withColumnRenamed("src", "node"), ["t", "node"], "left")
-        .select("t", "node", F.coalesce("dst", "node").alias("component"))
-    )
-
-
-def _fingerprint(edges: DataFrame) -> tuple:
-    return tuple(
-        edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("t", "src", "dst")), F.lit(0))).first()
-    )
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node is linked to the node's least neighbour (or itself)."""
-    both = edges.unionByName(edges.select("t", F.col("dst").alias("src"), F.col("src").alias("dst")))
-    least = both.groupBy("t", "src").agg(F.least(F.min("dst"), F.col("src")).alias("least"))
-    return (
-        both.where("dst > src").join(least, ["t", "src"])
-        .select("t", F.col("dst").alias("src"), F.col("least").alias("dst"))
-        .distinct()
-    )
+    return items_of_forest(vectors, similarity_forest(vectors, thresholds, **options), thresholds)
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Every smaller neighbour of a node, and the node, is linked to the least of them."""
-    down = edges.select("t", F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-    least = down.groupBy("t", "src").agg(F.min("dst").alias("least"))
-    neighbours = down.join(least, ["t", "src"]).select("t", F.col("dst").alias("src"), F.col("least").alias("dst"))
-    itself = least.select("t", "src", F.col("least").alias("dst"))
-    return neighbours.unionByName(itself).where("src <> dst").distinct()
+def items_of_forest(vectors: DataFrame, forest: DataFrame, thresholds: list[float]) -> DataFrame:
+    """The same from a forest made before, whose levels hold the thresholds: no vector is compared again. Items without an
+    edge are components of their own."""
+    every = vectors.select(F.explode(F.lit(list(range(len(thresholds))))).alias("t"), "node")
+    return every.join(cut(forest, thresholds), ["t", "node"], "left").select("t", "node", F.coalesce("component", "node").alias("component"))
