@@ -248,3 +248,87 @@ def test_chain_reads_prune_partitions(spark, tmp_path):
     assert read.count() == 12 and len(read.inputFiles()) >= 1
     with pytest.raises(ValueError, match="more than 2 runs"):
         H.chain_runs(H.lineage(runs, "r3"), most=2)
+
+
+EVIDENCE = "run_id string, item_id string, category string"
+
+
+def evidence_of(spark, run, items):
+    return spark.createDataFrame([(run, i, "pain") for i in items], EVIDENCE)
+
+
+def stored_items(spark, root, **options):
+    return sorted((r.run_id, r.item_id) for r in H.read_table(spark, root, "evidence_rows", **options).collect())
+
+
+def test_a_save_that_dies_changes_nothing(spark, tmp_path, monkeypatch):
+    """Whether it dies among its tables or before its manifest is in place; the next save works."""
+    root = str(tmp_path / "store")
+    runs = spark.createDataFrame([("r1", "")], "run_id string, resume_from_run_id string")
+    H.save_run({"evidence_rows": evidence_of(spark, "r1", "ab"), "runs": runs}, root)
+    broken = evidence_of(spark, "r1", "x").withColumn("item_id", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        H.save_run({"runs": runs.withColumn("resume_from_run_id", F.lit("new")), "evidence_rows": broken}, root)
+
+    def no_rename(*_):
+        raise OSError("dead")
+
+    with monkeypatch.context() as m:
+        m.setattr(H.S, "_put", no_rename)
+        with pytest.raises(OSError):
+            H.save_run({"evidence_rows": evidence_of(spark, "r1", "xyz")}, root)
+    assert stored_items(spark, root) == [("r1", "a"), ("r1", "b")]
+    assert [r.resume_from_run_id for r in H.read_table(spark, root, "runs").collect()] == [""]
+    H.save_run({"evidence_rows": evidence_of(spark, "r1", "c")}, root)
+    assert stored_items(spark, root) == [("r1", "c")]
+
+
+def test_a_reader_sees_one_version(spark, tmp_path):
+    root = str(tmp_path / "store")
+    first = H.save_run({"evidence_rows": evidence_of(spark, "r1", "ab")}, root)
+    open_ = H.read_table(spark, root, "evidence_rows")
+    H.save_run({"evidence_rows": evidence_of(spark, "r1", "cde")}, root)
+    H.save_run({"evidence_rows": evidence_of(spark, "r2", "f")}, root)
+    assert sorted(r.item_id for r in open_.collect()) == ["a", "b"]
+    assert stored_items(spark, root) == [("r1", "c"), ("r1", "d"), ("r1", "e"), ("r2", "f")]
+    assert stored_items(spark, root, run_ids=["r2", "gone"]) == [("r2", "f")]
+    assert stored_items(spark, root, number=first) == [("r1", "a"), ("r1", "b")]
+    assert H.S.clear_versions(spark, root) == 1
+    assert stored_items(spark, root) == [("r1", "c"), ("r1", "d"), ("r1", "e"), ("r2", "f")]
+    H.save_run({"evidence_rows": H.read_table(spark, root, "evidence_rows").where("run_id = 'r1'").limit(1)}, root)  # from itself
+    assert len(stored_items(spark, root)) == 2
+
+
+def test_saves_at_the_same_time(spark, tmp_path, monkeypatch):
+    """The one that comes second keeps what the first has saved; if it was made from rows that changed, it fails."""
+    root = str(tmp_path / "store")
+    H.save_run({"evidence_rows": evidence_of(spark, "r1", "a")}, root)
+    real, between = H.S._put, []
+
+    def put(spark_, root_, number, content):
+        if not between:
+            between.append(number)
+            H.save_run({"evidence_rows": evidence_of(spark, "r2", "b")}, root)
+        return real(spark_, root_, number, content)
+
+    with monkeypatch.context() as m:
+        m.setattr(H.S, "_put", put)
+        H.save_run({"evidence_rows": evidence_of(spark, "r3", "c")}, root)
+    assert stored_items(spark, root) == [("r1", "a"), ("r2", "b"), ("r3", "c")] and H.S.last_number(spark, root) == 3
+
+    schema = "run_id string, batch_index int, item_id string, artifact_type string, model_name string, model_version string, input_hash string, created_at string"
+    artifact = lambda item: spark.createDataFrame([("r1", 1, item, "t", "m", "v", "h", "1")], schema)
+    H.append_artifacts(artifact("i1"), root)
+    real_commit = H.S.commit
+
+    def commit(spark_, root_, changes, based_on=None):
+        if based_on is not None and len(between) == 1:
+            between.append(None)
+            H.save_run({"model_artifacts": artifact("i2")}, root)
+        return real_commit(spark_, root_, changes, based_on)
+
+    with monkeypatch.context() as m:
+        m.setattr(H.S, "commit", commit)
+        with pytest.raises(H.S.Superseded):
+            H.append_artifacts(artifact("i3"), root)
+    assert [r.item_id for r in H.read_table(spark, root, "model_artifacts").collect()] == ["i2"]

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from weaksift.operators import store as S
 from weaksift.operators.numbering import running_total, whole_part
 from weaksift.plans.stages import stage
 
@@ -44,63 +47,51 @@ def last_wins(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFram
     return rows.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
 
 
-def _clear_runs(spark: SparkSession, folder: str, run_ids: list[str]) -> None:
-    """Removes the partitions of runs from a stored table."""
-    jvm = spark._jvm
-    paths = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
-    files = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    for run_id in run_ids:
-        files.delete(jvm.org.apache.hadoop.fs.Path(f"{folder}/{paths.getPartitionPathString('run_id', run_id)}"), True)
-
-
-def save_table(rows: DataFrame, root: str, name: str, run_ids: list[str] | None = None) -> None:
-    """Replaces what the table holds of some runs by ``rows``; other runs are not touched. ``run_ids``
-    are the runs being saved, by default those of the rows (few); a run without rows ends up empty.
-    The rows are written to a stage first, so they may come from the stored table itself."""
-    rows = stage(rows, f"save-{name}")
-    if run_ids is None:
-        run_ids = [r["run_id"] for r in rows.select("run_id").distinct().collect()]
-    _clear_runs(rows.sparkSession, f"{root}/{name}", run_ids)
-    partitions = RAW_PARTITIONS if name == "raw_items" else ["run_id"]
-    rows.write.mode("append").partitionBy(*partitions).parquet(f"{root}/{name}")
-    rows.limit(0).coalesce(1).write.mode("overwrite").parquet(f"{root}/_schemas/{name}")  # a table without rows has none
+def _written(rows: DataFrame, root: str, name: str, run_ids: list[str] | None, check: bool) -> dict:
+    """A version of a table and what it replaces; ``check``: whether its keys have to be told apart first."""
+    version, runs = S.write_version(rows, root, name, RAW_PARTITIONS if name == "raw_items" else ["run_id"])
+    if check and runs:
+        written = rows.sparkSession.read.schema(rows.schema).parquet(f"{root}/{name}/{version}")
+        if not written.groupBy(*TABLE_KEYS[name]).count().where("count > 1").isEmpty():
+            S.drop_version(rows.sparkSession, root, name, version)
+            raise ValueError(f"{name} has rows with the same key and no arrival column to tell the last")
+    return {"schema": json.loads(rows.schema.json()), "replaced": run_ids or list(runs), "runs": runs}
 
 
 def save_run(
     tables: dict[str, DataFrame], root: str, arrival: str | None = None, run_ids: list[str] | None = None
-) -> None:
-    """Every stored table of a run, which replaces the run's earlier rows in all of them. One row per
-    key: the last by the ``arrival`` column; a table without it must have unique keys."""
+) -> int:
+    """Every stored table of a run, which replaces the run's earlier rows in all of them at once (see ``store``).
+    ``run_ids`` are the runs being saved, by default those that a table has rows of; a run named without rows ends up
+    empty. One row per key: the last by the ``arrival`` column; a table without it must have unique keys. The rows are
+    written once, and may come from the stored tables themselves. Returns the number of the manifest."""
+    changes = {}
     for name, rows in tables.items():
         keys = TABLE_KEYS.get(name)
         if keys is None:
             continue  # a view of the run, made again from the stored tables
-        if arrival in rows.columns:
-            rows = last_wins(rows, keys, [F.desc(arrival)])
-        elif rows.groupBy(*keys).count().where("count > 1").limit(1).count():
-            raise ValueError(f"{name} has rows with the same key and no arrival column to tell the last")
-        save_table(rows, root, name, run_ids)
-
-
-def append_artifacts(rows: DataFrame, root: str, arrival: str = "created_at") -> None:
-    """Artifacts added to those of the same runs, last wins per key."""
-    spark = rows.sparkSession
-    merged = rows
-    try:
-        stored = read_table(spark, root, "model_artifacts")
-    except Exception as error:  # no such table yet
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-    else:
-        same_runs = stored.join(rows.select("run_id").distinct(), "run_id", "left_semi")
-        merged = same_runs.unionByName(rows)
-    save_table(last_wins(merged, TABLE_KEYS["model_artifacts"], [F.desc(arrival)]), root, "model_artifacts")
-
-
-def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A stored table; one that no run has rows for is empty."""
-    schema = spark.read.parquet(f"{root}/_schemas/{name}").schema
-    return spark.read.schema(schema).parquet(f"{root}/{name}")
+        told = arrival in rows.columns
+        rows = last_wins(rows, keys, [F.desc(arrival)]) if told else rows
+        changes[name] = _written(rows, root, name, run_ids, check=not told)
+    return S.commit(next(iter(tables.values())).sparkSession, root, changes) if changes else 0
+
+
+def append_artifacts(rows: DataFrame, root: str, arrival: str = "created_at") -> int:
+    """Artifacts added to those of the same runs, last wins per key. Fails if another save has changed these runs
+    meanwhile, so no artifact of it is lost."""
+    spark, name = rows.sparkSession, "model_artifacts"
+    now = S.manifest(spark, root)
+    rows = stage(rows, "artifacts")
+    run_ids = [r["run_id"] for r in rows.select("run_id").distinct().collect()]  # the runs being saved
+    merged = S.read_version(spark, root, name, now, run_ids).unionByName(rows) if name in now else rows
+    change = _written(last_wins(merged, TABLE_KEYS[name], [F.desc(arrival)]), root, name, run_ids, check=False)
+    return S.commit(spark, root, {name: change}, based_on=now)
+
+
+def read_table(spark: SparkSession, root: str, name: str, run_ids: list[str] | None = None, number: int | None = None) -> DataFrame:
+    """A stored table as the last manifest has it (or the one with a ``number``); one that no run has rows for is empty.
+    With ``run_ids`` only these runs' folders are looked at. What is read stays as it is while others save."""
+    return S.read_version(spark, root, name, S.manifest(spark, root, number), run_ids)
 
 
 # -- lineage -----------------------------------------------------------------------------------
