@@ -24,10 +24,15 @@ def literal_array(values: list[str]) -> Column:
     return F.expr(f"array({', '.join(quoted)})") if quoted else F.array().cast("array<string>")
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value bound to a variable, so that an expression in its place, however often it is
+    used, is computed once per row."""
+    return F.transform(F.array(value), use)[0]
+
+
 def substring_hits(text: Column, terms: list[str]) -> Column:
-    """Terms contained in ``text``, in list order. ``text`` must be a plain column: the test
-    runs once per term, so an expression in its place would be computed once per term."""
-    return F.filter(literal_array(terms), lambda term: F.contains(text, term))
+    """Terms contained in ``text``, in list order."""
+    return once(text, lambda own: F.filter(literal_array(terms), lambda term: F.contains(own, term)))
 
 
 def word_hits(text: Column, words: list[str]) -> Column:
@@ -44,7 +49,7 @@ def hits_by_word_rule(text: Column, terms: list[str]) -> Column:
 
 def pick(found: Column, terms: list[str]) -> Column:
     """The sub-list of ``terms`` that was found; order and duplicates of ``terms`` are kept."""
-    return F.filter(literal_array(terms), lambda term: F.array_contains(found, term))
+    return once(found, lambda own: F.filter(literal_array(terms), lambda term: F.array_contains(own, term)))
 
 
 def any_found(found: Column, terms: list[str]) -> Column:

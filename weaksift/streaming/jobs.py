@@ -12,11 +12,11 @@ from weaksift.operators import history as H
 from weaksift.operators import quality as Q
 from weaksift.operators import relevance as R
 from weaksift.operators.scan import clean_items, scan_items
-from weaksift.plans.stages import stage
 from weaksift.sources import raw_items as I
 
-KEY_FOLDERS = 64  # of a batch's stored keys
-STORED_KEYS = "source_name string, source_id string, batch_id long, key_prefix int"
+STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+FAN = 8  # folders of changes that are merged into one
 
 
 def discussion_stream(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
@@ -63,31 +63,49 @@ def run_append(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuer
     )
 
 
-def run_first_seen(items: DataFrame, target: str, checkpoint: str, order: str, earlier: DataFrame | None = None) -> StreamingQuery:
-    """Items whose (source_name, source_id) neither this stream nor the stored lineage (``earlier``)
-    has seen. Exact and without unbounded state: each batch is checked against the stored keys. A
-    batch owns the partition of its id and looks only at smaller ids, so a replay after a failure
-    writes the same rows again. Stored keys lie in folders by a prefix of their hash, and a batch
-    reads only the folders of its own keys."""
+def run_first_seen(
+    items: DataFrame, target: str, checkpoint: str, order: str, earlier: DataFrame | None = None, files: int = 1, provider: str | None = ROCKSDB
+) -> StreamingQuery:
+    """Items whose (source_name, source_id) neither this stream nor the stored lineage (``earlier``) has seen; of a
+    batch's rows with one key the first by ``order``. Exact: what has been seen is keyed state of the stream, a row per
+    key, so a batch costs look-ups of its own keys and nothing that was written is read again. The state also holds when
+    its key first came: a key is new in the batch in which that is the time of the batch itself.
+
+    ``provider`` keeps the state (by default RocksDB, on the executors' disks and in the checkpoint; None: what the session
+    has). A batch owns the folder of its id, in ``files`` files, so a replay after a failure writes the same rows again."""
+    if earlier is not None:
+        items = H.drop_seen(items, earlier)
+    key = [F.coalesce(c, F.lit("")).alias(f"_{c}") for c in ("source_name", "source_id")]
+    timed = items.withColumn("_now", F.current_timestamp())  # one for the whole batch, and the same one in a replay
+    seen = timed.groupBy(*key).agg(
+        F.min_by(F.struct(*items.columns), order).alias("_row"), F.min("_now").alias("_first"), F.max("_now").alias("_last")
+    )
 
     def take(batch: DataFrame, batch_id: int) -> None:
-        fresh = H.last_wins(batch, ["source_name", "source_id"], [F.asc(order)])  # the first by order
-        if earlier is not None:
-            fresh = H.drop_seen(fresh, earlier)
-        key = [F.coalesce(c, F.lit("")) for c in ("source_name", "source_id")]
-        fresh = stage(fresh.withColumn("key_prefix", F.pmod(F.xxhash64(*key), F.lit(KEY_FOLDERS)).cast("int")), "first-seen")
-        if batch_id > 0:
-            prefixes = [r["key_prefix"] for r in fresh.select("key_prefix").distinct().collect()]  # KEY_FOLDERS at most
-            stored = fresh.sparkSession.read.schema(STORED_KEYS).parquet(target)
-            fresh = H.drop_seen(fresh, stored.where((F.col("batch_id") < batch_id) & F.col("key_prefix").isin(prefixes)))
-        fresh.write.mode("overwrite").partitionBy("key_prefix").parquet(f"{target}/batch_id={batch_id}")
+        fresh = batch.where("_first = _last").select("_row.*")
+        fresh.repartition(files).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+
+    def start() -> StreamingQuery:
+        return (
+            seen.writeStream.outputMode("update")
+            .foreachBatch(take)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+
+    return _with_conf(items.sparkSession, STATE_PROVIDER, provider, start)
 
-    return (
-        items.writeStream.foreachBatch(take)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+
+def _with_conf(spark: SparkSession, name: str, value: str | None, start):
+    """A stream takes the session's settings as they are when it starts."""
+    before = spark.conf.get(name)
+    if value is not None:
+        spark.conf.set(name, value)
+    try:
+        return start()
+    finally:
+        spark.conf.set(name, before)
 
 
 def first_seen_within(items: DataFrame, event_time: str, delay: str) -> DataFrame:
@@ -96,10 +114,17 @@ def first_seen_within(items: DataFrame, event_time: str, delay: str) -> DataFram
 
 
 def run_collection_state(pages: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Running state per (source, query): each batch writes the rows that changed."""
+    """Running state per (source, query): each batch writes the rows that changed, and every ``FAN`` folders are merged
+    into one, last wins, as soon as they are there: levels, each ``FAN`` times as wide."""
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+        batch.withColumn("batch_id", F.lit(batch_id).cast("long")).coalesce(1).write.mode("overwrite").parquet(_span(target, batch_id, batch_id))
+        width = FAN
+        while (batch_id + 1) % width == 0:
+            parts = [_span(target, at, at + width // FAN - 1) for at in range(batch_id + 1 - width, batch_id + 1, width // FAN)]
+            merged = _latest(batch.sparkSession.read.parquet(*parts))
+            merged.coalesce(1).write.mode("overwrite").parquet(_span(target, batch_id + 1 - width, batch_id))
+            width *= FAN
 
     return (
         H.collection_state(pages)
@@ -111,7 +136,33 @@ def run_collection_state(pages: DataFrame, target: str, checkpoint: str) -> Stre
     )
 
 
+def _span(target: str, first: int, last: int) -> str:
+    return f"{target}/from={first}/to={last}"
+
+
+def _latest(changes: DataFrame) -> DataFrame:
+    return H.last_wins(changes, ["source", "query"], [F.desc("batch_id")])
+
+
+def state_folders(spark: SparkSession, target: str) -> list[str]:
+    """The folders that together hold all changes, the widest merged ones for the earliest: fewer than ``FAN`` for each
+    level. A folder counts when its write has ended."""
+    files = spark._jvm.org.apache.hadoop.fs.Path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    path = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    names = lambda p: [s.getPath().getName() for s in files.listStatus(path(p))]
+    spans: dict[int, int] = {}
+    for start in names(target):
+        if start.startswith("from="):
+            first = int(start.removeprefix("from="))
+            ends = [int(n.removeprefix("to=")) for n in names(f"{target}/{start}") if n.startswith("to=")]
+            spans[first] = max((e for e in ends if files.exists(path(f"{_span(target, first, e)}/_SUCCESS"))), default=-1)
+    at, found = 0, []
+    while spans.get(at, -1) >= at:
+        found.append(_span(target, at, spans[at]))
+        at = spans[at] + 1
+    return found
+
+
 def latest_state(spark: SparkSession, target: str) -> DataFrame:
-    """The last written state of every (source, query)."""
-    changes = spark.read.parquet(target)
-    return H.last_wins(changes, ["source", "query"], [F.desc("batch_id")]).drop("batch_id")
+    """The last written state of every (source, query), from the folders that are not merged into others."""
+    return _latest(spark.read.parquet(*state_folders(spark, target))).drop("batch_id")
