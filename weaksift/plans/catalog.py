@@ -22,8 +22,9 @@ from weaksift.operators import summaries as U
 from weaksift.operators import vectors as V
 from weaksift.plans import evidence as E
 from weaksift.plans import oracle as O
+from weaksift.plans.seeded import seeded_items
 from weaksift.plans.stages import new_path, spread
-from weaksift.plans.tables import CORPUS, Tables, tables
+from weaksift.plans.tables import CORPUS, NATIVE_THRESHOLDS, Tables, tables
 from weaksift.sources import raw_items as I
 from weaksift.streaming import jobs as J
 
@@ -507,6 +508,52 @@ def native_relevance(t: Tables) -> DataFrame:
     return _scores(t.native_prepared).join(more, "item_id")
 
 
+NATIVE_EVIDENCE = O.with_(_NATIVE, O.assessed(CORPUS, "native"), O.prepared(CORPUS), O.evidence(CORPUS))
+
+
+@query(
+    "native_evidence",
+    NATIVE_EVIDENCE
+    + """SELECT item_id, category, category_title, array_to_string(matched_terms, ', ') AS matched_terms, evidence_excerpt,
+    signal_relevance_score::BIGINT AS signal_relevance_score FROM evidence""",
+)
+def native_evidence(t: Tables) -> DataFrame:
+    """Evidence of the documents under a user's own lexicon, two categories of which are the user's own."""
+    return t.native_evidence.select(
+        "item_id", "category", "category_title", text_of("matched_terms", ", "), "evidence_excerpt", whole("signal_relevance_score")
+    )
+
+
+@query(
+    "native_category_summary",
+    NATIVE_EVIDENCE
+    + ","
+    + O.SUMMARY
+    + """SELECT summary_ord::BIGINT AS summary_ord, category, title, evidence_count, discussion_count, review_count,
+    array_to_string(top_terms, ', ') AS top_terms, summary, array_to_string(example_evidence, ' | ') AS example_evidence FROM summary""",
+)
+def native_category_summary(t: Tables) -> DataFrame:
+    return U.category_summary(t.native_evidence).select(
+        whole("summary_ord"), "category", "title", "evidence_count", "discussion_count", "review_count",
+        text_of("top_terms", ", "), "summary", text_of("example_evidence", " | "),
+    )
+
+
+@query(
+    "native_clusters",
+    O.with_(_NATIVE, O.assessed(CORPUS, "native"), O.prepared(CORPUS), O.VECTORS, O.clusters("vectors", NATIVE_THRESHOLDS), O.ROLLUP)
+    + """SELECT threshold, cluster_id, bucket AS cluster_key, label, product_opportunity, item_count,
+    array_to_string(source_mix, ', ') AS source_mix, average_relevance_score::DOUBLE AS average_relevance_score,
+    array_to_string(top_terms, ', ') AS top_terms, array_to_string(rep_items, ', ') AS representative_item_ids FROM rollup_rows""",
+)
+def native_clusters(t: Tables) -> DataFrame:
+    """Clusters of the documents in a user's own buckets."""
+    return t.native_rollup.select(
+        "threshold", "cluster_id", F.col("bucket").alias("cluster_key"), "label", "product_opportunity", "item_count",
+        text_of("source_mix", ", "), "average_relevance_score", text_of("top_terms", ", "), text_of("representative_item_ids", ", "),
+    )
+
+
 # -- evidence -------------------------------------------------------------------------------------
 
 _EVIDENCE_ROW = """run_id, item_id, category, category_title, array_to_string(matched_terms, ', ') AS matched_terms, evidence_excerpt,
@@ -787,6 +834,28 @@ def missing_members(t: Tables) -> DataFrame:
     return C.missing_members(t.members, t.items).select("item_id")
 
 
+@query(
+    "missing_members_of_a_batch",
+    MEMBERS + "SELECT threshold, item_id FROM members JOIN (SELECT item_id, batch_index FROM items) USING (item_id) WHERE batch_index = 2",
+)
+def missing_members_of_a_batch(t: Tables) -> DataFrame:
+    """Members of the second batch, whose items did not arrive."""
+    return C.missing_members(t.members, t.items.where("batch_index <> 2")).select("threshold", "item_id")
+
+
+@query(
+    "predicted_labels",
+    ROLLUP
+    + """SELECT threshold, md5(d2.text) AS source_id, arg_max(cluster_id, (bucket, cluster_index)) AS predicted
+    FROM details JOIN documents d2 ON d2.doc_id = details.doc_id GROUP BY ALL""",
+)
+def predicted_labels(t: Tables) -> DataFrame:
+    """Copies of a document share a source id, so the last of their clusters wins."""
+    keys = seeded_items(t.spark, t.sf_dir).select(F.col("source_id").alias("own_id"), F.col("content_key").alias("source_id"))
+    members = t.members.join(t.items.select("item_id", F.col("source_id").alias("own_id")), "item_id").join(keys, "own_id")
+    return A.predicted_labels(members, ["threshold"])
+
+
 _DENSE_NODES = """dense_nodes AS (SELECT vec_id AS item_no, vec_id::VARCHAR AS item_id, 'all' AS bucket, 0 AS relevance_score,
     embedding::DOUBLE[] AS vector, label FROM embeddings)"""
 DENSE = O.with_(_DENSE_NODES, O.clusters("dense_nodes", O.DENSE_THRESHOLDS))
@@ -1231,6 +1300,123 @@ def chain_themes(t: Tables) -> DataFrame:
     return t.raw.select("product_theme").distinct().orderBy("product_theme")
 
 
+@query(
+    "chain_source_themes",
+    O.with_(O.SEEDED) + "SELECT DISTINCT product_theme || '/' || source_name AS theme FROM seeded WHERE run_id <= 'run-09' ORDER BY 1",
+)
+def chain_source_themes(t: Tables) -> DataFrame:
+    """Themes of the runs of a chain, apart by source, of which each run has its own."""
+    rows = H.in_chain(t.stored("raw_items"), t.chain)
+    return rows.select(F.concat_ws("/", "product_theme", "source_name").alias("theme")).distinct().orderBy("theme")
+
+
+@query(
+    "run_pages",
+    O.with_(_LOG, _RUN_STATES)
+    + """SELECT source, query, page_number, raw_count, item_count, has_more FROM run_log WHERE run_id = 'run-04' ORDER BY ALL""",
+)
+def run_pages(t: Tables) -> DataFrame:
+    """The stored pages of one run, of which alone the folder is read."""
+    pages = H.read_table(t.spark, t.store, "collection_pages", run_ids=["run-04"])
+    return H.ordered_pages(pages).select("source", "query", "page_number", "raw_count", "item_count", "has_more")
+
+
+_TWO = "CASE WHEN source_index % 2 = 1 THEN 'first' ELSE 'second' END"
+
+
+@query(
+    "saved_chain_evidence",
+    EVIDENCE
+    + f"""SELECT {_TWO} AS run_id, source_id, category, array_to_string(matched_terms, ', ') AS matched_terms, evidence_excerpt,
+    signal_relevance_score::BIGINT AS signal_relevance_score FROM evidence""",
+)
+def saved_chain_evidence(t: Tables) -> DataFrame:
+    """Two runs over all items, saved whole and read back along the chain of the second."""
+    rows = H.read_table(t.spark, t.two_runs, "evidence_rows", run_ids=t.two_chain)
+    return rows.select("run_id", "source_id", "category", text_of("matched_terms", ", "), "evidence_excerpt", whole("signal_relevance_score"))
+
+
+@query(
+    "saved_chain_counts",
+    EVIDENCE
+    + f"""SELECT 'raw_items' AS name, count(*) AS n FROM assessed UNION ALL SELECT 'unique_raw_items', count(*) FROM assessed
+    UNION ALL SELECT 'prepared_items', count(*) FROM items UNION ALL SELECT 'excluded_items', count(*) FROM assessed WHERE NOT kept
+    UNION ALL SELECT 'relevance_excluded_items', count(*) FROM prepared WHERE exclude_for_relevance
+    UNION ALL SELECT 'evidence_rows', count(*) FROM evidence UNION ALL SELECT 'collection_pages', 0
+    UNION ALL SELECT 'processing_batches', count(*) FROM (SELECT DISTINCT {_TWO}, batch_index FROM assessed)""",
+)
+def saved_chain_counts(t: Tables) -> DataFrame:
+    names = [name for name in H.COUNTED_TABLES if name != "model_artifacts"]
+    return H.table_counts({name: H.read_table(t.spark, t.two_runs, name) for name in names}, t.two_chain)
+
+
+@query(
+    "saved_chain_overview",
+    EVIDENCE
+    + f""", per_run AS (SELECT {_TWO} AS run_id, count(*) AS n FROM items GROUP BY ALL)
+    SELECT 'second' AS latest_run_id, 'first' AS root_run_id, 'second,first' AS run_ids, 2::BIGINT AS run_count, '2026-01-01' AS generated_at_utc_start,
+    '2026-01-03' AS generated_at_utc_end, 't1,t2' AS venture_categories, 'second=first' AS resume_links,
+    (SELECT sum(n) FROM per_run)::BIGINT AS total_items_analyzed, (SELECT count(*) FROM evidence) AS evidence_rows""",
+)
+def saved_chain_overview(t: Tables) -> DataFrame:
+    runs = H.read_table(t.spark, t.two_runs, "runs")
+    return H.chain_overview(runs, H.lineage(runs, "second")).select(
+        "latest_run_id", "root_run_id", text_of("run_ids", ","), "run_count", "generated_at_utc_start", "generated_at_utc_end",
+        text_of("venture_categories", ","), text_of("resume_links", ","), "total_items_analyzed", "evidence_rows",
+    )
+
+
+@query(
+    "classification_payload",
+    PREPARED
+    + """SELECT item_id, primary_label, array_to_string(labels, ', ') AS labels, relevance_score::BIGINT AS relevance_score,
+    quality_score::BIGINT AS quality_score, r_text AS relevance_reasons, p_text AS relevance_penalties FROM items""",
+)
+def classification_payload(t: Tables) -> DataFrame:
+    fields = "primary_label string, labels array<string>, relevance_score long, quality_score long, relevance_reasons string, relevance_penalties string"
+    rows = t.artifacts.where("artifact_type = 'classification'").select("item_id", F.from_json("artifact", fields).alias("p"))
+    return rows.select("item_id", "p.*").withColumn("labels", text_of("labels", ", "))
+
+
+@query(
+    "embedding_payload",
+    VECTORS
+    + f"""SELECT v.item_id, 'sparse_hashing' AS embedding_type, 64::BIGINT AS dimensions, len(v.tokens)::BIGINT AS token_count,
+    array_to_string(coalesce(top_terms, []), ',') AS top_terms, {O.lit(", ".join(V.SOURCE_TEXT_FIELDS))} AS source_text_fields,
+    array_to_string(list_filter(range(64), lambda s: floor(vector[s + 1] * 1000000.0 + 0.5) <> 0), ',') AS slots,
+    array_to_string(list_filter(list_transform(range(1, 65), lambda i: {_SIX}), lambda x: x <> 0), ',') AS micro_values
+    FROM vectors v LEFT JOIN item_terms USING (item_no)""",
+)
+def embedding_payload(t: Tables) -> DataFrame:
+    fields = (
+        "embedding_type string, dimensions long, token_count long, top_terms array<string>, source_text_fields array<string>, "
+        "nonzero_indices array<string>, values array<double>"
+    )
+    rows = t.artifacts.where("artifact_type = 'embedding'").select("item_id", F.from_json("artifact", fields).alias("p")).select("item_id", "p.*")
+    micro = F.transform("values", lambda v: F.floor(v * 1000000.0 + 0.5).cast("string"))
+    return rows.select(
+        "item_id", "embedding_type", "dimensions", "token_count", text_of("top_terms", ","), text_of("source_text_fields", ", "),
+        F.array_join("nonzero_indices", ",").alias("slots"), F.array_join(micro, ",").alias("micro_values"),
+    )
+
+
+@query(
+    "cluster_payload",
+    ROLLUP
+    + """SELECT cluster_id, bucket, label, item_count, array_to_string(rep_items, ', ') AS representative_item_ids,
+    array_to_string(source_mix, ', ') AS source_mix, average_relevance_score::DOUBLE AS average_relevance_score,
+    array_to_string(top_terms, ', ') AS top_terms, array_to_string(excerpts, ' | ') AS evidence_excerpts FROM rollup_rows WHERE threshold = 0.12""",
+)
+def cluster_payload(t: Tables) -> DataFrame:
+    fields = (
+        "cluster_id string, bucket string, label string, item_count long, representative_item_ids array<string>, source_mix array<string>, "
+        "average_relevance_score double, top_terms array<string>, evidence_excerpts array<string>"
+    )
+    rows = t.artifacts.where("artifact_type = 'evidence_cluster'").select(F.from_json("artifact", fields).alias("p")).select("p.*")
+    lists = {c: F.array_join(c, " | " if c == "evidence_excerpts" else ", ") for c in ("representative_item_ids", "source_mix", "top_terms", "evidence_excerpts")}
+    return rows.withColumns(lists)
+
+
 # -- streams ------------------------------------------------------------------------------------------------
 
 _CONVERSATION_ITEMS = r"""
@@ -1246,15 +1432,35 @@ seeded AS (SELECT conv_id * 1000 + turn AS source_index, 'stream' AS run_id, 'di
     array_to_string(exclude_reasons, '; ') AS exclude_reasons, kept FROM assessed""",
 )
 def stream_scored_items(t: Tables) -> DataFrame:
-    t.discussion_pages  # writes the page files
-    target, checkpoint = new_path(t.spark, "stream-scored"), new_path(t.spark, "stream-checkpoint")
-    scored = J.score_stream(J.discussion_stream(t.spark, t.discussion_folder))
-    J.run_append(scored, target, checkpoint).awaitTermination()
-    return t.spark.read.parquet(target).select(
+    return t.streamed_items.select(
         "source_id", whole("quality_score"), text_of("quality_reasons"), text_of("exclude_reasons"), "kept"
     )
 
 
+@query(
+    "stream_scored_relevance",
+    O.with_(_CONVERSATION_ITEMS, O.ASSESSED, O.PREPARED)
+    + """SELECT source_id, relevance_score::BIGINT AS relevance_score, r_text AS relevance_reasons, p_text AS relevance_penalties,
+    exclude_for_relevance FROM prepared""",
+)
+def stream_scored_relevance(t: Tables) -> DataFrame:
+    return t.streamed_items.where("kept").select(
+        "source_id", whole("relevance_score"), text_of("relevance_reasons"), text_of("relevance_penalties"), "exclude_for_relevance"
+    )
+
+
+@query("stream_question_items", ORACLES["question_page_items"])
+def stream_question_items(t: Tables) -> DataFrame:
+    """Question pages as they land, file by file."""
+    t.question_pages  # writes the page files
+    target, checkpoint = new_path(t.spark, "stream-questions"), new_path(t.spark, "stream-checkpoint")
+    J.run_append(J.question_stream(t.spark, t.question_folder, files_per_batch=2), target, checkpoint).awaitTermination()
+    return t.spark.read.parquet(target).select(
+        "source_type", "source_name", "source_id", "source_url", "title", "author", "created_at",
+        "reviewed_product", "rating", whole("page_number"), F.md5("text").alias("text_md5"),
+    )
+
+
 @query(
     "stream_first_seen",
     """SELECT md5(text) AS source_id, count(DISTINCT 1) AS times FROM documents

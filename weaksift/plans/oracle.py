@@ -263,9 +263,12 @@ items AS (SELECT * FROM prepared WHERE NOT exclude_for_relevance)"""
 PREPARED = prepared(D)
 
 TITLE_CASE = " ".join(f"WHEN {lit(c)} THEN {lit(t)}" for c, t in X.CATEGORY_TITLES.items())
-_excerpt_hits = lambda name: f"len({word('x', 'xt', D[name])})"
 
-EVIDENCE = rf"""
+
+def evidence(d: dict) -> str:
+    """The evidence rows under a lexicon; a category without a title is told by its name."""
+    hits = lambda name: f"len({word('x', 'xt', d[name])})"
+    return rf"""
 excerpts AS (
   SELECT *, {cut('clean_text', 240)} AS evidence_excerpt,
     lower(title || ' ' || {cut('clean_text', 240)}) AS x,
@@ -273,23 +276,23 @@ excerpts AS (
   FROM (SELECT * EXCLUDE (anchored, concrete, unmet, anchored_pain) FROM items)
 ),
 flagged AS (
-  SELECT *, {flags('x', 'xt', D)},
-    {_excerpt_hits('promotion')} > 0 AS x_promo, {_excerpt_hits('cultural_quote')} > 0 AS x_cult,
-    {_excerpt_hits('technical_detail')} AS x_tech, {_excerpt_hits('technical_allowance')} > 0 AS x_allowed,
-    {_excerpt_hits('adoption')} * 2 + {_excerpt_hits('strong_adoption')} * 3 AS x_adopt,
-    {_excerpt_hits('dissatisfaction')} * 2 + {_excerpt_hits('strong_dissatisfaction')} * 3 AS x_diss,
-    {_excerpt_hits('business_scope')} + {_excerpt_hits('workflow_friction')} AS x_scope,
-    {_excerpt_hits('technical_direct_context')} > 0 OR ({_excerpt_hits('technical_setup_context')} > 0
-      AND len({word('x', 'xt', scope(D))}) > 0) AS x_grade
+  SELECT *, {flags('x', 'xt', d)},
+    {hits('promotion')} > 0 AS x_promo, {hits('cultural_quote')} > 0 AS x_cult,
+    {hits('technical_detail')} AS x_tech, {hits('technical_allowance')} > 0 AS x_allowed,
+    {hits('adoption')} * 2 + {hits('strong_adoption')} * 3 AS x_adopt,
+    {hits('dissatisfaction')} * 2 + {hits('strong_dissatisfaction')} * 3 AS x_diss,
+    {hits('business_scope')} + {hits('workflow_friction')} AS x_scope,
+    {hits('technical_direct_context')} > 0 OR ({hits('technical_setup_context')} > 0
+      AND len({word('x', 'xt', scope(d))}) > 0) AS x_grade
   FROM excerpts
 ),
 signals AS (
   {' UNION ALL '.join(
     f"SELECT *, {i} AS category_ord, {lit(name)} AS category, {sub('low', terms)} AS all_terms FROM flagged"
-    for i, (name, terms) in enumerate(X.SIGNALS.items()))}
+    for i, (name, terms) in enumerate(groups(d, 'signal.')))}
 ),
 signal_scores AS (
-  SELECT *, all_terms[1:6] AS matched_terms, CASE category {TITLE_CASE} END AS category_title,
+  SELECT *, all_terms[1:6] AS matched_terms, CASE category {TITLE_CASE} ELSE category END AS category_title,
     relevance_score + CASE category WHEN 'adoption_barriers' THEN x_adopt
       WHEN 'dissatisfaction_current_solutions' THEN x_diss WHEN 'recurring_problem_signals' THEN x_scope
       WHEN 'unmet_needs' THEN CASE WHEN unmet THEN 0 ELSE -12 END ELSE 0 END
@@ -306,12 +309,19 @@ evidence AS MATERIALIZED (
     AND (NOT x_promo OR concrete) AND (x_tech < 5 OR x_grade) AND signal_relevance_score >= 4
 )"""
 
+
+EVIDENCE = evidence(D)
+
 CATEGORIES = ", ".join(
     f"({i}, {lit(c)}, {lit(t)})" for i, (c, t) in enumerate(X.CATEGORY_TITLES.items(), start=1)
 )
 
 SUMMARY = rf"""
-categories(summary_ord, category, title) AS (VALUES {CATEGORIES}),
+titled(summary_ord, category, title) AS (VALUES {CATEGORIES}),
+categories AS (
+  FROM titled UNION ALL SELECT {len(X.CATEGORY_TITLES)} + row_number() OVER (ORDER BY category), category, category
+  FROM (SELECT DISTINCT category FROM evidence WHERE category NOT IN (SELECT category FROM titled))
+),
 ranked_evidence AS (
   SELECT *, row_number() OVER (PARTITION BY category ORDER BY signal_relevance_score DESC, item_no, category_ord) AS place
   FROM evidence
@@ -436,7 +446,7 @@ sums AS (
 ),
 rollup_rows AS MATERIALIZED (
   SELECT s.*, x.source_mix, t.top_terms, (total * 200 + item_count) // (item_count * 2) / 100.0 AS average_relevance_score,
-    CASE bucket {LABEL_CASE} END AS label, CASE bucket {OPPORTUNITY_CASE} END AS product_opportunity,
+    CASE bucket {LABEL_CASE} ELSE bucket END AS label, CASE bucket {OPPORTUNITY_CASE} ELSE '' END AS product_opportunity,
     sha256(concat_ws(chr(10), s.cluster_id, item_count::VARCHAR, hash_sum::VARCHAR)) AS input_hash
   FROM sums s JOIN mixes x USING (threshold, cluster_id) LEFT JOIN cluster_terms t USING (threshold, cluster_id)
 )"""

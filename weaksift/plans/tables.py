@@ -19,10 +19,14 @@ from weaksift.plans import evidence as E
 from weaksift.plans.seeded import native_items, seeded_items
 from weaksift.plans.stages import new_path, spread, stage
 from weaksift.sources import raw_items as R
+from weaksift.streaming import jobs as J
 
 BATCH = 100
-RAW_ITEM_FACTS = ["source_type", "source_name", "source_id", "source_url", "title", "source_index", "is_demo_fallback"]
+RAW_ITEM_FACTS = [
+    "source_type", "source_name", "source_id", "source_url", "title", "source_index", "is_demo_fallback", "product_theme",
+]
 THRESHOLDS = [0.12, 0.5, 0.8, 0.9]
+NATIVE_THRESHOLDS = [0.8, 0.95]
 DENSE_THRESHOLDS = [0.3, 0.35, 0.4]
 TURNS_PER_PAGE = 4
 QUESTIONS_PER_PAGE = 10
@@ -48,6 +52,8 @@ CORPUS = DOMAIN | {
     "promotion": ["permission is hereby", "###"],
     "quote": ["!!"],
     "label.noise": ["###", "$$$", "***"],
+    "signal.rude_words": ["stupid", "idiot", "trash", "clown", "dumb"],
+    "signal.word_endings": ["heit", "ción", "tionre", "andthe"],
     "bucket.germanic": ["und ", "der ", "the "],
     "bucket.romance": ["que ", "les ", "la "],
 }
@@ -86,6 +92,20 @@ class Tables:
     def prepared(self) -> DataFrame:
         return stage(E.prepare_items(self.assessed), "prepared")
 
+    @property
+    def native_items(self) -> DataFrame:
+        return E.relevant(self.native_prepared)
+
+    @cached_property
+    def native_evidence(self) -> DataFrame:
+        return stage(S.evidence_rows(self.native_items, CORPUS), "native-evidence")
+
+    @cached_property
+    def native_rollup(self) -> DataFrame:
+        vectors = stage(V.hashed_vectors(self.native_items), "native-vectors")
+        members = stage(C.assign_clusters(vectors, NATIVE_THRESHOLDS), "native-clusters")
+        return stage(C.cluster_rollup(members, self.native_items), "native-rollup")
+
     @property
     def items(self) -> DataFrame:
         return E.relevant(self.prepared)
@@ -102,9 +122,14 @@ class Tables:
     def vectors(self) -> DataFrame:
         return stage(V.hashed_vectors(self.items), "vectors")
 
+    @cached_property
+    def forest(self) -> DataFrame:
+        """The similarity forest of all items, which answers every threshold."""
+        return C.item_forest(self.vectors, THRESHOLDS)
+
     @cached_property
     def members(self) -> DataFrame:
-        return stage(C.assign_clusters(self.vectors, THRESHOLDS), "clusters")
+        return stage(C.assign_clusters(self.vectors, THRESHOLDS, self.forest), "clusters")
 
     @cached_property
     def rollup(self) -> DataFrame:
@@ -215,9 +240,21 @@ class Tables:
                 (F.col("page_number") % 3 < 2).alias("has_more"),
             )
         )
-        path = new_path(self.spark, "question-pages")
-        pages.write.json(path)
-        return R.read_question_pages(self.spark, path)
+        pages.write.json(self.question_folder)
+        return R.read_question_pages(self.spark, self.question_folder)
+
+    @cached_property
+    def question_folder(self) -> str:
+        return new_path(self.spark, "question-pages")
+
+    @cached_property
+    def streamed_items(self) -> DataFrame:
+        """Discussion pages read and scored as a stream."""
+        self.discussion_pages  # writes the page files
+        target, checkpoint = new_path(self.spark, "stream-scored"), new_path(self.spark, "stream-checkpoint")
+        scored = J.score_stream(J.discussion_stream(self.spark, self.discussion_folder))
+        J.run_append(scored, target, checkpoint).awaitTermination()
+        return self.spark.read.parquet(target)
 
     @property
     def page_log(self) -> DataFrame:
@@ -289,6 +326,22 @@ class Tables:
     def stored(self, name: str) -> DataFrame:
         return H.read_table(self.spark, self.store, name)
 
+    @cached_property
+    def two_runs(self) -> str:
+        """A store of two whole runs: the items with odd numbers, then, going on from it, those with even ones. The second
+        was saved before, with fewer items and another parent."""
+        root = new_path(self.spark, "two-runs")
+        half = lambda odd: self.raw.where(F.col("source_index") % 2 == int(odd))
+        H.save_run(E.run_evidence(half(True), "first", BATCH, created_at="2026-01-01", theme="t1"), root)
+        early = half(False).where("source_index % 4 = 0")
+        H.save_run(E.run_evidence(early, "second", BATCH, created_at="2026-01-02", resume_from="none", theme="t2"), root)
+        H.save_run(E.run_evidence(half(False), "second", BATCH, created_at="2026-01-03", resume_from="first", theme="t2"), root)
+        return root
+
+    @cached_property
+    def two_chain(self) -> list[str]:
+        return H.chain_runs(H.lineage(H.read_table(self.spark, self.two_runs, "runs"), "second"))
+
     @cached_property
     def run_tables(self) -> dict[str, DataFrame]:
         judged = self.assessed.select("run_id", "source_index", "batch_index", "kept").join(
