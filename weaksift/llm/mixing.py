@@ -33,11 +33,12 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SH
     while True:
         over = F.col("cap") <= level * F.col("weight")
         row = sources.agg(F.count_if(over), F.sum(F.when(over, F.col("cap"))), F.sum(F.when(~over, F.col("weight")))).first()
-        if row[0] == full or not row[2]:
+        if not row[2]:  # every source is full
+            level = float("inf")
+            break
+        if row[0] <= full:
             break
         level, full = (total - (row[1] or 0)) / row[2], row[0]
-    if row[0] != full:  # every source is full
-        level = float("inf")
     target = F.least(F.col("cap").cast("double"), F.col("weight") * F.lit(level))
     return sources.select("source", "source_size", "weight", target.alias("target"))
 
