@@ -332,3 +332,43 @@ def test_saves_at_the_same_time(spark, tmp_path, monkeypatch):
         with pytest.raises(H.S.Superseded):
             H.append_artifacts(artifact("i3"), root)
     assert [r.item_id for r in H.read_table(spark, root, "model_artifacts").collect()] == ["i2"]
+
+
+def test_counts_kept_at_each_save(spark, tmp_path):
+    """The counts of a manifest follow every save, and equal the rows; sketches come near the distinct items."""
+    root = str(tmp_path / "store")
+    schema = "run_id string, source_type string, source_name string, source_id string"
+    items = lambda run, ids: spark.createDataFrame([(run, "review", "n", str(i)) for i in ids], schema)
+    H.save_run({"raw_items": items("r1", range(3000)), "evidence_rows": evidence_of(spark, "r1", "abc")}, root)
+    H.save_run({"raw_items": items("r2", range(2000, 5000)), "evidence_rows": evidence_of(spark, "r2", "d")}, root)
+    H.save_run({"raw_items": items("r3", range(90_000, 90_010))}, root)
+    H.save_run({"evidence_rows": evidence_of(spark, "r1", "ab")}, root)
+    H.save_run({"evidence_rows": evidence_of(spark, "r2", "")}, root, run_ids=["r2"])
+    for chain in (["r1"], ["r1", "r2"], ["r1", "r2", "r3", "gone"], []):
+        got = {r.name: r.n for r in H.stored_counts(spark, root, chain).collect()}
+        full = H.table_counts({n: H.read_table(spark, root, n) for n in ("raw_items", "evidence_rows")}, chain)
+        assert got == {r.name: r.n for r in full.collect()}
+        about = H.about_unique_items(spark, root, chain).first().n
+        assert abs(about - got["unique_raw_items"]) <= 0.03 * got["unique_raw_items"]
+
+
+def test_seen_keys_in_buckets(spark):
+    """New items meet the stored keys in their buckets: the stored side is neither shuffled nor sent around."""
+    schema = "source_name string, source_id string, text string"
+    table = "seen_keys_test"
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    try:
+        seen = spark.range(500).selectExpr("concat('n', id % 3) as source_name", "cast(id as string) as source_id", "'x' as text")
+        H.add_seen_keys(seen.where("int(source_id) < 300"), table, buckets=4)
+        H.add_seen_keys(seen.where("int(source_id) >= 250").unionByName(spark.createDataFrame([(None, "a", "y"), ("n", None, "y")], schema)), table)
+        rows = [("n0", "0", "old"), ("n1", "0", "new"), (None, "a", "old"), ("", "a", "old"), ("n", None, "old"), (None, None, "new"), ("n2", "299", "old"), ("n1", "499", "old"), ("n1", "502", "new")]
+        new = spark.createDataFrame(rows, schema)
+        kept = H.drop_seen_in(new, table)
+        assert sorted(((r.source_name, r.source_id) for r in kept.collect()), key=repr) == sorted([r[:2] for r in rows if r[2] == "new"], key=repr)
+        assert kept.columns == new.columns
+        plan = kept._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan and "Broadcast" not in plan
+        again = H.drop_seen(new, spark.table(table))
+        assert again.exceptAll(kept).isEmpty() and kept.exceptAll(again).isEmpty()
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")

@@ -59,3 +59,48 @@ def test_running_state_equals_batch(spark, tmp_path):
     streamed, batch = J.latest_state(spark, target), H.collection_state(log)
     streamed = streamed.select(batch.columns)
     assert streamed.exceptAll(batch).isEmpty() and batch.exceptAll(streamed).isEmpty()
+
+
+def table_files(folder, name):
+    return sorted(p.name for p in (folder / name).iterdir() if p.name.startswith("part-"))
+
+
+def test_running_state_is_merged_in_levels(spark, tmp_path, monkeypatch):
+    """After many batches a reader opens a few folders, and sees the last state of all."""
+    monkeypatch.setattr(J, "FAN", 3)
+    source, target, check = tmp_path / "log", tmp_path / "states", str(tmp_path / "check")
+    schema = "source string, query string, page_number long, raw_count long, item_count long, has_more boolean"
+    log = []
+    for batch in range(14):
+        rows = [(f"s{i % 4}", f"q{(batch + i) % 5}", batch, 2, 1, (batch + i) % 2 == 0) for i in range(3)]
+        log += rows
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
+        if batch in (4, 13):  # restarts on the same checkpoint
+            J.run_collection_state(J.table_stream(spark.createDataFrame([], schema), str(source), 1), str(target), check).awaitTermination()
+    batches = 14
+    folders = J.state_folders(spark, str(target))
+    widths = [int(f.split("to=")[1]) - int(f.split("from=")[1].split("/")[0]) + 1 for f in folders]
+    assert sum(widths) == batches and widths == [9, 3, 1, 1]
+    batch = H.collection_state(spark.createDataFrame(log, schema))
+    streamed = J.latest_state(spark, str(target)).select(batch.columns)
+    assert streamed.exceptAll(batch).isEmpty() and batch.exceptAll(streamed).isEmpty()
+
+
+def test_first_seen_reads_nothing_again(spark, tmp_path):
+    """Many batches, each with keys of all earlier ones: a batch updates its own keys' state alone, writes one file of its
+    own, and the first of each key stays."""
+    source, target = tmp_path / "in", tmp_path / "out"
+    schema = "source_name string, source_id string, place long"
+    n, size = 20, 30
+    for batch in range(n):
+        rows = [(None if i % 7 == 0 else "n", str(i if i < 10 else batch * size + i), batch * 100 + i) for i in range(size)]
+        spark.createDataFrame(rows + rows[:5], schema).coalesce(1).write.mode("append").parquet(str(source))
+    query = J.run_first_seen(J.table_stream(spark.createDataFrame([], schema), str(source), 1), str(target), str(tmp_path / "check"), "place")
+    query.awaitTermination()
+    progress = [p for p in query.recentProgress if p["numInputRows"]]
+    assert len(progress) == n
+    assert all(p["stateOperators"][0]["numRowsUpdated"] <= size for p in progress)
+    assert all(len(table_files(target, f"batch_id={b}")) <= 1 for b in range(n))
+    got = spark.read.parquet(str(target))
+    assert got.count() == 10 + n * 20 == got.select("source_name", "source_id").distinct().count()
+    assert got.where("int(source_id) < 10").agg(F.max("place")).first()[0] < 10

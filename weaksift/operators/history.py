@@ -31,6 +31,8 @@ TABLE_KEYS = {
 }
 RAW_PARTITIONS = ["run_id", "source_type"]
 MOST_RUNS = 10_000  # of a chain whose ids go into a filter
+SKETCHES, SKETCH_BITS = "raw_item_sketches", 14  # a standard error of 0.8 %, 16 KB a run
+KEY_BUCKETS = 200  # of a table of seen keys
 COUNTED_TABLES = [
     "raw_items", "prepared_items", "excluded_items", "relevance_excluded_items", "evidence_rows",
     "collection_pages", "processing_batches", "model_artifacts",
@@ -55,7 +57,14 @@ def _written(rows: DataFrame, root: str, name: str, run_ids: list[str] | None, c
         if not written.groupBy(*TABLE_KEYS[name]).count().where("count > 1").isEmpty():
             S.drop_version(rows.sparkSession, root, name, version)
             raise ValueError(f"{name} has rows with the same key and no arrival column to tell the last")
-    return {"schema": json.loads(rows.schema.json()), "replaced": run_ids or list(runs), "runs": runs}
+    return {"schema": json.loads(rows.schema.json()), "replaced": run_ids or list(runs), "runs": runs, "version": version}
+
+
+def key_sketches(raw_items: DataFrame) -> DataFrame:
+    """run_id, sketch: a mergeable sketch of each run's (source_name, source_id), for counts of distinct items over
+    any runs without their keys."""
+    key = F.concat_ws("\x1f", F.coalesce("source_name", F.lit("")), F.coalesce("source_id", F.lit("")))
+    return raw_items.groupBy("run_id").agg(F.hll_sketch_agg(key, F.lit(SKETCH_BITS)).alias("sketch"))
 
 
 def save_run(
@@ -73,6 +82,11 @@ def save_run(
         told = arrival in rows.columns
         rows = last_wins(rows, keys, [F.desc(arrival)]) if told else rows
         changes[name] = _written(rows, root, name, run_ids, check=not told)
+        if name == "raw_items":
+            own = rows.sparkSession.read.schema(rows.schema).parquet(f"{root}/{name}/{changes[name].pop('version')}")
+            changes[SKETCHES] = _written(key_sketches(own), root, SKETCHES, run_ids, check=False)
+    for change in changes.values():
+        change.pop("version", None)
     return S.commit(next(iter(tables.values())).sparkSession, root, changes) if changes else 0
 
 
@@ -85,6 +99,7 @@ def append_artifacts(rows: DataFrame, root: str, arrival: str = "created_at") ->
     run_ids = [r["run_id"] for r in rows.select("run_id").distinct().collect()]  # the runs being saved
     merged = S.read_version(spark, root, name, now, run_ids).unionByName(rows) if name in now else rows
     change = _written(last_wins(merged, TABLE_KEYS[name], [F.desc(arrival)]), root, name, run_ids, check=False)
+    del change["version"]
     return S.commit(spark, root, {name: change}, based_on=now)
 
 
@@ -228,6 +243,27 @@ def mark_seen(new_items: DataFrame, seen: DataFrame, resume_from: str) -> DataFr
     )
 
 
+def add_seen_keys(raw_items: DataFrame, table: str, buckets: int = KEY_BUCKETS) -> None:
+    """Adds the keys of ``raw_items`` to a catalog table that holds them in buckets by (source_name, source_id). The keys
+    are dealt to the buckets before they are written, so each bucket gets one file; how many buckets there are is
+    settled by the first write."""
+    spark = raw_items.sparkSession
+    if spark.catalog.tableExists(table):
+        described = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where("col_name = 'Num Buckets'").first()
+        buckets = int(described["data_type"])
+    keys = source_keys(raw_items).repartition(buckets, "source_name", "source_id")
+    keys.write.mode("append").format("parquet").bucketBy(buckets, "source_name", "source_id").saveAsTable(table)
+
+
+def drop_seen_in(new_items: DataFrame, table: str) -> DataFrame:
+    """As ``drop_seen``, against a table of keys in buckets: the new items are dealt to the same buckets, and the stored keys,
+    of which there may be far more, stay where they are."""
+    stored = new_items.sparkSession.table(table).hint("merge")
+    key = ["source_name", "source_id"]
+    filled = new_items.withColumns({f"_{c}": F.col(c) for c in key} | {c: F.coalesce(c, F.lit("")) for c in key})
+    return filled.join(stored, key, "left_anti").select(*[F.col(f"_{c}").alias(c) if c in key else F.col(c) for c in new_items.columns])
+
+
 def drop_seen(new_items: DataFrame, seen: DataFrame) -> DataFrame:
     """The new rows whose (source_name, source_id) no earlier run holds; null counts as the empty text,
     as in ``mark_seen``."""
@@ -314,6 +350,22 @@ def table_counts(tables: dict[str, DataFrame], chain: DataFrame | list[str]) ->
     return counted
 
 
+def stored_counts(spark: SparkSession, root: str, chain: list[str]) -> DataFrame:
+    """The same as ``table_counts`` for a store: rows by the counts kept at each save, so of the tables only the keys
+    of the raw items are read, for the distinct ones."""
+    content = S.manifest(spark, root)
+    kept = [(name, S.kept_rows(content, name, chain)) for name in COUNTED_TABLES if name in content]
+    keys = read_table(spark, root, "raw_items", run_ids=chain).groupBy("source_name", "source_id").agg(F.lit(1))
+    unique = keys.agg(F.count("*").alias("n")).select(F.lit("unique_raw_items").alias("name"), "n")
+    return spark.createDataFrame(kept, "name string, n long").unionByName(unique)
+
+
+def about_unique_items(spark: SparkSession, root: str, chain: list[str]) -> DataFrame:
+    """n: about how many distinct raw items a chain has, from the sketches of its runs (16 KB each)."""
+    sketches = read_table(spark, root, SKETCHES, run_ids=chain)
+    return sketches.agg(F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("sketch")), F.lit(0)).alias("n"))
+
+
 def group_counts(rows: DataFrame, column: str, chain: DataFrame | list[str]) -> DataFrame:
     return in_chain(rows, chain).groupBy(F.col(column).alias("name")).agg(F.count("*").alias("n"))
 

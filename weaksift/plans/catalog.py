@@ -1210,7 +1210,7 @@ def chain_evidence_page(t: Tables) -> DataFrame:
     UNION ALL SELECT 'unique_raw_items', count(*) FROM (SELECT DISTINCT source_name, source_id FROM assessed WHERE run_id <= 'run-09')""",
 )
 def chain_table_counts(t: Tables) -> DataFrame:
-    return H.table_counts({name: t.stored(name) for name in H.COUNTED_TABLES}, t.chain)
+    return H.stored_counts(t.spark, t.store, t.chain)
 
 
 @query("saved_runs", RUNS + " SELECT * FROM runs")
