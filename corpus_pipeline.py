@@ -12,9 +12,13 @@ from weaksift.llm.near import near_stage
 from weaksift.llm.packing import packing_query
 
 
+LANGUAGES: tuple[str, ...] | None = None  # that stay; None: all that can be learned from the labelled documents
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those without a letter go."""
-    return language_stage(docs)
+    """Documents in one of ``LANGUAGES`` by their text, which becomes their lang; the others, and those without a
+    letter, go."""
+    return language_stage(docs, languages=LANGUAGES)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
