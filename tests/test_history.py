@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -372,3 +373,37 @@ def test_seen_keys_in_buckets(spark):
         assert again.exceptAll(kept).isEmpty() and kept.exceptAll(again).isEmpty()
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
+def test_deep_pages_skip_row_groups(spark, tmp_path):
+    """A page deep down has the rows of offset paging, and bounds that leave out nearly all row groups."""
+    root = str(tmp_path / "store")
+    rows = spark.range(60_000).selectExpr(
+        "concat('r', id % 3) as run_id", "cast(id as string) as item_id", "'pain' as category",
+        "cast(hash(id) % 100 as int) as signal_relevance_score", "id as item_no", "cast(id % 7 as int) as category_ord",
+    )
+    spark.conf.set("parquet.block.size", "4096")
+    try:
+        H.save_run({"evidence_rows": rows.coalesce(2)}, root)
+    finally:
+        spark.conf.unset("parquet.block.size")
+    for chain in (["r0"], ["r0", "r2"]):
+        whole = H.read_table(spark, root, "evidence_rows", run_ids=chain)
+        for offset in (0, 10, 7_000, 19_970, 10**6):
+            page = H.stored_evidence_page(spark, root, chain, 50, offset).collect()
+            assert page == H.evidence_page(whole, 50, offset).collect()
+    assert H.stored_evidence_page(spark, root, [], 50, 0).count() == 0
+    page = H.stored_evidence_page(spark, root, ["r0"], 50, 10_000)
+    low, high = (page.agg(f("signal_relevance_score")).first()[0] for f in (F.min, F.max))
+    groups = opened = 0
+    for name in page.inputFiles():
+        meta = pq.ParquetFile(name.removeprefix("file://")).metadata
+        at = [meta.schema.column(i).name for i in range(meta.num_columns)].index("signal_relevance_score")
+        for g in range(meta.num_row_groups):
+            own = meta.row_group(g).column(at).statistics
+            groups += 1
+            opened += own.max >= low and own.min <= high
+    assert groups >= 40 and opened <= 0.1 * groups
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    pushed = plan.split("PushedFilters: [")[1].split("], ReadSchema")[0]
+    assert pushed.count("(signal_relevance_score,") >= 1

@@ -124,27 +124,27 @@ def cluster_rollup(members: DataFrame, items: DataFrame) -> DataFrame:
         T.compact(F.col("clean_text")).alias("excerpt"),
         F.conv(F.substring(member_fingerprint(), 1, 15), 16, 10).cast("decimal(38,0)").alias("_number"),
     )
-    details = members.join(facts, "item_id")
-    counts = details.groupBy(*CLUSTER).agg(
-        F.count("*").alias("item_count"),
+    details = stage(members.join(facts, "item_id"), "details")  # joined once; every branch reads its columns of it
+    key = ["threshold", "cluster_id"]
+    by_type = details.groupBy(*CLUSTER, "source_type").agg(
+        F.count("*").alias("n"),
         F.sum("relevance_score").alias("_total"),
-        F.max("relevance_score").alias("max_relevance_score"),
-        F.min("batch_index").alias("batch_index"),
+        F.max("relevance_score").alias("_most"),
+        F.min("batch_index").alias("_batch"),
         F.sum("_number").alias("_hash_sum"),
     )
-    key = ["threshold", "cluster_id"]
-    mix = (
-        details.groupBy(*key, "source_type")
-        .agg(F.count("*").alias("n"))
-        .groupBy(*key)  # one entry per source type
-        .agg(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("source_type", "n"))),
-                lambda e: F.concat(e["source_type"], F.lit("="), e["n"].cast("string")),
-            ).alias("source_mix")
-        )
-    )
-    leading = leading_members(members, REPRESENTATIVES).join(facts, "item_id")
+    counts = by_type.groupBy(*CLUSTER).agg(  # one entry per source type
+        F.sum("n").alias("item_count"),
+        F.sum("_total").alias("_total"),
+        F.max("_most").alias("max_relevance_score"),
+        F.min("_batch").alias("batch_index"),
+        F.sum("_hash_sum").alias("_hash_sum"),
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("source_type", "n"))),
+            lambda e: F.concat(e["source_type"], F.lit("="), e["n"].cast("string")),
+        ).alias("source_mix"),
+    )
+    leading = leading_members(details, REPRESENTATIVES)
     in_order = lambda name: F.transform(
         F.array_sort(F.collect_list(F.struct("place", name))), lambda e: e[name]
     )
@@ -156,8 +156,7 @@ def cluster_rollup(members: DataFrame, items: DataFrame) -> DataFrame:
     # Half-up average to two places in whole numbers, so that no binary fraction decides a tie.
     cents = F.call_function("div", F.col("_total") * 200 + F.col("item_count"), F.col("item_count") * 2)
     return (
-        counts.join(mix, key)
-        .join(representatives, key)
+        counts.join(representatives, key)
         .join(top_terms(details, key), key, "left")
         .select(
             *CLUSTER,

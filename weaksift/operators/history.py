@@ -32,6 +32,8 @@ TABLE_KEYS = {
 RAW_PARTITIONS = ["run_id", "source_type"]
 MOST_RUNS = 10_000  # of a chain whose ids go into a filter
 SKETCHES, SKETCH_BITS = "raw_item_sketches", 14  # a standard error of 0.8 %, 16 KB a run
+EVIDENCE_ORDER = ["signal_relevance_score", "item_no", "category_ord"]  # within a run
+SCORES = "evidence_scores"  # how many evidence rows of each score a run has
 KEY_BUCKETS = 200  # of a table of seen keys
 COUNTED_TABLES = [
     "raw_items", "prepared_items", "excluded_items", "relevance_excluded_items", "evidence_rows",
@@ -51,6 +53,9 @@ def last_wins(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFram
 
 def _written(rows: DataFrame, root: str, name: str, run_ids: list[str] | None, check: bool) -> dict:
     """A version of a table and what it replaces; ``check``: whether its keys have to be told apart first."""
+    if name == "evidence_rows" and set(EVIDENCE_ORDER) <= set(rows.columns):
+        best = [F.desc(c) if c == EVIDENCE_ORDER[0] else F.asc(c) for c in EVIDENCE_ORDER]
+        rows = rows.sortWithinPartitions("run_id", *best)  # so that a file's row groups hold few scores each
     version, runs = S.write_version(rows, root, name, RAW_PARTITIONS if name == "raw_items" else ["run_id"])
     if check and runs:
         written = rows.sparkSession.read.schema(rows.schema).parquet(f"{root}/{name}/{version}")
@@ -85,6 +90,10 @@ def save_run(
         if name == "raw_items":
             own = rows.sparkSession.read.schema(rows.schema).parquet(f"{root}/{name}/{changes[name].pop('version')}")
             changes[SKETCHES] = _written(key_sketches(own), root, SKETCHES, run_ids, check=False)
+        if name == "evidence_rows" and EVIDENCE_ORDER[0] in rows.columns:
+            own = rows.sparkSession.read.schema(rows.schema).parquet(f"{root}/{name}/{changes[name].pop('version')}")
+            scores = own.groupBy("run_id", EVIDENCE_ORDER[0]).agg(F.count("*").alias("n"))
+            changes[SCORES] = _written(scores, root, SCORES, run_ids, check=False)
     for change in changes.values():
         change.pop("version", None)
     return S.commit(next(iter(tables.values())).sparkSession, root, changes) if changes else 0
@@ -297,6 +306,23 @@ def evidence_page(evidence: DataFrame, limit: int = 50, offset: int = 0, categor
     )
 
 
+def stored_evidence_page(spark: SparkSession, root: str, chain: list[str], limit: int = 50, offset: int = 0) -> DataFrame:
+    """The same page of a store's evidence, however deep. The counts of each score, kept at each save, tell which scores the
+    page has; these go into the read as bounds, and since evidence is stored best first, row groups of other
+    scores are skipped. What is sorted is the rows of the page's scores alone."""
+    score = EVIDENCE_ORDER[0]
+    counts = read_table(spark, root, SCORES, run_ids=chain).groupBy(score).agg(F.sum("n").alias("n"))
+    above, skip, bounds = 0, 0, []
+    for row in counts.orderBy(F.desc(score)).collect():  # a row per score
+        if above < offset + limit and above + row["n"] > offset:
+            skip = skip if bounds else offset - above
+            bounds.append(row[score])
+        above += row["n"]
+    rows = read_table(spark, root, "evidence_rows", run_ids=chain)
+    rows = rows.where(F.col(score).between(bounds[-1], bounds[0])) if bounds else rows.limit(0)
+    return evidence_page(rows, limit, skip)
+
+
 def artifact_page(
     artifacts: DataFrame,
     artifact_type: str | None = None,

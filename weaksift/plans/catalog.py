@@ -1196,6 +1196,18 @@ def chain_evidence_page(t: Tables) -> DataFrame:
     return _evidence(H.evidence_page(H.in_chain(t.stored("evidence_rows"), t.chain)))
 
 
+@query(
+    "chain_evidence_deep_page",
+    EVIDENCE
+    + f"""SELECT {_EVIDENCE_ROW} FROM evidence WHERE run_id <= 'run-09'
+    ORDER BY signal_relevance_score DESC, run_id, item_no, category_ord LIMIT 40 OFFSET (SELECT count(*) // 2 FROM evidence WHERE run_id <= 'run-09')""",
+)
+def chain_evidence_deep_page(t: Tables) -> DataFrame:
+    """A page from the middle of a chain's evidence."""
+    half = H.S.kept_rows(H.S.manifest(t.spark, t.store), "evidence_rows", t.chain) // 2
+    return _evidence(H.stored_evidence_page(t.spark, t.store, t.chain, limit=40, offset=half))
+
+
 @query(
     "chain_table_counts",
     O.with_(*_MEMBERS, O.ROLLUP, _ARTIFACTS, O.EVIDENCE, _LOG)
