@@ -11,8 +11,8 @@ lowest level, or if the two are joined already at the highest level that they co
    pivot's cell (the triangle inequality). A cell is cut into rings by angle. A point visits a ring only if that leaves room
    for a level at which it does not hang on its own pivot; of two points that both hang, the one of the lesser cell visits
    the other if their pivots are not joined at that level.
-4. What a cell and its visitors add is a forest of their own, at most an edge a point. The forest of all edges so far is
-   the result.
+4. Cells are bundled up to a block of points, and a visitor goes to a bundle once with the list of its rings. What a bundle
+   and its visitors add is a forest of their own, at most an edge a point. The forest of all edges so far is the result.
 
 Points that hang on a pivot at the highest level and meet no foreign cell near enough visit nothing. On vectors that have
 clusters the work grows with the points times the pivots; on vectors without any (all about equally far apart) no
@@ -26,7 +26,7 @@ from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -41,7 +41,8 @@ RING = np.pi / 36  # width of a ring of a cell
 SLACK = 2e-3  # radians that rounding and single precision may move an angle by, amply
 
 HUNG_SCHEMA = "bucket string, node long, vector array<double>, cell int, near double, ring int, src long, dst long, w double, other int"
-VISIT_SCHEMA = "bucket string, cell int, block int, node long, vector array<double>, rings long"
+VISIT_SCHEMA = "bucket string, bundle int, block int, node long, vector array<double>, rings array<int>"
+RINGS = 64  # numbers of rings kept apart for each cell
 
 
 def rounded(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -55,7 +56,8 @@ def _angles(cosines: np.ndarray) -> np.ndarray:
 
 def _cells(ids: np.ndarray, matrix: np.ndarray) -> SimpleNamespace:
     """What tasks know of one bucket: its pivots (``ids``, ``matrix``) and, later, ``joined`` (level x pivot: the least pivot
-    of its component), the rings (``cell``, ``ring``, ``low`` and ``high``: angles to the pivot), ``blocks`` of each cell."""
+    of its component), the rings (``cell``, ``ring``, ``low`` and ``high``: angles to the pivot), and the ``bundle`` of
+    each cell with the ``blocks`` of each bundle."""
     return SimpleNamespace(ids=ids, matrix=matrix)
 
 
@@ -86,9 +88,8 @@ def comparisons(vectors: DataFrame, levels: list[float], **options) -> dict[str,
         points, sorted(levels), options.get("anchors_per_bucket", ANCHORS_PER_BUCKET), options.get("max_anchors", MAX_ANCHORS), block
     )
     visits = _visits(hung, sorted(levels), cells)
-    sizes = hung.where("node is not null").groupBy("bucket", "cell", "ring").agg(F.count("*").alias("n"))
-    met = visits.where("block = 0").join(sizes, ["bucket", "cell"])
-    asked = F.expr("shiftright(rings, least(ring, 62)) & 1") == 1
+    sizes = hung.where("other is null").groupBy("bucket", _ring_number().alias("number")).agg(F.count("*").alias("n"))
+    met = visits.where("block = 0").select("bucket", F.explode("rings").alias("number")).join(sizes, ["bucket", "number"])
     n = points.count()
     pivots = sum(len(c.ids) for c in cells.values())
     per_bucket = {r["bucket"]: r["n"] for r in points.groupBy("bucket").agg(F.count("*").alias("n")).collect()}
@@ -96,10 +97,14 @@ def comparisons(vectors: DataFrame, levels: list[float], **options) -> dict[str,
         "points": n,
         "pivots": pivots,
         "with_pivots": sum(per_bucket[b] * len(c.ids) for b, c in cells.items()),
-        "with_visitors": met.where(asked).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0],
+        "with_visitors": met.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0],
     }
 
 
+def _ring_number() -> Column:
+    return ((F.col("cell") + 1) * RINGS + F.least("ring", F.lit(RINGS - 1))).cast("int")
+
+
 def _points(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One row per distinct vector (its least node), and the edges of the others to it."""
     there = vectors.select("node", "bucket", "vector").where(F.exists("vector", lambda v: v != 0))
@@ -178,13 +183,12 @@ def _hang(points: DataFrame, levels, per_bucket: int, limit: int, block: int) ->
     hung = stage(points.select("bucket", "node", "vector").mapInPandas(hang, HUNG_SCHEMA), "hung")
     # The tree of a bucket's pivots: a row a pair at most before, a row a pivot after.
     links = hung.where("other is not null").groupBy("bucket", "cell", "other").agg(F.max(F.struct("w", "src", "dst")).alias("e"))
-    trees = stage(
+    tree = (
         links.select("bucket", F.col("cell").cast("long").alias("src"), F.col("other").cast("long").alias("dst"), "e.w",
                      F.col("e.src").alias("point"), F.col("e.dst").alias("pivot"))
-        .groupBy("bucket").applyInPandas(small_forest, "bucket string, src long, dst long, w double, point long, pivot long"),
-        "tree",
+        .groupBy("bucket").applyInPandas(small_forest, "bucket string, src long, dst long, w double, point long, pivot long")
+        .toPandas()  # max_anchors rows at most
     )
-    tree = trees.toPandas()  # max_anchors rows at most
     rings = (
         hung.where("other is null").groupBy("bucket", "cell", "ring")
         .agg(F.count("*").alias("n"), F.min("near").alias("far"), F.max("near").alias("near")).toPandas()
@@ -195,12 +199,26 @@ def _hang(points: DataFrame, levels, per_bucket: int, limit: int, block: int) ->
         own = pivots[bucket]
         links = tree[tree["bucket"] == bucket].sort_values("w", ascending=False)
         own.joined = np.array([_joined(links[links["w"] >= level], len(own.ids)) for level in levels])
-        own.cell, own.ring = group["cell"].to_numpy(np.int64), group["ring"].to_numpy(np.int64)
+        own.cell, own.ring = group["cell"].to_numpy(np.int64), np.minimum(group["ring"].to_numpy(np.int64), RINGS - 1)
         own.low, own.high = _angles(group["near"].to_numpy()), _angles(group["far"].to_numpy())
-        sizes = group.groupby("cell")["n"].sum()
-        own.blocks = np.ones(max(1, len(own.ids)), np.int64)
-        own.blocks[np.maximum(sizes.index.to_numpy(np.int64), 0)] = np.ceil(sizes.to_numpy() / block)
-    return hung, trees, pivots
+        own.bundle, own.blocks = _bundles(group.groupby("cell")["n"].sum().to_dict(), own, block)
+    edges = [(int(a), int(b), float(w)) for a, b, w in zip(tree["point"], tree["pivot"], tree["w"])]
+    return hung, points.sparkSession.createDataFrame(edges, FOREST_SCHEMA), pivots
+
+
+def _bundles(sizes: dict[int, int], own: SimpleNamespace, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bundle of each cell, and how many blocks a bundle is cut into: cells that are joined at the same levels come
+    together up to ``block`` points; a larger cell is a bundle of its own."""
+    bundle, blocks, filled = np.zeros(max(1, len(own.ids)), np.int64), [], block
+    near = lambda cell: (tuple(own.joined[:, cell]) if cell >= 0 else (), cell)
+    for cell in sorted(sizes, key=near):
+        n = sizes[cell]
+        if n > block or filled + n > block:
+            blocks.append(-(-n // block))
+            filled = 0
+        bundle[max(cell, 0)] = len(blocks) - 1
+        filled = block if n > block else filled + n
+    return bundle, np.array(blocks, np.int64)
 
 
 def _joined(links: pd.DataFrame, n: int) -> np.ndarray:
@@ -221,12 +239,11 @@ def _hang_edges(hung: DataFrame, tree: DataFrame, cells: dict[str, SimpleNamespa
                 yield pd.DataFrame({"src": pivot, "dst": rows["node"].to_numpy(np.int64), "w": rows["near"].to_numpy()})
 
     near = hung.where((F.col("near") >= least) & F.col("other").isNull()).select("bucket", "cell", "node", "near")
-    tree = tree.select(F.col("point").alias("src"), F.col("pivot").alias("dst"), "w")
     return near.mapInPandas(edges, FOREST_SCHEMA).unionByName(tree)
 
 
 def _visits(hung: DataFrame, levels: list[float], cells: dict[str, SimpleNamespace]) -> DataFrame:
-    """Which cell each point has to visit, and which of its rings (a bit each), once per block of the cell."""
+    """Which bundle each point has to visit, and which of its rings, once per block of the bundle."""
     shared = hung.sparkSession.sparkContext.broadcast(cells)
     steps = np.array(levels)
 
@@ -248,18 +265,18 @@ def _visits(hung: DataFrame, levels: list[float], cells: dict[str, SimpleNamespa
         row, ring = np.nonzero(need)
         if not len(row):
             return
-        visited = own.cell[ring]
-        order = np.lexsort((visited, row))
-        row, visited = row[order], visited[order]
-        bits = np.left_shift(np.int64(1), np.minimum(own.ring[ring], 62))[order]
-        first = np.flatnonzero(np.append(True, (np.diff(row) != 0) | (np.diff(visited) != 0)))
-        times = own.blocks[np.maximum(visited[first], 0)]
+        bundle = own.bundle[np.maximum(own.cell[ring], 0)]
+        order = np.lexsort((bundle, row))
+        row, bundle, number = row[order], bundle[order], ((own.cell[ring] + 1) * RINGS + own.ring[ring])[order]
+        first = np.flatnonzero(np.append(True, (np.diff(row) != 0) | (np.diff(bundle) != 0)))
+        times = own.blocks[bundle[first]]
         block = np.concatenate([np.arange(t) for t in times])
-        row, visited, bits = (x.repeat(times) for x in (row[first], visited[first], np.bitwise_or.reduceat(bits, first)))
-        picked = rows.iloc[row]
+        asked = np.arange(len(first)).repeat(times)
+        numbers = np.split(number.astype(np.int32), first[1:])
+        picked = rows.iloc[row[first][asked]]
         yield pd.DataFrame({
-            "bucket": picked["bucket"].to_numpy(), "cell": visited, "block": block, "node": picked["node"].to_numpy(),
-            "vector": picked["vector"].to_numpy(), "rings": bits,
+            "bucket": picked["bucket"].to_numpy(), "bundle": bundle[first][asked], "block": block, "node": picked["node"].to_numpy(),
+            "vector": picked["vector"].to_numpy(), "rings": [numbers[i] for i in asked],
         })
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -273,33 +290,42 @@ def _visits(hung: DataFrame, levels: list[float], cells: dict[str, SimpleNamespa
 
 
 def _compare(hung: DataFrame, visits: DataFrame, cells: dict[str, SimpleNamespace], least: float, block: int) -> DataFrame:
-    """Edges of a forest of every block of a cell with every block of its visitors."""
-    counts = visits.where("block = 0").groupBy("bucket", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("turns"))
-    shared = {(bucket, cell): int(n) for bucket, own in cells.items() for cell, n in enumerate(own.blocks) if n > 1}
-    cut = hung.sparkSession.createDataFrame([(b, c, n) for (b, c), n in shared.items()], "bucket string, cell int, blocks int")
-    residents = hung.where("other is null").select("bucket", F.greatest("cell", F.lit(0)).alias("at"), "cell", "node", "vector", "ring")
-    residents = residents.join(F.broadcast(cut.withColumnRenamed("cell", "at")), ["bucket", "at"], "left")  # max_anchors rows
+    """Edges of a forest of every block of a bundle with every block of its visitors."""
+    spark = hung.sparkSession
+    turns = F.ceil(F.count("*") / block).cast("int").alias("turns")
+    counts = stage(visits.where("block = 0").groupBy("bucket", "bundle").agg(turns), "turns")  # a row a bundle
+    dealt = [
+        (bucket, cell, int(own.bundle[cell]), int(own.blocks[own.bundle[cell]])) for bucket, own in cells.items() for cell in range(len(own.bundle))
+    ]  # a row a cell: max_anchors at most, and one for each bucket without
+    of_cell = F.broadcast(spark.createDataFrame(dealt, "bucket string, at int, bundle int, blocks int"))
     here = (
-        residents.join(F.broadcast(counts), ["bucket", "cell"])  # a row a cell: max_anchors at most
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).cast("int"))
+        hung.where("other is null")
+        .select("bucket", F.greatest("cell", F.lit(0)).alias("at"), "node", "vector", _ring_number().alias("number"))
+        .join(of_cell, ["bucket", "at"])
+        .join(F.broadcast(counts), ["bucket", "bundle"])
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
-        .select("bucket", "cell", "block", "turn", "node", "vector", "ring")
+        .select("bucket", "bundle", "block", "turn", "node", "vector", "number")
     )
-    there = visits.join(F.broadcast(counts), ["bucket", "cell"]).select(
-        "bucket", "cell", "block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("turns")).cast("int").alias("turn"), "node", "vector", "rings"
+    there = visits.join(F.broadcast(counts), ["bucket", "bundle"]).select(
+        "bucket", "bundle", "block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("turns")).cast("int").alias("turn"), "node", "vector", "rings"
     )
 
     def meet(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         parts = [pd.DataFrame({"src": np.zeros(0, np.int64), "dst": np.zeros(0, np.int64), "w": np.zeros(0)})]
         if len(left) and len(right):
             ids, matrix = right["node"].to_numpy(np.int64), np.stack(right["vector"].to_list())
-            ring = np.minimum(right["ring"].to_numpy(np.int64), 62)
+            numbers, place = np.unique(right["number"].to_numpy(np.int64), return_inverse=True)
             for start in range(0, len(left), ROWS_AT_ONCE):
                 rows = left.iloc[start : start + ROWS_AT_ONCE]
                 nodes = rows["node"].to_numpy(np.int64)
                 sims = rounded(np.stack(rows["vector"].to_list()), matrix)
-                asked = (rows["rings"].to_numpy(np.int64)[:, None] >> ring[None, :]) & 1
-                sims[(asked == 0) | (nodes[:, None] == ids[None, :])] = -2.0
+                listed = np.concatenate(rows["rings"].to_list())
+                at = np.minimum(np.searchsorted(numbers, listed), len(numbers) - 1)
+                known = numbers[at] == listed  # the others are in other blocks
+                asked = np.zeros((len(rows), len(numbers)), bool)
+                asked[np.repeat(np.arange(len(rows)), rows["rings"].map(len))[known], at[known]] = True
+                sims[~asked[:, place] | (nodes[:, None] == ids[None, :])] = -2.0
                 best = sims.argmax(axis=1)
                 near = sims[np.arange(len(rows)), best]
                 linked = near >= least
@@ -312,5 +338,5 @@ def _compare(hung: DataFrame, visits: DataFrame, cells: dict[str, SimpleNamespac
                 parts.append(pd.DataFrame({"src": nodes[at], "dst": ids[links["dst"].to_numpy(np.int64)], "w": links["w"].to_numpy()}))
         return small_forest(pd.concat(parts, ignore_index=True))
 
-    keys = ["bucket", "cell", "block", "turn"]
+    keys = ["bucket", "bundle", "block", "turn"]
     return there.groupBy(*keys).cogroup(here.groupBy(*keys)).applyInPandas(meet, FOREST_SCHEMA)
