@@ -104,3 +104,14 @@ def test_first_seen_reads_nothing_again(spark, tmp_path):
     got = spark.read.parquet(str(target))
     assert got.count() == 10 + n * 20 == got.select("source_name", "source_id").distinct().count()
     assert got.where("int(source_id) < 10").agg(F.max("place")).first()[0] < 10
+
+
+def test_running_state_is_not_gathered_into_one_task(spark, tmp_path):
+    """Every partition of the state writes what changed in it."""
+    source, target = str(tmp_path / "log"), tmp_path / "states"
+    schema = "source string, query string, page_number long, raw_count long, item_count long, has_more boolean"
+    log = spark.createDataFrame([(f"s{i}", "q", 1, 2, 1, True) for i in range(200)], schema)
+    log.coalesce(1).write.parquet(source)
+    J.run_collection_state(J.table_stream(log, source, 1), str(target), str(tmp_path / "check")).awaitTermination()
+    assert len(table_files(target / "from=0", "to=0")) > 4
+    assert J.latest_state(spark, str(target)).count() == 200
