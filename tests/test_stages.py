@@ -3,6 +3,7 @@ from __future__ import annotations
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
 from weaksift.plans import stages as P
 
@@ -25,3 +26,35 @@ def test_stages_can_be_cleared(spark, monkeypatch, tmp_path):
     assert frame.count() == 3 and list(tmp_path.rglob("*.parquet"))
     P.clear_stages(spark)
     assert not list(tmp_path.rglob("*.parquet"))
+
+
+def test_one_row_group_in_many_splits_is_dealt_evenly(spark, tmp_path):
+    path, cores = f"{tmp_path}/rows", spark.sparkContext.defaultParallelism
+    spark.range(20_000).selectExpr("id", "sha2(cast(id as string), 256) AS text").coalesce(1).write.parquet(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+        scan = spark.read.parquet(path)
+        assert scan.rdd.getNumPartitions() >= cores  # many splits, of which one holds the row group
+        found = P.spread(scan)
+        sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sum(sizes) == 20_000 and len(sizes) >= cores and max(sizes) <= 2 * 20_000 / cores
+
+
+def test_even_splits_are_left_as_they_are_read(spark, tmp_path):
+    path = f"{tmp_path}/rows"
+    spark.range(20_000).repartition(2 * spark.sparkContext.defaultParallelism).write.option("compression", "none").parquet(path)
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", str(64 << 20))
+        scan = spark.read.parquet(path)
+        assert P.spread(scan) is scan
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+
+
+def test_an_empty_scan_can_be_spread(spark, tmp_path):
+    spark.range(0).write.parquet(f"{tmp_path}/none")
+    assert P.spread(spark.read.parquet(f"{tmp_path}/none")).count() == 0
