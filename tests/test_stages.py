@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,3 +59,28 @@ def test_even_splits_are_left_as_they_are_read(spark, tmp_path):
 def test_an_empty_scan_can_be_spread(spark, tmp_path):
     spark.range(0).write.parquet(f"{tmp_path}/none")
     assert P.spread(spark.read.parquet(f"{tmp_path}/none")).count() == 0
+
+
+def test_a_stage_sends_small_batches_to_its_workers(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pd.DataFrame({"n": [len(batch)], "size": [int(batch["text"].str.len().sum())]})
+
+    before = spark.conf.get(P.BATCH_CONF)
+    long = spark.range(3_000).coalesce(1).select(F.repeat(F.lit("x"), 10_000).alias("text"))
+    one = spark.range(1).select(F.repeat(F.lit("x"), 2 * P.BATCH_BYTES).alias("text"))
+    found = P.stage(long.unionByName(one).mapInPandas(sizes, "n long, size long"), "sizes").toPandas()
+    assert found["n"].sum() == 3_001 and found["size"].sum() == 30_000_000 + 2 * P.BATCH_BYTES
+    assert found[found["n"] > 1]["size"].max() <= P.BATCH_BYTES + 10_000
+    assert spark.conf.get(P.BATCH_CONF) == before
+
+
+def test_a_smaller_batch_of_the_session_stays(spark):
+    before = spark.conf.get(P.BATCH_CONF)
+    try:
+        spark.conf.set(P.BATCH_CONF, "1m")
+        with P.small_batches(spark):
+            assert P._bytes(spark.conf.get(P.BATCH_CONF)) == 1 << 20
+        assert spark.conf.get(P.BATCH_CONF) == "1m"
+    finally:
+        spark.conf.set(P.BATCH_CONF, before)
